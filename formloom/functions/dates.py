@@ -4,83 +4,71 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import first_match
-
+# Fixed patterns of written dates.
 ISO_RE = r"\b[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}\b"
 YEAR_LAST_RE = r"\b[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}\b"
 COMPACT_RE = r"\b[0-9]{8}\b"
 PREFERRED_ISO_RE = r"\b[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\b"
-
 _MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 DAY_MONTH_RE = rf"(?i)\b[0-9]{{1,2}}[ -]{_MONTH}\.?,?[ -][0-9]{{4}}\b"
 MONTH_DAY_RE = rf"(?i)\b{_MONTH}\.? [0-9]{{1,2}},? [0-9]{{4}}\b"
-_MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
-
-
-def _reading(y: Column, m: Column, d: Column, as_of: date) -> Column:
-    """ISO text of a real calendar date from 1900 to the year of `as_of`."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    last_day = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    return F.when(
-        y.between(1900, as_of.year) & m.between(1, 12) & (d >= 1) & (d <= last_day),
-        F.format_string("%04d-%02d-%02d", y, m, d),
-    )
-
-
-def _numbers(matches: Column, sep: str) -> Column:
-    return F.transform(matches, lambda s: F.split(s, sep).cast("array<int>"))
-
-
-def dob_candidates(raw: Column, as_of: date) -> Column:
-    """Sorted distinct readings of the dates written in `raw` (array<string>)."""
-    s = F.coalesce(raw, F.lit(""))
-    found = lambda pattern: F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
-
-    iso = F.transform(_numbers(found(ISO_RE), "[-/.]"), lambda p: _reading(p[0], p[1], p[2], as_of))
-    year_last = F.flatten(F.transform(
-        _numbers(found(YEAR_LAST_RE), "[-/.]"),
-        lambda p: F.array(_reading(p[2], p[1], p[0], as_of), _reading(p[2], p[0], p[1], as_of)),
-    ))
-
-    def part(g: Column, start: int, n: int) -> Column:
-        return F.substring(g, start, n).cast("int")
-
-    compact = F.flatten(F.transform(
-        found(COMPACT_RE),
-        lambda g: F.array(
-            _reading(part(g, 1, 4), part(g, 5, 2), part(g, 7, 2), as_of),
-            _reading(part(g, 5, 4), part(g, 3, 2), part(g, 1, 2), as_of),
-            _reading(part(g, 5, 4), part(g, 1, 2), part(g, 3, 2), as_of),
-        ),
-    ))
-
-    def worded(g: Column) -> Column:
-        nums = F.filter(F.split(g, "[^0-9]+"), lambda x: x != "").cast("array<int>")
-        name = F.lower(F.regexp_extract(g, "([A-Za-z]{3})", 1))
-        month = F.floor((F.position(name, F.lit(_MONTH_ORDER)) + 2) / 3).cast("int")
-        return _reading(nums[1], month, nums[0], as_of)
+MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+# Is p = [year, month, day] a real date from 1900 to the reference year?
+_REAL_DATE = """p[0] between 1900 and {year} and p[1] between 1 and 12 and p[2] between 1 and
+  case when p[1] <> 2 then 30 + (p[1] + p[1] div 8) % 2
+       when p[0] % 4 = 0 and (p[0] % 100 <> 0 or p[0] % 400 = 0) then 29 else 28 end"""
+
+
+def dob_candidates(raw: str, as_of: date) -> Column:
+    """Sorted distinct readings of the dates written in `raw` (array<string>).
+
+    Every pattern yields [year, month, day] triples, which are checked once.
+    `raw` is SQL text, usually a column name.
+    """
+    found = lambda p: f"regexp_extract_all(coalesce({raw}, ''), r'{p}', 0)"
+    numbers = lambda p: f"transform({found(p)}, g -> cast(split(g, '[-/.]') as array<int>))"
+    tokens = lambda p: f"transform({found(p)}, g -> split(g, '[ ,.-]+'))"
+    span = lambda a, n: f"cast(substr(g, {a}, {n}) as int)"
+    month = lambda t: (
+        f"(position(lower(substr({t}, 1, 3)), '{MONTH_ORDER}') + 2) div 3")
+    triples = f"""concat(
+      {numbers(ISO_RE)},
+      flatten(transform({numbers(YEAR_LAST_RE)}, p -> array(array(p[2], p[1], p[0]), array(p[2], p[0], p[1])))),
+      flatten(transform({found(COMPACT_RE)}, g -> array(
+        array({span(1, 4)}, {span(5, 2)}, {span(7, 2)}),
+        array({span(5, 4)}, {span(3, 2)}, {span(1, 2)}),
+        array({span(5, 4)}, {span(1, 2)}, {span(3, 2)})))),
+      transform({tokens(DAY_MONTH_RE)}, t -> array(int(t[2]), int({month('t[1]')}), int(t[0]))),
+      transform({tokens(MONTH_DAY_RE)}, t -> array(int(t[2]), int({month('t[0]')}), int(t[1]))))"""
+    return F.expr(f"""sort_array(array_distinct(transform(
+      filter({triples}, p -> {_REAL_DATE.format(year=as_of.year)}),
+      p -> format_string('%04d-%02d-%02d', p[0], p[1], p[2]))))""")
+
+
+def preferred_reading(value: str, candidates: str) -> Column:
+    """One preferred date: the first ISO-like text, unvalidated, else a reading."""
+    return F.expr(f"""coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract({value}, r'{PREFERRED_ISO_RE}', 0), '/', '-'),
+      '-([0-9])-', '-0$1-'), '-([0-9])$', '-0$1'), ''), try_element_at({candidates}, 1))""")
 
-    words = F.transform(F.concat(found(DAY_MONTH_RE), found(MONTH_DAY_RE)), worded)
-    return F.sort_array(F.array_distinct(F.array_compact(F.concat(iso, year_last, compact, words))))
 
+def with_readings(df: DataFrame, value: str, as_of: date, candidates: str = "cands",
+                  preferred: str = "dob") -> DataFrame:
+    """Add the candidate readings of a column and the preferred one."""
+    return df.withColumn(candidates, dob_candidates(value, as_of)).withColumn(
+        preferred, preferred_reading(value, candidates))
 
-def normalise_dob(value: Column, as_of: date) -> Column:
-    """One preferred date: the first ISO-like text, unvalidated, else a reading."""
-    parts = F.split(first_match(value, PREFERRED_ISO_RE), "[-/]")
-    iso = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
-    return F.when(parts.isNotNull(), iso).otherwise(
-        F.try_element_at(dob_candidates(value, as_of), F.lit(1))
-    )
 
+def match_readings(candidates: str, preferred: str) -> Column:
+    """Readings the matcher compares: the candidates, else the preferred text.
 
-def match_readings(dob_raw: Column, dob: Column, as_of: date) -> Column:
-    """Readings used by the matcher: candidates, else the preferred text."""
-    cands = dob_candidates(F.coalesce(F.nullif(dob_raw, F.lit("")), dob), as_of)
-    fallback = F.array_compact(F.array(normalise_dob(dob, as_of)))
-    return F.when(F.size(cands) > 0, cands).otherwise(fallback)
+    A written but impossible date thus still blocks a match by name alone.
+    """
+    return F.expr(f"if(size({candidates}) > 0, {candidates}, array_compact(array({preferred})))")
 
 
 def age_years(dob: Column, as_of: date) -> Column:

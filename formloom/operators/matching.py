@@ -11,169 +11,142 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EXAMINED_CANDIDATES, REVIEW_LIST_SIZE, SEARCH_PAGE
-from ..functions.dates import dob_candidates, normalise_dob
+from ..functions.dates import dob_candidates, match_readings, preferred_reading
 from ..functions.predicates import has_minimum_identifiers
-from ..functions.text import norm, strip
+from ..functions.text import norm
 from .skew import resharded_join
 
-TIER_LABELS = {"name": "exact name", "prefix": "partial name (3+3)", "email": "email"}
+# Fixed labels of the tiers and reasons.
 BY_DATE = "DOB + last-name match"
 BY_NAME = "name match (first-3 + last-3)"
-
-
-def _prefix(c: Column) -> Column:
-    return F.substring(c, 1, 3)
-
-
-def search_index(charts: DataFrame, as_of: date, page: int = SEARCH_PAGE) -> DataFrame:
+CHOSEN = "operator selected"
+_LABEL = "case mode when 'name' then 'exact name' when 'prefix' then 'partial name (3+3)' else 'email' end"
+
+# SQL conditions on one chart h of a page and the form's fl, ff, readings.
+_LAST3 = "(fl <> '' and h.l <> '' and substr(fl, 1, 3) = substr(h.l, 1, 3))"
+_FIRST3 = "(ff <> '' and h.f <> '' and substr(ff, 1, 3) = substr(h.f, 1, 3))"
+_DATE_OK = "coalesce(array_contains(readings, h.d), false)"
+CONFIDENT = f"""case when size(readings) > 0 then if({_DATE_OK} and {_LAST3}, '{BY_DATE}', null)
+  when {_LAST3} and {_FIRST3} then '{BY_NAME}' end"""
+REJECTED = f"""case when size(readings) = 0 then 'name prefix did not match'
+  when {_DATE_OK} then 'DOB matched but last name differs' else 'DOB did not match chart' end"""
+NAME_MATCHES = f"({_LAST3} and {_FIRST3})"
+
+
+def search_index(charts: DataFrame, as_of: date, page: int = SEARCH_PAGE,
+                 modes: tuple[str, ...] = ("name", "prefix", "dob", "email")) -> DataFrame:
     """(mode, keyword, hits): the first `page` active charts of each keyword.
 
     Order inside a page is ascending registry number.
     """
-    c = charts.where(F.col("status") == "active").select(
-        "demographic_no",
-        "last_name",
-        "first_name",
-        "dob",
-        norm(F.col("last_name")).alias("l"),
-        norm(F.col("first_name")).alias("f"),
-        norm(F.col("email")).alias("e"),
-        normalise_dob(F.col("dob"), as_of).alias("d"),
-        F.col("demographic_no").try_cast("bigint").alias("seq"),
+    c = (
+        charts.where("status = 'active'")
+        .withColumn("_c", dob_candidates("dob", as_of))
+        .select(
+            "demographic_no", "dob",
+            norm(F.col("last_name")).alias("l"),
+            norm(F.col("first_name")).alias("f"),
+            norm(F.col("email")).alias("e"),
+            preferred_reading("dob", "_c").alias("d"),
+            F.expr("try_cast(demographic_no as bigint)").alias("seq"),
+        )
     )
-    entry = lambda mode, ok, word: F.when(
-        ok, F.struct(F.lit(mode).alias("mode"), word.alias("keyword")))
-    l, f = F.col("l"), F.col("f")
-    entries = F.array_compact(F.array(
-        entry("name", (l != "") & (f != ""), F.concat(l, F.lit(","), f)),
-        entry("prefix", (l != "") & (f != ""), F.concat(_prefix(l), F.lit(","), _prefix(f))),
-        entry("prefix", l != "", _prefix(l)),
-        entry("dob", F.col("d").isNotNull(), F.col("d")),
-        entry("email", F.col("e") != "", F.col("e")),
-    ))
-    words = c.withColumn("_e", F.explode(entries)).select("*", "_e.mode", "_e.keyword").drop("_e", "e")
+    entries = {
+        "name": ["if(l <> '' and f <> '', struct('name' as mode, concat(l, ',', f) as keyword), null)"],
+        "prefix": [
+            "if(l <> '' and f <> '', struct('prefix' as mode, "
+            "concat(substr(l, 1, 3), ',', substr(f, 1, 3)) as keyword), null)",
+            "if(l <> '', struct('prefix' as mode, substr(l, 1, 3) as keyword), null)",
+        ],
+        "dob": ["if(d is not null, struct('dob' as mode, d as keyword), null)"],
+        "email": ["if(e <> '', struct('email' as mode, e as keyword), null)"],
+    }
+    wanted = ", ".join(x for m in modes for x in entries[m])
+    words = c.selectExpr("demographic_no", "dob", "l", "f", "d", "seq",
+                         f"inline(array_compact(array({wanted})))")
     w = Window.partitionBy("mode", "keyword").orderBy(F.col("seq").asc_nulls_last(), "demographic_no")
-    first_page = words.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= page)
-    hit = F.struct("pos", "demographic_no", "last_name", "first_name", "dob", "l", "f", "d")
-    return first_page.groupBy("mode", "keyword").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    first_page = words.withColumn("pos", F.row_number().over(w)).where(f"pos <= {page}")
+    return first_page.groupBy("mode", "keyword").agg(
+        F.expr("sort_array(collect_list(struct(pos, demographic_no, dob, l, f, d)))").alias("hits"))
 
 
-def form_keywords(forms: DataFrame, as_of: date) -> DataFrame:
+def form_keywords(forms: DataFrame, as_of: date,
+                  modes: tuple[str, ...] = ("name", "prefix", "dob", "email")) -> DataFrame:
     """One row per search a form makes; forms without identifiers make none."""
     cols = forms.columns
-    supplied = F.col("supplied_email") if "supplied_email" in cols else F.lit(None).cast("string")
-    written = F.coalesce(F.nullif("dob_raw", F.lit("")), F.col("dob")) if "dob" in cols else F.col("dob_raw")
-    dob = F.col("dob") if "dob" in cols else normalise_dob(F.col("dob_raw"), as_of)
-    f = (
-        forms.select(
-            "form_id", "first_name", "last_name", "email",
-            norm(F.col("last_name")).alias("fl"),
-            norm(F.col("first_name")).alias("ff"),
-            F.coalesce(F.nullif(norm(F.col("email")), F.lit("")), F.nullif(norm(supplied), F.lit(""))).alias("fe"),
-            dob.alias("dob"),
-            dob_candidates(written, as_of).alias("cands"),
-        )
-        .where(has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob")))
-    )
+    written = "coalesce(nullif(dob_raw, ''), dob)" if "dob" in cols else "dob_raw"
+    supplied = "supplied_email" if "supplied_email" in cols else "cast(null as string)"
+    f = forms.select(
+        "form_id", "first_name", "last_name", "email",
+        norm(F.col("last_name")).alias("fl"),
+        norm(F.col("first_name")).alias("ff"),
+        F.coalesce(F.nullif(norm(F.col("email")), F.lit("")), norm(F.expr(supplied))).alias("fe"),
+        F.expr(written).alias("written"),
+        *(["dob"] if "dob" in cols else []),
+    ).withColumn("cands", dob_candidates("written", as_of))
+    if "dob" not in cols:
+        f = f.withColumn("dob", preferred_reading("written", "cands"))
+    # The gate is a flag, not a filter: a pushed-down filter would read the dates again.
     f = f.withColumn(
-        "readings",
-        F.when(F.size("cands") > 0, F.col("cands"))
-        .otherwise(F.array_compact(F.array(normalise_dob(F.col("dob"), as_of)))),
-    )
-    search = lambda mode, ok, word, i=F.lit(0): F.when(
-        ok, F.struct(F.lit(mode).alias("mode"), word.alias("keyword"), i.alias("ord")))
-    l, ff = F.col("fl"), F.col("ff")
-    fixed = F.array_compact(F.array(
-        search("name", (l != "") & (ff != ""), F.concat(l, F.lit(","), ff)),
-        search("prefix", l != "",
-               F.when(ff != "", F.concat(_prefix(l), F.lit(","), _prefix(ff))).otherwise(_prefix(l))),
-        search("email", F.col("fe").isNotNull(), F.col("fe")),
-    ))
-    by_date = F.transform(
-        F.col("cands"),
-        lambda d, i: F.struct(F.lit("dob").alias("mode"), d.alias("keyword"), i.alias("ord")),
-    )
-    return f.withColumn("_s", F.explode(F.concat(fixed, by_date))).select(
-        "form_id", "fl", "ff", "readings", "_s.mode", "_s.keyword", "_s.ord"
-    )
-
-
-def confident_reason(hit: Column, fl: Column, ff: Column, readings: Column) -> Column:
-    """Why a chart is a safe match, or null. A written date must agree."""
-    last3 = (fl != "") & (hit["l"] != "") & (_prefix(fl) == _prefix(hit["l"]))
-    first3 = (ff != "") & (hit["f"] != "") & (_prefix(ff) == _prefix(hit["f"]))
-    date_ok = F.coalesce(F.array_contains(readings, hit["d"]), F.lit(False))
-    return F.when(F.size(readings) > 0, F.when(date_ok & last3, BY_DATE)).when(last3 & first3, BY_NAME)
-
-
-def rejection_reason(hit: Column, fl: Column, ff: Column, readings: Column) -> Column:
-    """Text for a chart that was examined and not accepted."""
-    date_ok = F.coalesce(F.array_contains(readings, hit["d"]), F.lit(False))
-    return (
-        F.when(confident_reason(hit, fl, ff, readings).isNotNull(), F.lit(None))
-        .when(F.size(readings) == 0, "name prefix did not match")
-        .when(date_ok, "DOB matched but last name differs")
-        .otherwise("DOB did not match chart")
-    )
-
-
-def name_matches(hit: Column, fl: Column, ff: Column) -> Column:
-    """Names agree exactly or on both three-letter prefixes."""
-    both = (fl != "") & (hit["l"] != "") & (ff != "") & (hit["f"] != "")
-    return both & (_prefix(fl) == _prefix(hit["l"])) & (_prefix(ff) == _prefix(hit["f"]))
-
-
-def _auto(hits: Column, fl: Column, ff: Column, readings: Column, examined: int) -> Column:
-    """The only confident chart among the examined ones, with its reason."""
-    sure = F.filter(
-        F.transform(
-            F.slice(hits, 1, examined),
-            lambda h: F.struct(h["demographic_no"].alias("demographic_no"),
-                               confident_reason(h, fl, ff, readings).alias("reason")),
-        ),
-        lambda h: h["reason"].isNotNull(),
-    )
-    return F.when(F.size(sure) == 1, F.element_at(sure, 1))
+        "ok", has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob"))
+    ).withColumn("preferred", preferred_reading("dob", "cands") if "dob" in cols else F.col("dob"))
+    searches = {
+        "name": "if(fl <> '' and ff <> '', struct('name' as mode, concat(fl, ',', ff) as keyword, 0 as ord), null)",
+        "prefix": "if(fl <> '', struct('prefix' as mode, concat(substr(fl, 1, 3), "
+                  "if(ff <> '', concat(',', substr(ff, 1, 3)), '')) as keyword, 0 as ord), null)",
+        "email": "if(fe <> '', struct('email' as mode, fe as keyword, 0 as ord), null)",
+    }
+    parts = []
+    fixed = ", ".join(searches[m] for m in modes if m != "dob")
+    if fixed:
+        parts.append(f"array_compact(array({fixed}))")
+    if "dob" in modes:
+        parts.append("transform(cands, (x, i) -> struct('dob' as mode, x as keyword, i as ord))")
+    return f.select("form_id", "fl", "ff", match_readings("cands", "preferred").alias("readings"),
+                    F.expr(f"inline(if(ok, concat({', '.join(parts)}), array()))"))
+
+
+def search_pages(forms: DataFrame, charts: DataFrame, as_of: date, modes: tuple[str, ...]) -> DataFrame:
+    """Each search of each form with its page of charts."""
+    return resharded_join(form_keywords(forms, as_of, modes), search_index(charts, as_of, modes=modes),
+                          ["mode", "keyword"])
 
 
 def search_hits(forms: DataFrame, charts: DataFrame, as_of: date,
                 modes: tuple[str, ...] = ("name", "prefix", "dob", "email"),
                 examined: int = EXAMINED_CANDIDATES) -> DataFrame:
-    """Each search of each form with its page of charts and its verdict."""
-    words = form_keywords(forms, as_of)
-    index = search_index(charts, as_of)
-    if set(modes) != {"name", "prefix", "dob", "email"}:
-        words, index = words.where(F.col("mode").isin(*modes)), index.where(F.col("mode").isin(*modes))
-    fl, ff, readings, hits = F.col("fl"), F.col("ff"), F.col("readings"), F.col("hits")
-    auto = _auto(hits, fl, ff, readings, examined)
-    lone = F.struct(F.element_at(hits, 1)["demographic_no"].alias("demographic_no"),
-                    F.lit(None).cast("string").alias("reason"))
-    return resharded_join(words, index, ["mode", "keyword"]).select(
-        "form_id", "mode", "ord", "keyword", "hits",
-        F.when(F.col("mode") == "dob", F.lit(None))
-        .when((F.col("mode") == "email") & (F.size(hits) == 1), lone)
-        .otherwise(auto).alias("auto"),
-        F.when(
-            F.col("mode").isin("name", "prefix"),
-            F.filter(F.slice(hits, 1, examined), lambda h: name_matches(h, fl, ff)),
-        ).alias("near"),
+    """Search pages with their verdict.
+
+    `auto` is the only confident chart among the examined ones; an e-mail search
+    with a single hit is accepted as it is. `near` lists examined charts whose
+    names agree. `hits` is kept for date searches alone, which need no more.
+    """
+    top = f"slice(hits, 1, {examined})"
+    pages = search_pages(forms, charts, as_of, modes).withColumn("sure", F.expr(f"""if(mode = 'dob', null,
+      filter(transform({top}, h -> struct(h.demographic_no as demographic_no, {CONFIDENT} as reason)),
+             s -> s.reason is not null))"""))
+    return pages.selectExpr(
+        "form_id", "mode", "ord", "keyword",
+        f"""case when mode = 'email' and size(hits) = 1
+              then struct(hits[0].demographic_no as demographic_no, {_LABEL} as matched_by)
+            when size(sure) = 1
+              then struct(sure[0].demographic_no as demographic_no,
+                          concat({_LABEL}, ': ', sure[0].reason) as matched_by) end as auto""",
+        f"""case when mode in ('name', 'prefix')
+                and coalesce(size(sure), 0) <> 1
+              then transform(filter({top}, h -> {NAME_MATCHES}), h -> struct(h.demographic_no, h.dob))
+            when mode = 'dob' then transform(hits, h -> struct(h.demographic_no, h.dob)) end as shown""",
     )
 
 
 def tier_matches(forms: DataFrame, charts: DataFrame, as_of: date, mode: str) -> DataFrame:
     """Forms one tier alone would link: form_id, demographic_no, matched_by."""
-    found = search_hits(forms, charts, as_of, (mode,)).where(F.col("auto").isNotNull())
-    return found.select("form_id", F.col("auto.demographic_no").alias("demographic_no"), _matched_by(mode))
-
-
-def _matched_by(mode: str) -> Column:
-    reason = F.col("auto.reason")
-    label = F.lit(TIER_LABELS[mode])
-    return F.when(reason.isNull(), label).otherwise(F.concat(label, F.lit(": "), reason)).alias("matched_by")
+    found = search_hits(forms, charts, as_of, (mode,)).where("auto is not null")
+    return found.selectExpr("form_id", "auto.demographic_no", "auto.matched_by")
 
 
 def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame | None = None,
@@ -181,87 +154,58 @@ def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: Dat
     """Every form with its match (or null), how it was found, and its review list.
 
     Tiers: exact name, partial name, an operator's choice from the review list,
-    e-mail. The first tier that resolves wins.
+    e-mail. The first tier that resolves wins. The rows of a form are one per
+    search it made, so the lists gathered here stay small whatever the data.
     """
-    hits = search_hits(forms, charts, as_of)
-    per_form = hits.groupBy("form_id").agg(
-        F.collect_list(F.struct("mode", "ord", "auto", "near", "hits")).alias("s")
+    rank = "case mode when 'name' then 0 when 'prefix' then 1 when 'dob' then 2 else 3 end"
+    per_form = (
+        search_hits(forms, charts, as_of)
+        .groupBy("form_id")
+        .agg(F.expr(f"sort_array(collect_list(struct({rank} as tier, ord, auto, shown)))").alias("s"))
+        .selectExpr(
+            "form_id",
+            "get(filter(s, x -> x.tier < 2 and x.auto is not null), 0).auto as by_name",
+            "get(filter(s, x -> x.tier = 3), 0).auto as by_email",
+            """flatten(transform(filter(s, x -> x.shown is not null),
+                 x -> transform(x.shown, h -> struct(h.demographic_no, h.dob, x.tier < 2 as named)))) as listed""",
+        )
+        .selectExpr("*", "transform(listed, x -> x.demographic_no) as ids")
+        .selectExpr(
+            "form_id", "by_name", "by_email",
+            f"""if(by_name is not null, slice(listed, 1, 0),
+                slice(filter(listed, (x, i) -> array_position(ids, x.demographic_no) = i + 1), 1, {review_size}))
+                as review""",
+        )
     )
-
-    def rows(mode: str) -> Column:
-        return F.filter(F.col("s"), lambda x: x["mode"] == mode)
-
-    def auto(mode: str) -> Column:
-        return F.try_element_at(rows(mode), F.lit(1))["auto"]
-
-    listed = lambda h, named: F.struct(
-        h["demographic_no"].alias("demographic_no"), h["dob"].alias("dob"), F.lit(named).alias("by_name"))
-    near = F.flatten(F.concat(
-        F.transform(rows("name"), lambda x: F.transform(x["near"], lambda h: listed(h, True))),
-        F.transform(rows("prefix"), lambda x: F.transform(x["near"], lambda h: listed(h, True))),
-    ))
-    by_date = F.flatten(F.transform(
-        F.sort_array(F.transform(rows("dob"), lambda x: F.struct(x["ord"].alias("o"), x["hits"].alias("h")))),
-        lambda x: F.transform(x["h"], lambda h: listed(h, False)),
-    ))
-    per_form = per_form.select(
-        "form_id",
-        auto("name").alias("a1"), auto("prefix").alias("a2"), auto("email").alias("a4"),
-        F.concat(near, by_date).alias("all"),
-    ).withColumn("ids", F.transform("all", lambda x: x["demographic_no"]))
-    per_form = per_form.withColumn(
-        "review",
-        F.when(F.col("a1").isNotNull() | F.col("a2").isNotNull(), F.slice(F.col("all"), 1, 0))
-        .otherwise(F.slice(
-            F.filter("all", lambda x, i: F.array_position(F.col("ids"), x["demographic_no"]) == i + 1),
-            1, review_size)),
-    ).drop("all", "ids")
-
     base = forms.select("form_id").join(per_form, "form_id", "left")
-    if decisions is not None:
+    if decisions is None:
+        base = base.withColumn("chosen", F.lit(None).cast("string"))
+    else:
         latest = decisions.groupBy("form_id").agg(F.max_by("demographic_no", "decided_at").alias("chosen"))
         base = base.join(latest, "form_id", "left")
-    else:
-        base = base.withColumn("chosen", F.lit(None).cast("string"))
-    picked = F.coalesce(F.exists("review", lambda r: r["demographic_no"] == F.col("chosen")), F.lit(False))
-
-    def won(mode: str, a: str) -> Column:
-        reason = F.col(f"{a}.reason")
-        label = F.lit(TIER_LABELS[mode])
-        return F.struct(
-            F.col(f"{a}.demographic_no").alias("demographic_no"),
-            F.when(reason.isNull(), label).otherwise(F.concat(label, F.lit(": "), reason)).alias("matched_by"),
-        )
-
-    result = (
-        F.when(F.col("a1").isNotNull(), won("name", "a1"))
-        .when(F.col("a2").isNotNull(), won("prefix", "a2"))
-        .when(picked, F.struct(F.col("chosen").alias("demographic_no"),
-                               F.lit("operator selected").alias("matched_by")))
-        .when(F.col("a4").isNotNull(), won("email", "a4"))
-    )
-    return base.withColumn("_m", result).select(
-        "form_id", F.col("_m.demographic_no").alias("demographic_no"),
-        F.col("_m.matched_by").alias("matched_by"), "review",
-    )
+    return base.selectExpr(
+        "form_id",
+        f"""case when by_name is not null then by_name
+            when exists(review, r -> r.demographic_no = chosen)
+              then struct(chosen as demographic_no, '{CHOSEN}' as matched_by)
+            else by_email end as m""",
+        "review",
+    ).selectExpr("form_id", "m.demographic_no", "m.matched_by", "review")
 
 
 def review_rows(matches: DataFrame, forms: DataFrame, as_of: date) -> DataFrame:
     """The review list as rows, with a note where only the name agrees."""
-    shown = matches.select("form_id", F.posexplode("review").alias("pos", "r"))
-    dob = F.col("dob") if "dob" in forms.columns else normalise_dob(F.col("dob_raw"), as_of)
-    side = forms.select("form_id", F.coalesce(F.nullif(normalise_dob(dob, as_of), F.lit("")),
-                                              F.nullif(dob, F.lit("")), F.lit("?")).alias("form_dob"))
-    note = F.format_string("Name matches; form DOB %s, chart DOB %s", F.col("form_dob"),
-                           F.coalesce(F.nullif("r.dob", F.lit("")), F.lit("?")))
-    return shown.join(side, "form_id").select(
-        "form_id",
-        (F.col("pos") + 1).cast("bigint").alias("position"),
-        F.col("r.demographic_no").alias("demographic_no"),
-        F.when(F.col("r.by_name"), note).alias("note"),
+    shown = matches.selectExpr("form_id", "posexplode(review) as (pos, r)")
+    written = "dob" if "dob" in forms.columns else "dob_raw"
+    side = forms.select("form_id", F.col(written).alias("w")).withColumn("c", dob_candidates("w", as_of)).select(
+        "form_id", F.coalesce(preferred_reading("w", "c"), F.nullif("w", F.lit("")), F.lit("?")).alias("form_dob"))
+    return shown.join(side, "form_id").selectExpr(
+        "form_id", "cast(pos + 1 as bigint) as position", "r.demographic_no",
+        """if(r.named, concat('Name matches; form DOB ', form_dob, ', chart DOB ',
+             coalesce(nullif(r.dob, ''), '?')), null) as note""",
     )
 
 
 def not_found(forms: DataFrame, matches: DataFrame) -> DataFrame:
     """Forms without a match; nothing may be written for them."""
-    return forms.join(matches.where(F.col("demographic_no").isNotNull()), "form_id", "left_anti")
+    return forms.join(matches.where("demographic_no is not null"), "form_id", "left_anti")

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import dob_candidates, normalise_dob
+from ..functions.dates import with_readings
 from ..operators import matching as M
 from ..sources import tables as T
 
@@ -28,10 +28,9 @@ def _tier(mode: str):
 
 def match_dob(spark: SparkSession, d: str) -> DataFrame:
     """Charts found by each reading of a form's date, in search order."""
-    hits = M.search_hits(T.forms(spark, d), T.charts(spark, d), AS_OF, ("dob",))
-    return hits.select("form_id", F.col("keyword").alias("reading"), F.posexplode("hits").alias("p", "h")).select(
-        "form_id", "reading", (F.col("p") + 1).cast("bigint").alias("position"),
-        F.col("h.demographic_no").alias("demographic_no"))
+    pages = M.search_pages(T.forms(spark, d), T.charts(spark, d), AS_OF, ("dob",))
+    return pages.selectExpr("form_id", "keyword as reading", "posexplode(hits) as (p, h)").selectExpr(
+        "form_id", "reading", "cast(p + 1 as bigint) as position", "h.demographic_no")
 
 
 def review_list(spark: SparkSession, d: str) -> DataFrame:
@@ -59,29 +58,19 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Each search's examined charts with the verdict, confident count per form."""
-    words, hits = M.form_keywords(T.forms(spark, d), AS_OF), M.search_index(T.charts(spark, d), AS_OF)
-    modes = ["name", "prefix"]
-    j = M.resharded_join(words.where(F.col("mode").isin(*modes)), hits.where(F.col("mode").isin(*modes)),
-                         ["mode", "keyword"])
-    verdict = F.transform(
-        F.slice("hits", 1, M.EXAMINED_CANDIDATES),
-        lambda h: F.struct(
-            h["demographic_no"].alias("demographic_no"),
-            F.coalesce(M.confident_reason(h, F.col("fl"), F.col("ff"), F.col("readings")),
-                       M.rejection_reason(h, F.col("fl"), F.col("ff"), F.col("readings"))).alias("reason"),
-            M.confident_reason(h, F.col("fl"), F.col("ff"), F.col("readings")).isNotNull().alias("ok")),
+    pages = M.search_pages(T.forms(spark, d), T.charts(spark, d), AS_OF, ("name", "prefix"))
+    return (
+        pages.selectExpr("form_id", "mode", f"""transform(slice(hits, 1, {M.EXAMINED_CANDIDATES}),
+            h -> struct(h.demographic_no, {M.CONFIDENT} as sure, {M.REJECTED} as why_not)) as v""")
+        .selectExpr("form_id", "mode", "size(filter(v, x -> x.sure is not null)) as n", "posexplode(v) as (p, x)")
+        .selectExpr("form_id", "mode", "cast(n as bigint) as confident", "cast(p + 1 as bigint) as position",
+                    "x.demographic_no", "coalesce(x.sure, x.why_not) as reason")
     )
-    j = j.withColumn("v", verdict)
-    sure = F.size(F.filter("v", lambda x: x["ok"])).cast("bigint")
-    return j.select("form_id", "mode", sure.alias("confident"), F.posexplode("v").alias("p", "x")).select(
-        "form_id", "mode", "confident", (F.col("p") + 1).cast("bigint").alias("position"),
-        F.col("x.demographic_no").alias("demographic_no"), F.col("x.reason").alias("reason"))
 
 
 def candidate_dates(spark: SparkSession, d: str) -> DataFrame:
-    f = T.forms(spark, d)
-    return f.select("form_id", F.array_join(dob_candidates(F.col("dob_raw"), AS_OF), ",").alias("readings"),
-                    normalise_dob(F.col("dob_raw"), AS_OF).alias("preferred"))
+    f = with_readings(T.forms(spark, d).select("form_id", "dob_raw"), "dob_raw", AS_OF)
+    return f.select("form_id", F.array_join("cands", ",").alias("readings"), F.col("dob").alias("preferred"))
 
 
 QUERIES = {

@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 DIGITS, LETTERS = "0123456789", "ghijklmnop"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives as fewer splits than there are.
+
+    A table of one small file is a single split, so everything before its first
+    shuffle would run in one task. Inputs with enough splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _base(k: Column) -> Column:
