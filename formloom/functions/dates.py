@@ -24,7 +24,12 @@ _REAL_DATE = """p[0] between 1900 and {year} and p[1] between 1 and 12 and p[2]
 
 
 def dob_candidates(raw: str, as_of: date) -> Column:
-    """Sorted distinct readings of the dates written in `raw` (array<string>).
+    """Sorted distinct readings of the dates written in `raw` (array<string>)."""
+    return F.expr(dob_candidates_sql(raw, as_of))
+
+
+def dob_candidates_sql(raw: str, as_of: date) -> str:
+    """SQL text of `dob_candidates`.
 
     Every pattern yields [year, month, day] triples, which are checked once.
     `raw` is SQL text, usually a column name.
@@ -44,9 +49,9 @@ def dob_candidates(raw: str, as_of: date) -> Column:
         array({span(5, 4)}, {span(1, 2)}, {span(3, 2)})))),
       transform({tokens(DAY_MONTH_RE)}, t -> array(int(t[2]), int({month('t[1]')}), int(t[0]))),
       transform({tokens(MONTH_DAY_RE)}, t -> array(int(t[2]), int({month('t[0]')}), int(t[1]))))"""
-    return F.expr(f"""sort_array(array_distinct(transform(
+    return f"""sort_array(array_distinct(transform(
       filter({triples}, p -> {_REAL_DATE.format(year=as_of.year)}),
-      p -> format_string('%04d-%02d-%02d', p[0], p[1], p[2]))))""")
+      p -> format_string('%04d-%02d-%02d', p[0], p[1], p[2]))))"""
 
 
 def preferred_reading(value: str, candidates: str) -> Column:

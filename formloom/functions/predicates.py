@@ -16,8 +16,8 @@ from ..constants import (
     UNCHECKED_WIDGET_VALUES,
     UNMARKED_VALUES,
 )
-from .dates import dob_candidates
-from .text import contains_any, norm, strip
+from .dates import dob_candidates_sql
+from .text import contains_any, norm, sql_list, sql_strip, strip
 
 
 def filled(c: Column) -> Column:
@@ -80,27 +80,28 @@ def leaks_name(cells: Column, first: Column, last: Column) -> Column:
 NAME_PATTERN = r"^[A-Za-z][A-Za-z .'\-,]{0,38}\z"
 
 
-def is_plausible(field: str, value: Column, as_of: date, max_chars: int = 60,
-                 stopwords=NAME_STOPWORDS) -> Column:
-    """Is `value` believable for this field? `stopwords=()` skips that test."""
-    v = strip(value)
-    ok = F.length(v) > 0
+def plausible_sql(field: str, value: str, as_of: date, max_chars: int = 60, stopwords=NAME_STOPWORDS) -> str:
+    """SQL text: is `value` believable for this field? `stopwords=()` skips that test."""
+    t = sql_strip(value)
     if field == "dob":
-        return ok & (F.size(dob_candidates(v, as_of)) > 0)
+        return f"size({dob_candidates_sql(t, as_of)}) > 0"
     if field == "email":
-        return ok & v.rlike(EMAIL_PATTERN)
+        return f"{t} rlike r'{EMAIL_PATTERN}'"
     if field in ("first_name", "last_name", "pref_name"):
-        ok = ok & v.rlike(NAME_PATTERN)
+        ok = f'{t} rlike r"{NAME_PATTERN}"'
         if stopwords:
-            words = F.array(*[F.lit(w) for w in stopwords])
-            ok = ok & ~F.arrays_overlap(F.split(F.lower(v), r"[\s/]+"), words)
+            ok += rf" and not arrays_overlap(split(lower({t}), r'[\s/]+'), array{sql_list(stopwords)})"
         return ok
-    return ok & (F.length(v) <= max_chars)
+    return f"length({t}) between 1 and {max_chars}"
 
 
-def is_plausible_word_document(field: str, value: Column, as_of: date) -> Column:
+def is_plausible(field: str, value: str, as_of: date) -> Column:
+    return F.expr(plausible_sql(field, value, as_of))
+
+
+def is_plausible_word_document(field: str, value: str, as_of: date) -> Column:
     """The looser rule for word documents: no stop words, 80 characters."""
-    return is_plausible(field, value, as_of, max_chars=80, stopwords=())
+    return F.expr(plausible_sql(field, value, as_of, max_chars=80, stopwords=()))
 
 
 def is_marked(value: Column) -> Column:

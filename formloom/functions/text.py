@@ -89,22 +89,12 @@ def display_name(first: Column, last: Column) -> Column:
     return F.concat_ws(", ", F.nullif(last, F.lit("")), F.nullif(first, F.lit("")))
 
 
-def pages_label(pages: Column) -> Column:
-    """`Page 8`, `Pages 8, 10 and 11`; empty for no pages."""
-    p = F.transform(F.sort_array(F.array_distinct(pages)), lambda x: x.cast("string"))
-    n = F.size(p)
-    return (
-        F.when(n == 0, "")
-        .when(n == 1, F.concat(F.lit("Page "), F.element_at(p, 1)))
-        .otherwise(
-            F.concat(
-                F.lit("Pages "),
-                F.array_join(F.slice(p, 1, F.greatest(n - 1, F.lit(1))), ", "),
-                F.lit(" and "),
-                F.try_element_at(p, F.lit(-1)),
-            )
-        )
-    )
+def pages_label(pages: str) -> Column:
+    """`Page 8`, `Pages 8, 10 and 11`; empty for no pages. `pages` is SQL text."""
+    return F.expr(f"""case size({pages}) when 0 then '' else aggregate(
+      sort_array(array_distinct({pages})), cast(array() as array<string>), (a, x) -> array_append(a, string(x)),
+      a -> case when size(a) = 1 then concat('Page ', a[0])
+        else concat('Pages ', array_join(slice(a, 1, size(a) - 1), ', '), ' and ', a[size(a) - 1]) end) end""")
 
 
 def registry_id_in_text(text: Column) -> Column:
@@ -147,63 +137,74 @@ def cut_printed_label(text: Column, max_chars: int = 40) -> Column:
     return F.substring(strip(F.rtrim(strip(cut), F.lit(":"))), 1, max_chars)
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_WS = sql_text(WHITESPACE)
+
+
+def sql_list(items) -> str:
+    return "(" + ", ".join(sql_text(x) for x in items) + ")"
+
+
+def sql_strip(x: str) -> str:
+    return f"btrim({x}, {_WS})"
+
+
 def label_regex(label: str) -> str:
     """`label: value` / `label - value`, ignoring case; the value is group 1."""
     return "(?i)" + re.sub(r"([.^$*+?()\[\]{}|\\-])", r"\\\1", label) + r"[:\-]\s*([^\n\r]+)"
 
 
-def inline_value(text: Column, label: str) -> Column:
+def inline_value_sql(text: str, label: str) -> str:
     """First inline value of a label, cut at two or more spaces."""
-    raw = strip(F.regexp_extract(text, label_regex(label), 1))
-    return blank_to_null(F.element_at(F.split(raw, r"\s{2,}", 2), 1))
+    raw = sql_strip(f"regexp_extract({text}, r'{label_regex(label)}', 1)")
+    cut = rf"split({raw}, r'\s{{2,}}', 2)[0]"
+    return f"nullif({sql_strip(cut)}, '')"
+
 
+def inline_value(text: str, label: str) -> Column:
+    return F.expr(inline_value_sql(text, label))
 
-def text_lines(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), lambda x: strip(x))
 
+# Every line boundary, not line feeds alone.
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
-def _label_base(line: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(line), r"\([^\n]*?\)|:", ""))
 
+def text_lines(text: str) -> Column:
+    """Trimmed lines of a text column, in order."""
+    return F.expr(f"transform(split(coalesce({text}, ''), r'{LINE_BREAK}'), x -> {sql_strip('x')})")
 
-def label_lines(lines: Column, all_labels) -> Column:
+
+def label_lines(lines: str, all_labels) -> Column:
     """Label lines with the first non-blank of the two lines that follow.
 
-    One pass over the zipped, shifted line arrays; lines that are not a label,
-    and labels followed by two blank lines, are dropped.
+    One pass over the zipped, shifted line arrays. A line counts as a label when
+    it equals one apart from bracketed remarks and colons. A label followed by
+    two blank lines is dropped; a value that is a label itself, or longer than
+    60 characters, becomes null and still decides. `lines` is a column name.
     """
-    labels = F.array(*[F.lit(x) for x in sorted(all_labels)])
-    n = F.size(lines)
-    rows = F.arrays_zip(
-        lines.alias("l0"),
-        F.slice(lines, F.lit(2), n).alias("l1"),
-        F.slice(lines, F.lit(3), n).alias("l2"),
-    )
-    rows = F.transform(
-        rows,
-        lambda r: F.struct(
-            _label_base(r["l0"]).alias("base"),
-            F.coalesce(F.nullif(r["l1"], F.lit("")), F.nullif(r["l2"], F.lit(""))).alias("next"),
-        ),
-    )
-    rows = F.filter(rows, lambda r: r["next"].isNotNull() & F.array_contains(labels, r["base"]))
-    return F.transform(
-        rows,
-        lambda r: F.struct(
-            r["base"].alias("base"),
-            F.when(
-                ~F.array_contains(labels, _label_base(r["next"])) & (F.length(r["next"]) <= 60),
-                r["next"],
-            ).alias("value"),
-        ),
-    )
+    labels = "array(" + ", ".join(sql_text(x) for x in sorted(all_labels)) + ")"
+    base = lambda x: sql_strip(rf"regexp_replace(lower({x}), r'\([^\n]*?\)|:', '')")
+    return F.expr(f"""transform(
+      filter(
+        transform(
+          arrays_zip({lines}, slice({lines}, 2, size({lines})), slice({lines}, 3, size({lines}))),
+          r -> struct({base('r.' + lines)} as base, coalesce(nullif(r.`1`, ''), nullif(r.`2`, '')) as following)),
+        r -> r.following is not null and array_contains({labels}, r.base)),
+      r -> struct(r.base as base,
+        if(array_contains({labels}, {base('r.following')}) or length(r.following) > 60, null, r.following) as value))""")
+
+
+def next_line_value_sql(found_label_lines: str, label: str) -> str:
+    """The first decisive occurrence of a label gives the value, or null."""
+    return f"get(filter({found_label_lines}, r -> r.base = {sql_text(label)}), 0).value"
 
 
-def next_line_value(found_label_lines: Column, label: str) -> Column:
-    """The first decisive occurrence of a label gives the value, or null."""
-    return F.try_element_at(
-        F.filter(found_label_lines, lambda r: r["base"] == label), F.lit(1)
-    )["value"]
+def next_line_value(found_label_lines: str, label: str) -> Column:
+    return F.expr(next_line_value_sql(found_label_lines, label))
 
 
 def signature_line_value(line: Column) -> Column:
@@ -220,18 +221,13 @@ def is_typed_signature(value: Column) -> Column:
     return (letters >= 2) & (F.length(value) <= 40)
 
 
-def bullet_list(items: Column) -> Column:
-    return F.array_join(F.transform(items, lambda q: F.concat(F.lit("  - "), q)), "\n")
-
-
-def followup_message(first_name: Column, pages: Column, questions: Column,
+def followup_message(first_name: Column, pages: Column, questions: str,
                      template: str = "Hello {name}, some answers are missing{pages}.{questions}") -> Column:
     """Follow-up body; `{name}`, `{pages}`, `{questions}` are filled in."""
     name = F.coalesce(blank_to_null(first_name), F.lit("there"))
     page_part = F.when(pages == "", "").otherwise(F.concat(F.lit(" ("), pages, F.lit(")")))
-    q_part = F.when(F.size(questions) == 0, "").otherwise(
-        F.concat(F.lit("\nStill open:\n"), bullet_list(questions))
-    )
+    q_part = F.expr(f"""if(coalesce(size({questions}), 0) <= 0, '',
+      concat('\\nStill open:\\n', array_join(transform({questions}, q -> concat('  - ', q)), '\\n')))""")
     out = F.lit(template)
     for key, val in (("{pages}", page_part), ("{questions}", q_part), ("{name}", name)):
         out = F.replace(out, F.lit(key), val)
