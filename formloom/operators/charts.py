@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import PRONOUN_SYNONYMS
 from ..functions.dates import assemble_dob, with_readings
 from ..functions.text import display_name, full_name, keyword_label, norm, sql_strip, sql_text
+from .skew import resharded_join
 
 # Fields an operator may approve, with their printed labels.
 FIELD_LABELS = {
@@ -154,5 +155,5 @@ def apply_corrections(forms: DataFrame, corrections: DataFrame,
 def confirm_documents(batch: DataFrame, index: DataFrame, key: str = "document_id") -> DataFrame:
     """Which written documents the read-back index holds."""
     known = index.select(key).distinct().withColumn("_in_index", F.lit(True))
-    return batch.join(known, key, "left").withColumn(
+    return resharded_join(batch, known, [key], "left").withColumn(
         "confirmed", F.coalesce("_in_index", F.lit(False))).drop("_in_index")
