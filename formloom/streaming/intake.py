@@ -32,7 +32,7 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, pattern: st
 def written(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
     """Rows written by batches before `before`; empty if there are none yet."""
     try:
-        rows = spark.read.schema(StructType(schema.fields).add("batch", "long")).parquet(path)
+        rows = spark.read.schema(StructType([*schema.fields]).add("batch", "long")).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
