@@ -58,7 +58,7 @@ def next_line_label(spark: SparkSession, d: str) -> DataFrame:
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    first, email = T.person_first(k), T.person_email(k)
+    first, email = T.person_first("doc_id"), T.person_email("doc_id")
     nv = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
     kv = lambda n, v: F.struct(F.lit(n).alias("key"), v.alias("value"))
     no_fields = F.array(nv("none", F.lit("")))

@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIGITS, LETTERS = "0123456789", "ghijklmnop"
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input that arrives as fewer splits than there are.
 
@@ -27,159 +24,140 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _base(k: Column) -> Column:
-    """Every 50th person shares name and birth date with the one before."""
-    return k - F.when(k % 50 == 1, 1).otherwise(0)
+def _name(prefix: str, k: str, n: int) -> str:
+    """A six-letter name; every 50th person is a namesake of the one before."""
+    base = f"({k} - if({k} % 50 = 1, 1, 0))"
+    return f"translate(substr(md5(cast(concat('{prefix}', {base} % {n}) as binary)), 1, 6), '0123456789', 'ghijklmnop')"
+
+
+def _last(k: str) -> str:
+    return _name("L", k, 400)
 
 
-def _name(prefix: str, n: Column) -> Column:
-    h = F.substring(F.md5(F.concat(F.lit(prefix), n.cast("string")).cast("binary")), 1, 6)
-    return F.translate(h, DIGITS, LETTERS)
+def _first(k: str) -> str:
+    return _name("F", k, 97)
 
 
-def person_last(k: Column) -> Column:
-    return _name("L", _base(k) % 400)
+def _dob(k: str, plus: int = 0) -> str:
+    base = f"({k} - if({k} % 50 = 1, 1, 0))"
+    return f"date_add(date'1950-01-01', cast(({base} * 7919) % 20000 + {plus} as int))"
 
 
-def person_first(k: Column) -> Column:
-    return _name("F", _base(k) % 97)
+def _email(k: str) -> str:
+    return f"concat('u', {k}, '@example.com')"
 
 
-def person_dob(k: Column, plus: int = 0) -> Column:
-    return F.date_add(F.lit("1950-01-01").cast("date"), ((_base(k) * 7919) % 20000 + plus).cast("int"))
+def person_last(k: str) -> Column:
+    return F.expr(_last(k))
 
 
-def person_email(k: Column) -> Column:
-    return F.concat(F.lit("u"), k.cast("string"), F.lit("@example.com"))
+def person_first(k: str) -> Column:
+    return F.expr(_first(k))
 
 
-REGION_CODES = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT")
+def person_email(k: str) -> Column:
+    return F.expr(_email(k))
+
+
+_CODE = """element_at(array('AB', 'BC', 'MB', 'NB', 'NL', 'NS', 'NT', 'NU', 'ON', 'PE', 'QC', 'SK', 'YT'),
+  c_nationkey % 13 + 1)"""
 
 
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    code = F.element_at(F.array(*[F.lit(c) for c in REGION_CODES]), F.col("c_nationkey") % 13 + 1)
-    dotted = F.concat(F.substring(code, 1, 1), F.lit("."), F.substring(code, 2, 1), F.lit("."))
-    v = k % 4
-    return read(spark, sf_dir, "customer").select(
-        k.cast("string").alias("demographic_no"),
-        person_last(k).alias("last_name"),
-        person_first(k).alias("first_name"),
-        F.when(k % 3 == 0, person_first(k)).when(k % 3 == 1, F.lit("Sunny")).alias("pref_name"),
-        person_dob(k).cast("string").alias("dob"),
-        F.when(k % 11 == 0, "").otherwise(person_email(k)).alias("email"),
-        F.when(k % 2 == 0, "F").otherwise("M").alias("sex"),
-        F.concat(k.cast("string"), F.lit(" Main St")).alias("address"),
-        F.when(v == 0, code).when(v == 1, dotted).when(v == 2, F.concat(F.lit(" "), F.lower(code)))
-        .otherwise("Elsewhere").alias("province"),
-        F.when(k % 3 == 0, "he/him").when(k % 3 == 1, "she/her").otherwise("They/Them").alias("pronoun"),
-        F.concat(F.lit("segment "), F.col("c_mktsegment")).alias("booking_alert"),
-        F.when(F.col("c_acctbal") >= 0, "active").otherwise("inactive").alias("status"),
+    k = "c_custkey"
+    return read(spark, sf_dir, "customer").selectExpr(
+        f"string({k}) as demographic_no",
+        f"{_last(k)} as last_name",
+        f"{_first(k)} as first_name",
+        f"case {k} % 3 when 0 then {_first(k)} when 1 then 'Sunny' end as pref_name",
+        f"string({_dob(k)}) as dob",
+        f"if({k} % 11 = 0, '', {_email(k)}) as email",
+        f"if({k} % 2 = 0, 'F', 'M') as sex",
+        f"concat({k}, ' Main St') as address",
+        f"""case {k} % 4 when 0 then {_CODE}
+              when 1 then concat(substr({_CODE}, 1, 1), '.', substr({_CODE}, 2, 1), '.')
+              when 2 then concat(' ', lower({_CODE})) else 'Elsewhere' end as province""",
+        f"case {k} % 3 when 0 then 'he/him' when 1 then 'she/her' else 'They/Them' end as pronoun",
+        "concat('segment ', c_mktsegment) as booking_alert",
+        "if(c_acctbal >= 0, 'active', 'inactive') as status",
     )
 
 
 def chart_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry page fields as ordered (name, value) pairs plus date parts."""
-    k = F.col("c_custkey")
-    d = person_dob(k)
-    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    seg = F.col("c_mktsegment")
-    blank = F.lit("")
-    return read(spark, sf_dir, "customer").select(
-        k.cast("string").alias("demographic_no"),
-        person_last(k).alias("last_name"),
-        F.when(k % 9 == 0, "").otherwise(person_first(k)).alias("first_name"),
-        F.when(k % 5 == 0, "").otherwise(F.year(d).cast("string")).alias("year_of_birth"),
-        F.month(d).cast("string").alias("month_of_birth"),
-        F.dayofmonth(d).cast("string").alias("date_of_birth"),
-        F.when(k % 10 == 0, "").otherwise(d.cast("string")).alias("full_birth_date"),
-        F.array(
-            pair("note", F.lit("n")),
-            pair("alert", F.when(k % 4 == 0, seg).otherwise(blank)),
-            pair("patientAlert", F.when(k % 4 == 1, seg).otherwise(blank)),
-            pair("extraAlert1", F.when(k % 4 == 2, F.concat(F.lit("x "), seg)).otherwise(blank)),
-            pair("preferredPronoun", F.when(k % 3 == 0, F.lit("he/him")).otherwise(blank)),
-            pair("userPronoun", F.when(k % 3 == 1, F.lit("she/her")).otherwise(blank)),
-        ).alias("fields"),
-        F.when(F.col("c_acctbal") >= 0, "active").otherwise("inactive").alias("status"),
+    k, d, seg = "c_custkey", _dob("c_custkey"), "c_mktsegment"
+    pair = lambda n, v: f"struct('{n}' as name, {v} as value)"
+    return read(spark, sf_dir, "customer").selectExpr(
+        f"string({k}) as demographic_no",
+        f"{_last(k)} as last_name",
+        f"if({k} % 9 = 0, '', {_first(k)}) as first_name",
+        f"if({k} % 5 = 0, '', string(year({d}))) as year_of_birth",
+        f"string(month({d})) as month_of_birth",
+        f"string(day({d})) as date_of_birth",
+        f"if({k} % 10 = 0, '', string({d})) as full_birth_date",
+        f"""array({pair('note', "'n'")}, {pair('alert', f"if({k} % 4 = 0, {seg}, '')")},
+              {pair('patientAlert', f"if({k} % 4 = 1, {seg}, '')")},
+              {pair('extraAlert1', f"if({k} % 4 = 2, concat('x ', {seg}), '')")},
+              {pair('preferredPronoun', f"if({k} % 3 = 0, 'he/him', '')")},
+              {pair('userPronoun', f"if({k} % 3 = 1, 'she/her', '')")}) as fields""",
+        "if(c_acctbal >= 0, 'active', 'inactive') as status",
     )
 
 
-def _written_date(d: Column, style: Column) -> Column:
-    return (
-        F.when(style == 0, F.date_format(d, "yyyy-MM-dd"))
-        .when(style == 1, F.date_format(d, "dd/MM/yyyy"))
-        .when(style == 2, F.date_format(d, "MM/dd/yyyy"))
-        .otherwise(F.date_format(d, "yyyyMMdd"))
-    )
+def _written_date(d: str) -> str:
+    return f"""case floor(o_orderkey / 10) % 4 when 0 then date_format({d}, 'yyyy-MM-dd')
+      when 1 then date_format({d}, 'dd/MM/yyyy') when 2 then date_format({d}, 'MM/dd/yyyy')
+      else date_format({d}, 'yyyyMMdd') end"""
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k = F.col("o_orderkey"), F.col("o_custkey")
-    v, style = o % 10, F.floor(o / 10) % 4
-    last, first = person_last(k), person_first(k)
-    email = person_email(k)
-    return read(spark, sf_dir, "orders").select(
-        o.alias("form_id"),
-        F.when(v.isin(6, 8, 9), F.lit(None)).otherwise(first).alias("first_name"),
-        F.when(v.isin(8, 9), F.lit(None))
-        .when(v == 4, F.concat(F.substring(last, 1, 3), F.lit("zz")))
-        .when(o % 13 == 0, F.concat(F.upper(last), F.lit(" ")))
-        .otherwise(last).alias("last_name"),
-        F.when(o % 7 == 0, F.upper(first)).when(o % 7 == 1, F.lit("Zed")).alias("pref_name"),
-        F.when(v == 8, email).when(v == 9, F.lit(None)).when(v == 7, F.when(o % 20 == 7, email))
-        .when(o % 3 == 0, email).alias("email"),
-        F.when(v.isin(5, 8, 9), F.lit(None))
-        .when(v == 7, _written_date(person_dob(k, 1), style))
-        .otherwise(_written_date(person_dob(k), style)).alias("dob_raw"),
-        F.when(o % 5 == 0, "He/His").when(o % 5 == 1, "She/Hers").when(o % 5 == 2, "They/Them")
-        .when(o % 5 == 3, " she/her ").alias("pronoun"),
-        F.when(o % 6 == 0, F.concat(o.cast("string"), F.lit(" Elm Ave")))
-        .when(o % 6 == 1, "12 Office Park Way, Suite 3").alias("address"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("used_ocr"),
-        F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
-        .alias("signature_present"),
-        F.concat(F.lit("form_"), (o % 1000).cast("string"),
-                 F.when(o % 4 == 0, ".DOCX").otherwise(".pdf")).alias("source_filename"),
-        F.col("o_orderdate").cast("timestamp").alias("received_at"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("received_day"),
+    """Forms copied from charts and spoilt by `o_orderkey % 10`."""
+    o, k = "o_orderkey", "o_custkey"
+    return read(spark, sf_dir, "orders").selectExpr(
+        f"{o} as form_id",
+        f"if({o} % 10 in (6, 8, 9), null, {_first(k)}) as first_name",
+        f"""case when {o} % 10 in (8, 9) then null when {o} % 10 = 4 then concat(substr({_last(k)}, 1, 3), 'zz')
+              when {o} % 13 = 0 then concat(upper({_last(k)}), ' ') else {_last(k)} end as last_name""",
+        f"case {o} % 7 when 0 then upper({_first(k)}) when 1 then 'Zed' end as pref_name",
+        f"""case when {o} % 10 = 8 then {_email(k)} when {o} % 10 = 9 then null
+              when {o} % 10 = 7 then if({o} % 20 = 7, {_email(k)}, null)
+              when {o} % 3 = 0 then {_email(k)} end as email""",
+        f"""case when {o} % 10 in (5, 8, 9) then null when {o} % 10 = 7 then {_written_date(_dob(k, 1))}
+              else {_written_date(_dob(k))} end as dob_raw""",
+        f"""case {o} % 5 when 0 then 'He/His' when 1 then 'She/Hers' when 2 then 'They/Them'
+              when 3 then ' she/her ' end as pronoun""",
+        f"""case {o} % 6 when 0 then concat({o}, ' Elm Ave') when 1 then '12 Office Park Way, Suite 3' end as address""",
+        "o_orderpriority = '1-URGENT' as used_ocr",
+        "case o_orderstatus when 'F' then true when 'O' then false end as signature_present",
+        f"concat('form_', {o} % 1000, if({o} % 4 = 0, '.DOCX', '.pdf')) as source_filename",
+        "timestamp(o_orderdate) as received_at",
+        "date_format(o_orderdate, 'yyyy-MM-dd') as received_day",
     )
 
 
-STATUS_OF_EVENT = {
-    "click": "completed",
-    "view": "completed_no_signature",
-    "signup": "incomplete_informed",
-    "purchase": "not_found",
-    "error": "error",
-}
-
-
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u = F.col("event_id"), F.col("user_id")
-    status = F.create_map(*[F.lit(x) for kv in STATUS_OF_EVENT.items() for x in kv])
-    person = F.when(e % 17 == 0, F.lit(None)).when(e % 17 == 1, "").otherwise(u.cast("string"))
-    return read(spark, sf_dir, "events").select(
-        (e + 1).alias("id"),
-        F.concat(F.lit("form_"), (e % 500).cast("string"), F.lit(".pdf")).alias("source_filename"),
-        F.md5(F.col("props").cast("binary")).alias("file_hash"),
-        F.try_element_at(status, F.col("event_type")).alias("status"),
-        (e % 5 == 0).alias("used_ocr"),
-        person_first(u).alias("first_name"),
-        person_last(u).alias("last_name"),
-        F.when(e % 4 == 0, F.concat(person_first(u), F.lit("@example.com")))
-        .otherwise(person_email(u)).alias("email"),
-        person_dob(u).cast("string").alias("dob"),
-        person.alias("demographic_no"),
-        F.when(e % 3 == 0, True).when(e % 3 == 1, False).alias("signature_present"),
-        F.when(F.col("value") < 50, F.lit(None)).when(F.col("value") < 60, "")
-        .otherwise(F.concat(u.cast("string"), F.lit(":Form"))).alias("document_id"),
-        F.when(e % 3 != 0, e).alias("sheet_row"),
-        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("created_at"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_type"),
-        F.col("value"),
-        F.col("props"),
+    e, u = "event_id", "user_id"
+    return read(spark, sf_dir, "events").selectExpr(
+        f"{e} + 1 as id",
+        f"concat('form_', {e} % 500, '.pdf') as source_filename",
+        "md5(cast(props as binary)) as file_hash",
+        """case event_type when 'click' then 'completed' when 'view' then 'completed_no_signature'
+             when 'signup' then 'incomplete_informed' when 'purchase' then 'not_found'
+             when 'error' then 'error' end as status""",
+        f"{e} % 5 = 0 as used_ocr",
+        f"{_first(u)} as first_name",
+        f"{_last(u)} as last_name",
+        f"if({e} % 4 = 0, concat({_first(u)}, '@example.com'), {_email(u)}) as email",
+        f"string({_dob(u)}) as dob",
+        f"case {e} % 17 when 0 then null when 1 then '' else string({u}) end as demographic_no",
+        f"case {e} % 3 when 0 then true when 1 then false end as signature_present",
+        f"case when value < 50 then null when value < 60 then '' else concat({u}, ':Form') end as document_id",
+        f"if({e} % 3 <> 0, {e}, null) as sheet_row",
+        "date_trunc('second', timestamp(ts)) as created_at",
+        "timestamp(ts) as ts",
+        "event_type",
+        "value",
+        "props",
     )
 
 
@@ -228,21 +206,17 @@ def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document text under a header block in one of four layouts."""
-    k, v = F.col("doc_id"), F.col("doc_id") % 4
-    f, l, d, e = person_first(k), person_last(k), person_dob(k).cast("string"), person_email(k)
-    inline = F.concat(F.lit("First name: "), f, F.lit("\nLast name:"), l, F.lit("   x\nDate of birth: "), d,
-                      F.lit("\nEmail- "), e, F.lit("\n"))
-    nextline = F.concat(F.lit("First name\n"), f, F.lit("\nLast name (legal):\n \n"), l,
-                        F.lit("\nDate of birth\n"), d, F.lit("\nEmail\n"), e, F.lit("\n"))
-    stacked = F.lit("First name\nLast name\nDate of birth\nEmail\n")
-    kind = (
-        F.when(k % 5 == 0, "General Intake Form\n").when(k % 5 == 1, "The extended questionnaire\n")
-        .otherwise("")
-    )
-    head = F.when(v == 0, inline).when(v == 1, nextline).when(v == 2, stacked).otherwise("")
-    return read(spark, sf_dir, "documents").select(
-        k.alias("doc_id"),
-        "source",
-        F.col("text").alias("body"),
-        F.concat(kind, head, F.col("text")).alias("text"),
+    k = "doc_id"
+    f, l, d, e = _first(k), _last(k), _dob(k), _email(k)
+    return read(spark, sf_dir, "documents").selectExpr(
+        k, "source", "text as body",
+        f"""concat(
+          case {k} % 5 when 0 then 'General Intake Form\\n' when 1 then 'The extended questionnaire\\n' else '' end,
+          case {k} % 4
+            when 0 then concat('First name: ', {f}, '\\nLast name:', {l}, '   x\\nDate of birth: ', {d},
+                               '\\nEmail- ', {e}, '\\n')
+            when 1 then concat('First name\\n', {f}, '\\nLast name (legal):\\n \\n', {l}, '\\nDate of birth\\n', {d},
+                               '\\nEmail\\n', {e}, '\\n')
+            when 2 then 'First name\\nLast name\\nDate of birth\\nEmail\\n' else '' end,
+          text) as text""",
     )
