@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column
@@ -64,17 +65,16 @@ def drop_own_address(address: Column, markers) -> Column:
     return F.when(~is_own_address(address, markers), address)
 
 
-def leaks_name(cells: Column, first: Column, last: Column) -> Column:
+def leaks_name(cells: Sequence[Column], first: Column, last: Column) -> Column:
     """True when a first or last name is a substring of any outgoing cell.
 
     A plain substring test, so a name inside an e-mail or a short name inside a
     status word counts as a leak too.
     """
-    names = F.array_remove(F.array_distinct(F.array(norm(first), norm(last))), "")
-    return F.exists(
-        cells,
-        lambda c: F.exists(names, lambda n: F.contains(F.lower(F.coalesce(c, F.lit(""))), n)),
-    )
+    joined = F.lower(F.concat_ws("\x01", *cells))
+    return F.coalesce(
+        ((norm(first) != "") & F.contains(joined, norm(first)))
+        | ((norm(last) != "") & F.contains(joined, norm(last))), F.lit(False))
 
 
 NAME_PATTERN = r"^[A-Za-z][A-Za-z .'\-,]{0,38}\z"

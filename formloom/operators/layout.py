@@ -79,7 +79,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     ).drop("grp")
 
 
-def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60) -> DataFrame:
+def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60, band: float = 16.0) -> DataFrame:
     """Each label line with the nearest line to its right on the same row.
 
     `lines`: doc_id, page_no, ord, x0, y0, x1, y1, text. Two lines overlap
@@ -88,9 +88,12 @@ def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60) ->
     right to left. Work grows with the lines, not with their pairs.
     """
     lines = lines.where("text <> ''")
-    edges = lines.groupBy(*PAGE).agg(F.expr("sort_array(collect_set(y0))").alias("edges"))
-    placed = lines.join(edges, PAGE).selectExpr(
-        *PAGE, "ord", "x0", "x1", "text", "explode(filter(edges, e -> e >= y0 and e < y1)) as edge")
+    in_band = lambda c: f"cast(floor({c} / {band}D) as int)"
+    edges = lines.select(*PAGE, F.col("y0").alias("edge")).distinct().selectExpr(
+        "*", f"{in_band('edge')} as band")
+    banded = lines.selectExpr(*PAGE, "ord", "x0", "x1", "y0", "y1", "text",
+                              f"explode(sequence({in_band('y0')}, greatest({in_band('y0')}, {in_band('y1')}))) as band")
+    placed = banded.join(edges, [*PAGE, "band"]).where("edge >= y0 and edge < y1")
     events = placed.selectExpr(
         *PAGE, "edge",
         f"""inline(array(

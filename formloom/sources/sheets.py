@@ -135,7 +135,7 @@ def safe_log(records: DataFrame, now: datetime, keep: Sequence[str] = ()) -> Dat
         for h, k in LOG_COLUMNS
     ]
     rows = records.select(*keep, F.col("first_name").alias("_f"), F.col("last_name").alias("_l"), *cells)
-    flag = leaks_name(F.array(*[F.col(f"`{h}`") for h, _ in LOG_COLUMNS]), F.col("_f"), F.col("_l"))
+    flag = leaks_name([F.col(f"`{h}`") for h, _ in LOG_COLUMNS], F.col("_f"), F.col("_l"))
     return rows.withColumn("leaks", flag).drop("_f", "_l")
 
 
