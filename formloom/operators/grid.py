@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import OPTIONAL_SECTIONS, RESPONSE_MIN_INK, RESPONSE_REL_MARGIN, SECTION_HEADERS
 from ..functions.text import pages_label, sql_list
+from .skew import resharded_join
 
 PAGE = ["doc_id", "page_no"]
 
@@ -36,7 +37,7 @@ def answered_rows(cells: DataFrame, min_ink: float = RESPONSE_MIN_INK,
     """
     rows = cells.groupBy(*PAGE, "row_no").agg(
         F.max("ink").alias("top_ink"), F.sum("dark").alias("dark"), F.sum("total").alias("total"))
-    j = rows.join(baseline_ink(cells), PAGE).withColumn("factor", F.expr(PAGE_FACTOR))
+    j = resharded_join(rows, baseline_ink(cells), PAGE).withColumn("factor", F.expr(PAGE_FACTOR))
     return j.selectExpr(
         *PAGE, "row_no", "top_ink", "baseline", "dark / total as strip",
         f"""(top_ink >= {min_ink}D * factor and round(top_ink - baseline, 9) >= {margin}D * factor)
@@ -98,12 +99,12 @@ def exempt_rows(rows: DataFrame, headings: DataFrame, sections=SECTION_HEADERS,
     spans = known.groupBy(*PAGE).agg(F.expr("sort_array(collect_set(struct(y, text)))").alias("hs")).selectExpr(
         *PAGE, f"""transform(filter(hs, s -> s.text in {sql_list(optional)}),
           s -> struct(s.y as y, coalesce({ends}, double('infinity')) as end)) as spans""").where("size(spans) > 0")
-    inside = rows.join(spans, PAGE).selectExpr(
+    inside = resharded_join(rows, spans, PAGE).selectExpr(
         *PAGE, "row_no", "answered",
         "explode(transform(filter(spans, s -> s.y - 2 <= y0 and y0 < s.end), s -> s.y)) as section")
     used = inside.groupBy(*PAGE, "section").agg(F.bool_or("answered").alias("used"))
-    return inside.join(used.where("not used"), [*PAGE, "section"], "left_semi").select(
-        *PAGE, "row_no").distinct()
+    blank = resharded_join(inside, used.where("not used"), [*PAGE, "section"], "left_semi")
+    return blank.select(*PAGE, "row_no").distinct()
 
 
 def flag_unanswered(rows: DataFrame, headings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import PAGE
+from .skew import resharded_join
 
 GLYPHS = r"^[xX✓√✔✗✘●•*]+\z"
 
@@ -72,7 +73,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
         "_bottom", F.max("y1").over(o.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("_new", F.expr("cast(_bottom is null or y0 - _bottom > 0.5D * coalesce(h, 12D) as int)"))
     s = s.withColumn("grp", F.sum("_new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    tagged = lines.join(s.select(*PAGE, "y0", "y1", "grp"), [*PAGE, "y0", "y1"])
+    tagged = resharded_join(lines, s.select(*PAGE, "y0", "y1", "grp"), [*PAGE, "y0", "y1"])
     return tagged.groupBy(*PAGE, "grp").agg(
         F.min("y0").alias("y0"), F.max("y1").alias("y1"),
         F.expr("array_join(transform(sort_array(collect_list(struct(y0, y1, text))), t -> t.text), ' ')").alias("text"),
@@ -163,13 +164,13 @@ def yes_by_ink(yes_ink: Column, no_ink: Column, min_ink: float = 0.10, lead: flo
 def section_bounds(headings: DataFrame, markers: DataFrame, page_height: float = 792.0) -> DataFrame:
     """From the bottom of a heading to the first stop marker below it."""
     top = headings.groupBy(*PAGE).agg(F.min_by("y1", "y0").alias("top"))
-    stop = markers.join(top, PAGE).where("y0 > top + 1").groupBy(*PAGE).agg(F.min("y0").alias("stop"))
+    stop = resharded_join(markers, top, PAGE).where("y0 > top + 1").groupBy(*PAGE).agg(F.min("y0").alias("stop"))
     return top.join(stop, PAGE, "left").selectExpr(*PAGE, "top", f"least(coalesce(stop, {page_height}D), {page_height}D) as bottom")
 
 
 def boxes_in_section(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     """Marked option boxes inside the section, never those below it."""
-    return boxes.join(bounds, PAGE).where(
+    return resharded_join(boxes, bounds, PAGE).where(
         "top <= y0 and y0 < bottom and x0 < 100 and x1 - x0 > 6 and x1 - x0 < 35").drop("top", "bottom")
 
 
@@ -177,7 +178,7 @@ def signature_region(labels: DataFrame, dates: DataFrame, page_width: float = 61
     """Band beside the last signature label, capped by a date on the same line."""
     last = labels.groupBy(*PAGE).agg(F.max_by(F.struct("x1", "y0", "y1"), F.struct("y0", "x0", "x1")).alias("r"))
     l = last.selectExpr(*PAGE, "r.x1 as lx1", "r.y0 as ly0", "r.y1 as ly1")
-    cap = dates.join(l, PAGE).where("abs(y0 - ly0) < 6 and x0 > lx1").groupBy(*PAGE).agg(
+    cap = resharded_join(dates, l, PAGE).where("abs(y0 - ly0) < 6 and x0 > lx1").groupBy(*PAGE).agg(
         (F.min("x0") - 2).alias("cap"))
     return l.join(cap, PAGE, "left").selectExpr(
         *PAGE, "lx1 + 2 as x0", "ly0 - 10 as y0",

@@ -22,7 +22,7 @@ def resharded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def numbered(df: DataFrame, order: str, out: str, partition: list[str] | None = None,
-             width: int = 100_000) -> DataFrame:
+             width: int = 1_000_000) -> DataFrame:
     """row_number() by an integer column, without one task per hot key.
 
     Rows are ranked inside (partition, order div width) ranges; the ranges'

@@ -17,7 +17,7 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle would run in one task. Inputs with enough splits stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
+    return df.repartition(min(cores, 64)) if df.rdd.getNumPartitions() < min(cores, 8) else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
