@@ -37,11 +37,12 @@ REJECTED = f"""case when size(readings) = 0 then 'name prefix did not match'
 NAME_MATCHES = f"({_LAST3} and {_FIRST3})"
 
 
-def search_index(charts: DataFrame, as_of: date, page: int = SEARCH_PAGE,
+def search_index(charts: DataFrame, as_of: date, page: int = SEARCH_PAGE, examined: int = EXAMINED_CANDIDATES,
                  modes: tuple[str, ...] = ("name", "prefix", "dob", "email")) -> DataFrame:
     """(mode, keyword, hits): the first `page` active charts of each keyword.
 
-    Order inside a page is ascending registry number.
+    Order inside a page is ascending registry number. Only date searches list
+    their whole page; the others look at no more than the examined charts.
     """
     c = (
         charts.where("status = 'active'")
@@ -69,7 +70,8 @@ def search_index(charts: DataFrame, as_of: date, page: int = SEARCH_PAGE,
     words = c.selectExpr("demographic_no", "dob", "l", "f", "d", "seq",
                          f"inline(array_compact(array({wanted})))")
     w = Window.partitionBy("mode", "keyword").orderBy(F.col("seq").asc_nulls_last(), "demographic_no")
-    first_page = words.withColumn("pos", F.row_number().over(w)).where(f"pos <= {page}")
+    first_page = words.withColumn("pos", F.row_number().over(w)).where(
+        f"pos <= {page} and (mode = 'dob' or pos <= {examined})")
     return first_page.groupBy("mode", "keyword").agg(
         F.expr("sort_array(collect_list(struct(pos, demographic_no, dob, l, f, d)))").alias("hits"))
 

@@ -16,6 +16,7 @@ from ..functions.predicates import has_minimum_identifiers, is_uploaded
 from ..operators import ledger as L
 from ..operators.matching import match_forms
 from ..operators.skew import newest_per_key, resharded_join
+from ..sources.workdir import staged
 
 UPLOAD, UPLOAD_INCOMPLETE = "Intake form", "Intake form (incomplete)"
 MATCH_COLUMNS = ("form_id", "first_name", "last_name", "email", "dob_raw")
@@ -39,7 +40,9 @@ def process_forms(forms: DataFrame, charts: DataFrame, ledger: DataFrame, as_of:
     forms = with_readings(forms, "dob_raw", as_of, "_c", "dob").drop("_c")
     guarded = L.existing_uploads(forms, ledger).withColumn("action", L.resubmit_action())
     fresh = guarded.where("action = 'process' and stage_error is null").select(*MATCH_COLUMNS)
-    matches = match_forms(fresh, charts, as_of, decisions).select("form_id", "demographic_no", "matched_by")
+    # matches are read by two branches below: written once, narrow
+    matches = staged(match_forms(fresh, charts, as_of, decisions).select("form_id", "demographic_no", "matched_by"),
+                     "matches")
     j = guarded.join(matches, "form_id", "left").withColumn(
         "usable", has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob")))
     j = j.withColumn("incomplete", F.expr("checked and size(questions) > 0 and not approved"))
@@ -53,9 +56,10 @@ def process_forms(forms: DataFrame, charts: DataFrame, ledger: DataFrame, as_of:
     matched = j.where("demographic_no is not null")
     first = matched.groupBy("demographic_no").agg(
         F.expr("min_by(struct(form_id, own_status, description), form_id)").alias("first"))
-    people = first.join(prior, "demographic_no", "left")
-    done = resharded_join(matched, people, ["demographic_no"]).unionByName(
-        j.where("demographic_no is null"), allowMissingColumns=True)
+    people = first.join(prior, "demographic_no", "left").withColumnRenamed("demographic_no", "person_key")
+    # unmatched forms get a key of their own, so no null key gathers them all
+    keyed = j.withColumn("person_key", F.expr("coalesce(demographic_no, concat('#', form_id))"))
+    done = resharded_join(keyed, people, ["person_key"], "left").drop("person_key")
 
     done = done.withColumn("outcome", F.expr("""case
         when stage_error is not null then 'error'

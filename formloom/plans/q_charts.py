@@ -12,6 +12,7 @@ from ..functions.dates import split_dob, with_readings
 from ..operators import charts as C
 from ..operators import matching as M
 from ..sources import tables as T
+from ..sources.workdir import staged
 
 AS_OF = date(2024, 6, 30)
 
@@ -36,7 +37,7 @@ def approvals(found: DataFrame) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    found = discrepancies(spark, d)
+    found = staged(discrepancies(spark, d), "discrepancies")
     return C.approved_changes(found, approvals(found))
 
 
@@ -47,7 +48,7 @@ def apply_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def verify_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every seventh chart is read back as it was: the write did not stick."""
-    changes, before = _changes(spark, d), T.charts(spark, d)
+    changes, before = staged(_changes(spark, d), "changes"), T.charts(spark, d)
     saved = C.apply_changes(before, changes.where("cast(demographic_no as bigint) % 7 <> 0"))
     return C.verify_changes(changes, saved, AS_OF)
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
+from ..sources.workdir import work_dir
 from ..streaming import decisions as D
 from ..streaming import intake as S
-from ..streaming.workdir import work_dir
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

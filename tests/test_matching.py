@@ -94,7 +94,9 @@ def test_hot_keyword_keeps_one_page_per_task(spark):
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     hot = index.where("mode = 'name' and keyword = 'hot,key'").first()
-    assert [h.demographic_no for h in hot.hits] == [str(3 * i) for i in range(25)]
+    assert [h.demographic_no for h in hot.hits] == [str(3 * i) for i in range(8)]
+    day = index.where("mode = 'dob'").first()
+    assert [h.demographic_no for h in day.hits] == [str(i) for i in range(25)]
 
 
 def test_both_join_sides_are_exchanges(spark):
