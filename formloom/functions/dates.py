@@ -17,7 +17,7 @@ DAY_MONTH_RE = rf"(?i)\b[0-9]{{1,2}}[ -]{_MONTH}\.?,?[ -][0-9]{{4}}\b"
 MONTH_DAY_RE = rf"(?i)\b{_MONTH}\.? [0-9]{{1,2}},? [0-9]{{4}}\b"
 MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
 
-# Is p = [year, month, day] a real date from 1900 to the reference year?
+# Is p = [year, month, day] a real date from 1900 to the as-of year?
 _REAL_DATE = """p[0] between 1900 and {year} and p[1] between 1 and 12 and p[2] between 1 and
   case when p[1] <> 2 then 30 + (p[1] + p[1] div 8) % 2
        when p[0] % 4 = 0 and (p[0] % 100 <> 0 or p[0] % 400 = 0) then 29 else 28 end"""

@@ -207,20 +207,6 @@ def next_line_value(found_label_lines: str, label: str) -> Column:
     return F.expr(next_line_value_sql(found_label_lines, label))
 
 
-def signature_line_value(line: Column) -> Column:
-    """Typed signature on one line: after the label, up to a `date` word."""
-    v = F.regexp_extract(
-        line, r"(?i)(?:patient\s+)?signature(?:\s+or\s+initials)?\s*[:\-]\s*([^\n]*)", 1
-    )
-    v = F.element_at(F.split(v, r"(?i)\bdate\b", 2), 1)
-    return strip(F.btrim(strip(v), F.lit("_-–—")))
-
-
-def is_typed_signature(value: Column) -> Column:
-    letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
-    return (letters >= 2) & (F.length(value) <= 40)
-
-
 def followup_message(first_name: Column, pages: Column, questions: str,
                      template: str = "Hello {name}, some answers are missing{pages}.{questions}") -> Column:
     """Follow-up body; `{name}`, `{pages}`, `{questions}` are filled in."""
