@@ -4,13 +4,17 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from formloom.plans.queries import registry
+from oracle.registry import registry as oracle_registry
 
 SF = "/root/testdata/sf0.001"
-ORACLE = entry.oracle_sql()
+ORACLE = oracle_registry()
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLE)
+    assert set(registry()) == set(ORACLE)
+    assert set(ORACLE) <= set(entry.oracle_sql())
+    assert set(registry()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
