@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from formloom.llm import byte_bpe
+from formloom.llm import byte_bpe, language, line_rules, toxicity
 
-MODULES = (byte_bpe,)
+MODULES = (byte_bpe, language, line_rules, toxicity)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
