@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from formloom.llm.common import map_batches, remainder, table
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Runs of letters; all else in a text only separates them.
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Words kept with their phrase counts in each Python worker; a full store is emptied.
 STORE_WORDS = 300_000
 _MODELS: dict = {}
@@ -78,9 +79,13 @@ class Parser:
         if len(self.store) == STORE_WORDS:
             self.store.clear()
         n = self.store[word] = len(self.store)
-        self.counts[n] = [a.phrases(" " + word) for a in self.automata]
+        self.counts[n] = self.phrases(word)
         return n
 
+    def phrases(self, word: str) -> list[int]:
+        runs = LETTERS.findall(word)
+        return [sum(a.phrases(" " + x) for x in runs) for a in self.automata]
+
     def costs(self, text: str) -> np.ndarray:
         words, get, total = text.lower().split(), self.store.get, np.zeros(len(self.langs), np.int64)
         for a in range(0, len(words), 4096):
@@ -91,7 +96,7 @@ class Parser:
             total += self.counts[rows].sum(0, dtype=np.int64)
             for w in block:
                 if len(w) > 64:
-                    total += [m.phrases(" " + w) for m in self.automata]
+                    total += self.phrases(w)
         return total * self.weight / max(len(text), 1)
 
 
@@ -118,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = 64, sample_chars: int
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         if len(samples.get(r.lang, "")) < sample_chars:
-            samples[r.lang] = samples.get(r.lang, "") + " " + " ".join(r.text.lower().split())
+            samples[r.lang] = samples.get(r.lang, "") + " " + " ".join(LETTERS.findall(r.text.lower()))
     return tuple(sorted(samples.items()))
 
 
@@ -126,8 +131,8 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: bool =
     """lang_pred and score for each document, beside doc_id or (keep) all its columns.
 
     `docs` needs doc_id and text, other columns are not read. Words are the runs
-    without white space, in lower case; the cross-parsing starts anew at each
-    word, with a blank before it. The language with the smallest phrases x
+    of letters, in lower case; the cross-parsing starts anew at each word, with
+    a blank before it. The language with the smallest phrases x
     log2(sample length) / characters wins, ties go to the first by name. score
     is 1 - best / second best, 1 with one language. A null text, one without a
     letter, and any text if no language was learned, are `und` with score 0.
@@ -142,7 +147,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: bool =
             pred, score = [], []
             for x in texts:
                 text = x.as_py()
-                if not p.langs or text is None or not LETTER.search(text):
+                if not p.langs or text is None or not LETTERS.search(text):
                     pred.append("und")
                     score.append(0.0)
                     continue
