@@ -9,6 +9,7 @@ from formloom.llm.common import SPACES, table
 from formloom.operators.skew import resharded_join
 
 GAP = r"[\x20\x09-\x0D]+"
+TEXT = ["_host", "_id", "_id2"]
 MARKS = r"[#*$%&|<>]"
 
 
@@ -52,12 +53,13 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame, host: str) -> list[Column]:
-    """A host key that no null equals by chance, and the md5 of the text."""
-    return [F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_host"), F.md5("text").alias("_id")]
+    """A host key that no null equals by chance, and 96 bits of two hashes of the text."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_host"),
+            F.xxhash64("text").alias("_id"), F.hash("text").alias("_id2")]
 
 
 def removed_lines(docs: DataFrame, host: str = "source", least: int = 20, permille: int = 20) -> DataFrame:
-    """_host, _id, _removed_words, _removed: the lines above the limit in each distinct text that has one.
+    """_host, _id, _id2, _removed_words, _removed: the lines above the limit in each distinct text that has one.
 
     A normalised line counts each distinct text of a host once; whole copies are
     left to deduplication. It is above the limit in more than `least` texts that
@@ -66,14 +68,15 @@ def removed_lines(docs: DataFrame, host: str = "source", least: int = 20, permil
     """
     texts = docs.where(F.col("text").isNotNull()).select(*_keys(docs, host), F.col("text").alias("_text"))
     every = F.transform(lines(F.col("_text")), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(words(x)).alias("n")))
-    found = texts.select("_host", "_id", F.inline(every)).groupBy("_host", "_id", "line").agg(F.sum("n").alias("n"))
-    copies = texts.groupBy("_host", "_id").agg(F.count("*").alias("_copies"))
+    found = texts.select(*TEXT, F.inline(every)).groupBy(*TEXT, "line").agg(F.sum("n").alias("n"))
+    copies = texts.groupBy(*TEXT).agg(F.count("*").alias("_copies"))
     sizes = copies.groupBy("_host").agg(F.count("*").alias("_texts"))
-    often = found.groupBy("_host", "line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
+    # every line has a word; with its sum in both branches, the exchange of `found` is made once
+    often = found.groupBy("_host", "line").agg(F.count_if(F.col("n") > 0).alias("_in")).where(F.col("_in") > least)
     often = often.join(sizes, "_host").where(F.col("_in") * 1000 > F.col("_texts") * permille).select("_host", "line")
-    gone = resharded_join(found, often, ["_host", "line"]).groupBy("_host", "_id")
+    gone = resharded_join(found, often, ["_host", "line"]).groupBy(*TEXT)
     gone = gone.agg(F.sum("n").alias("_n"), F.collect_set("line").alias("_removed"))
-    return gone.join(copies, ["_host", "_id"]).select("_host", "_id", F.expr("_n div _copies").alias("_removed_words"), "_removed")
+    return gone.join(copies, TEXT).select(*TEXT, F.expr("_n div _copies").alias("_removed_words"), "_removed")
 
 
 def judge(docs: DataFrame, host: str = "source", least: int = 20, permille: int = 20, min_words: int = 50,
@@ -88,14 +91,14 @@ def judge(docs: DataFrame, host: str = "source", least: int = 20, permille: int
     a row. Columns of `docs` with the names of the new ones are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "clean_text"]
-    rows = measured(docs.drop(*new)).withColumns(dict(zip(("_host", "_id"), _keys(docs, host), strict=True)))
+    rows = measured(docs.drop(*new)).withColumns(dict(zip(TEXT, _keys(docs, host), strict=True)))
     gone = removed_lines(docs, host, least, permille)
-    rows = resharded_join(rows, gone, ["_host", "_id"], "left").withColumn("removed_words", F.coalesce("_removed_words", F.lit(0)).cast("long"))
+    rows = resharded_join(rows, gone, TEXT, "left").withColumn("removed_words", F.coalesce("_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("removed_words")) >= min_left_percent * F.col("n_words")
     stay = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normal(x))))
     clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & left, "clean_text": clean}).drop("_host", "_id", "_removed_words", "_removed")
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & left, "clean_text": clean}).drop(*TEXT, "_removed_words", "_removed")
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
