@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from formloom.llm import byte_bpe, language, line_rules, near_vectors, packing, pii, token_file, toxicity
+from formloom.llm import byte_bpe, language, line_rules, near_text, near_vectors, packing, pii, token_file, toxicity
 
-MODULES = (byte_bpe, language, line_rules, near_vectors, packing, pii, token_file, toxicity)
+MODULES = (byte_bpe, language, line_rules, near_text, near_vectors, packing, pii, token_file, toxicity)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
