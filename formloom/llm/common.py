@@ -46,6 +46,13 @@ def remainder(id_column: str, by: int):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % by
 
 
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
+    """`docs` with its columns of these names moved out of an operator's way, and the columns that restore it."""
+    taken = {n.lower() for n in names}
+    moved = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    return docs.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
     """Applies make()'s function to the Arrow batches of each task.
 

@@ -103,7 +103,8 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = SIZE, open_windows: int = OPEN, cut_room: int = CUT_ROOM,
          fan_in: int = FAN_IN, keep_ids: bool = True) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (keep_ids) ids.
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (keep_ids) ids,
+    as little-endian unsigned 32-bit integers.
 
     `docs` needs doc_id and text; other columns are not read. A document is its
     text's ids and `end`; a null or empty text is `end` alone. Each task packs
@@ -160,8 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = SIZE, open_
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    ids = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.conv(F.hex(F.reverse(F.substring("ids", (i * 4 + 1).cast("int"), 4))), 16, 10).cast("int"))
-    out = out.withColumn("ids", ids) if keep_ids else out.drop("ids")
+    out = out if keep_ids else out.drop("ids")
     return out.drop("part")
 
 

@@ -22,6 +22,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<!\w)[0-9](?:[ ().-]{0,2}[0-9])++(?!\w)")
 ADDRESS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?:[:.][0-9A-Fa-f]{0,4}){3,7}(?![\w:.])")
 MAILBOX = re.compile(r"[\w.%+-]{1,64}(?:@|\(at\)|\[at\])[\w.-]{2,64}")
+#: What the operator adds to a document, and its own helpers.
+COLUMNS = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found", "_base", "_row", "_found"]
 AT = ("@", "(at)", "[at]")
 OCCURRENCE = "array<struct<kind:string,start:int,stop:int,value:string,seed:boolean,patterns:array<string>>>"
 
@@ -139,8 +141,7 @@ def scanned(docs: DataFrame, keep: bool) -> DataFrame:
 
         return run
 
-    new = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "_base", "_row", "_found"]
-    columns = docs.drop(*new) if keep else docs.select("doc_id", "text")
+    columns = docs.drop(*COLUMNS) if keep else docs.select("doc_id", "text")
     kept = columns.schema if keep else docs.select("doc_id").schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
