@@ -1,10 +1,11 @@
 """Tiered linking of forms to registry charts.
 
-The registry is turned into a search index: one row per (mode, keyword) with the
-first page of charts, ranked before the shuffle so a keyword shared by many
-charts never leaves a task with more than a page. Every form asks at most a few
-keywords, all modes in one join. Fan-out per form is therefore bounded by the
-search's own page size, and no group of forms or charts is ever paired up.
+The registry becomes an index of keys: one row per name, prefix, date or e-mail
+with the number of charts that have it and the first of them. Charts are counted
+inside the tasks before the shuffle, so a name shared by a third of all charts is
+one row a task, and a form asks for the few keys its tiers need. Whether exactly
+one chart is sure is decided by counts over all charts; no chart is out of sight.
+Only review lists hold charts themselves, the first ones of each key.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import EXAMINED_CANDIDATES, REVIEW_LIST_SIZE, SEARCH_PAGE
+from ..constants import REVIEW_LIST_SIZE
 from ..functions.dates import dob_candidates, match_readings, preferred_reading
 from ..functions.predicates import has_minimum_identifiers
 from ..functions.text import norm
@@ -24,8 +25,6 @@ from .skew import resharded_join
 BY_DATE = "DOB + last-name match"
 BY_NAME = "name match (first-3 + last-3)"
 CHOSEN = "operator selected"
-_LABEL = "case mode when 'name' then 'exact name' when 'prefix' then 'partial name (3+3)' else 'email' end"
-
 # SQL conditions on one chart h of a page and the form's fl, ff, readings.
 _LAST3 = "(fl <> '' and h.l <> '' and substr(fl, 1, 3) = substr(h.l, 1, 3))"
 _FIRST3 = "(ff <> '' and h.f <> '' and substr(ff, 1, 3) = substr(h.f, 1, 3))"
@@ -34,51 +33,57 @@ CONFIDENT = f"""case when size(readings) > 0 then if({_DATE_OK} and {_LAST3}, '{
   when {_LAST3} and {_FIRST3} then '{BY_NAME}' end"""
 REJECTED = f"""case when size(readings) = 0 then 'name prefix did not match'
   when {_DATE_OK} then 'DOB matched but last name differs' else 'DOB did not match chart' end"""
-NAME_MATCHES = f"({_LAST3} and {_FIRST3})"
+
+# Keys by kind, from a chart's or a form's normalised names, e-mail and one date.
+KEYS = {
+    "n": ("l", "f"), "nd": ("l", "f", "d"), "p": ("l3", "f3"), "pd": ("l3", "f3", "d"), "ld": ("l3", "d"),
+    "d": ("d",), "s": ("l3",), "e": ("e",), "eld": ("e", "l3", "d"), "elf": ("e", "l3", "f3"),
+}
+
+
+def _key(kind: str, fields: dict[str, str]) -> str:
+    """SQL of one key, null where a part of it is blank or null."""
+    parts = [fields[p] for p in KEYS[kind]]
+    filled = " and ".join(f"coalesce({p}, '') <> ''" for p in parts)
+    return f"if({filled}, concat_ws('\u0001', '{kind}', {', '.join(parts)}), null)"
+
+
+def _charts(charts: DataFrame, as_of: date) -> DataFrame:
+    """Active charts with normalised names, e-mail, date and registry order."""
+    c = charts.where("status = 'active'").withColumn("_c", dob_candidates("dob", as_of))
+    return c.select(
+        "demographic_no", "dob",
+        norm(F.col("last_name")).alias("l"),
+        norm(F.col("first_name")).alias("f"),
+        norm(F.col("email")).alias("e"),
+        preferred_reading("dob", "_c").alias("d"),
+        F.expr("try_cast(demographic_no as bigint)").alias("seq"),
+    ).selectExpr("*", "substr(l, 1, 3) as l3", "substr(f, 1, 3) as f3")
+
+
+def key_index(charts: DataFrame, as_of: date, kinds: tuple[str, ...] = tuple(KEYS)) -> DataFrame:
+    """(key, charts, first): all active charts counted by key; one row a key."""
+    fields = {p: p for k in kinds for p in KEYS[k]}
+    keys = ", ".join(_key(k, fields) for k in kinds)
+    each = _charts(charts, as_of).select("demographic_no", F.explode(F.expr(f"array_compact(array({keys}))")).alias("key"))
+    return each.groupBy("key").agg(F.count(F.lit(1)).alias("charts"), F.min("demographic_no").alias("first"))
 
 
-def search_index(charts: DataFrame, as_of: date, page: int = SEARCH_PAGE, examined: int = EXAMINED_CANDIDATES,
-                 modes: tuple[str, ...] = ("name", "prefix", "dob", "email")) -> DataFrame:
-    """(mode, keyword, hits): the first `page` active charts of each keyword.
+def search_index(charts: DataFrame, as_of: date, page: int = REVIEW_LIST_SIZE, kinds: tuple[str, ...] = ("n", "p", "d")) -> DataFrame:
+    """(key, hits): the first `page` active charts of each key, for lists that show no more.
 
-    Order inside a page is ascending registry number. Only date searches list
-    their whole page; the others look at no more than the examined charts.
+    Order is ascending registry number; the ranking is cut before the shuffle.
     """
-    c = (
-        charts.where("status = 'active'")
-        .withColumn("_c", dob_candidates("dob", as_of))
-        .select(
-            "demographic_no", "dob",
-            norm(F.col("last_name")).alias("l"),
-            norm(F.col("first_name")).alias("f"),
-            norm(F.col("email")).alias("e"),
-            preferred_reading("dob", "_c").alias("d"),
-            F.expr("try_cast(demographic_no as bigint)").alias("seq"),
-        )
-    )
-    entries = {
-        "name": ["if(l <> '' and f <> '', struct('name' as mode, concat(l, ',', f) as keyword), null)"],
-        "prefix": [
-            "if(l <> '' and f <> '', struct('prefix' as mode, "
-            "concat(substr(l, 1, 3), ',', substr(f, 1, 3)) as keyword), null)",
-            "if(l <> '', struct('prefix' as mode, substr(l, 1, 3) as keyword), null)",
-        ],
-        "dob": ["if(d is not null, struct('dob' as mode, d as keyword), null)"],
-        "email": ["if(e <> '', struct('email' as mode, e as keyword), null)"],
-    }
-    wanted = ", ".join(x for m in modes for x in entries[m])
-    words = c.selectExpr("demographic_no", "dob", "l", "f", "d", "seq",
-                         f"inline(array_compact(array({wanted})))")
-    w = Window.partitionBy("mode", "keyword").orderBy(F.col("seq").asc_nulls_last(), "demographic_no")
-    first_page = words.withColumn("pos", F.row_number().over(w)).where(
-        f"pos <= {page} and (mode = 'dob' or pos <= {examined})")
-    return first_page.groupBy("mode", "keyword").agg(
-        F.expr("sort_array(collect_list(struct(pos, demographic_no, dob, l, f, d)))").alias("hits"))
-
-
-def form_keywords(forms: DataFrame, as_of: date,
-                  modes: tuple[str, ...] = ("name", "prefix", "dob", "email")) -> DataFrame:
-    """One row per search a form makes; forms without identifiers make none."""
+    fields = {p: p for k in kinds for p in KEYS[k]}
+    keys = ", ".join(_key(k, fields) for k in kinds)
+    each = _charts(charts, as_of).select("*", F.explode(F.expr(f"array_compact(array({keys}))")).alias("key"))
+    w = Window.partitionBy("key").orderBy(F.col("seq").asc_nulls_last(), "demographic_no")
+    first = each.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= page)
+    return first.groupBy("key").agg(F.expr("sort_array(collect_list(struct(pos, demographic_no, dob, l, f, d)))").alias("hits"))
+
+
+def form_fields(forms: DataFrame, as_of: date) -> DataFrame:
+    """form_id, fl, ff, fe, cands (readings of the written date) and readings; forms without identifiers are absent."""
     cols = forms.columns
     written = "coalesce(nullif(dob_raw, ''), dob)" if "dob" in cols else "dob_raw"
     supplied = "supplied_email" if "supplied_email" in cols else "cast(null as string)"
@@ -92,117 +97,136 @@ def form_keywords(forms: DataFrame, as_of: date,
     ).withColumn("cands", dob_candidates("written", as_of))
     if "dob" not in cols:
         f = f.withColumn("dob", preferred_reading("written", "cands"))
-    # The gate is a flag, not a filter: a pushed-down filter would read the dates again.
+    # The gate is a flag until the keys are made: a pushed-down filter would read the dates again.
     f = f.withColumn(
         "ok", has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob"))
     ).withColumn("preferred", preferred_reading("dob", "cands") if "dob" in cols else F.col("dob"))
-    searches = {
-        "name": "if(fl <> '' and ff <> '', struct('name' as mode, concat(fl, ',', ff) as keyword, 0 as ord), null)",
-        "prefix": "if(fl <> '', struct('prefix' as mode, concat(substr(fl, 1, 3), "
-                  "if(ff <> '', concat(',', substr(ff, 1, 3)), '')) as keyword, 0 as ord), null)",
-        "email": "if(fe <> '', struct('email' as mode, fe as keyword, 0 as ord), null)",
-    }
-    parts = []
-    fixed = ", ".join(searches[m] for m in modes if m != "dob")
-    if fixed:
-        parts.append(f"array_compact(array({fixed}))")
-    if "dob" in modes:
-        parts.append("transform(cands, (x, i) -> struct('dob' as mode, x as keyword, i as ord))")
-    return f.select("form_id", "fl", "ff", match_readings("cands", "preferred").alias("readings"),
-                    F.expr(f"inline(if(ok, concat({', '.join(parts)}), array()))"))
-
-
-def search_pages(forms: DataFrame, charts: DataFrame, as_of: date, modes: tuple[str, ...]) -> DataFrame:
-    """Each search of each form with its page of charts."""
-    return resharded_join(form_keywords(forms, as_of, modes), search_index(charts, as_of, modes=modes),
-                          ["mode", "keyword"])
-
-
-def search_hits(forms: DataFrame, charts: DataFrame, as_of: date,
-                modes: tuple[str, ...] = ("name", "prefix", "dob", "email"),
-                examined: int = EXAMINED_CANDIDATES) -> DataFrame:
-    """Search pages with their verdict.
-
-    `auto` is the only confident chart among the examined ones; an e-mail search
-    with a single hit is accepted as it is. `near` lists examined charts whose
-    names agree. `hits` is kept for date searches alone, which need no more.
+    return f.select("form_id", "ok", F.coalesce("fl", F.lit("")).alias("fl"), F.coalesce("ff", F.lit("")).alias("ff"),
+                    F.coalesce("fe", F.lit("")).alias("fe"), "cands", match_readings("cands", "preferred").alias("readings"))
+
+
+_FORM = {"l": "fl", "f": "ff", "e": "fe", "l3": "substr(fl, 1, 3)", "f3": "substr(ff, 1, 3)", "d": "x"}
+
+
+def _asks(role: str, kind: str, dates: str | None = None) -> str:
+    """SQL array of the keys a form asks in one role, one per reading where the key has a date."""
+    key = _key(kind, _FORM)
+    if dates is None:
+        return f"array(struct('{role}' as role, {key} as key))"
+    return f"transform({dates}, x -> struct('{role}' as role, {key} as key))"
+
+
+def form_counts(forms: DataFrame, charts: DataFrame, as_of: date, modes: tuple[str, ...] = ("name", "prefix", "email", "list")) -> DataFrame:
+    """For each form and role, the number of charts in the whole registry and the first of them.
+
+    name, prefix: charts that would be sure in that tier; mail: charts of the
+    e-mail, mail_sure: sure ones of them; near, dated, both: charts with the
+    name's prefixes, with a reading of the date, with both.
     """
-    top = f"slice(hits, 1, {examined})"
-    pages = search_pages(forms, charts, as_of, modes).withColumn("sure", F.expr(f"""if(mode = 'dob', null,
-      filter(transform({top}, h -> struct(h.demographic_no as demographic_no, {CONFIDENT} as reason)),
-             s -> s.reason is not null))"""))
-    return pages.selectExpr(
-        "form_id", "mode", "ord", "keyword",
-        f"""case when mode = 'email' and size(hits) = 1
-              then struct(hits[0].demographic_no as demographic_no, {_LABEL} as matched_by)
-            when size(sure) = 1
-              then struct(sure[0].demographic_no as demographic_no,
-                          concat({_LABEL}, ': ', sure[0].reason) as matched_by) end as auto""",
-        f"""case when mode in ('name', 'prefix')
-                and coalesce(size(sure), 0) <> 1
-              then transform(filter({top}, h -> {NAME_MATCHES}), h -> struct(h.demographic_no, h.dob))
-            when mode = 'dob' then transform(hits, h -> struct(h.demographic_no, h.dob)) end as shown""",
+    asks = {
+        "name": [f"if(size(readings) > 0, {_asks('name', 'nd', 'readings')}, {_asks('name', 'n')})"],
+        "prefix": [f"""case when ff <> '' and size(readings) > 0 then {_asks('prefix', 'pd', 'readings')}
+            when ff <> '' then {_asks('prefix', 'p')} when size(readings) > 0 then {_asks('prefix', 'ld', 'readings')}
+            else array() end"""],
+        "email": [_asks("mail", "e"), f"if(size(readings) > 0, {_asks('mail_sure', 'eld', 'readings')}, {_asks('mail_sure', 'elf')})"],
+        "list": [_asks("near", "p"), _asks("dated", "d", "cands"), _asks("both", "pd", "cands")],
+    }
+    wanted = ", ".join(x for m in modes for x in asks[m])
+    kinds = tuple(k for k in KEYS if any(f"'{k}'," in x for m in modes for x in asks[m]))
+    f = form_fields(forms, as_of)
+    asked = f.selectExpr("form_id", "size(readings) > 0 as dated_form", f"inline(if(ok, concat({wanted}), array()))").where("key is not null")
+    roles = ("name", "prefix", "mail", "mail_sure", "near", "dated", "both")
+    found = resharded_join(asked, key_index(charts, as_of, kinds), ["key"])
+    return found.groupBy("form_id").agg(
+        F.first("dated_form").alias("dated_form"),
+        *[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("charts"))), F.lit(0)).alias(r) for r in roles],
+        *[F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"{r}_no") for r in roles[:4]],
     )
 
 
+_REASON = f"if(dated_form, '{BY_DATE}', '{BY_NAME}')"
+# The match of one tier, from the counts of a form; null where not exactly one chart is sure.
+TIERS = {
+    "name": f"if(name = 1, struct(name_no as demographic_no, concat('exact name: ', {_REASON}) as matched_by), null)",
+    "prefix": f"if(prefix = 1, struct(prefix_no as demographic_no, concat('partial name (3+3): ', {_REASON}) as matched_by), null)",
+    "email": f"""case when mail = 1 then struct(mail_no as demographic_no, 'email' as matched_by)
+        when mail_sure = 1 then struct(mail_sure_no as demographic_no, concat('email: ', {_REASON}) as matched_by) end""",
+}
+
+
 def tier_matches(forms: DataFrame, charts: DataFrame, as_of: date, mode: str) -> DataFrame:
     """Forms one tier alone would link: form_id, demographic_no, matched_by."""
-    found = search_hits(forms, charts, as_of, (mode,)).where("auto is not null")
-    return found.selectExpr("form_id", "auto.demographic_no", "auto.matched_by")
+    found = form_counts(forms, charts, as_of, (mode,)).selectExpr("form_id", f"{TIERS[mode]} as m")
+    return found.where("m is not null").selectExpr("form_id", "m.demographic_no", "m.matched_by")
 
 
-def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame | None = None,
-                review_size: int = REVIEW_LIST_SIZE) -> DataFrame:
-    """Every form with its match (or null), how it was found, and its review list.
+def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame | None = None) -> DataFrame:
+    """Every form with its match (or null), how it was found, and review_total.
 
-    Tiers: exact name, partial name, an operator's choice from the review list,
-    e-mail. The first tier that resolves wins. The rows of a form are one per
-    search it made, so the lists gathered here stay small whatever the data.
+    Tiers: exact name, partial name, an operator's choice, e-mail. The first tier
+    that resolves wins. review_total counts the charts a reviewer could choose
+    from (same prefixes of both names, or a date equal to a reading) where no
+    name tier resolved; a choice of any of them is valid, listed or not.
     """
-    rank = "case mode when 'name' then 0 when 'prefix' then 1 when 'dob' then 2 else 3 end"
-    per_form = (
-        search_hits(forms, charts, as_of)
-        .groupBy("form_id")
-        .agg(F.expr(f"sort_array(collect_list(struct({rank} as tier, ord, auto, shown)))").alias("s"))
-        .selectExpr(
-            "form_id",
-            "get(filter(s, x -> x.tier < 2 and x.auto is not null), 0).auto as by_name",
-            "get(filter(s, x -> x.tier = 3), 0).auto as by_email",
-            """flatten(transform(filter(s, x -> x.shown is not null),
-                 x -> transform(x.shown, h -> struct(h.demographic_no, h.dob, x.tier < 2 as named)))) as listed""",
-        )
-        .selectExpr("*", "transform(listed, x -> x.demographic_no) as ids")
-        .selectExpr(
-            "form_id", "by_name", "by_email",
-            f"""if(by_name is not null, slice(listed, 1, 0),
-                slice(filter(listed, (x, i) -> array_position(ids, x.demographic_no) = i + 1), 1, {review_size}))
-                as review""",
-        )
-    )
+    per_form = form_counts(forms, charts, as_of).selectExpr(
+        "form_id", f"coalesce({TIERS['name']}, {TIERS['prefix']}) as by_name", f"{TIERS['email']} as by_email", "near + dated - both as others")
     base = forms.select("form_id").join(per_form, "form_id", "left")
     if decisions is None:
         base = base.withColumn("chosen", F.lit(None).cast("string"))
     else:
-        latest = decisions.groupBy("form_id").agg(F.max_by("demographic_no", "decided_at").alias("chosen"))
-        base = base.join(latest, "form_id", "left")
+        base = base.join(valid_choices(forms, charts, as_of, decisions), "form_id", "left")
     return base.selectExpr(
         "form_id",
         f"""case when by_name is not null then by_name
-            when exists(review, r -> r.demographic_no = chosen)
-              then struct(chosen as demographic_no, '{CHOSEN}' as matched_by)
+            when chosen is not null then struct(chosen as demographic_no, '{CHOSEN}' as matched_by)
             else by_email end as m""",
-        "review",
-    ).selectExpr("form_id", "m.demographic_no", "m.matched_by", "review")
+        "if(by_name is null, coalesce(others, 0), 0) as review_total",
+    ).selectExpr("form_id", "m.demographic_no", "m.matched_by", "review_total")
 
 
-def review_rows(matches: DataFrame, forms: DataFrame, as_of: date) -> DataFrame:
-    """The review list as rows, with a note where only the name agrees."""
-    shown = matches.selectExpr("form_id", "posexplode(review) as (pos, r)")
+def valid_choices(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame) -> DataFrame:
+    """form_id and chosen: the latest choice of each form, if that chart could be on its review list."""
+    latest = decisions.groupBy("form_id").agg(F.max_by("demographic_no", "decided_at").alias("demographic_no"))
+    asked = latest.join(form_fields(forms, as_of).where("ok"), "form_id")
+    seen = resharded_join(asked, _charts(charts, as_of).drop("dob", "e", "seq"), ["demographic_no"])
+    return seen.where(f"({_LAST3.replace('h.', '')} and {_FIRST3.replace('h.', '')}) or coalesce(array_contains(cands, d), false)").selectExpr(
+        "form_id", "demographic_no as chosen").dropDuplicates(["form_id"])
+
+
+def search_pages(forms: DataFrame, charts: DataFrame, as_of: date, modes: tuple[str, ...], page: int = REVIEW_LIST_SIZE) -> DataFrame:
+    """Each search of each form (mode, reading, ord) with the first charts of its key."""
+    asks = {
+        "name": _asks("name", "n"), "prefix": f"if(ff <> '', {_asks('prefix', 'p')}, {_asks('prefix', 's')})", "dob": _asks("dob", "d", "cands"),
+    }
+    kinds = tuple(k for k, m in (("n", "name"), ("p", "prefix"), ("s", "prefix"), ("d", "dob")) if m in modes)
+    wanted = ", ".join(asks[m] for m in modes)
+    f = form_fields(forms, as_of).selectExpr(
+        "form_id", "fl", "ff", "cands", "readings", f"inline(if(ok, concat({wanted}), array()))").where("key is not null")
+    f = f.selectExpr("form_id", "fl", "ff", "readings", "role as mode", "key",
+                     "if(role = 'dob', substr(key, 3), null) as reading", "array_position(cands, substr(key, 3)) as ord")
+    return resharded_join(f, search_index(charts, as_of, page, kinds), ["key"])
+
+
+def review_rows(matches: DataFrame, forms: DataFrame, charts: DataFrame, as_of: date, size: int = REVIEW_LIST_SIZE) -> DataFrame:
+    """The first `size` charts of each review list, in search order, with review_total.
+
+    Exact names come first, then prefixes, then each reading of the date; a chart
+    is listed once, with a note where only the name agrees. Since each key's
+    first `size` charts are at hand, duplicates never shorten a list.
+    """
+    open_forms = matches.where("review_total > 0").select("form_id", "review_total")
+    pages = search_pages(forms, charts, as_of, ("name", "prefix", "dob"), size).where("not startswith(key, 's\\u0001')")
+    rank = "case mode when 'name' then 0 when 'prefix' then 1 else 2 end"
+    lists = pages.groupBy("form_id").agg(F.expr(f"sort_array(collect_list(struct({rank} as tier, ord, hits)))").alias("s")).selectExpr(
+        "form_id", """flatten(transform(s, x -> transform(x.hits, h -> struct(h.demographic_no, h.dob, x.tier < 2 as named)))) as listed"""
+    ).selectExpr("form_id", "listed", "transform(listed, x -> x.demographic_no) as ids").selectExpr(
+        "form_id", f"slice(filter(listed, (x, i) -> array_position(ids, x.demographic_no) = i + 1), 1, {size}) as review")
+    shown = lists.join(open_forms, "form_id").selectExpr("form_id", "review_total", "posexplode(review) as (pos, r)")
     written = "dob" if "dob" in forms.columns else "dob_raw"
     side = forms.select("form_id", F.col(written).alias("w")).withColumn("c", dob_candidates("w", as_of)).select(
         "form_id", F.coalesce(preferred_reading("w", "c"), F.nullif("w", F.lit("")), F.lit("?")).alias("form_dob"))
     return shown.join(side, "form_id").selectExpr(
-        "form_id", "cast(pos + 1 as bigint) as position", "r.demographic_no",
+        "form_id", "review_total", "cast(pos + 1 as bigint) as position", "r.demographic_no",
         """if(r.named, concat('Name matches; form DOB ', form_dob, ', chart DOB ',
              coalesce(nullif(r.dob, ''), '?')), null) as note""",
     )

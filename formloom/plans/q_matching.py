@@ -15,9 +15,7 @@ AS_OF = date(2024, 6, 30)
 
 
 def match_cascade(spark: SparkSession, d: str) -> DataFrame:
-    m = M.match_forms(T.forms(spark, d), T.charts(spark, d), AS_OF)
-    return m.select("form_id", "demographic_no", "matched_by",
-                    F.coalesce(F.size("review"), F.lit(0)).cast("bigint").alias("review_size"))
+    return M.match_forms(T.forms(spark, d), T.charts(spark, d), AS_OF)
 
 
 def _tier(mode: str):
@@ -27,15 +25,15 @@ def _tier(mode: str):
 
 
 def match_dob(spark: SparkSession, d: str) -> DataFrame:
-    """Charts found by each reading of a form's date, in search order."""
+    """The first charts found by each reading of a form's date, in search order."""
     pages = M.search_pages(T.forms(spark, d), T.charts(spark, d), AS_OF, ("dob",))
-    return pages.selectExpr("form_id", "keyword as reading", "posexplode(hits) as (p, h)").selectExpr(
+    return pages.selectExpr("form_id", "reading", "posexplode(hits) as (p, h)").selectExpr(
         "form_id", "reading", "cast(p + 1 as bigint) as position", "h.demographic_no")
 
 
 def review_list(spark: SparkSession, d: str) -> DataFrame:
-    forms = T.forms(spark, d)
-    return M.review_rows(M.match_forms(forms, T.charts(spark, d), AS_OF), forms, AS_OF)
+    forms, charts = T.forms(spark, d), T.charts(spark, d)
+    return M.review_rows(M.match_forms(forms, charts, AS_OF), forms, charts, AS_OF)
 
 
 def not_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,15 +55,16 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Each search's examined charts with the verdict, confident count per form."""
-    pages = M.search_pages(T.forms(spark, d), T.charts(spark, d), AS_OF, ("name", "prefix"))
-    return (
-        pages.selectExpr("form_id", "mode", f"""transform(slice(hits, 1, {M.EXAMINED_CANDIDATES}),
-            h -> struct(h.demographic_no, {M.CONFIDENT} as sure, {M.REJECTED} as why_not)) as v""")
-        .selectExpr("form_id", "mode", "size(filter(v, x -> x.sure is not null)) as n", "posexplode(v) as (p, x)")
-        .selectExpr("form_id", "mode", "cast(n as bigint) as confident", "cast(p + 1 as bigint) as position",
-                    "x.demographic_no", "coalesce(x.sure, x.why_not) as reason")
-    )
+    """The first charts of each name search with their verdict; sure charts are counted over the whole registry."""
+    forms, charts = T.forms(spark, d), T.charts(spark, d)
+    pages = M.search_pages(forms, charts, AS_OF, ("name", "prefix"))
+    counts = M.form_counts(forms, charts, AS_OF, ("name", "prefix"))
+    seen = pages.selectExpr("form_id", "mode", f"""transform(hits,
+            h -> struct(h.demographic_no, {M.CONFIDENT} as sure, {M.REJECTED} as why_not)) as v""").selectExpr(
+        "form_id", "mode", "posexplode(v) as (p, x)")
+    return seen.join(counts.select("form_id", "name", "prefix"), "form_id", "left").selectExpr(
+        "form_id", "mode", "coalesce(if(mode = 'name', name, prefix), 0) as confident", "cast(p + 1 as bigint) as position",
+        "x.demographic_no", "coalesce(x.sure, x.why_not) as reason")
 
 
 def candidate_dates(spark: SparkSession, d: str) -> DataFrame:

@@ -11,17 +11,14 @@ CHARTS = "demographic_no string, last_name string, first_name string, dob string
 DECISIONS = "form_id long, demographic_no string, decided_at timestamp"
 
 
-def run(spark, forms, charts, decisions=None):
-    f = spark.createDataFrame(forms, FORMS)
+def one(spark, form, charts, chosen=None, full=False):
+    f = spark.createDataFrame([(1, *form)], FORMS)
     c = spark.createDataFrame([(*x, "active") if len(x) == 5 else x for x in charts], CHARTS)
-    d = spark.createDataFrame(decisions, DECISIONS) if decisions else None
-    return {r.form_id: r for r in M.match_forms(f, c, AS_OF, d).collect()}
-
-
-def one(spark, form, charts, chosen=None):
-    dec = [(1, chosen, datetime(2024, 1, 1))] if chosen else None
-    r = run(spark, [(1, *form)], charts, dec)[1]
-    return r.demographic_no, r.matched_by, [x.demographic_no for x in r.review or []]
+    d = spark.createDataFrame([(1, chosen, datetime(2024, 1, 1))], DECISIONS) if chosen else None
+    m = M.match_forms(f, c, AS_OF, d)
+    r = m.first()
+    review = [x.demographic_no for x in M.review_rows(m, f, c, AS_OF).orderBy("position").collect()]
+    return (r.demographic_no, r.matched_by, review, r.review_total)[: 4 if full else 3]
 
 
 def test_exact_name_and_date(spark):
@@ -54,7 +51,7 @@ def test_conflicting_date_never_matches_by_itself(spark):
     assert one(spark, form, charts, "7")[:2] == ("7", "operator selected")
     f = spark.createDataFrame([(1, *form)], FORMS)
     c = spark.createDataFrame([(*charts[0], "active")], CHARTS)
-    note = M.review_rows(M.match_forms(f, c, AS_OF), f, AS_OF).first().note
+    note = M.review_rows(M.match_forms(f, c, AS_OF), f, c, AS_OF).first().note
     assert note == "Name matches; form DOB 2001-05-10, chart DOB 2001-05-11"
 
 
@@ -78,25 +75,37 @@ def test_inactive_charts_are_not_searched(spark):
     assert got[0] is None
 
 
-def test_only_first_eight_are_examined_and_thirty_listed(spark):
+def test_every_chart_counts_and_thirty_are_listed(spark):
     charts = [(str(i), "Boole", "Ann", "1990-01-01", "") for i in range(1, 60)]
-    charts[20] = ("21", "Boole", "Ann", "2001-05-10", "")
-    no, by, review = one(spark, ("Ann", "Boole", None, "2001-05-10", None), charts)
-    assert no is None and review == [str(i) for i in range(1, 9)] + ["21"]
+    form = ("Ann", "Boole", None, "2001-05-10", None)
+    no, by, review, total = one(spark, form, charts, full=True)
+    assert no is None and review == [str(i) for i in range(1, 31)] and total == 59
+    assert one(spark, form, charts, "57")[:2] == ("57", "operator selected")  # valid, though not among those shown
+    charts[10] = ("11", "Boole", "Ann", "2001-05-10", "")
+    assert one(spark, form, charts, full=True) == ("11", "exact name: DOB + last-name match", [], 0)
+    charts[2] = ("3", "Boole", "Ann", "2001-05-10", "")
+    assert one(spark, form, charts, full=True) == (None, None, [str(i) for i in range(1, 31)], 59)
+
+
+def test_list_skips_repeats_and_goes_on_with_dates(spark):
+    charts = [(str(i), "Boole", "Ann", "2001-05-10", "") for i in range(1, 4)]
+    charts += [(str(i), "Boolean", "Anna", "1990-01-01", "") for i in range(4, 7)] + [(str(i), "Curie", "Eve", "2001-05-10", "") for i in range(7, 50)]
+    no, by, review, total = one(spark, ("Ann", "Boole", None, "2001-05-10", None), charts, full=True)
+    assert no is None and review == [str(i) for i in range(1, 31)] and total == 49
 
 
-def test_hot_keyword_keeps_one_page_per_task(spark):
-    """A third of all charts share one name; the index still holds one page."""
+def test_hot_keyword_is_one_row(spark):
+    """A third of all charts share one name; the index counts them all in one row, and lists hold one page."""
     c = spark.range(30000).selectExpr(
         "string(id) as demographic_no", "if(id % 3 = 0, 'Hot', concat('L', id)) as last_name",
         "if(id % 3 = 0, 'Key', 'F') as first_name", "'1990-01-01' as dob", "'' as email", "'active' as status")
+    hot = M.key_index(c, AS_OF).where("key = concat('n\\u0001hot', '\\u0001', 'key')").first()
+    assert (hot.charts, hot["first"]) == (10000, "0")
     index = M.search_index(c, AS_OF)
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
-    hot = index.where("mode = 'name' and keyword = 'hot,key'").first()
-    assert [h.demographic_no for h in hot.hits] == [str(3 * i) for i in range(8)]
-    day = index.where("mode = 'dob'").first()
-    assert [h.demographic_no for h in day.hits] == [str(i) for i in range(25)]
+    day = index.where("startswith(key, 'd')").first()
+    assert [h.demographic_no for h in day.hits] == [str(i) for i in range(30)]
 
 
 def test_both_join_sides_are_exchanges(spark):
