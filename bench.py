@@ -37,6 +37,8 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # small files otherwise arrive as one split each, and one core does the work before the first shuffle
+        .config("spark.sql.files.maxPartitionBytes", "1m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -101,6 +101,7 @@ def latest_uploaded_person(requests: DataFrame, ledger: DataFrame, since: dateti
 
 
 def newest_rows(ledger: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The newest rows; the number of rows is what is asked for."""
     return ledger.orderBy(F.col("id").desc()).limit(limit)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workdir import staged
 
 def resharded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join whose two inputs are plain exchanges at run time.
@@ -21,26 +22,24 @@ def resharded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined.drop(h)
 
 
-def numbered(df: DataFrame, order: str, out: str, partition: list[str] | None = None,
-             width: int = 1_000_000) -> DataFrame:
-    """row_number() by an integer column, without one task per hot key.
+def numbered(df: DataFrame, order: str, out: str, partition: list[str] | None = None) -> DataFrame:
+    """row_number() by a column, for a whole table or inside hot keys.
 
-    Rows are ranked inside (partition, order div width) ranges; the ranges'
-    start offsets come from a running sum over one row per range. Also numbers
-    a whole table, which a plain unpartitioned window does in one task.
-    `order` must be unique inside each partition.
+    Rows are dealt into ranges of about equal size, whatever the values, and
+    written with their range to the shared folder, so that both uses below see
+    the same ranges. Inside a range rows are ranked; the ranges' offsets come
+    from a running sum over one row per range. `order` must be unique inside
+    each partition.
     """
-    keys = list(partition or [])
-    b = "_range"
-    ranged = df.withColumn(b, F.floor(F.col(order) / width))
-    sizes = ranged.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_rows"))
-    run = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, b, F.coalesce(F.sum("_rows").over(run), F.lit(0)).alias("_start"))
-    local = Window.partitionBy(*keys, b).orderBy(order)
+    keys, r = list(partition or []), "_range"
+    ranged = staged(df.repartitionByRange(*keys, order).withColumn(r, F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy(*keys, r).agg(F.count(F.lit(1)).alias("_rows"))
+    run = Window.partitionBy(*keys).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, r, F.coalesce(F.sum("_rows").over(run), F.lit(0)).alias("_start"))
     cond = F.col("r._range") == F.col("s._range")
     for k in keys:
         cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
-    ranked = ranged.withColumn("_local", F.row_number().over(local))
+    ranked = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, r).orderBy(order)))
     return (
         ranked.alias("r").join(starts.alias("s"), cond)
         .select(*[F.col(f"r.{c}").alias(c) for c in df.columns],

@@ -47,7 +47,7 @@ def latest_uploaded_person(spark: SparkSession, d: str) -> DataFrame:
 
 
 def completed_list(spark: SparkSession, d: str) -> DataFrame:
-    return L.newest_rows(L.completed(T.ledger(spark, d), SESSION)).select(*KEEP)
+    return L.completed(T.ledger(spark, d), SESSION).select(*KEEP)
 
 
 def session_unique_people(spark: SparkSession, d: str) -> DataFrame:

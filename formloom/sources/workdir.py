@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder the session names in spark.checkpoint.dir.
 
-    Only a local master, as in tests, may fall back to a temporary folder:
-    executors of a cluster could not see it.
+    Where that is unset, in the warehouse: executors share both.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="formloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -37,7 +37,7 @@ SQL = {
       FROM ledger l JOIN up u ON u.demographic_no = l.demographic_no AND u.id <> l.id
       QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY u.id DESC) = 1""",
     "q_completed_list": W + f"""SELECT id, demographic_no, status, document_id FROM ledger
-      WHERE status IN {LISTED} AND created_at >= {S} ORDER BY id DESC LIMIT 500""",
+      WHERE status IN {LISTED} AND created_at >= {S}""",
     "q_session_unique_people": W + _people("", "all") + " UNION ALL "
     + _people("AND status = 'completed_no_signature'", "signature_missing"),
     "q_resumable_count": W + f"""SELECT count(*) AS resumable FROM ledger WHERE status IN {LISTED}

@@ -19,12 +19,23 @@ CELLS = "doc_id long, page_no int, row_no int, dark int, total int, ink double"
 def test_numbered_equals_row_number_on_a_hot_key(spark):
     df = spark.range(5000).selectExpr("id * 7 as id", "if(id % 3 = 0, 'hot', if(id % 3 = 1, null, string(id % 50))) as k")
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")).cast("bigint"))
-    got = K.numbered(df, "id", "n", ["k"], width=500)
+    got = K.numbered(df, "id", "n", ["k"])
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    total = K.numbered(df, "id", "n", width=500)
+    total = K.numbered(df, "id", "n")
     assert total.agg(F.countDistinct("n"), F.max("n")).first() == (5000, 5000)
 
 
+def test_numbered_over_several_ranges_of_sparse_ids(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20000).selectExpr("id * 5000000 as id")
+        assert df.repartitionByRange("id").select(F.spark_partition_id().alias("p")).distinct().count() == 4
+        got = K.numbered(df, "id", "n")
+        assert got.count() == 20000 and got.where("n <> id div 5000000 + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def page(ink_rows, page_no=6, doc=1):
     return [(doc, page_no, r, round(v * 1000), 1000, float(v)) for r, row in enumerate(ink_rows) for v in row]
 
