@@ -40,52 +40,19 @@ def process_forms(forms: DataFrame, charts: DataFrame, ledger: DataFrame, as_of:
     forms = with_readings(forms, "dob_raw", as_of, "_c", "dob").drop("_c")
     guarded = L.existing_uploads(forms, ledger).withColumn("action", L.resubmit_action())
     fresh = guarded.where("action = 'process' and stage_error is null").select(*MATCH_COLUMNS)
-    # matches are read by two branches below: written once, narrow
-    matches = staged(match_forms(fresh, charts, as_of, decisions).select("form_id", "demographic_no", "matched_by"),
-                     "matches")
+    matches = match_forms(fresh, charts, as_of, decisions).select("form_id", "demographic_no", "matched_by")
     j = guarded.join(matches, "form_id", "left").withColumn(
         "usable", has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob")))
     j = j.withColumn("incomplete", F.expr("checked and size(questions) > 0 and not approved"))
     j = j.withColumn("own_status", F.expr(own_status())).withColumn(
         "description", F.expr(f"if(incomplete, '{UPLOAD_INCOMPLETE}', '{UPLOAD}')"))
-
-    # One row per person: the newest upload of the session, the batch's first form.
-    up = ledger.where(is_uploaded(F.col("document_id")) & (F.col("created_at") >= F.lit(session_start)))
-    prior = newest_per_key(up.where("coalesce(demographic_no, '') <> ''"), ["demographic_no"], "id").select(
-        "demographic_no", F.struct("id", "document_id", "status").alias("prior"))
-    matched = j.where("demographic_no is not null")
-    first = matched.groupBy("demographic_no").agg(
-        F.expr("min_by(struct(form_id, own_status, description), form_id)").alias("first"))
-    people = first.join(prior, "demographic_no", "left").withColumnRenamed("demographic_no", "person_key")
-    # unmatched forms get a key of their own, so no null key gathers them all
-    keyed = j.withColumn("person_key", F.expr("coalesce(demographic_no, concat('#', form_id))"))
-    done = resharded_join(keyed, people, ["person_key"], "left").drop("person_key")
-
-    done = done.withColumn("outcome", F.expr("""case
-        when stage_error is not null then 'error'
-        when action <> 'process' then action
-        when not usable then 'unusable'
-        when demographic_no is null then 'unmatched'
-        when prior is not null then 'person_before'
-        when first.form_id <> form_id then 'person_in_batch'
-        else 'filed' end"""))
-    kept = lambda c: f"if({c} in ('completed', 'completed_no_signature', 'incomplete_informed'), {c}, 'completed')"
-    return done.selectExpr(
-        "*",
-        f"""case outcome when 'error' then 'error' when 'add_row' then {kept('p_status')}
-              when 'skip' then {kept('p_status')} when 'unusable' then 'not_found' when 'unmatched' then 'not_found'
-              when 'person_before' then {kept('prior.status')} when 'person_in_batch' then {kept('first.own_status')}
-              else own_status end as status""",
-        """case outcome when 'add_row' then p_document_id when 'skip' then p_document_id
-             when 'person_before' then prior.document_id
-             when 'person_in_batch' then concat_ws(':', demographic_no, first.description)
-             when 'filed' then concat_ws(':', demographic_no, description) end as document_id""",
-        """case outcome when 'add_row' then p_demographic_no when 'skip' then p_demographic_no
-             else demographic_no end as person""",
-    ).withColumn("message", F.expr("""case outcome
+    decided = decide(j, ledger, session_start)
+    own = forms.join(decided, "form_id").withColumn("incomplete", F.expr("checked and size(questions) > 0 and not approved"))
+    return own.withColumn("message", F.expr("""case outcome
         when 'error' then stage_error
         when 'skip' then concat('Already filed (document ', document_id, ') and on the sheet; skipped.')
-        when 'add_row' then concat('Already filed (document ', document_id, '); missing sheet row added.')
+        when 'add_row' then concat('Already filed (document ', document_id, ')',
+          if(sheet_failed, ', but the sheet row still could not be written.', '; missing sheet row added.'))
         when 'unusable' then 'Not found: no usable identifiers.'
         when 'unmatched' then 'Not found: no match by name, date of birth or e-mail.'
         when 'person_before' then concat('Already handled in this session (document ', document_id, '); skipped.')
@@ -96,12 +63,81 @@ def process_forms(forms: DataFrame, charts: DataFrame, ledger: DataFrame, as_of:
           if(sheet_failed, ' Sheet was unavailable; the row can be written later.', '')) end"""))
 
 
+def decide(j: DataFrame, ledger: DataFrame, session_start: datetime) -> DataFrame:
+    """Outcome, status and what is carried over, as if the batch's forms came one by one in form_id order.
+
+    The first form of a content that gets a document leads it; later ones repeat
+    it, like repeats of an uploaded ledger row. A repeat adds the missing sheet
+    row until one attempt succeeds. Among leaders, a person uploaded earlier in
+    the session, or by the batch's first leader, is not filed again. Only narrow
+    rows are shuffled, each hash and person being one row on the other side.
+    """
+    cases = staged(j.selectExpr(
+        "form_id", "coalesce(file_hash, concat('#', form_id)) as content", "action", "stage_error is not null as failed", "usable",
+        "action = 'process' and stage_error is null and usable and demographic_no is not null as files",
+        "demographic_no", "matched_by", "not sheet_failed as sheet_ok", "own_status", "description", "signature_present", "email",
+        "p_id", "p_status", "p_document_id", "p_sheet_row", "p_demographic_no", "p_signature_present", "p_email"), "cases")
+    leads = cases.groupBy("content").agg(F.min(F.when(F.col("files"), F.col("form_id"))).alias("lead"))
+    c = resharded_join(cases, leads, ["content"]).withColumn("repeat", F.expr("action <> 'process' or coalesce(form_id > lead, false)"))
+    chain = c.groupBy("content").agg(F.expr("min(if(repeat and sheet_ok, form_id, null))").alias("wrote"),
+                                     F.expr("min(if(repeat and not sheet_ok, form_id, null))").alias("missed"))
+
+    # one row per person: the newest upload of the session, the batch's first leader and its first written row
+    leaders = c.where("form_id = lead")
+    up = ledger.where(is_uploaded(F.col("document_id")) & (F.col("created_at") >= F.lit(session_start)))
+    prior = newest_per_key(up.where("coalesce(demographic_no, '') <> ''"), ["demographic_no"], "id").select(
+        "demographic_no", F.struct("id", "document_id", "status", "sheet_row").alias("prior"))
+    first = leaders.groupBy("demographic_no").agg(F.expr(
+        "min_by(struct(form_id, own_status, description, content, sheet_ok), form_id)").alias("first"))
+    first = first.withColumn("content", F.col("first.content")).join(chain.select("content", "wrote"), "content").selectExpr(
+        "demographic_no", "first", "if(first.sheet_ok, first.form_id, wrote) as row_of_first")
+    people = first.join(prior, "demographic_no", "left")
+
+    ok = "('completed', 'completed_no_signature', 'incomplete_informed')"
+    kept = lambda x: f"if({x} in {ok}, {x}, 'completed')"
+    led = resharded_join(leaders, people, ["demographic_no"]).withColumn("outcome", F.expr(
+        "case when prior is not null then 'person_before' when first.form_id <> form_id then 'person_in_batch' else 'filed' end"))
+    led = led.selectExpr(
+        "content", "struct(form_id as id, outcome, demographic_no, signature_present, email, "
+        f"case outcome when 'person_before' then {kept('prior.status')} when 'person_in_batch' then {kept('first.own_status')} "
+        "else own_status end as status, "
+        "case outcome when 'person_before' then prior.document_id "
+        "when 'person_in_batch' then concat_ws(':', demographic_no, first.description) "
+        "else concat_ws(':', demographic_no, description) end as document_id, "
+        "cast(case outcome when 'person_before' then prior.sheet_row when 'filed' then if(sheet_ok, form_id, null) "
+        "else if(row_of_first < form_id, row_of_first, null) end as bigint) as sheet_row) as l")
+    d = resharded_join(c, chain.join(led, "content", "left"), ["content"])
+    d = d.withColumn("k", F.expr("""if(action <> 'process',
+        struct(p_id as id, p_status as status, p_document_id as document_id, cast(p_sheet_row as bigint) as sheet_row,
+          p_demographic_no as demographic_no, p_signature_present as signature_present, p_email as email),
+        struct(l.id, l.status, l.document_id, l.sheet_row, l.demographic_no, l.signature_present, l.email))"""))
+    d = d.withColumn("outcome", F.expr("""case
+        when repeat then if(k.sheet_row is not null or coalesce(form_id > wrote, false), 'skip', 'add_row')
+        when failed then 'error' when not usable then 'unusable' when demographic_no is null then 'unmatched'
+        else l.outcome end"""))
+    return d.selectExpr(
+        "form_id", "usable", "matched_by", "demographic_no", "outcome", "if(repeat, outcome, 'process') as action", "own_status", "description",
+        f"""case when outcome = 'add_row' and not sheet_ok then 'error'
+            when repeat then if(k.sheet_row is null and coalesce(missed < least(form_id, coalesce(wrote, form_id)), false),
+              'completed', {kept('k.status')})
+            when outcome = 'error' then 'error' when outcome in ('unusable', 'unmatched') then 'not_found' else l.status end as status""",
+        "case when repeat then k.document_id when files then l.document_id end as document_id",
+        "case when repeat then k.demographic_no else demographic_no end as person",
+        """case when outcome = 'skip' then coalesce(k.sheet_row, wrote) when outcome = 'add_row' then if(sheet_ok, form_id, null)
+            when files then l.sheet_row end as sheet_row""",
+        "if(repeat, k.id, null) as p_id", "if(repeat, k.signature_present, null) as p_signature_present", "if(repeat, k.email, null) as p_email")
+
+
 def ledger_rows(done: DataFrame, at: datetime) -> DataFrame:
-    """Rows to append to the ledger for a processed batch."""
+    """Rows to append to the ledger for a processed batch.
+
+    A repeat keeps the earlier record's signature flag and sheet row, and its
+    e-mail where the form has none.
+    """
     return done.select(
         F.col("form_id").alias("id"), "source_filename", "file_hash", "status", "used_ocr", "first_name", "last_name",
-        "email", "dob", F.col("person").alias("demographic_no"), "signature_present", "document_id",
-        F.expr("if(outcome in ('filed', 'add_row') and not sheet_failed, form_id, null)").alias("sheet_row"),
+        F.expr("coalesce(nullif(email, ''), p_email)").alias("email"), "dob", F.col("person").alias("demographic_no"),
+        F.expr("if(p_id is null, signature_present, p_signature_present)").alias("signature_present"), "document_id", "sheet_row",
         F.date_trunc("second", F.lit(at)).alias("created_at"), "message")
 
 
@@ -135,7 +171,8 @@ def audit_events(done: DataFrame) -> DataFrame:
         ev("outcome = 'filed'", "document_uploaded", "description"),
         ev("outcome in ('filed', 'add_row') and not sheet_failed", "sheet_updated", "'row written'"),
         ev("outcome = 'filed' and sheet_failed", "error", "'sheet write failed, kept as completed'"),
-        ev(f"{dup} or {went_on}", "completed", "source_filename"),
+        ev("outcome = 'add_row' and sheet_failed", "error", "'sheet row still could not be written'"),
+        ev(f"({dup} or {went_on}) and not (outcome = 'add_row' and sheet_failed)", "completed", "source_filename"),
         ev("outcome = 'error'", "error", "stage_error"),
     ])
     return done.selectExpr("form_id", f"posexplode(array_compact(array({events}))) as (pos, e)").selectExpr(

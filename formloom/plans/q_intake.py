@@ -33,7 +33,7 @@ def processed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def final_status(spark: SparkSession, d: str) -> DataFrame:
-    return processed(spark, d).select("form_id", "outcome", "status", "document_id", F.col("person").alias("demographic_no"))
+    return processed(spark, d).select("form_id", "outcome", "status", "document_id", F.col("person").alias("demographic_no"), "sheet_row")
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:

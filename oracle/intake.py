@@ -17,37 +17,55 @@ BATCH = W.rstrip() + ", " + LEDGER + f""",
       ELSE []::VARCHAR[] END AS questions,
     f.form_id % 5 = 0 AS approved, f.form_id % 97 = 0 AS sheet_failed, f.form_id % 101 = 0 AS failed
   FROM forms f JOIN fd USING (form_id)),
- g AS (SELECT b.*, n.id AS p_id, n.status AS p_status, n.document_id AS p_doc, n.demographic_no AS p_person,
-    CASE WHEN coalesce(n.document_id, '') = '' THEN 'process' WHEN n.sheet_row IS NULL THEN 'add_row' ELSE 'skip' END
-      AS action,
-    checked AND len(questions) > 0 AND NOT approved AS incomplete
+ g AS (SELECT b.*, n.id AS p_id, n.status AS p_status, n.document_id AS p_doc, n.demographic_no AS p_person, n.sheet_row AS p_row,
+    coalesce(n.document_id, '') <> '' AS known, checked AND len(questions) > 0 AND NOT approved AS incomplete
   FROM b LEFT JOIN newest n ON n.file_hash = b.hash),
- o AS (SELECT g.*, CASE WHEN action = 'process' AND NOT failed THEN best.demographic_no END AS person,
-    CASE WHEN action = 'process' AND NOT failed THEN best.matched_by END AS via,
+ o AS (SELECT g.*, CASE WHEN NOT known AND NOT failed THEN best.demographic_no END AS person,
+    CASE WHEN NOT known AND NOT failed THEN best.matched_by END AS via,
     EXISTS (SELECT 1 FROM fk WHERE fk.form_id = g.form_id) AS usable,
     CASE WHEN incomplete THEN 'incomplete_informed' WHEN NOT signature_present THEN 'completed_no_signature'
       ELSE 'completed' END AS own,
     CASE WHEN incomplete THEN 'Intake form (incomplete)' ELSE 'Intake form' END AS descr
   FROM g LEFT JOIN best USING (form_id)),
- pr AS (SELECT demographic_no, arg_max(id, id) AS id, arg_max(document_id, id) AS doc, arg_max(status, id) AS st
+ q AS (SELECT *, min(form_id) FILTER (person IS NOT NULL AND usable) OVER (PARTITION BY hash) AS lead FROM o),
+ r AS (SELECT *, known OR coalesce(form_id > lead, FALSE) AS again FROM q),
+ ch AS (SELECT hash, min(form_id) FILTER (again AND NOT sheet_failed) AS wrote, min(form_id) FILTER (again AND sheet_failed) AS missed
+  FROM r GROUP BY hash),
+ pr AS (SELECT demographic_no, arg_max(id, id) AS id, arg_max(document_id, id) AS doc, arg_max(status, id) AS st,
+    max_by(struct_pack(x := sheet_row), id).x AS row
   FROM ledger WHERE coalesce(document_id, '') <> '' AND created_at >= TIMESTAMP '2024-01-25'
     AND coalesce(demographic_no, '') <> '' GROUP BY 1),
- fi AS (SELECT person, min(form_id) AS first_id, arg_min(own, form_id) AS first_own, arg_min(descr, form_id) AS first_descr
-  FROM o WHERE person IS NOT NULL GROUP BY 1),
- oc AS (SELECT o.*, pr.doc, pr.st, first_own, first_descr, CASE WHEN failed THEN 'error' WHEN action <> 'process' THEN action
-    WHEN NOT usable THEN 'unusable' WHEN o.person IS NULL THEN 'unmatched' WHEN pr.id IS NOT NULL THEN 'person_before'
-    WHEN first_id <> form_id THEN 'person_in_batch' ELSE 'filed' END AS outcome
-  FROM o LEFT JOIN pr ON pr.demographic_no = o.person LEFT JOIN fi ON fi.person = o.person),
- z AS (SELECT *, CASE WHEN outcome = 'error' THEN 'error' WHEN outcome IN ('add_row', 'skip') THEN {_kept('p_status')}
-    WHEN outcome IN ('unusable', 'unmatched') THEN 'not_found' WHEN outcome = 'person_before' THEN {_kept('st')}
-    WHEN outcome = 'person_in_batch' THEN first_own ELSE own END AS status,
-  CASE WHEN outcome IN ('add_row', 'skip') THEN p_doc WHEN outcome = 'person_before' THEN doc
-    WHEN outcome = 'person_in_batch' THEN person || ':' || first_descr WHEN outcome = 'filed' THEN person || ':' || descr
-    END AS document_id,
-  CASE WHEN outcome IN ('add_row', 'skip') THEN p_person ELSE person END AS demographic_no FROM oc),
+ le AS (SELECT * FROM r WHERE form_id = lead),
+ fi AS (SELECT le.person, le.form_id AS first_id, own AS first_own, descr AS first_descr,
+    CASE WHEN sheet_failed THEN wrote ELSE le.form_id END AS first_row
+  FROM le JOIN ch USING (hash) QUALIFY row_number() OVER (PARTITION BY person ORDER BY le.form_id) = 1),
+ ld AS (SELECT le.hash, le.form_id AS l_id, le.person AS l_person,
+    CASE WHEN pr.id IS NOT NULL THEN 'person_before' WHEN first_id <> le.form_id THEN 'person_in_batch' ELSE 'filed' END AS l_outcome,
+    CASE WHEN pr.id IS NOT NULL THEN {_kept('st')} WHEN first_id <> le.form_id THEN first_own ELSE own END AS l_status,
+    CASE WHEN pr.id IS NOT NULL THEN doc WHEN first_id <> le.form_id THEN le.person || ':' || first_descr ELSE le.person || ':' || descr END AS l_doc,
+    CASE WHEN pr.id IS NOT NULL THEN pr.row WHEN first_id <> le.form_id THEN CASE WHEN first_row < le.form_id THEN first_row END
+      WHEN NOT sheet_failed THEN le.form_id END AS l_row
+  FROM le LEFT JOIN pr ON pr.demographic_no = le.person JOIN fi ON fi.person = le.person),
+ k AS (SELECT r.* EXCLUDE (p_id), wrote, missed, l_outcome, l_status, l_doc, l_row,
+    CASE WHEN known THEN p_id ELSE l_id END AS p_id, CASE WHEN known THEN p_status ELSE l_status END AS k_status,
+    CASE WHEN known THEN p_doc ELSE l_doc END AS k_doc, CASE WHEN known THEN p_row ELSE l_row END AS k_row,
+    CASE WHEN known THEN p_person ELSE l_person END AS k_person
+  FROM r JOIN ch USING (hash) LEFT JOIN ld USING (hash)),
+ oc AS (SELECT *, CASE WHEN again THEN CASE WHEN k_row IS NOT NULL OR coalesce(form_id > wrote, FALSE) THEN 'skip' ELSE 'add_row' END
+    WHEN failed THEN 'error' WHEN NOT usable THEN 'unusable' WHEN person IS NULL THEN 'unmatched' ELSE l_outcome END AS outcome FROM k),
+ z AS (SELECT *, CASE WHEN again THEN outcome ELSE 'process' END AS action,
+    CASE WHEN outcome = 'error' OR outcome = 'add_row' AND sheet_failed THEN 'error'
+      WHEN again THEN CASE WHEN k_row IS NULL AND coalesce(missed < least(form_id, coalesce(wrote, form_id)), FALSE) THEN 'completed'
+        ELSE {_kept('k_status')} END
+      WHEN outcome IN ('unusable', 'unmatched') THEN 'not_found' ELSE l_status END AS status,
+    CASE WHEN again THEN k_doc WHEN l_outcome = outcome THEN l_doc END AS document_id,
+    CASE WHEN again THEN k_person ELSE person END AS demographic_no,
+    CASE outcome WHEN 'skip' THEN coalesce(k_row, wrote) WHEN 'add_row' THEN CASE WHEN NOT sheet_failed THEN form_id END
+      WHEN l_outcome THEN l_row END AS sheet_row FROM oc),
  ms AS (SELECT *, CASE outcome WHEN 'error' THEN 'registry error: timeout'
     WHEN 'skip' THEN 'Already filed (document ' || document_id || ') and on the sheet; skipped.'
-    WHEN 'add_row' THEN 'Already filed (document ' || document_id || '); missing sheet row added.'
+    WHEN 'add_row' THEN 'Already filed (document ' || document_id || ')' || CASE WHEN sheet_failed
+        THEN ', but the sheet row still could not be written.' ELSE '; missing sheet row added.' END
     WHEN 'unusable' THEN 'Not found: no usable identifiers.'
     WHEN 'unmatched' THEN 'Not found: no match by name, date of birth or e-mail.'
     WHEN 'filed' THEN CASE status WHEN 'incomplete_informed' THEN 'Filed as incomplete. Unanswered: '
@@ -75,19 +93,20 @@ EVENTS = [
     (f"{_fresh} AND incomplete", "completeness_incomplete", "array_to_string(questions, '; ')"),
     (f"{_fresh} AND usable", "patient_search", "'by name, date of birth, e-mail'"),
     ("outcome IN ('unusable', 'unmatched')", "patient_not_found", "message"),
-    ("outcome LIKE 'person%'", "duplicate_detected", "'person ' || demographic_no || ' already handled'"),
+    ("outcome LIKE 'person%'", "duplicate_detected", "'person ' || person || ' already handled'"),
     ("outcome = 'filed'", "patient_matched", "demographic_no || ' via ' || via"),
     ("outcome = 'filed'", "document_uploaded", "descr"),
     ("outcome IN ('filed', 'add_row') AND NOT sheet_failed", "sheet_updated", "'row written'"),
     ("outcome = 'filed' AND sheet_failed", "error", "'sheet write failed, kept as completed'"),
-    ("outcome IN ('add_row', 'skip', 'filed') OR outcome LIKE 'person%'", "completed", "source_filename"),
+    ("outcome = 'add_row' AND sheet_failed", "error", "'sheet row still could not be written'"),
+    ("outcome IN ('skip', 'filed') OR outcome = 'add_row' AND NOT sheet_failed OR outcome LIKE 'person%'", "completed", "source_filename"),
     ("outcome = 'error'", "error", "'registry error: timeout'"),
 ]
 _UNION = " UNION ALL ".join(
     f"SELECT form_id, {i} AS k, '{e}' AS event, {x} AS detail FROM ms WHERE {c}" for i, (c, e, x) in enumerate(EVENTS))
 
 SQL = {
-    "q_final_status": BATCH + "SELECT form_id, outcome, status, document_id, demographic_no FROM ms",
+    "q_final_status": BATCH + "SELECT form_id, outcome, status, document_id, demographic_no, sheet_row FROM ms",
     "q_messages": BATCH + """SELECT form_id, message, CASE WHEN status = 'incomplete_informed' THEN
       'Hello ' || coalesce(first_name, 'there') || ', some answers are missing'
       || CASE form_id % 9 WHEN 0 THEN ' (Pages 8 and 11)' WHEN 1 THEN ' (Page 9)' ELSE '' END || '.'

@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from formloom.plans import intake as P
 from formloom.sources import files as FL
 from formloom.sources import sheets as S
 from formloom.streaming import decisions as D
@@ -138,7 +139,7 @@ def test_intake_stream_over_batches(spark, tmp_path):
         2: ("error", None, None),
         3: ("not_found", None, None),
         4: ("completed", "7:Intake form", 4),  # same content: the missing sheet row is added
-        5: ("completed", "7:Intake form", None),  # other file, same person, same session
+        5: ("completed", "7:Intake form", None),  # other file, same person, same batch: the first leader has no row yet
         6: ("incomplete_informed", "8:Intake form (incomplete)", 6),
     }
     assert spark.read.parquet(f"{root}/ledger").count() == 6
@@ -150,6 +151,26 @@ def test_intake_stream_over_batches(spark, tmp_path):
                       "sheet_updated", "completed"]
 
 
+def test_one_batch_equals_one_by_one(spark, tmp_path):
+    """Four drops of one file, a second file of the person, failed sheets and failed stages: one sheet row, whatever the cut."""
+    charts = spark.createDataFrame([("7", "Boole", "Ann", "2001-05-10", "", "active"), ("8", "Curie", "Bea", "1990-01-02", "", "active")], CHARTS)
+    rows = [form(1, "a", error="unreadable"), form(2, "a", sheet_failed=True), form(3, "a", sheet_failed=True), form(4, "a"), form(5, "a"), form(6, "a"),
+            form(7, "b"), form(8, "b"), form(9, "c", "No", "Body", None), form(10, "c", "No", "Body", None),
+            form(11, "d", "Bea", "Curie", "1990-01-02", False, ["q"], sheet_failed=True), form(12, "d", "Bea", "Curie", "1990-01-02"), form(13, "e", "Bea", "Curie", "1990-01-02"), form(14, None)]
+
+    def ledger_after(groups):
+        ledger = spark.createDataFrame([], LEDGER)
+        for g in groups:
+            done = P.process_forms(spark.createDataFrame(g, FORMS), charts, ledger, date(2024, 6, 30), datetime(2024, 1, 1))
+            ledger = spark.createDataFrame(ledger.unionByName(P.ledger_rows(done, NOW)).select(ledger.columns).collect(), LEDGER)
+        return {r.id: (r.status, r.document_id, r.demographic_no, r.sheet_row, r.signature_present, r.message) for r in ledger.collect()}
+
+    whole = ledger_after([rows])
+    assert whole == ledger_after([[r] for r in rows])
+    assert [whole[i][3] for i in range(1, 9)] == [None, None, None, 4, 4, 4, 4, 4]
+    assert whole[3][0] == "error" and whole[12][0] == "incomplete_informed" and whole[12][4] is False and whole[13][3] == 12 and whole[14][3] == 4
+
+
 def test_stream_guard_equals_one_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = spark.range(300).selectExpr("id", "string(if(id % 3 = 0, -1, id % 20)) as k")
