@@ -114,7 +114,8 @@ def url_origin(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), host)
 
 
-GENERIC_FIELD_PATTERN = r"(?i)^(check[ \t]*box|checkbox|undefined|field|text)\s*[0-9]*$"
+# Fixed value: names that form editors give to fields by themselves.
+GENERIC_FIELD_PATTERN = r"(?iU)^(check\s*box|checkbox|undefined|field|text)\s*[0-9]*$"
 
 
 def is_generic_field(name: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -55,15 +56,21 @@ def pair_value(pairs: str, field: str, labels, as_of: date, exact: bool = False,
 
 def with_label_lines(df: DataFrame, text: str = "text", labels=None, out: str = "label_lines") -> DataFrame:
     every = {x for xs in (labels or DEMOGRAPHIC_LABELS).values() for x in xs}
-    return df.withColumn("_lines", text_lines(text)).withColumn(out, label_lines("_lines", every)).drop("_lines")
+    rows = df.withColumn("_lines", text_lines(text)).withColumn(out, label_lines("_lines", every)).drop("_lines")
+    ends = "".join(sorted({x[-1] for x in every}))
+    return rows.withColumn("has_inline", F.col(text).rlike(rf"(?i)[{re.escape(ends)}][:\-]"))
 
 
 def text_value(field: str, labels, as_of: date, text: str = "text", found: str = "label_lines") -> Column:
-    """Label by label: the inline value, else a plausible value on a later line."""
+    """Label by label: the inline value, else a plausible value on a later line.
+
+    One pass (`has_inline`) tells whether any label can stand before a colon or
+    dash; only then is the text searched label by label.
+    """
     out = []
     for x in labels:
         v = next_line_value_sql(found, x)
-        out += [inline_value_sql(text, x), f"if({plausible_sql(field, v, as_of)}, {v}, null)"]
+        out += [f"if(has_inline, {inline_value_sql(text, x)}, null)", f"if({plausible_sql(field, v, as_of)}, {v}, null)"]
     return F.expr(f"coalesce({', '.join(out)})")
 
 
@@ -137,6 +144,7 @@ def option_in_text(text: Column, priority: tuple[str, ...] = PRONOUN_OPTIONS) ->
     return F.coalesce(*[F.when(F.contains(low, F.lit(o.lower())), o) for o in priority])
 
 
+# What makes a paragraph an answered or an open question.
 QUESTION_ANSWERED = r"(?iU)\b(never|rarely|sometimes|often|very often|yes|no|\b[0-4]\b)"
 QUESTION_OPEN = r"(?U)\?$|^[0-9]+[.)]\s+\w"
 SCALE_WORDS = r"(?i)never or rarely|sometimes|often or very often"

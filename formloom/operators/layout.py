@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .grid import PAGE
 from .skew import resharded_join
 
+# What counts as a mark; referral boxes are ticked with a dash as well.
 GLYPHS = r"^[xX✓√✔✗✘●•*]+\z"
+REFERRAL_GLYPHS = r"^[xX✓√✔✗✘●•*-]+\z"
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
@@ -115,13 +117,21 @@ def first_pairs(neighbours: DataFrame) -> DataFrame:
         F.expr("min_by(value, struct(page_no, ord))").alias("value"))
 
 
-def checkbox_of_anchor(drawings: DataFrame, anchors: DataFrame, margin: float = 140.0) -> DataFrame:
-    """Largest small box left of an anchor, within its vertical window.
+def near_height(left: DataFrame, y: str, right: DataFrame, ry: str, reach: float) -> DataFrame:
+    """Rows of a page whose heights `y` and `ry` are at most about `reach` apart; callers test the exact distance.
 
-    Pages carry one or two anchors, so the join adds no fan-out.
+    Heights are cut into bands of `reach`; a left row meets the right rows of
+    its own band and the two beside it, so a page's work follows its rows.
     """
+    band = lambda c: F.floor(F.expr(c) / reach)
+    beside = right.withColumn("_band", F.explode(F.sequence(band(ry) - 1, band(ry) + 1)))
+    return left.withColumn("_band", band(y)).join(beside, [*PAGE, "_band"]).drop("_band")
+
+
+def checkbox_of_anchor(drawings: DataFrame, anchors: DataFrame, margin: float = 140.0) -> DataFrame:
+    """Largest small box left of an anchor, within its vertical window."""
     a = anchors.select(*PAGE, "anchor", F.col("x0").alias("ax0"), F.col("y0").alias("ay0"))
-    j = drawings.join(a, PAGE).where(
+    j = near_height(drawings, "y0", a, "ay0", 34.0).where(
         f"""x1 - x0 between 8 and 34 and y1 - y0 between 8 and 34 and x1 <= ax0 and x0 < {margin}D
             and y0 between ay0 - 34 and ay0 + 8""")
     best = "max_by(struct(x0, y0, x1, y1), struct((x1 - x0) * (y1 - y0), -y0, -x0))"
@@ -129,14 +139,15 @@ def checkbox_of_anchor(drawings: DataFrame, anchors: DataFrame, margin: float =
 
 
 def marks_left_of(words: DataFrame, options: DataFrame, reach: float = 60.0, tolerance: float = 8.0,
-                  short_words: bool = False) -> DataFrame:
+                  short_words: bool = False, glyphs: str = GLYPHS) -> DataFrame:
     """Options with a mark glyph just left of their label.
 
-    `short_words` also accepts any text of one or two characters.
+    `short_words` also accepts any text of one or two characters; referral
+    boxes pass REFERRAL_GLYPHS, which have a dash as well.
     """
-    glyph = f"(btrim(word) rlike r'{GLYPHS}'" + (" or length(btrim(word)) between 1 and 2)" if short_words else ")")
+    glyph = f"(btrim(word) rlike r'{glyphs}'" + (" or length(btrim(word)) between 1 and 2)" if short_words else ")")
     o = options.select(*PAGE, "option", F.col("x0").alias("ox0"), ((F.col("y0") + F.col("y1")) / 2).alias("oc"))
-    j = words.where(glyph).join(o, PAGE).where(
+    j = near_height(words.where(glyph), "(y0 + y1) / 2", o, "oc", tolerance).where(
         f"x1 <= ox0 and x0 >= ox0 - {reach}D and abs((y0 + y1) / 2 - oc) <= {tolerance}D")
     return j.select(*PAGE, "option").distinct()
 
@@ -147,7 +158,7 @@ def yes_no_rows(widgets: DataFrame, labels: DataFrame, marked: Column) -> DataFr
     Null `yes` means the widgets do not tell and ink has to decide.
     """
     lab = labels.select(*PAGE, "item", F.col("y0").alias("ly"))
-    j = widgets.withColumn("_m", marked).join(lab, PAGE).where(
+    j = near_height(widgets.withColumn("_m", marked), "y0", lab, "ly", 10.0).where(
         "abs(y0 - ly) <= 10 and x0 < 360 and x1 - x0 < 40")
     g = j.groupBy(*PAGE, "item").agg(
         F.count(F.lit(1)).alias("boxes"), F.bool_or("_m").alias("any_marked"), F.max_by("_m", F.struct("x0", "_m")).alias("right_marked"))

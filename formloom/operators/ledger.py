@@ -133,8 +133,9 @@ def progress(ledger: DataFrame, *by: str) -> DataFrame:
 
 
 def failed_again(ledger: DataFrame) -> DataFrame:
-    """Rows to feed into the next run: failed ones, by their newest version."""
-    return ledger.where("status = 'error'")
+    """Rows to feed into the next run: those whose newest version failed."""
+    rows = newest_per_key(ledger, ["id"], "version") if "version" in ledger.columns else ledger
+    return rows.where("status = 'error'")
 
 
 def audit_trail(audit: DataFrame, record_id: int | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ def corrections(spark: SparkSession, d: str) -> DataFrame:
 
 def document_index_check(spark: SparkSession, d: str) -> DataFrame:
     batch = T.ledger(spark, d).where("coalesce(document_id, '') <> ''").select("id", "document_id")
-    index = T.charts(spark, d).where("cast(demographic_no as bigint) % 5 <> 0").select(
+    index = T.charts(spark, d).where("status = 'active'").select(
         F.concat_ws(":", "demographic_no", F.lit("Form")).alias("document_id"))
     return C.confirm_documents(batch, index)
 

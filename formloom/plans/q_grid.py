@@ -86,7 +86,7 @@ def page_source(spark: SparkSession, d: str) -> DataFrame:
     rows = G.widget_rows(w.withColumn("filled", (w.field_value == "x") & (w.page_no % 2 == 0)))
     wp = rows.groupBy(*P).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("answered")).alias("unanswered"),
                               F.bool_or("answered").alias("any_filled"))
-    ink = G.answered_rows(T.ink_cells(spark, d).where("page_no <> 9"))
+    ink = G.answered_rows(T.ink_cells(spark, d))
     ip = ink.groupBy(*P).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("answered")).alias("unanswered"))
     return G.page_source(wp, ip)
 

@@ -13,7 +13,10 @@ from ..streaming import intake as S
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return S.stream_table(spark, d, schema, "events.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return S.stream_table(spark, f"{d}/events.parquet", schema)
+    return S.stream_table(spark, d, schema, "events.parquet")  # a stream reads folders, and this table is a file
 
 
 def stream_intake(spark: SparkSession, d: str) -> DataFrame:

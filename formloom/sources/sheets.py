@@ -163,21 +163,28 @@ def check_header(spark: SparkSession, path: str, expected: Sequence[str]) -> boo
     """False when nothing is there yet; an existing other header is an error."""
     try:
         found = spark.read.option("header", True).option("escape", '"').csv(path).columns
-    except AnalysisException:
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
         return False
     if found and list(found) != list(expected):
         raise ValueError(f"sheet {path} has header {found}, expected {list(expected)}")
     return bool(found)
 
 
+class SheetLocked(Exception):
+    """A writer's way to say that its target takes no rows now; nothing was written."""
+
+
 def write_or_fall_back(rows: DataFrame, path: str, writer: Callable[[DataFrame, str], str] = write_csv) -> str:
-    """Write to the sheet, or to a sibling if it refuses; returns the target.
+    """Write to the sheet, or to a sibling where it is locked; returns the target.
 
-    A failed Spark write commits nothing, so the sibling holds each row once.
+    Only a refusal of the target leads to the sibling; wrong columns or failed
+    tasks are errors of the rows and stay errors.
     """
     try:
         return writer(rows, path)
-    except Exception:  # any refusal of the target
+    except (SheetLocked, PermissionError):
         return write_csv(rows, path.rstrip("/") + "_LOCKED_ROWS")
 
 

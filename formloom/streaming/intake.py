@@ -59,20 +59,21 @@ def first_of_key(stream: DataFrame, key: str, order: str, seen: str, out: str, c
                  guarded: str = "true"):
     """Answer every row of a stream: the first of its key, or a repeat of it.
 
-    Rows where `guarded` (SQL) is false are always firsts and are not
-    remembered, such as rows from before the session. Adds `first_id`.
+    Rows where `guarded` (SQL) is false, such as rows from before the session,
+    and rows without a key are always firsts and are not remembered. Adds
+    `first_id`. Each batch reads the keys that earlier batches remembered.
     """
     spark = stream.sparkSession
     known_schema = stream.select(key, F.col(order).alias("first_id")).schema
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         known = written(spark, seen, known_schema, batch_id)
-        keyed = batch.where(guarded)
+        keyed = batch.where(f"({guarded}) and {key} is not null")
         fresh = keyed.groupBy(key).agg(F.min(order).alias("first_id")).join(known, key, "left_anti")
         write_batch(fresh, seen, batch_id)
         fresh = read_batch(spark, seen, batch_id)
         answered = resharded_join(keyed, known.unionByName(fresh), [key])
-        rest = batch.where(f"not coalesce({guarded}, false)").withColumn("first_id", F.col(order))
+        rest = batch.where(f"not coalesce({guarded}, false) or {key} is null").withColumn("first_id", F.col(order))
         write_batch(answered.unionByName(rest), out, batch_id)
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -108,15 +109,3 @@ def run_intake(stream: DataFrame, charts: DataFrame, root: str, as_of: date, ses
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint")
             .trigger(availableNow=True).start())
-
-
-def observed(rows: DataFrame, name: str = "intake") -> DataFrame:
-    """Stage counters for a StreamingQueryListener or an Observation."""
-    return rows.observe(name, F.count(F.lit(1)).alias("rows"),
-                        F.count_if(F.col("status") == "error").alias("errors"),
-                        F.count_if(F.col("status") == "not_found").alias("not_found"))
-
-
-def content_firsts(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
-    """Drop repeats of a content that arrive within the delay (no answers needed)."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])

@@ -1,7 +1,7 @@
 """Expected results of the chart queries."""
 
 from .matching import W
-from .tables import FORMS, LEDGER, dob, first, last, preferred, strip, with_
+from .tables import CHARTS, FORMS, LEDGER, dob, first, last, preferred, strip, with_
 
 LINKED = """, linked AS (
   SELECT f.form_id, c.demographic_no, f.first_name AS t_first, f.last_name AS t_last, f.pref_name AS t_pref,
@@ -82,7 +82,7 @@ SQL = {
         CASE WHEN ed AND v = 0 THEN NULL WHEN ed AND v = 1 THEN '2001-02-03' ELSE dob_raw END AS dob_raw,
         CASE WHEN ed AND form_id % 2 = 0 THEN 'a=' || form_id || ';b=new;c=extra'
           ELSE 'a=' || form_id || ';b=old' END AS answers FROM e""",
-    "q_document_index_check": with_(LEDGER) + """SELECT id, document_id, document_id IN
-      (SELECT c_custkey::VARCHAR || ':Form' FROM customer WHERE c_custkey % 5 <> 0) AS confirmed
+    "q_document_index_check": with_(CHARTS, LEDGER) + """SELECT id, document_id, document_id IN
+      (SELECT demographic_no || ':Form' FROM charts WHERE status = 'active') AS confirmed
       FROM ledger WHERE coalesce(document_id, '') <> ''""",
 }

@@ -90,7 +90,7 @@ SQL = {
       WHEN len(plist) = 1 THEN 'Page ' || plist[1] ELSE 'Pages ' || array_to_string(plist[1:-2], ', ') || ' and '
       || plist[-1] END AS pages_label FROM final""",
     "q_widget_rows": _w(FILLED) + " SELECT * FROM wr",
-    "q_page_source": _w("field_value = 'x' AND page_no % 2 = 0") + rows(where="page_no <> 9") + """,
+    "q_page_source": _w("field_value = 'x' AND page_no % 2 = 0") + rows() + """,
       wp AS (SELECT doc_id, page_no, count(*) AS rows, count(*) FILTER (NOT answered) AS un, bool_or(answered) AS f
         FROM wr GROUP BY ALL),
       ip AS (SELECT doc_id, page_no, count(*) AS rows, count(*) FILTER (NOT answered) AS un FROM gr GROUP BY ALL)

@@ -214,7 +214,7 @@ SQL = {
         WHEN 3 THEN '(' || p_name || ')' WHEN 4 THEN '  ' || p_name || ': ' ELSE 'Online search eg any' END AS name
         FROM part)
       SELECT p_partkey,
-        regexp_matches({_n}, '(?i)^(check[ \t]*box|checkbox|undefined|field|text)\s*[0-9]*$') AS generic,
+        regexp_matches({_n}, '(?i)^(check\s*box|checkbox|undefined|field|text)\s*[0-9]*$') AS generic,
         CASE WHEN name = 'Online search eg any' THEN 'Online search' WHEN lower(name) LIKE '% name'
           THEN {strip('substr(name, 1, length(name) - 5)')} ELSE {_n} END AS cleaned,
         substr({strip(f"rtrim({strip(_CUT)}, ':')")}, 1, 40) AS printed FROM p""",

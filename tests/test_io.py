@@ -185,6 +185,25 @@ def test_stream_guard_equals_one_batch(spark, tmp_path):
     assert firsts.where("n <> 1 or f <> 1").count() == 0
 
 
+def test_stream_guard_keeps_rows_without_a_key(spark, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "g")
+    rows = spark.range(40).selectExpr("id", "if(id % 4 = 0, null, string(id % 4)) as k")
+    rows.repartition(4).write.parquet(src)
+    I.first_of_key(I.stream_table(spark, src, rows.schema, max_files=1), "k", "id", f"{root}/seen", f"{root}/out", f"{root}/cp").awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    assert out.count() == 40 and out.where("k is null and first_id = id").count() == 10
+    assert out.where("k is not null and first_id = id").count() == 3
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    from formloom.plans import q_stream
+
+    whole = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{whole}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    a, b = (q_stream.stream_intake(spark, d) for d in (whole, str(tmp_path)))
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
 def test_decisions_on_tables(spark):
     t = lambda s: datetime(2024, 1, 1, 0, s // 60, s % 60)
     req = spark.createDataFrame([(1, "review", t(0)), (2, "confirm", t(0)), (3, "email", t(0))], "form_id long, kind string, requested_at timestamp")
