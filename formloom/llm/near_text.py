@@ -17,10 +17,12 @@ WORDS, THRESHOLD = 5, 0.8
 VALUES, BAND = 96, 4
 #: A pair is dropped once its similarity reaches the threshold with less than this probability.
 TOLERANCE = 1e-5
-STEP = 8
+STEP = 8  # values at a time; VALUES stay below 256, as matches are counted in bytes
 #: Rows of a bucket or cluster meet in blocks of these many.
 BLOCK = 256
 STORE_WORDS = 300_000
+#: Bits of the filter in front of the texts' exact join.
+FILTER_BITS = 1 << 26
 _RNG = np.random.default_rng(20_111)
 _A = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -58,12 +60,12 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The VALUES MinHash values, 32 bits each."""
+    """The low 16 bits of VALUES MinHash values; two values agree by chance once in 65,536."""
     low = np.full(VALUES, (1 << 32) - 1, np.uint32)
     for a in range(0, len(shingles), 512):
         x = shingles[a : a + 512, None] * _A + _B
         low = np.minimum(low, (x >> np.uint64(32)).astype(np.uint32).min(0))
-    return low
+    return low.astype(np.uint16)
 
 
 def least_matches(threshold: float, tolerance: float, values: int = VALUES) -> list[int]:
@@ -84,21 +86,29 @@ def least_matches(threshold: float, tolerance: float, values: int = VALUES) -> l
 
 
 def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left x right, each pair once) that are still alive after all values, compared STEP at a time."""
-    i, j = np.meshgrid(left, right, indexing="ij")
-    i, j = i.ravel(), j.ravel()
-    if left is right:
-        i, j = i[i < j], j[i < j]
-    same = np.zeros(len(i), np.int32)
-    for a in range(0, sig.shape[1], STEP):
-        b = min(a + STEP, sig.shape[1])
-        for k in range(a, b):
-            same += sig[i, k] == sig[j, k]
-        alive = same >= least[b]
-        i, j, same = i[alive], j[alive], same[alive]
+    """Pairs (left x right, each pair once) that are still alive after all values, compared STEP at a time.
+
+    While many pairs are alive, whole rows of values are compared; the few left later are compared one by one.
+    """
+    a, b = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[right].T)
+    same = np.zeros((len(left), len(right)), np.uint8)
+    alive = np.triu(np.ones(same.shape, bool), 1) if left is right else np.ones(same.shape, bool)
+    at = 0
+    while at < len(a) and alive.mean() > 0.02:
+        for k in range(at, at := min(at + STEP, len(a))):
+            same += a[k][:, None] == b[k]
+        alive &= same >= least[at]
+    i, j = np.nonzero(alive)
+    same = same[i, j].astype(np.int32)
+    for at in range(at, len(a), STEP):
         if not len(i):
             break
-    return i, j
+        end = min(at + STEP, len(a))
+        for k in range(at, end):
+            same += a[k][i] == b[k][j]
+        keep = same >= least[end]
+        i, j, same = i[keep], j[keep], same[keep]
+    return left[i], right[j]
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -157,93 +167,110 @@ def in_blocks(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
     own tells which of the two a row is of.
     """
     rows = rows.withColumn("blocks", F.ceil(F.col(count) / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other", count)
 
 
-def sides(key: tuple, t) -> tuple[np.ndarray, np.ndarray]:
-    own = np.array(t.column("own").to_pylist())
-    left = np.flatnonzero(own == key[-2])
-    return left, left if key[-2] == key[-1] else np.flatnonzero(own == key[-1])
+class Block:
+    """The rows of two blocks that meet: their ids in ascending order, and which pairs are to be compared."""
+
+    def __init__(self, key: tuple, t):
+        ids = t.column("cid").to_numpy()
+        order = np.argsort(ids)
+        self.rows, self.ids = t.take(order), ids[order]
+        own = self.rows.column("own").to_numpy()
+        self.left = np.flatnonzero(own == key[-2])
+        self.right = self.left if key[-2] == key[-1] else np.flatnonzero(own == key[-1])
+        self.sig = np.frombuffer(b"".join(self.rows.column("sig").to_pylist()), np.uint16).reshape(len(ids), VALUES)
+
+    def survivors(self, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.left) or not len(self.right):
+            return self.left[:0], self.left[:0]
+        return survivors(self.sig, self.left, self.right, least)
 
 
 def clusters(classes: DataFrame, least: list[int]) -> DataFrame:
-    """node and root: texts that pairs alive after pruning connect, from (key, sig).
+    """node and root: classes that pairs alive after pruning connect, from (cid, sig).
 
     Texts that share a band of MinHash values meet; of buckets with the same
     members one is kept. No pair leaves a task, only one link a text and block.
     """
-    bands = F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * BAND) + 1, 4 * BAND)))
-    members = classes.select("key", F.explode(bands).alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min("key").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x")).where("c > 1")
+    width = 2 * BAND
+    bands = F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * width + 1, width)))
+    members = classes.select("cid", F.explode(bands).alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min("cid").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x")).where("c > 1")
     shared = shared.groupBy("c", "m", "x").agg(F.min("band").alias("band")).select("band", "c")
     met = in_blocks(resharded_join(members, shared, ["band"]), ["band"], "c")
-    met = resharded_join(met, classes.select("key", "sig"), ["key"]).select("band", "i", "j", "own", "key", "sig")
+    met = resharded_join(met, classes.select("cid", "sig"), ["cid"]).select("band", "i", "j", "own", "cid", "sig")
 
     def run(key, t):
-        left, right = sides(key, t)
-        if not len(left) or not len(right):
-            return
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, VALUES)
-        i, j = survivors(sig, left, right, least)
+        block = Block(key, t)
+        i, j = block.survivors(least)
         if len(i):
-            names = t.column("key").to_pylist()
-            order = np.array(sorted(range(len(names)), key=names.__getitem__))
-            rank = np.argsort(order)
-            root = roots(len(names), rank[i], rank[j])
-            at = np.flatnonzero(root != np.arange(len(names)))
-            yield {"a": [names[order[x]] for x in at], "b": [names[order[root[x]]] for x in at]}
+            root = roots(len(block.ids), i, j)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield {"a": block.ids[at], "b": block.ids[root[at]]}
 
-    edges = map_groups(met, ["band", "i", "j"], run, "a binary, b binary").distinct()
-    return components(edges)
+    return components(map_groups(met, ["band", "i", "j"], run, "a long, b long").distinct())
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and text of the wanted keys, one row each.
+
+    A bitmap of the wanted keys' hashes, 8 MB at most whatever their number, is
+    broadcast first: texts whose bit is not set are not shuffled. It decides
+    nothing; the exact join follows.
+    """
+    place = F.pmod(F.xxhash64("key"), FILTER_BITS) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    texts = docs.where("text is not null").select(key_of_text().alias("key"), "text").withColumn("_bucket", F.bitmap_bucket_number(place))
+    texts = texts.withColumn("_at", F.bitmap_bit_position(place)).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    texts = texts.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select("key", "text")
+    return resharded_join(texts, wanted, ["key"], "leftsemi").groupBy("key").agg(F.first("text").alias("text"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """The documents that can link (doc_id, key), and a row for each distinct text: key, class_id, n_links, root, component_id."""
+    """The documents that can link (doc_id, key), and a row for each distinct text: key, class_id, n_links, component_id, keeper."""
     least = least_matches(threshold, tolerance)
     each = written(signed(docs), "near-text")
     classes = each.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes, "near-classes")
-    groups = clusters(classes, least).withColumnRenamed("node", "key")
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    groups = clusters(classes, least).withColumnRenamed("node", "cid")
     sizes = groups.groupBy("root").agg(F.count("*").alias("c"))
-    inside = written(resharded_join(groups, sizes, ["root"]), "near-groups")
-    texts = resharded_join(docs.where("text is not null").select(key_of_text().alias("key"), "text"), inside.select("key"), ["key"], "leftsemi")
-    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    rows = inside.join(texts, "key").join(classes.select("key", "copies", "sig"), "key")
-    met = in_blocks(rows, ["root"], "c").select("root", "i", "j", "own", "key", "copies", "sig", "text")
+    inside = resharded_join(groups, sizes, ["root"]).join(classes.select("cid", "key", "copies", "sig"), "cid")
+    inside = written(inside, "near-groups")
+    rows = inside.join(texts_of(docs, inside.select("key")), "key").drop("key")
+    met = in_blocks(rows, ["root"], "c").select("root", "i", "j", "own", "cid", "copies", "sig", "text")
 
     def run(key, t):
-        left, right = sides(key, t)
-        if not len(left) or not len(right):
-            return
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, VALUES)
-        i, j = survivors(sig, left, right, least)
+        block = Block(key, t)
+        i, j = block.survivors(least)
         if not len(i):
             return
-        shingler, used = Shingler(), np.zeros(t.num_rows, bool)
+        n = len(block.ids)
+        shingler, used = Shingler(), np.zeros(n, bool)
         used[i] = used[j] = True
-        sets = [shingler.of(x.as_py()) if u else np.zeros(0, np.uint64) for u, x in zip(used, t.column("text"), strict=True)]
+        sets = [shingler.of(x.as_py()) if u else np.zeros(0, np.uint64) for u, x in zip(used, block.rows.column("text"), strict=True)]
         size = np.array([len(s) for s in sets])
         both = overlaps(sets, i, j)
         near = both >= threshold * (size[i] + size[j] - both) - 1e-9
         i, j = i[near], j[near]
-        copies = np.array(t.column("copies").to_pylist())
-        n = np.bincount(i, copies[j], t.num_rows) + np.bincount(j, copies[i], t.num_rows)
-        names = t.column("key").to_pylist()
-        order = np.array(sorted(range(len(names)), key=names.__getitem__))
-        rank = np.argsort(order)
-        root = roots(len(names), rank[i], rank[j])
-        at = np.flatnonzero(n)
-        yield {"a": [names[x] for x in at], "n": n[at].astype(np.int64), "b": [names[order[root[rank[x]]]] for x in at]}
-
-    links = written(map_groups(met, ["root", "i", "j"], run, "a binary, n long, b binary"), "near-links")
-    counts = links.groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "key")
-    found = components(links.select("a", "b").distinct()).withColumnRenamed("node", "key")
-    out = classes.select("key", "class_id", "copies").join(counts, "key", "left").join(found, "key", "left")
-    out = out.select("key", "class_id", F.coalesce("root", "key").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least_id = out.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id").isNull(), "class_id", "key"))["key"].alias("keeper"))
-    return each.select("doc_id", "key"), written(resharded_join(out, least_id, ["root"]), "near-result")
+        copies = block.rows.column("copies").to_numpy()
+        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+        root, at = roots(n, i, j), np.flatnonzero(links)
+        yield {"a": block.ids[at], "n": links[at].astype(np.int64), "b": block.ids[root[at]]}
+
+    links = written(map_groups(met, ["root", "i", "j"], run, "a long, n long, b long"), "near-links")
+    counts = links.groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "cid")
+    found = components(links.select("a", "b").distinct()).withColumnRenamed("node", "cid")
+    out = classes.select("cid", "key", "class_id", "copies").join(counts, "cid", "left").join(found, "cid", "left")
+    out = out.select("cid", "key", "class_id", F.coalesce("root", "cid").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    first = out.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "cid")).alias("first"))
+    out = resharded_join(out, first, ["root"]).select(
+        "key", "class_id", "n_links", F.col("first.class_id").alias("component_id"), (F.col("cid") == F.col("first.cid")).alias("keeper"))
+    return each.select("doc_id", "key"), written(out, "near-result")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -273,7 +300,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     The row with the smallest doc_id stays; of rows equal in doc_id and text one.
     """
     _, result = near_classes(docs, threshold, tolerance)
-    keep = result.where(F.col("key") == F.col("keeper")).select(F.col("key").alias("_key"), F.col("class_id").alias("_first"))
+    keep = result.where("keeper").select(F.col("key").alias("_key"), F.col("class_id").alias("_first"))
     rows = docs.withColumn("_key", key_of_text())
     worded = F.coalesce(F.length(F.trim("text", F.lit(SPACES))) > 0, F.lit(False))
     stay = resharded_join(rows.where(worded), keep, ["_key"]).where(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
