@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import as_batch, map_groups, remainder, table, work_path, written
+from formloom.llm.common import as_batch, map_batches, map_groups, remainder, table, work_path, written
 
 #: Added to every count by the base score.
 PRIOR = 0.1
@@ -22,7 +22,9 @@ PROBES, BITS = 5, 12
 LEAST = 2
 #: Weight of the pair's relative count; the rest is the base probability.
 WEIGHT = 0.2
-BLOCK_BYTES, SHARD_BYTES = 24 << 20, 32 << 20
+#: Fixed value: the seed of Spark's xxhash64, so that both sides hash a word alike.
+HASH_SEED = 42
+BLOCK_BYTES, SHARD_BYTES = 32 << 20, 32 << 20
 #: A filter up to this size is broadcast; a larger one is probed where its shards are.
 BROADCAST_BYTES = 64 << 20
 
@@ -104,45 +106,65 @@ class TextBlock:
         self.texts.append(np.array(codes, np.int32))
         self.bytes += len(text or "") + 64
 
-    def rows(self, block: int, shards: int):
+    def rows(self, block: int):
+        """One row with the texts, and rows with the words; more frequent words get smaller codes."""
         import xxhash
 
         codes = np.concatenate(self.texts)
         lengths = np.array([len(x) for x in self.texts])
+        words = np.array(list(self.codes), object)
+        order = np.argsort(-np.bincount(codes, minlength=len(words))[1:], kind="stable") + 1
+        order = np.append(0, order)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words))
+        codes, words = place[codes], words[order].tolist()
         learned = np.repeat(~np.array(self.held), lengths)
-        words = list(self.codes)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
         counts = np.bincount(codes[learned], minlength=len(words))
-        empty = dict.fromkeys(("ids", "held", "lengths", "codes", "hashes", "first", "words", "counts", "shard", "pairs", "seen"), [None])
-        yield empty | {"kind": ["text"], "block": [block], "ids": [self.ids], "held": [self.held], "lengths": [lengths], "codes": [codes.tobytes()], "hashes": [hashes.tobytes()]}
+        hashes = np.array([xxhash.xxh64_intdigest(w, HASH_SEED) for w in words], np.uint64)
+        empty = dict.fromkeys(("ids", "held", "lengths", "codes", "hashes", "first", "words", "counts"), [None])
+        yield empty | {"kind": ["text"], "block": [block], "ids": [self.ids], "held": [self.held], "lengths": [lengths],
+                       "codes": [planes(codes)], "hashes": [hashes.tobytes()]}
         for a in range(0, len(words), 1 << 15):
             yield empty | {"kind": ["words"], "block": [block], "first": [a], "words": [words[a : a + (1 << 15)]], "counts": [counts[a : a + (1 << 15)]]}
-        shard, low = shard_of(grams_of(codes, lengths, hashes), shards)
-        each = np.sort((shard << np.uint64(33)) | (low << np.uint64(1)) | learned.astype(np.uint64))
-        first = np.flatnonzero(np.append(True, each[1:] >> np.uint64(1) != each[:-1] >> np.uint64(1)))
-        seen = np.add.reduceat((each & np.uint64(1)).astype(np.int64), first).astype(np.uint32)
-        pair = each[first] >> np.uint64(1)
-        cut = np.flatnonzero(np.append(True, pair[1:] >> np.uint64(32) != pair[:-1] >> np.uint64(32)))
-        for a, b in zip(cut, [*cut[1:], len(pair)], strict=True):
-            yield empty | {"kind": ["pairs"], "block": [block], "shard": [int(pair[a] >> np.uint64(32))], "pairs": [pair[a:b].astype(np.uint32).tobytes()], "seen": [seen[a:b].tobytes()]}
 
 
-def grams_of(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    history = hashes[before(codes, lengths)]
-    return pair_hash(history, hashes[codes])
+def planes(codes: np.ndarray) -> bytes:
+    """The codes' bytes, all lowest ones first: the others are mostly zero and shrink when written."""
+    return np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def before(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def pairs_of(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, hashes: np.ndarray, shards: int):
+    """(shard, distinct pairs in ascending order, how often each was learned) of one block."""
+    learned = np.repeat(~held, lengths)
+    shard, low = shard_of(grams_of(codes, hashes), shards)
+    each = np.sort((shard << np.uint64(33)) | (low << np.uint64(1)) | learned.astype(np.uint64))
+    first = np.flatnonzero(np.append(True, each[1:] >> np.uint64(1) != each[:-1] >> np.uint64(1)))
+    seen = np.add.reduceat((each & np.uint64(1)).astype(np.int64), first).astype(np.uint32)
+    pair = each[first] >> np.uint64(1)
+    cut = np.flatnonzero(np.append(True, pair[1:] >> np.uint64(32) != pair[:-1] >> np.uint64(32)))
+    for a, b in zip(cut, [*cut[1:], len(pair)], strict=True):
+        yield int(pair[a] >> np.uint64(32)), pair[a:b].astype(np.uint32), seen[a:b]
+
+
+def grams_of(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return pair_hash(hashes[before(codes)], hashes[codes])
+
+
+def before(codes: np.ndarray) -> np.ndarray:
     """The code before each token; texts start after code 0, which also ends them."""
     return np.append(np.int32(0), codes[:-1])
 
 
 BLOCKS = ("kind string, block long, ids array<{id}>, held array<boolean>, lengths array<int>, codes binary, hashes binary, "
-          "first int, words array<binary>, counts array<long>, shard int, pairs binary, seen binary")
+          "first int, words array<binary>, counts array<long>")
 
 
-def blocks(docs: DataFrame, held: Column, shards: int) -> DataFrame:
-    """The texts in blocks of bounded size: codes of their words, counts of words, and hashed pairs by shard."""
+def blocks(docs: DataFrame, held: Column) -> DataFrame:
+    """The texts in blocks of bounded size: codes of their words, and the words with their counts."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -157,14 +179,29 @@ def blocks(docs: DataFrame, held: Column, shards: int) -> DataFrame:
             for doc_id, held_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 b.add(doc_id, held_, text.as_py())
                 if b.bytes >= BLOCK_BYTES:
-                    yield from (as_batch(x, arrow) for x in b.rows(number, shards))
+                    yield from (as_batch(x, arrow) for x in b.rows(number))
                     number, b = number + 1, TextBlock()
         if b.ids:
-            yield from (as_batch(x, arrow) for x in b.rows(number, shards))
+            yield from (as_batch(x, arrow) for x in b.rows(number))
 
     return docs.select("doc_id", F.coalesce(held, F.lit(False)), "text").mapInArrow(run, schema)
 
 
+def hashed_pairs(text: DataFrame, shards: int) -> DataFrame:
+    """block, shard, pairs and seen: the pairs of each block, hashed, by shard."""
+
+    def make():
+        def run(batch):
+            for block, held, lengths, codes, hashes in zip(*batch.columns, strict=True):
+                found = pairs_of(from_planes(codes.as_py()), np.array(lengths.as_py()), np.array(held.as_py(), bool), np.frombuffer(hashes.as_py(), np.uint64), shards)
+                for shard, pairs, seen in found:
+                    yield {"block": [block.as_py()], "shard": [shard], "pairs": [pairs.tobytes()], "seen": [seen.tobytes()]}
+
+        return run
+
+    return map_batches(text.select("block", "held", "lengths", "codes", "hashes"), make, "block long, shard int, pairs binary, seen binary")
+
+
 def filter_shards(pairs: DataFrame) -> DataFrame:
     """shard and bits of the filter of all pairs that were learned LEAST times."""
 
@@ -226,7 +263,7 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     path = work_path(spark, "lm-blocks")
-    made = blocks(docs, held, shards)
+    made = blocks(docs, held)
     made.write.option("compression", "zstd").parquet(path)
     rows = lambda kind: spark.read.schema(made.schema).parquet(path).where(F.col("kind") == kind)
     words = rows("words").select("block", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
@@ -234,18 +271,17 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
     counts = written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    pairs = rows("pairs")
-    bits = written(filter_shards(pairs), "lm-filter")
-    text = rows("text").select("block", "ids", "held", "lengths", "codes", "hashes")
+    bits = written(filter_shards(hashed_pairs(rows("text"), shards)), "lm-filter")
+    text = rows("text").select("block", "ids", "held", "lengths", "codes")
     none = {"shard": "int", "pairs": "binary", "level": "binary"}
     left = text.select("*", *[F.lit(None).cast(t).alias(k) for k, t in none.items()])
     shared = None
     if (bits.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
         shared = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in bits.collect()})
     else:
-        found = probed(pairs, bits)
+        found = probed(hashed_pairs(rows("text"), shards), bits)
         left = left.unionByName(found.select("block", *[F.lit(None).cast(text.schema[c].dataType).alias(c) for c in text.columns[1:]], "shard", "pairs", "level"))
-    known = words.join(counts, "word").select("block", "code", "c")
+    known = words.join(counts, "word").select("block", "code", "c", F.xxhash64("word").alias("h"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -255,12 +291,13 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         one = next(i for i, x in enumerate(a.column("codes")) if x.is_valid)
         get = lambda name: a.column(name)[one].as_py()
-        codes, hashes = np.frombuffer(get("codes"), np.int32), np.frombuffer(get("hashes"), np.uint64)
-        lengths = np.array(get("lengths"))
-        c = np.zeros(len(hashes), np.int64)
+        codes, lengths = from_planes(get("codes")), np.array(get("lengths"))
+        # a word that was never learned has no count, and no pair with it was learned
+        c, hashes = np.zeros(int(codes.max()) + 1, np.int64), np.zeros(int(codes.max()) + 1, np.uint64)
         c[b.column("code").to_numpy()] = b.column("c").to_numpy()
+        hashes[b.column("code").to_numpy()] = b.column("h").to_numpy().view(np.uint64)
         base = ((c + PRIOR) / (n + PRIOR * (v + 1)))[codes]
-        shard, low = shard_of(grams_of(codes, lengths, hashes), shards)
+        shard, low = shard_of(grams_of(codes, hashes), shards)
         level = np.zeros(len(codes), np.uint8)
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
@@ -275,8 +312,9 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
                 pair, found = np.frombuffer(kept[int(s)][0], np.uint32), np.frombuffer(kept[int(s)][1], np.uint8)
                 place = np.minimum(np.searchsorted(pair, low[at]), len(pair) - 1)
                 level[at] = np.where(pair[place] == low[at], found[place], 0)
+        level[(c[codes] == 0) | (c[before(codes)] == 0)] = 0
         q = np.where(level >= levels(np.array([LEAST]))[0], EXPECTED[level], 0.0)
-        history = c[before(codes, lengths)]
+        history = c[before(codes)]
         p = np.where(history >= LEAST, WEIGHT * np.minimum(q / np.maximum(history, 1), 1) + (1 - WEIGHT) * base, base)
         first = np.cumsum(lengths) - lengths
         return pa.Table.from_batches([as_batch({
