@@ -51,6 +51,9 @@ def expected() -> np.ndarray:
 
 
 EXPECTED = expected()
+LEAST_LEVEL = int(levels(np.array([LEAST]))[0])
+#: Tokens of a block that are scored at a time.
+SLICE = 1 << 20
 
 
 class LogFrequencyFilter:
@@ -243,6 +246,23 @@ def probed(pairs: DataFrame, shards: DataFrame) -> DataFrame:
     return map_groups(rows, ["shard"], look, "block long, shard int, pairs binary, level binary")
 
 
+def levels_of(grams: np.ndarray, shards: int, filters: dict[int, bytes] | None, found: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
+    """The level of each pair, by probes of the broadcast filter or from the levels found beside the shards."""
+    shard, low = shard_of(grams, shards)
+    level = np.zeros(len(grams), np.uint8)
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
+    for s in np.flatnonzero(np.diff(ends)).tolist():
+        at = order[ends[s] : ends[s + 1]]
+        if filters is not None and s in filters:
+            level[at] = LogFrequencyFilter(np.frombuffer(filters[s], np.uint8)).probe(low[at])
+        elif s in found and len(found[s][0]):
+            pair, known = np.frombuffer(found[s][0], np.uint32), np.frombuffer(found[s][1], np.uint8)
+            place = np.minimum(np.searchsorted(pair, low[at]), len(pair) - 1)
+            level[at] = np.where(pair[place] == low[at], known[place], 0)
+    return level
+
+
 def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`.
 
@@ -296,30 +316,20 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
         c, hashes = np.zeros(int(codes.max()) + 1, np.int64), np.zeros(int(codes.max()) + 1, np.uint64)
         c[b.column("code").to_numpy()] = b.column("c").to_numpy()
         hashes[b.column("code").to_numpy()] = b.column("h").to_numpy().view(np.uint64)
-        base = ((c + PRIOR) / (n + PRIOR * (v + 1)))[codes]
-        shard, low = shard_of(grams_of(codes, hashes), shards)
-        level = np.zeros(len(codes), np.uint8)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
+        base, history = (c + PRIOR) / (n + PRIOR * (v + 1)), before(codes)
         kept = {s: (p, x) for s, p, x in zip(*(a.column(k).to_pylist() for k in none), strict=True) if s is not None}
-        for s in np.flatnonzero(np.diff(ends)):
-            at = order[ends[s] : ends[s + 1]]
-            if shared is not None:
-                data = shared.value.get(int(s))
-                if data is not None:
-                    level[at] = LogFrequencyFilter(np.frombuffer(data, np.uint8)).probe(low[at])
-            elif int(s) in kept and len(kept[int(s)][0]):
-                pair, found = np.frombuffer(kept[int(s)][0], np.uint32), np.frombuffer(kept[int(s)][1], np.uint8)
-                place = np.minimum(np.searchsorted(pair, low[at]), len(pair) - 1)
-                level[at] = np.where(pair[place] == low[at], found[place], 0)
-        level[(c[codes] == 0) | (c[before(codes)] == 0)] = 0
-        q = np.where(level >= levels(np.array([LEAST]))[0], EXPECTED[level], 0.0)
-        history = c[before(codes)]
-        p = np.where(history >= LEAST, WEIGHT * np.minimum(q / np.maximum(history, 1), 1) + (1 - WEIGHT) * base, base)
+        logs = np.empty(len(codes))
+        for at in range(0, len(codes), SLICE):
+            here = slice(at, at + SLICE)
+            x, y = codes[here], history[here]
+            level = levels_of(pair_hash(hashes[y], hashes[x]), shards, shared.value if shared else None, kept)
+            level[(c[x] == 0) | (c[y] == 0)] = 0
+            q = np.where(level >= LEAST_LEVEL, EXPECTED[level], 0.0)
+            logs[here] = np.log10(np.where(c[y] >= LEAST, WEIGHT * np.minimum(q / np.maximum(c[y], 1), 1) + (1 - WEIGHT) * base[x], base[x]))
         first = np.cumsum(lengths) - lengths
         return pa.Table.from_batches([as_batch({
             "doc_id": get("ids"), "held_out": get("held"), "n_tokens": lengths, "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), first),
-            "train_tokens": np.full(len(lengths), n), "base_score": np.add.reduceat(np.log10(base), first), "score": np.add.reduceat(np.log10(p), first),
+            "train_tokens": np.full(len(lengths), n), "base_score": np.add.reduceat(np.log10(base)[codes], first), "score": np.add.reduceat(logs, first),
         }, arrow)])
 
     return left.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
