@@ -9,6 +9,7 @@ from ..functions.predicates import is_widget_filled
 from ..operators import grid as G
 from ..operators import signature as S
 from ..sources import tables as T
+from ..sources.workdir import staged
 
 P = G.PAGE
 
@@ -42,6 +43,7 @@ def optional_section(spark: SparkSession, d: str) -> DataFrame:
     """A strict mark rule leaves many sections blank."""
     r = G.answered_rows(T.ink_cells(spark, d), 0.0199, 0.001)
     r = r.select(*P, "row_no", (26.0 * F.col("row_no")).alias("y0"), F.col("marked").alias("answered"))
+    r = staged(r, "grid-rows")
     return G.flag_unanswered(r, headings(r)).select(*P, "row_no", "answered", "exempt", "open")
 
 
@@ -56,7 +58,8 @@ RANGES = {"general": (6, 11), "extended": (6, 12)}
 
 
 def _completeness(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid_rows(spark, d)
+    # one line per question row, read by rows, headings and spans: written once, so cells are scanned twice at most
+    rows = staged(grid_rows(spark, d), "grid-rows")
     return G.document_completeness(documents(spark, d), G.flag_unanswered(rows, headings(rows)), RANGES)
 
 
