@@ -185,10 +185,29 @@ class Block:
         self.sig = np.frombuffer(b"".join(self.rows.column("sig").to_pylist()), np.uint16).reshape(len(ids), VALUES)
 
     def survivors(self, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs to verify: of one block, or between the two."""
         if not len(self.left) or not len(self.right):
             return self.left[:0], self.left[:0]
         return survivors(self.sig, self.left, self.right, least)
 
+    def merges(self, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Links (row, smaller row) that connect what pairs alive connect.
+
+        A block alone links each of its rows; two blocks link only the parts
+        that they have by themselves, as the rows of each are linked elsewhere.
+        """
+        i, j = self.survivors(least)
+        if not len(i):
+            return i, j
+        n = len(self.ids)
+        if self.left is not self.right:
+            parts = [survivors(self.sig, x, x, least) for x in (self.left, self.right)]
+            part = roots(n, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            i, j = part[i], part[j]
+        root = roots(n, i, j)
+        at = np.flatnonzero(root != np.arange(n))
+        return at, root[at]
+
 
 def clusters(classes: DataFrame, least: list[int]) -> DataFrame:
     """node and root: classes that pairs alive after pruning connect, from (cid, sig).
@@ -206,11 +225,9 @@ def clusters(classes: DataFrame, least: list[int]) -> DataFrame:
 
     def run(key, t):
         block = Block(key, t)
-        i, j = block.survivors(least)
-        if len(i):
-            root = roots(len(block.ids), i, j)
-            at = np.flatnonzero(root != np.arange(len(root)))
-            yield {"a": block.ids[at], "b": block.ids[root[at]]}
+        at, to = block.merges(least)
+        if len(at):
+            yield {"a": block.ids[at], "b": block.ids[to]}
 
     return components(map_groups(met, ["band", "i", "j"], run, "a long, b long").distinct())
 
