@@ -117,9 +117,11 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = 64, sample_chars: int
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     known = known.where((F.length("text") <= doc_chars) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
-    rows = known.join(F.broadcast(chosen.drop("n")), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+    # a language may have most rows: first the smallest of each of its 256 parts, then of those
+    chosen = known.select("lang", "h").distinct().withColumn("part", F.pmod(F.hash("h"), 256))
+    for keys in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= sample_docs)
+    rows = known.join(F.broadcast(chosen.drop("n", "part")), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         if len(samples.get(r.lang, "")) < sample_chars:
