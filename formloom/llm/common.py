@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,24 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: What a Python worker keeps between tasks: one operator's models and stores at a time.
+_KEPT: dict = {}
+
+
+def kept(name: str, key, make: Callable):
+    """make()'s result for this worker, made anew when another operator or key was last."""
+    if (name, key) not in _KEPT:
+        release()
+        _KEPT[name, key] = make()
+    return _KEPT[name, key]
+
+
+def release() -> None:
+    """Frees what other operators kept in this worker."""
+    _KEPT.clear()
+    gc.collect()
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, whatever the driver's working folder is."""
     env = spark.sparkContext.environment

@@ -9,13 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import map_batches, remainder, table
+from formloom.llm.common import kept, map_batches, remainder, table
 
 #: Runs of letters; all else in a text only separates them.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words kept with their phrase counts in each Python worker; a full store is emptied.
-STORE_WORDS = 300_000
-_MODELS: dict = {}
+STORE_WORDS = 200_000
 
 
 class SuffixAutomaton:
@@ -102,10 +101,7 @@ class Parser:
 
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """One parser for each Python worker and set of samples."""
-    if samples not in _MODELS:
-        _MODELS.clear()
-        _MODELS[samples] = Parser(dict(samples))
-    return _MODELS[samples]
+    return kept("language", samples, lambda: Parser(dict(samples)))
 
 
 def fit(docs: DataFrame, learn: Column, sample_docs: int = 64, sample_chars: int = 65_536, doc_chars: int = 16_384) -> tuple:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import SPACES, map_batches, map_groups, roots, table, written
+from formloom.llm.common import SPACES, map_batches, map_groups, release, roots, table, written
 from formloom.llm.graph import components
 from formloom.operators.skew import resharded_join
 
@@ -20,7 +20,7 @@ TOLERANCE = 1e-5
 STEP = 8  # values at a time; VALUES stay below 256, as matches are counted in bytes
 #: Rows of a bucket or cluster meet in blocks of these many.
 BLOCK = 256
-STORE_WORDS = 300_000
+STORE_WORDS = 150_000
 #: Bits of the filter in front of the texts' exact join.
 FILTER_BITS = 1 << 26
 _RNG = np.random.default_rng(20_111)
@@ -135,6 +135,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, key (md5 of the text), n (distinct shingles) and sig of each document with a word."""
 
     def make():
+        release()
         shingler, last = Shingler(), {}
 
         def run(batch):

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import map_batches, remainder, table, written
+from formloom.llm.common import map_batches, release, remainder, table, written
 
 #: Character n-grams of these lengths, inside a word and its two blanks.
 ORDERS = (3, 4, 5)
@@ -152,6 +152,8 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     def make():
         f = Features(model.buckets)
 
+        release()
+
         def run(batch):
             texts = batch.column(batch.schema.get_field_index("text"))
             raw = np.array([model.bias + model.weights[f.of_text(x.as_py())].sum() for x in texts])

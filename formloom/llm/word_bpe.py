@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from formloom.llm.common import kept
+
 GAP = re.compile(r"[ \n\t\r]+")
 #: Fixed value: how the vocabulary's pre-splitter cuts a word.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -15,7 +17,6 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"[!-~À-įı-ňŊ-ž]+")
 WORD_END = "</w>"
 STORE_WORDS = 400_000
-_ENCODERS: dict = {}
 
 
 class WordEncoder:
@@ -85,6 +86,4 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept("word_bpe", path, lambda: WordEncoder(path))
