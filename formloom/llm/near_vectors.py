@@ -23,7 +23,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     # -0.0 and 0.0 are one value
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    return rows.withColumn("_key", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")), 256))
+    return rows.withColumn("_key", F.unhex(F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")), 256)))
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -89,7 +89,7 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = 8192, codes
     if not n:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     radius = 2 - 2 * threshold + 1e-9
-    k = codes or int(min(256, max(2, math.isqrt(n // 16))))
+    k = codes or int(min(256, max(2, math.isqrt(n) // 32)))
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     taken = classes.orderBy("_key").limit(sample).select("v").toPandas()["v"]
     for dim in {len(x) for x in taken}:
@@ -100,7 +100,8 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = 8192, codes
     def make():
         def run(batch):
             key, label, copies, v = (batch.column(i) for i in range(4))
-            out: dict = {x: [] for x in ("label", "dim", "cell", "home", "key", "copies", "v")}
+            names = ("label", "dim", "cell", "home", "key", "copies")
+            out: dict = {x: [] for x in names}
             for key_, label_, copies_, x in zip(key.to_pylist(), label.to_pylist(), copies.to_pylist(), v, strict=True):
                 x = np.array(x.values.to_numpy() if hasattr(x, "values") else x.as_py(), float)
                 x = x / np.abs(x).max()
@@ -113,21 +114,24 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = 8192, codes
                 else:
                     home, cells = (0, 0), [(0, 0)]
                 for c in cells:
-                    for name, value in zip(out, (label_, dim, c[0] << 32 | c[1], c == home, key_, copies_, x.tobytes()), strict=True):
+                    for name, value in zip(out, (label_, dim, c[0] << 32 | c[1], c == home, key_, copies_), strict=True):
                         out[name].append(value)
+                if len(out["key"]) >= 8192:
+                    yield out
+                    out = {x: [] for x in names}
             yield out
 
         return run
 
     kind = vectors.schema["label"].dataType.simpleString()
-    schema = f"label {kind}, dim int, cell long, home boolean, key string, copies long, v binary"
+    schema = f"label {kind}, dim int, cell long, home boolean, key binary, copies long"
     visits = written(map_batches(classes.select("_key", "label", "copies", "v"), make, schema), "vector-visits")
     place = F.abs(F.xxhash64("key") % 1_000_003)
     sizes = visits.groupBy("label", "dim", "cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("rows_in"), F.ceil(F.count("*") / BLOCK).alias("calls"))
     sizes = sizes.where("rows_in > 0")
     placed = resharded_join(visits, sizes, ["label", "dim", "cell"]).withColumns({"r": place % F.col("rows_in"), "c": place % F.col("calls")})
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    names = ["label", "dim", "cell", "r", "c", "resident", "key", "copies", "v"]
+    names = ["label", "dim", "cell", "r", "c", "resident", "key", "copies"]
     visitors = placed.withColumn("resident", F.lit(False)).withColumn("r", F.explode(every("rows_in"))).select(names)
     residents = placed.where("home").withColumn("resident", F.lit(True)).withColumn("c", F.explode(every("calls"))).select(names)
 
@@ -136,7 +140,9 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = 8192, codes
         if not res.any() or res.all():
             return
         dim = t.column("dim")[0].as_py()
-        x = np.frombuffer(b"".join(t.column("v").to_pylist()), float).reshape(len(res), dim)
+        x = t.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(len(res), dim)
+        x /= np.abs(x).max(1)[:, None]
+        x /= np.linalg.norm(x, axis=1)[:, None]
         keys = np.array(t.column("key").to_pylist(), object)
         copies = np.array(t.column("copies").to_pylist())
         cos = x[~res] @ x[res].T
@@ -151,7 +157,10 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = 8192, codes
         mine = at[: (~res).sum()]
         yield {"a": keys[~res][seen], "n": counts[seen], "b": names[root[mine[seen]]]}
 
-    met = map_groups(visitors.union(residents), ["label", "dim", "cell", "r", "c"], meet, "a string, n long, b string")
+    # visits carry keys alone; the vectors join once, as they were given
+    given = vectors.schema["embedding"].dataType.simpleString()
+    calls = resharded_join(visitors.union(residents), classes.select(F.col("_key").alias("key"), F.col("v").cast(given).alias("v")), ["key"])
+    met = map_groups(calls, ["label", "dim", "cell", "r", "c"], meet, "a binary, n long, b binary")
     met = written(met, "vector-links")
     counts = met.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "_key")
     comps = components(met.select("a", "b")).withColumnRenamed("node", "_key")
@@ -170,7 +179,7 @@ def usable_keys(vectors: DataFrame) -> DataFrame:
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull()
     v = F.col("embedding").cast("array<double>")
     fine = fine & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.union(vectors.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(None).cast("string")))
+    return rows.union(vectors.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(None).cast("binary")))
 
 
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
