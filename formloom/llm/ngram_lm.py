@@ -15,11 +15,9 @@ from formloom.llm.common import as_batch, map_batches, map_groups, remainder, ta
 PRIOR = 0.1
 #: Counts are kept as 1 + floor(log(count) / log(BASE)).
 BASE = 1.5
-#: Probes of a level, and bits for each of its entries. Kept counts have two levels at least, so
-#: an unknown pair passes only by two false positives in a row, about 0.4 % each.
+#: Probes of a level, and bits for each of its entries. Every pair also sets a guard level below its
+#: first, so an unknown pair passes only by two false positives in a row, about 0.4 % each.
 PROBES, BITS = 5, 12
-#: Pairs seen less often than this are left to the shorter history.
-LEAST = 2
 #: Weight of the pair's relative count; the rest is the base probability.
 WEIGHT = 0.2
 #: Fixed value: the seed of Spark's xxhash64, so that both sides hash a word alike.
@@ -51,13 +49,12 @@ def expected() -> np.ndarray:
 
 
 EXPECTED = expected()
-LEAST_LEVEL = int(levels(np.array([LEAST]))[0])
-#: Tokens of a block that are scored at a time.
+#: Pairs that are set, and tokens of a block that are scored, at a time.
 SLICE = 1 << 20
 
 
 class LogFrequencyFilter:
-    """One shard: bits in which each n-gram sets PROBES places for every level up to its own."""
+    """One shard: bits in which each n-gram sets PROBES places for the guard, level 0, and every level up to its own."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.size = bits, np.uint64(len(bits) * 8)
@@ -65,11 +62,14 @@ class LogFrequencyFilter:
     @classmethod
     def of(cls, hashes: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
         level = levels(counts)
-        out = cls(np.zeros(max(64, int(level.sum()) * BITS // 8 + 1), np.uint8))
-        for j in range(1, int(level.max(initial=0)) + 1):
-            for k in range(PROBES):
-                at = out.place(hashes[level >= j], j, k)
-                np.bitwise_or.at(out.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        out = cls(np.zeros(max(64, int((level + 1).sum()) * BITS // 8 + 1), np.uint8))
+        for a in range(0, len(hashes), SLICE):
+            h, top = hashes[a : a + SLICE], level[a : a + SLICE]
+            for j in range(int(top.max()) + 1):
+                h, top = h[top >= j], top[top >= j]
+                for k in range(PROBES):
+                    at = out.place(h, j, k)
+                    np.bitwise_or.at(out.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return out
 
     def place(self, hashes: np.ndarray, level: int, k: int) -> np.ndarray:
@@ -77,8 +77,8 @@ class LogFrequencyFilter:
         return (h + np.uint64(k) * (mixed(h) | np.uint64(1))) % self.size
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
-        """The levels: how many successive levels are found."""
-        out, alive, level = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), 1
+        """The levels: how many successive levels are found above the guard."""
+        out, alive, level = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), 0
         while len(alive):
             for k in range(PROBES):
                 at = self.place(hashes[alive], level, k)
@@ -133,13 +133,22 @@ class TextBlock:
 
 def planes(codes: np.ndarray) -> bytes:
     """The codes' bytes, all lowest ones first: the others are mostly zero and shrink when written."""
-    return np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def gaps(pairs: np.ndarray) -> bytes:
+    """Ascending pairs as byte planes of their differences, the upper ones of which are mostly zero."""
+    return planes(np.diff(pairs, prepend=np.uint32(0)))
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data).view(np.uint32), dtype=np.uint32)
+
+
 def pairs_of(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray, hashes: np.ndarray, shards: int):
     """(shard, distinct pairs in ascending order, how often each was learned) of one block."""
     learned = np.repeat(~held, lengths)
@@ -198,7 +207,7 @@ def hashed_pairs(text: DataFrame, shards: int) -> DataFrame:
             for block, held, lengths, codes, hashes in zip(*batch.columns, strict=True):
                 found = pairs_of(from_planes(codes.as_py()), np.array(lengths.as_py()), np.array(held.as_py(), bool), np.frombuffer(hashes.as_py(), np.uint64), shards)
                 for shard, pairs, seen in found:
-                    yield {"block": [block.as_py()], "shard": [shard], "pairs": [pairs.tobytes()], "seen": [seen.tobytes()]}
+                    yield {"block": [block.as_py()], "shard": [shard], "pairs": [gaps(pairs)], "seen": [planes(seen)]}
 
         return run
 
@@ -206,19 +215,19 @@ def hashed_pairs(text: DataFrame, shards: int) -> DataFrame:
 
 
 def filter_shards(pairs: DataFrame) -> DataFrame:
-    """shard and bits of the filter of all pairs that were learned LEAST times."""
+    """shard and bits of the filter of all pairs that were learned."""
 
     def build(key, t):
         pair, n = merged(t)
-        often = n >= LEAST
-        yield {"shard": [key[0]], "bits": [LogFrequencyFilter.of(pair[often].astype(np.uint64), n[often]).bits.tobytes()]}
+        learned = n > 0
+        yield {"shard": [key[0]], "bits": [LogFrequencyFilter.of(pair[learned].astype(np.uint64), n[learned]).bits.tobytes()]}
 
     return map_groups(pairs.select("shard", "pairs", "seen"), ["shard"], build, "shard int, bits binary")
 
 
 def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    pair = np.frombuffer(b"".join(t.column("pairs").to_pylist()), np.uint32)
-    seen = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint32)
+    pair = np.concatenate([from_gaps(x.as_py()) for x in t.column("pairs")])
+    seen = np.concatenate([from_planes(x.as_py()) for x in t.column("seen")])
     order = np.argsort(pair, kind="stable")
     pair, seen = pair[order], seen[order]
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
@@ -239,9 +248,9 @@ def probed(pairs: DataFrame, shards: DataFrame) -> DataFrame:
         f = LogFrequencyFilter(np.frombuffer(bits, np.uint8))
         for block, data in zip(t.column("block").to_pylist(), t.column("pairs"), strict=True):
             if block is not None:
-                pair = np.frombuffer(data.as_py(), np.uint32)
+                pair = from_gaps(data.as_py())
                 level = f.probe(pair.astype(np.uint64))
-                yield {"block": [block], "shard": [key[0]], "pairs": [pair[level > 0].tobytes()], "level": [level[level > 0].tobytes()]}
+                yield {"block": [block], "shard": [key[0]], "pairs": [gaps(pair[level > 0])], "level": [level[level > 0].tobytes()]}
 
     return map_groups(rows, ["shard"], look, "block long, shard int, pairs binary, level binary")
 
@@ -257,7 +266,7 @@ def levels_of(grams: np.ndarray, shards: int, filters: dict[int, bytes] | None,
         if filters is not None and s in filters:
             level[at] = LogFrequencyFilter(np.frombuffer(filters[s], np.uint8)).probe(low[at])
         elif s in found and len(found[s][0]):
-            pair, known = np.frombuffer(found[s][0], np.uint32), np.frombuffer(found[s][1], np.uint8)
+            pair, known = from_gaps(found[s][0]), np.frombuffer(found[s][1], np.uint8)
             place = np.minimum(np.searchsorted(pair, low[at]), len(pair) - 1)
             level[at] = np.where(pair[place] == low[at], known[place], 0)
     return level
@@ -269,8 +278,8 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
     `docs` needs doc_id and text; rows where `held` holds teach nothing. Tokens:
     words between ASCII white space with A-Z in lower case, then the end; null
     and empty texts are one end. score: log10 probability, a token w after v
-    having WEIGHT * q / c(v) + (1 - WEIGHT) * base where v was learned twice or
-    more, else base; q is the count the filter gives, at most c(v). Repeated
+    having WEIGHT * q / c(v) + (1 - WEIGHT) * base where v was learned, else
+    base; q is the count the filter gives, at most c(v). Repeated
     rows count and are scored each; a null `held` learns. With nothing to learn
     from, scores are those of one unknown token among one.
 
@@ -324,8 +333,8 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
             x, y = codes[here], history[here]
             level = levels_of(pair_hash(hashes[y], hashes[x]), shards, shared.value if shared else None, kept)
             level[(c[x] == 0) | (c[y] == 0)] = 0
-            q = np.where(level >= LEAST_LEVEL, EXPECTED[level], 0.0)
-            logs[here] = np.log10(np.where(c[y] >= LEAST, WEIGHT * np.minimum(q / np.maximum(c[y], 1), 1) + (1 - WEIGHT) * base[x], base[x]))
+            q = EXPECTED[level]
+            logs[here] = np.log10(np.where(c[y] > 0, WEIGHT * np.minimum(q / np.maximum(c[y], 1), 1) + (1 - WEIGHT) * base[x], base[x]))
         first = np.cumsum(lengths) - lengths
         return pa.Table.from_batches([as_batch({
             "doc_id": get("ids"), "held_out": get("held"), "n_tokens": lengths, "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), first),

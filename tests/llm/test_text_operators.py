@@ -150,6 +150,26 @@ def test_lm_counts_and_paths(spark, odd):
     assert ngram_lm.score(empty(odd), held).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_lm_uses_pairs_learned_once(spark, broadcast_bytes):
+    docs = frame(spark, ["red fox", "blue owl", "red fox", "red owl"])
+    got = {r.doc_id: r for r in ngram_lm.score(docs, F.col("doc_id") > 1, broadcast_bytes).collect()}
+    # learned once: red, fox, blue, owl, and the end twice; 6 tokens, 5 kinds
+    word, end = 1.1 / 6.6, 2.1 / 6.6
+    red_fox = [0.2 * 1 / 2 + 0.8 * word, 0.2 + 0.8 * word, 0.2 + 0.8 * end]
+    red_owl = [red_fox[0], 0.8 * word, red_fox[2]]
+    assert got[0].score == got[2].score == pytest.approx(np.log10(red_fox).sum())
+    assert got[3].score == pytest.approx(np.log10(red_owl).sum())
+
+
+def test_filter_holds_pairs_seen_once():
+    h = np.arange(50_000, dtype=np.uint64)
+    f = ngram_lm.LogFrequencyFilter.of(h, np.ones(50_000, np.int64))
+    got = f.probe(h)
+    assert (got >= 1).all() and (got > 1).mean() < 0.02
+    assert (f.probe(np.arange(1 << 40, (1 << 40) + 500_000, dtype=np.uint64)) > 0).mean() < 0.0001
+
+
 def test_filter_keeps_levels():
     h = np.arange(20_000, dtype=np.uint64)
     c = np.random.default_rng(2).zipf(1.5, 20_000).clip(2, 10**9)
