@@ -58,28 +58,26 @@ def _keys(docs: DataFrame, host: str) -> list[Column]:
             F.xxhash64("text").alias("_id"), F.hash("text").alias("_id2")]
 
 
-def removed_lines(docs: DataFrame, host: str = "source", least: int = 20, permille: int = 20) -> DataFrame:
+def removed_lines(docs: DataFrame, host: str = "source", least: int = 20) -> DataFrame:
     """_host, _id, _id2, _removed_words, _removed: the lines above the limit in each distinct text that has one.
 
     A normalised line counts each distinct text of a host once; whole copies are
-    left to deduplication. It is above the limit in more than `least` texts that
-    are also more than `permille` thousandths of the host's texts. Copies are
-    summed before each shuffle, so a hot line, text or host is one row a task.
+    left to deduplication. It is above the limit in more than `least` texts,
+    however many the host has. Copies are summed before each shuffle, so a hot
+    line, text or host is one row a task.
     """
     texts = docs.where(F.col("text").isNotNull()).select(*_keys(docs, host), F.col("text").alias("_text"))
     every = F.transform(lines(F.col("_text")), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(words(x)).alias("n")))
     found = texts.select(*TEXT, F.inline(every)).groupBy(*TEXT, "line").agg(F.sum("n").alias("n"))
     copies = texts.groupBy(*TEXT).agg(F.count("*").alias("_copies"))
-    sizes = copies.groupBy("_host").agg(F.count("*").alias("_texts"))
     # every line has a word; with its sum in both branches, the exchange of `found` is made once
-    often = found.groupBy("_host", "line").agg(F.count_if(F.col("n") > 0).alias("_in")).where(F.col("_in") > least)
-    often = often.join(sizes, "_host").where(F.col("_in") * 1000 > F.col("_texts") * permille).select("_host", "line")
+    often = found.groupBy("_host", "line").agg(F.count_if(F.col("n") > 0).alias("_in")).where(F.col("_in") > least).select("_host", "line")
     gone = resharded_join(found, often, ["_host", "line"]).groupBy(*TEXT)
     gone = gone.agg(F.sum("n").alias("_n"), F.collect_set("line").alias("_removed"))
     return gone.join(copies, TEXT).select(*TEXT, F.expr("_n div _copies").alias("_removed_words"), "_removed")
 
 
-def judge(docs: DataFrame, host: str = "source", least: int = 20, permille: int = 20, min_words: int = 50,
+def judge(docs: DataFrame, host: str = "source", least: int = 20, min_words: int = 50,
           min_left_percent: int = 30) -> DataFrame:
     """The columns of `docs` with the measures, removed_words, base_failed, kept and clean_text.
 
@@ -92,7 +90,7 @@ def judge(docs: DataFrame, host: str = "source", least: int = 20, permille: int
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "clean_text"]
     rows = measured(docs.drop(*new)).withColumns(dict(zip(TEXT, _keys(docs, host), strict=True)))
-    gone = removed_lines(docs, host, least, permille)
+    gone = removed_lines(docs, host, least)
     rows = resharded_join(rows, gone, TEXT, "left").withColumn("removed_words", F.coalesce("_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("removed_words")) >= min_left_percent * F.col("n_words")

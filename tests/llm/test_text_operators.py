@@ -287,6 +287,15 @@ def test_line_rules_on_odd_texts(spark, odd):
     assert line_rules.judge(odd.where("false")).count() == 0
 
 
+def test_line_limit_is_the_same_in_every_host(spark):
+    own = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    shared = "Shared line of every host\n" + " ".join(["boiler"] + [f"p{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(150)]) + "\n"
+    rows = [(h * 10_000 + i, ("" if i >= n else shared) + own(i), f"host{h}") for h, n, size in [(0, 30, 40), (1, 30, 1_600), (2, 20, 40)] for i in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.judge(docs).groupBy("source").agg(F.count_if(F.col("removed_words") > 0).alias("cut"), F.count_if(~F.col("kept")).alias("gone")).collect()
+    assert {r.source: (r.cut, r.gone) for r in got} == {"host0": (30, 30), "host1": (30, 30), "host2": (0, 0)}
+
+
 def test_pii_base_is_the_plain_patterns(spark, odd):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
