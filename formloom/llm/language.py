@@ -108,16 +108,18 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = 64, sample_chars: int
     """A bounded sample of labelled text for each language.
 
     Rows where `learn` holds and lang, text are given; the `sample_docs` distinct
-    texts of at most `doc_chars` characters with the smallest hashes, whole and
-    in that order, until `sample_chars` are reached. Only hashes are shuffled.
+    texts with the smallest hashes, in that order, until `sample_chars` are
+    reached. A text gives its first `doc_chars` characters from the first letter
+    on, whatever its length. Only hashes are shuffled.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    known = known.where((F.length("text") <= doc_chars) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     # a language may have most rows: first the smallest of each of its 256 parts, then of those
     chosen = known.select("lang", "h").distinct().withColumn("part", F.pmod(F.hash("h"), 256))
     for keys in (["lang", "part"], ["lang"]):
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= sample_docs)
-    rows = known.join(F.broadcast(chosen.drop("n", "part")), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+    rows = known.join(F.broadcast(chosen.drop("n", "part")), ["lang", "h"])
+    rows = rows.withColumn("text", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, doc_chars)).dropDuplicates(["lang", "h"]).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         if len(samples.get(r.lang, "")) < sample_chars:

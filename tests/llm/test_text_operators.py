@@ -241,6 +241,18 @@ def test_language_of_small_tables(spark, odd):
     assert language.fit(docs.where("false"), F.lit(True)) == ()
 
 
+def test_language_learns_from_long_texts_only(spark):
+    words = {"en": "the and with that from this", "de": "der und mit dass von dieser"}
+    own = lambda i, x, k: " ".join(random.Random(i).choices(words[x].split(), k=k))
+    rows = [(i, "1 " * 10_000 * (i % 4 // 2) + own(i, x, 6_000 if x == "de" else 30), x) for i in range(40) for x in [list(words)[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > 16_384 for _, t, x in rows if x == "de")
+    samples = language.fit(docs, F.lit(True))
+    assert [x for x, _ in samples] == ["de", "en"] and all(0 < len(s) < 65_536 + 16_384 + 2 for _, s in samples)
+    assert all(r.lang_pred == r.lang for r in language.identify(docs, samples, keep=True).collect())
+    assert [x for x, _ in language.fit(docs.where("lang = 'de'"), F.lit(True))] == ["de"]
+
+
 def test_cross_parsing_takes_longest_matches():
     text = "abracadabra alakazam"
     a = language.SuffixAutomaton(text)
