@@ -152,8 +152,16 @@ def apply_corrections(forms: DataFrame, corrections: DataFrame,
     return j.selectExpr(*out)
 
 
-def confirm_documents(batch: DataFrame, index: DataFrame, key: str = "document_id") -> DataFrame:
-    """Which written documents the read-back index holds."""
-    known = index.select(key).distinct().withColumn("_in_index", F.lit(True))
+def confirm_documents(batch: DataFrame, index: DataFrame, key: str = "document_id", slots: int = 1 << 16) -> DataFrame:
+    """Which written documents the read-back index holds.
+
+    The batch marks the slots of its documents' hashes, at most `slots` numbers,
+    and index rows outside them drop out where they are read: what is shuffled
+    of the index follows the batch, not the documents ever written.
+    """
+    slot = lambda: F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("_slot")
+    marked = batch.select(slot()).distinct()
+    near = index.select(key, slot()).join(F.broadcast(marked), "_slot", "left_semi")
+    known = near.select(key).distinct().withColumn("_in_index", F.lit(True))
     return resharded_join(batch, known, [key], "left").withColumn(
         "confirmed", F.coalesce("_in_index", F.lit(False))).drop("_in_index")

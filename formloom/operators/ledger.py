@@ -17,6 +17,12 @@ def current_view(versions: DataFrame) -> DataFrame:
     return newest_per_key(versions, ["id"], "version")
 
 
+def latest_versions(kept: DataFrame, tail: DataFrame) -> DataFrame:
+    """The ledger as it stands, from rows that stood and versions appended since; only the latter are ranked."""
+    new = current_view(tail)
+    return kept.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
+
+
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Null-tolerant reading of stored rows: blanks, unknowns, nullable flags."""
     blank = {"stored_path", "message", "file_hash"}

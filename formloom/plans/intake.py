@@ -16,6 +16,7 @@ from ..functions.predicates import has_minimum_identifiers, is_uploaded
 from ..operators import ledger as L
 from ..operators.matching import match_forms
 from ..operators.skew import newest_per_key, resharded_join
+from ..sources.sheets import with_row_numbers
 from ..sources.workdir import staged
 
 UPLOAD, UPLOAD_INCOMPLETE = "Intake form", "Intake form (incomplete)"
@@ -71,6 +72,9 @@ def decide(j: DataFrame, ledger: DataFrame, session_start: datetime) -> DataFram
     row until one attempt succeeds. Among leaders, a person uploaded earlier in
     the session, or by the batch's first leader, is not filed again. Only narrow
     rows are shuffled, each hash and person being one row on the other side.
+
+    sheet_row is a row that earlier batches wrote, row_form the form of this
+    batch that writes the row; `with_sheet_rows` numbers those.
     """
     cases = staged(j.selectExpr(
         "form_id", "coalesce(file_hash, concat('#', form_id)) as content", "action", "stage_error is not null as failed", "usable",
@@ -104,30 +108,47 @@ def decide(j: DataFrame, ledger: DataFrame, session_start: datetime) -> DataFram
         "case outcome when 'person_before' then prior.document_id "
         "when 'person_in_batch' then concat_ws(':', demographic_no, first.description) "
         "else concat_ws(':', demographic_no, description) end as document_id, "
-        "cast(case outcome when 'person_before' then prior.sheet_row when 'filed' then if(sheet_ok, form_id, null) "
-        "else if(row_of_first < form_id, row_of_first, null) end as bigint) as sheet_row) as l")
+        "cast(if(outcome = 'person_before', prior.sheet_row, null) as bigint) as sheet_row, "
+        "case outcome when 'filed' then if(sheet_ok, form_id, null) "
+        "when 'person_in_batch' then if(row_of_first < form_id, row_of_first, null) end as row_form) as l")
     d = resharded_join(c, chain.join(led, "content", "left"), ["content"])
     d = d.withColumn("k", F.expr("""if(action <> 'process',
         struct(p_id as id, p_status as status, p_document_id as document_id, cast(p_sheet_row as bigint) as sheet_row,
-          p_demographic_no as demographic_no, p_signature_present as signature_present, p_email as email),
-        struct(l.id, l.status, l.document_id, l.sheet_row, l.demographic_no, l.signature_present, l.email))"""))
+          cast(null as bigint) as row_form, p_demographic_no as demographic_no, p_signature_present as signature_present, p_email as email),
+        struct(l.id, l.status, l.document_id, l.sheet_row, cast(l.row_form as bigint) as row_form, l.demographic_no, l.signature_present, l.email))"""))
     d = d.withColumn("outcome", F.expr("""case
-        when repeat then if(k.sheet_row is not null or coalesce(form_id > wrote, false), 'skip', 'add_row')
+        when repeat then if(coalesce(k.sheet_row, k.row_form) is not null or coalesce(form_id > wrote, false), 'skip', 'add_row')
         when failed then 'error' when not usable then 'unusable' when demographic_no is null then 'unmatched'
         else l.outcome end"""))
     return d.selectExpr(
         "form_id", "usable", "matched_by", "demographic_no", "outcome", "if(repeat, outcome, 'process') as action", "own_status", "description",
         f"""case when outcome = 'add_row' and not sheet_ok then 'error'
-            when repeat then if(k.sheet_row is null and coalesce(missed < least(form_id, coalesce(wrote, form_id)), false),
+            when repeat then if(coalesce(k.sheet_row, k.row_form) is null and coalesce(missed < least(form_id, coalesce(wrote, form_id)), false),
               'completed', {kept('k.status')})
             when outcome = 'error' then 'error' when outcome in ('unusable', 'unmatched') then 'not_found' else l.status end as status""",
         "case when repeat then k.document_id when files then l.document_id end as document_id",
         "case when repeat then k.demographic_no else demographic_no end as person",
-        """case when outcome = 'skip' then coalesce(k.sheet_row, wrote) when outcome = 'add_row' then if(sheet_ok, form_id, null)
-            when files then l.sheet_row end as sheet_row""",
+        "case when outcome = 'skip' then k.sheet_row when files then l.sheet_row end as sheet_row",
+        """case when outcome = 'skip' then if(k.sheet_row is null, coalesce(k.row_form, wrote), null)
+            when outcome = 'add_row' then if(sheet_ok, form_id, null) when files and not repeat then l.row_form end as row_form""",
         "if(repeat, k.id, null) as p_id", "if(repeat, k.signature_present, null) as p_signature_present", "if(repeat, k.email, null) as p_email")
 
 
+def with_sheet_rows(done: DataFrame, existing: int) -> DataFrame:
+    """Processed forms with true sheet rows: the batch's new rows follow the `existing` ones in form_id order.
+
+    Forms that add no row themselves get the number of the row they refer to.
+    """
+    rows = with_row_numbers(done.where("row_form = form_id").select("form_id"), "form_id", existing)
+    rows = rows.select(F.col("form_id").alias("row_form"), F.col("sheet_row").alias("new_row"))
+    return resharded_join(done, rows, ["row_form"], "left").withColumn("sheet_row", F.coalesce("sheet_row", "new_row")).drop("new_row")
+
+
+def documents(done: DataFrame) -> DataFrame:
+    """Rows for the document index: one for each document that the batch filed."""
+    return done.where("outcome = 'filed'").select("document_id", "form_id", F.col("person").alias("demographic_no"), "description")
+
+
 def ledger_rows(done: DataFrame, at: datetime) -> DataFrame:
     """Rows to append to the ledger for a processed batch.
 
@@ -141,6 +162,11 @@ def ledger_rows(done: DataFrame, at: datetime) -> DataFrame:
         F.date_trunc("second", F.lit(at)).alias("created_at"), "message")
 
 
+# All events of `audit_events`, in the order of the stages.
+EVENTS = ("file_received", "duplicate_detected", "classified", "ocr_run", "extracted", "validation_passed", "signature_missing", "completeness_checked",
+          "completeness_incomplete", "patient_search", "patient_not_found", "patient_matched", "document_uploaded", "sheet_updated", "error", "completed")
+
+
 def audit_events(done: DataFrame) -> DataFrame:
     """Every stage transition as one row, numbered within its record."""
     def ev(cond: str, event: str, detail: str) -> str:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import followup_message, pages_label
+from ..operators.charts import confirm_documents
 from ..sources import tables as T
+from ..sources.batches import read_batch, write_batch
+from ..sources.workdir import work_dir
+from ..streaming.counters import counted, counts_table
 from . import intake as I
 
 AS_OF = date(2024, 6, 30)
@@ -16,8 +20,12 @@ SESSION = datetime(2024, 1, 25)
 
 
 def batch(spark: SparkSession, d: str) -> DataFrame:
+    return batch_of(T.forms(spark, d))
+
+
+def batch_of(forms: DataFrame) -> DataFrame:
     """Forms with content hashes (a quarter known) and completeness results."""
-    return T.forms(spark, d).selectExpr(
+    return forms.selectExpr(
         "form_id", "source_filename", "first_name", "last_name", "email", "dob_raw", "used_ocr", "signature_present",
         "md5(cast(concat('{\"k\": ', form_id % 400, '}') as binary)) as file_hash",
         "form_id % 11 <> 0 as checked",
@@ -33,7 +41,8 @@ def processed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def final_status(spark: SparkSession, d: str) -> DataFrame:
-    return processed(spark, d).select("form_id", "outcome", "status", "document_id", F.col("person").alias("demographic_no"), "sheet_row")
+    last = T.ledger(spark, d).agg(F.max("sheet_row")).first()[0] or 0
+    return I.with_sheet_rows(processed(spark, d), last).select("form_id", "outcome", "status", "document_id", F.col("person").alias("demographic_no"), "sheet_row")
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +58,23 @@ def audit_events(spark: SparkSession, d: str) -> DataFrame:
     return I.audit_events(processed(spark, d))
 
 
+def stage_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all stages, gathered while the audit log is written."""
+    stages = Observation("stages")
+    write_batch(counted(I.audit_events(processed(spark, d)), "event", I.EVENTS, stages), work_dir(spark, "audit"), 0)
+    return counts_table(spark, stages.get)
+
+
+def document_register(spark: SparkSession, d: str) -> DataFrame:
+    """Filed documents, registered once by batch and id, and looked up in the index as read back."""
+    index = work_dir(spark, "documents")
+    write_batch(I.documents(processed(spark, d)), index, 0)
+    return confirm_documents(read_batch(spark, index, 0), spark.read.parquet(index))
+
+
 QUERIES = {
+    "q_stage_counts": stage_counts,
+    "q_document_register": document_register,
     "q_final_status": final_status,
     "q_messages": messages,
     "q_audit_events": audit_events,

@@ -12,6 +12,8 @@ from ..functions.predicates import is_success, is_terminal, is_uploaded
 from ..operators import ledger as L
 from ..operators.skew import numbered
 from ..sources import tables as T
+from ..sources.batches import LedgerStore
+from ..sources.workdir import work_dir
 
 SESSION = datetime(2024, 1, 15)
 KEEP = ("id", "demographic_no", "status", "document_id")
@@ -110,7 +112,12 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def current_ledger(spark: SparkSession, d: str) -> DataFrame:
-    now = L.with_defaults(L.current_view(versions(spark, d)))
+    """Inserts and updates appended to a store as two batches, and its view with row numbers."""
+    every = versions(spark, d)
+    store = LedgerStore(spark, work_dir(spark, "ledger"), every.schema)
+    for batch in (0, 1):
+        store.append(every.where(F.col("version") == batch + 1), batch)
+    now = L.with_defaults(store.current(2))
     return numbered(now, "id", "sheet_row").select(
         "id", "version", "status", "message", "used_ocr", "signature_present", "sheet_row")
 

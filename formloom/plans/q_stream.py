@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from ..sources import tables as T
 from ..sources.workdir import work_dir
 from ..streaming import decisions as D
+from ..streaming import guard as G
 from ..streaming import intake as S
+from .q_intake import AS_OF, SESSION, batch_of
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return S.stream_table(spark, f"{d}/events.parquet", schema)
-    return S.stream_table(spark, d, schema, "events.parquet")  # a stream reads folders, and this table is a file
+        return S.stream_table(spark, f"{d}/{name}.parquet", schema)
+    return S.stream_table(spark, d, schema, f"{name}.parquet")  # a stream reads folders, and this table is a file
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d, "events")
 
 
 def stream_intake(spark: SparkSession, d: str) -> DataFrame:
     """Arriving files; a repeated content is answered with its first record."""
     root = work_dir(spark, "stream-intake")
     files = _events(spark, d).select("event_id", F.md5(F.col("props").cast("binary")).alias("file_hash"))
-    S.first_of_key(files, "file_hash", "event_id", f"{root}/seen", f"{root}/out", f"{root}/cp").awaitTermination()
+    G.answer_all(G.first_ids(files, "file_hash", "event_id"), f"{root}/out", f"{root}/cp").awaitTermination()
     return spark.read.parquet(f"{root}/out").selectExpr(
         "event_id", "file_hash", "first_id", "if(first_id = event_id, 'process', 'repeat') as action")
 
@@ -32,12 +38,24 @@ def stream_person_guard(spark: SparkSession, d: str) -> DataFrame:
     """One upload per person in a session; earlier rows pass unguarded."""
     root = work_dir(spark, "stream-person")
     people = _events(spark, d).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    S.first_of_key(people, "user_id", "event_id", f"{root}/seen", f"{root}/out", f"{root}/cp",
-                   guarded="ts >= timestamp '2024-01-10 00:00:00'").awaitTermination()
+    guarded = G.first_ids(people, "user_id", "event_id", "ts >= timestamp '2024-01-10 00:00:00'")
+    G.answer_all(guarded, f"{root}/out", f"{root}/cp").awaitTermination()
     return spark.read.parquet(f"{root}/out").selectExpr(
         "event_id", "user_id", "first_id = event_id as filed", "first_id")
 
 
+def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The whole intake as a stream of forms, with the checking ledger as history: what its own ledger holds in the end."""
+    root = work_dir(spark, "stream-ledger")
+    forms = batch_of(T.forms_of(_stream(spark, d, "orders")))
+    history = T.ledger(spark, d)
+    fields = "id long, source_filename string, file_hash string, status string, used_ocr boolean, first_name string, last_name string, email string, " \
+        "dob string, demographic_no string, signature_present boolean, document_id string, sheet_row long, created_at timestamp"
+    schema = history.selectExpr(*[f"cast({n} as {t}) as {n}" for n, t in (x.strip().split(" ") for x in fields.split(","))]).schema
+    S.run_intake(forms, T.charts(spark, d), root, AS_OF, SESSION, schema, history=history).awaitTermination()
+    return spark.read.parquet(f"{root}/ledger/tail").select("id", "version", "status", "document_id", "demographic_no", "sheet_row")
+
+
 def _requests(events: DataFrame, closing: str) -> DataFrame:
     """One request per event; `closing` rows push the watermark past the end."""
     return events.selectExpr(
@@ -77,6 +95,7 @@ def batch_decisions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "q_stream_intake": stream_intake,
     "q_stream_person_guard": stream_person_guard,
+    "q_stream_ledger": stream_ledger,
     "q_stream_decisions": stream_decisions,
     "q_batch_decisions": batch_decisions,
 }

@@ -103,8 +103,13 @@ def _written_date(d: str) -> str:
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms copied from charts and spoilt by `o_orderkey % 10`."""
+    return forms_of(read(spark, sf_dir, "orders"))
+
+
+def forms_of(orders: DataFrame) -> DataFrame:
+    """The same of a table or a stream of orders."""
     o, k = "o_orderkey", "o_custkey"
-    return read(spark, sf_dir, "orders").selectExpr(
+    return orders.selectExpr(
         f"{o} as form_id",
         f"if({o} % 10 in (6, 8, 9), null, {_first(k)}) as first_name",
         f"""case when {o} % 10 in (8, 9) then null when {o} % 10 = 4 then concat(substr({_last(k)}, 1, 3), 'zz')

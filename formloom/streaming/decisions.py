@@ -41,3 +41,33 @@ def resolve(requests: DataFrame, decisions: DataFrame, delay: str = "10 minutes"
     return r.join(d, cond, "left_outer").selectExpr(
         "form_id", "kind", "requested_at", "value is not null as in_time",
         f"coalesce(value, case kind {standing} end) as value")
+
+
+def with_decisions(forms: DataFrame, decisions: DataFrame, kinds: tuple[str, ...] = ("select", "incomplete"), at: str = "received_at",
+                   delay: str = "10 minutes", timeouts: Mapping[str, int] = DECISION_TIMEOUTS) -> DataFrame:
+    """Forms with <kind>_value for each kind: what was decided in time, else null, on which the default stands.
+
+    `forms` holds form_id and the time `at` which it asks; `decisions` as in
+    `resolve`. Of several decisions on one form and kind the first counts: in a
+    table by time, in a stream by arrival. On streams a form leaves when it is
+    decided or its time-out has passed; the joins run one after the other in one
+    query, each with the state of its kind alone.
+    """
+    streaming = forms.isStreaming
+    out = forms.withWatermark(at, delay) if streaming else forms
+    for kind in kinds:
+        d = decisions.where(F.col("kind") == kind).select(
+            F.col("form_id").alias("_form"), F.col("decided_at").alias("_decided"), F.col("value").alias(f"{kind}_value"))
+        out = out.alias("f")
+        if streaming:
+            d = d.withWatermark("_decided", delay)
+        cond = F.expr(f"form_id = _form and _decided >= {at} and _decided <= {at} + interval {timeouts[kind]} seconds")
+        if streaming:
+            d = d.dropDuplicatesWithinWatermark(["_form"])
+        out = out.join(d, cond, "left_outer")
+        if not streaming:
+            names = [c for c in out.columns if c not in ("_form", "_decided", f"{kind}_value")]
+            first = out.groupBy("form_id").agg(F.min_by(f"{kind}_value", "_decided").alias(f"{kind}_value"))
+            out = out.select(names).dropDuplicates(["form_id"]).join(first, "form_id")
+        out = out.drop("_form", "_decided")
+    return out

@@ -43,12 +43,14 @@ BATCH = W.rstrip() + ", " + LEDGER + f""",
     CASE WHEN pr.id IS NOT NULL THEN 'person_before' WHEN first_id <> le.form_id THEN 'person_in_batch' ELSE 'filed' END AS l_outcome,
     CASE WHEN pr.id IS NOT NULL THEN {_kept('st')} WHEN first_id <> le.form_id THEN first_own ELSE own END AS l_status,
     CASE WHEN pr.id IS NOT NULL THEN doc WHEN first_id <> le.form_id THEN le.person || ':' || first_descr ELSE le.person || ':' || descr END AS l_doc,
-    CASE WHEN pr.id IS NOT NULL THEN pr.row WHEN first_id <> le.form_id THEN CASE WHEN first_row < le.form_id THEN first_row END
-      WHEN NOT sheet_failed THEN le.form_id END AS l_row
+    CASE WHEN pr.id IS NOT NULL THEN pr.row END AS l_known,
+    CASE WHEN pr.id IS NOT NULL THEN NULL WHEN first_id <> le.form_id THEN CASE WHEN first_row < le.form_id THEN first_row END
+      WHEN NOT sheet_failed THEN le.form_id END AS l_token
   FROM le LEFT JOIN pr ON pr.demographic_no = le.person JOIN fi ON fi.person = le.person),
- k AS (SELECT r.* EXCLUDE (p_id), wrote, missed, l_outcome, l_status, l_doc, l_row,
+ k AS (SELECT r.* EXCLUDE (p_id), wrote, missed, l_outcome, l_status, l_doc, l_known, l_token,
     CASE WHEN known THEN p_id ELSE l_id END AS p_id, CASE WHEN known THEN p_status ELSE l_status END AS k_status,
-    CASE WHEN known THEN p_doc ELSE l_doc END AS k_doc, CASE WHEN known THEN p_row ELSE l_row END AS k_row,
+    CASE WHEN known THEN p_doc ELSE l_doc END AS k_doc, CASE WHEN known THEN p_row ELSE coalesce(l_known, l_token) END AS k_row,
+    CASE WHEN known THEN p_row ELSE l_known END AS k_known, CASE WHEN NOT known THEN l_token END AS k_token,
     CASE WHEN known THEN p_person ELSE l_person END AS k_person
   FROM r JOIN ch USING (hash) LEFT JOIN ld USING (hash)),
  oc AS (SELECT *, CASE WHEN again THEN CASE WHEN k_row IS NOT NULL OR coalesce(form_id > wrote, FALSE) THEN 'skip' ELSE 'add_row' END
@@ -60,8 +62,11 @@ BATCH = W.rstrip() + ", " + LEDGER + f""",
       WHEN outcome IN ('unusable', 'unmatched') THEN 'not_found' ELSE l_status END AS status,
     CASE WHEN again THEN k_doc WHEN l_outcome = outcome THEN l_doc END AS document_id,
     CASE WHEN again THEN k_person ELSE person END AS demographic_no,
-    CASE outcome WHEN 'skip' THEN coalesce(k_row, wrote) WHEN 'add_row' THEN CASE WHEN NOT sheet_failed THEN form_id END
-      WHEN l_outcome THEN l_row END AS sheet_row FROM oc),
+    CASE outcome WHEN 'skip' THEN k_known WHEN l_outcome THEN l_known END AS known_row,
+    CASE outcome WHEN 'skip' THEN CASE WHEN k_known IS NULL THEN coalesce(k_token, wrote) END
+      WHEN 'add_row' THEN CASE WHEN NOT sheet_failed THEN form_id END WHEN l_outcome THEN l_token END AS row_form FROM oc),
+ nr AS (SELECT form_id AS row_form, row_number() OVER (ORDER BY form_id) + (SELECT max(sheet_row) FROM ledger) AS new_row
+   FROM z WHERE row_form = form_id),
  ms AS (SELECT *, CASE outcome WHEN 'error' THEN 'registry error: timeout'
     WHEN 'skip' THEN 'Already filed (document ' || document_id || ') and on the sheet; skipped.'
     WHEN 'add_row' THEN 'Already filed (document ' || document_id || ')' || CASE WHEN sheet_failed
@@ -106,7 +111,11 @@ _UNION = " UNION ALL ".join(
     f"SELECT form_id, {i} AS k, '{e}' AS event, {x} AS detail FROM ms WHERE {c}" for i, (c, e, x) in enumerate(EVENTS))
 
 SQL = {
-    "q_final_status": BATCH + "SELECT form_id, outcome, status, document_id, demographic_no, sheet_row FROM ms",
+    "q_final_status": BATCH + "SELECT form_id, outcome, status, document_id, demographic_no, coalesce(known_row, new_row) AS sheet_row FROM ms LEFT JOIN nr USING (row_form)",
+    "q_stream_ledger": BATCH + """SELECT form_id AS id, 1 AS version, status, document_id, demographic_no,
+      coalesce(known_row, new_row - (SELECT max(sheet_row) FROM ledger)) AS sheet_row FROM ms LEFT JOIN nr USING (row_form)""",
+    "q_stage_counts": BATCH + f", ev AS ({_UNION}) SELECT event AS stage, count(*) AS n FROM ev GROUP BY event",
+    "q_document_register": BATCH + "SELECT form_id, document_id, demographic_no, descr AS description, TRUE AS confirmed FROM ms WHERE outcome = 'filed'",
     "q_messages": BATCH + """SELECT form_id, message, CASE WHEN status = 'incomplete_informed' THEN
       'Hello ' || coalesce(first_name, 'there') || ', some answers are missing'
       || CASE form_id % 9 WHEN 0 THEN ' (Pages 8 and 11)' WHEN 1 THEN ' (Page 9)' ELSE '' END || '.'

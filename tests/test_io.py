@@ -133,16 +133,16 @@ def test_intake_stream_over_batches(spark, tmp_path):
     drop([form(4, "h1"), form(5, "h5"), form(6, "h6", "Bea", "Curie", "02/01/1990", False, ["Page 8: q"])])
     run()
     run()  # nothing new: no row may repeat
-    got = {r.id: (r.status, r.document_id, r.sheet_row) for r in spark.read.parquet(f"{root}/ledger").collect()}
+    got = {r.id: (r.status, r.document_id, r.sheet_row) for r in spark.read.parquet(f"{root}/ledger/tail").collect()}
     assert got == {
         1: ("completed", "7:Intake form", None),
         2: ("error", None, None),
         3: ("not_found", None, None),
-        4: ("completed", "7:Intake form", 4),  # same content: the missing sheet row is added
+        4: ("completed", "7:Intake form", 1),  # same content: the missing sheet row is added, the sheet's first
         5: ("completed", "7:Intake form", None),  # other file, same person, same batch: the first leader has no row yet
-        6: ("incomplete_informed", "8:Intake form (incomplete)", 6),
+        6: ("incomplete_informed", "8:Intake form (incomplete)", 2),
     }
-    assert spark.read.parquet(f"{root}/ledger").count() == 6
+    assert spark.read.parquet(f"{root}/ledger/tail").count() == 6
     assert [r.form_id for r in spark.read.parquet(f"{root}/dead_letters").collect()] == [2]
     assert spark.read.parquet(f"{root}/sheet").count() == 5
     events = [r.event for r in spark.read.parquet(f"{root}/audit").where("form_id = 6").orderBy("seq").collect()]
@@ -162,37 +162,14 @@ def test_one_batch_equals_one_by_one(spark, tmp_path):
         ledger = spark.createDataFrame([], LEDGER)
         for g in groups:
             done = P.process_forms(spark.createDataFrame(g, FORMS), charts, ledger, date(2024, 6, 30), datetime(2024, 1, 1))
+            done = P.with_sheet_rows(done, ledger.agg(F.max("sheet_row")).first()[0] or 0)
             ledger = spark.createDataFrame(ledger.unionByName(P.ledger_rows(done, NOW)).select(ledger.columns).collect(), LEDGER)
         return {r.id: (r.status, r.document_id, r.demographic_no, r.sheet_row, r.signature_present, r.message) for r in ledger.collect()}
 
     whole = ledger_after([rows])
     assert whole == ledger_after([[r] for r in rows])
-    assert [whole[i][3] for i in range(1, 9)] == [None, None, None, 4, 4, 4, 4, 4]
-    assert whole[3][0] == "error" and whole[12][0] == "incomplete_informed" and whole[12][4] is False and whole[13][3] == 12 and whole[14][3] == 4
-
-
-def test_stream_guard_equals_one_batch(spark, tmp_path):
-    src = str(tmp_path / "in")
-    rows = spark.range(300).selectExpr("id", "string(if(id % 3 = 0, -1, id % 20)) as k")
-    for lo in (0, 100, 200):
-        rows.where(f"id >= {lo} and id < {lo + 100}").coalesce(1).write.mode("append").parquet(src)
-    stream = I.stream_table(spark, src, rows.schema, max_files=1)
-    root = str(tmp_path / "g")
-    I.first_of_key(stream, "k", "id", f"{root}/seen", f"{root}/out", f"{root}/cp").awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    assert out.count() == 300 and out.select("batch").distinct().count() == 3
-    firsts = out.groupBy("k").agg(F.countDistinct("first_id").alias("n"), F.count_if(F.col("id") == F.col("first_id")).alias("f"))
-    assert firsts.where("n <> 1 or f <> 1").count() == 0
-
-
-def test_stream_guard_keeps_rows_without_a_key(spark, tmp_path):
-    src, root = str(tmp_path / "in"), str(tmp_path / "g")
-    rows = spark.range(40).selectExpr("id", "if(id % 4 = 0, null, string(id % 4)) as k")
-    rows.repartition(4).write.parquet(src)
-    I.first_of_key(I.stream_table(spark, src, rows.schema, max_files=1), "k", "id", f"{root}/seen", f"{root}/out", f"{root}/cp").awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    assert out.count() == 40 and out.where("k is null and first_id = id").count() == 10
-    assert out.where("k is not null and first_id = id").count() == 3
+    assert [whole[i][3] for i in range(1, 9)] == [None, None, None, 1, 1, 1, 1, 1]
+    assert whole[3][0] == "error" and whole[12][0] == "incomplete_informed" and whole[12][4] is False and whole[13][3] == 2 and whole[14][3] == 1
 
 
 def test_streams_read_tables_of_many_files(spark, tmp_path):
