@@ -7,6 +7,8 @@ compares every box of a page with every other one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +59,26 @@ def grid_geometry(labels: DataFrame, page_width: float = 612.0) -> DataFrame:
         f"least(centers[size(centers) - 1] + cell / 2, {page_width - 2}D) as band_right")
 
 
-def merge_lines(lines: DataFrame) -> DataFrame:
+def merge_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Join wrapped question lines: the next one starts within half a line height.
 
-    Heights and spans are reduced to distinct values per page; the lines then
+    Heights and spans are reduced to distinct values per page (or other `keys`); the lines then
     pick up their group by joining on their own span.
     """
-    spans = lines.groupBy(*PAGE, "y0", "y1").agg(F.count(F.lit(1)).alias("n"))
-    heights = spans.where("y1 > y0").withColumn("h", F.col("y1") - F.col("y0")).groupBy(*PAGE, "h").agg(
+    spans = lines.groupBy(*keys, "y0", "y1").agg(F.count(F.lit(1)).alias("n"))
+    heights = spans.where("y1 > y0").withColumn("h", F.col("y1") - F.col("y0")).groupBy(*keys, "h").agg(
         F.sum("n").alias("n"))
     # upper median of the heights: the value at rank (count div 2), from counts
-    w = Window.partitionBy(*PAGE)
+    w = Window.partitionBy(*keys)
     ranked = heights.withColumn("_to", F.sum("n").over(w.orderBy("h"))).withColumn("_all", F.sum("n").over(w))
-    median = ranked.where(F.expr("_to > _all div 2")).groupBy(*PAGE).agg(F.min("h").alias("h"))
-    o = Window.partitionBy(*PAGE).orderBy("y0", "y1")
-    s = spans.join(median, PAGE, "left").withColumn(
+    median = ranked.where(F.expr("_to > _all div 2")).groupBy(*keys).agg(F.min("h").alias("h"))
+    o = Window.partitionBy(*keys).orderBy("y0", "y1")
+    s = spans.join(median, list(keys), "left").withColumn(
         "_bottom", F.max("y1").over(o.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("_new", F.expr("cast(_bottom is null or y0 - _bottom > 0.5D * coalesce(h, 12D) as int)"))
     s = s.withColumn("grp", F.sum("_new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    tagged = resharded_join(lines, s.select(*PAGE, "y0", "y1", "grp"), [*PAGE, "y0", "y1"])
-    return tagged.groupBy(*PAGE, "grp").agg(
+    tagged = resharded_join(lines, s.select(*keys, "y0", "y1", "grp"), [*keys, "y0", "y1"])
+    return tagged.groupBy(*keys, "grp").agg(
         F.min("y0").alias("y0"), F.max("y1").alias("y1"),
         F.expr("array_join(transform(sort_array(collect_list(struct(y0, y1, text))), t -> t.text), ' ')").alias("text"),
     ).drop("grp")

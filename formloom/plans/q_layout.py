@@ -38,25 +38,29 @@ def question_lines(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(is_question_line(F.col("line"), F.col("x0"), F.lit(250.0))).alias("questions"))
 
 
+KIND = ["field_type", "field_value"]
+# Label sets of a page in the order in which they may define its grid: marked boxes first, texts last.
+SET_RANK = """array_position(array('checkbox x', 'checkbox Yes', 'checkbox Off', 'text x', 'text Yes', 'text   '),
+  concat(field_type, ' ', field_value))"""
+
+
 def column_clusters(spark: SparkSession, d: str) -> DataFrame:
-    w = T.widgets(spark, d).where("field_type = 'checkbox' and field_value = 'x'")
-    c = L.clusters(w.selectExpr(*P, "(x0 + x1) / 2 as x"), P)
-    return c.select(*P, "cluster", F.round("center", 6).alias("center"), "points")
+    """Columns of all widgets of a page, by type and value."""
+    c = L.clusters(T.widgets(spark, d).selectExpr(*P, *KIND, "(x0 + x1) / 2 as x"), [*P, *KIND])
+    return c.select(*P, *KIND, "cluster", F.round("center", 6).alias("center"), "points")
 
 
 def grid_geometry(spark: SparkSession, d: str) -> DataFrame:
-    labels = T.widgets(spark, d).where("field_type = 'checkbox' and field_value <> 'Off'").selectExpr(
-        *P, "if(field_value = 'x', 1, 2) as set_rank", "(x0 + x1) / 2 as x")
-    g = L.grid_geometry(labels)
+    """The grid of every page from all of its label sets."""
+    g = L.grid_geometry(T.widgets(spark, d).selectExpr(*P, f"{SET_RANK} as set_rank", "(x0 + x1) / 2 as x"))
     return g.select(*P, F.col("set_rank").cast("bigint").alias("set_rank"), F.col("columns").cast("bigint").alias("columns"),
                     *[F.round(c, 6).alias(c) for c in ("cell", "band_left", "band_right")])
 
 
 def line_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of text boxes; heights vary with the printed type size."""
-    boxes = T.widgets(spark, d).where("field_type = 'text' and field_value = 'x'").selectExpr(
-        *P, "y0", "y0 + 6 + 2 * (src_part % 3) as y1", "word as text")
-    return L.merge_lines(boxes)
+    """Lines of all widgets, by type and value; heights vary with the printed type size."""
+    boxes = T.widgets(spark, d).selectExpr(*P, *KIND, "y0", "y0 + 6 + 2 * (src_part % 3) as y1", "word as text")
+    return L.merge_lines(boxes, [*P, *KIND])
 
 
 def label_right_neighbour(spark: SparkSession, d: str) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table. `spread` deals its rows over all cores, for small tables of one row group, which one
+    task reads; only the columns that are used travel. Large tables come in many splits by themselves."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table.repartition(spark.sparkContext.defaultParallelism) if spread else table
 
 
 def _name(prefix: str, k: str, n: int) -> str:

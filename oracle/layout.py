@@ -34,11 +34,10 @@ SQL = {
       SELECT doc_id, count(*) AS lines, count(*) FILTER ({_HEAD}) AS headers,
         count(*) FILTER (40 + (i % 3) * 120 < 244 AND length({_l}) >= 12 AND {_cnt(chr(92) + 'p{L}')} >= 8
           AND NOT {_HEAD}) AS questions FROM ls GROUP BY doc_id""",
-    "q_column_clusters": W + """, pts AS (SELECT doc_id, page_no, (x0 + x1) / 2 AS x FROM widgets
-        WHERE field_type = 'checkbox' AND field_value = 'x')""" + CLUSTER.format(k="doc_id, page_no")
-    + " SELECT doc_id, page_no, cluster, round(center, 6) AS center, points FROM cc",
-    "q_grid_geometry": W + """, pts AS (SELECT doc_id, page_no, CASE field_value WHEN 'x' THEN 1 ELSE 2 END::BIGINT AS set_rank,
-        (x0 + x1) / 2 AS x FROM widgets WHERE field_type = 'checkbox' AND field_value <> 'Off')"""
+    "q_column_clusters": W + """, pts AS (SELECT doc_id, page_no, field_type, field_value, (x0 + x1) / 2 AS x FROM widgets)"""
+    + CLUSTER.format(k="doc_id, page_no, field_type, field_value") + " SELECT doc_id, page_no, field_type, field_value, cluster, round(center, 6) AS center, points FROM cc",
+    "q_grid_geometry": W + """, pts AS (SELECT doc_id, page_no, (CASE field_type WHEN 'checkbox' THEN 0 ELSE 3 END
+        + CASE field_value WHEN 'x' THEN 1 WHEN 'Yes' THEN 2 ELSE 3 END)::BIGINT AS set_rank, (x0 + x1) / 2 AS x FROM widgets)"""
     + CLUSTER.format(k="doc_id, page_no, set_rank") + """,
       s2 AS (SELECT doc_id, page_no, set_rank, list(center ORDER BY center) AS cs FROM cc GROUP BY ALL
         HAVING count(*) >= 2),
@@ -47,15 +46,15 @@ SQL = {
       z AS (SELECT *, greatest(18, least(gaps[len(gaps) // 2 + 1], 120))::DOUBLE AS cell FROM g)
       SELECT doc_id, page_no, set_rank, len(cs) AS columns, round(cell, 6) AS cell,
         round(cs[1] - cell / 2, 6) AS band_left, round(least(cs[-1] + cell / 2, 610), 6) AS band_right FROM z""",
-    "q_line_merge": W + """, b AS (SELECT doc_id, page_no, y0, y0 + 6 + 2 * (src_part % 3) AS y1, word AS text
-        FROM widgets WHERE field_type = 'text' AND field_value = 'x'),
-      h AS (SELECT doc_id, page_no, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS h FROM b GROUP BY ALL),
-      m AS (SELECT b.*, h, max(y1) OVER (PARTITION BY doc_id, page_no ORDER BY y0, y1, text
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bottom FROM b JOIN h USING (doc_id, page_no)),
+    "q_line_merge": W + """, b AS (SELECT doc_id, page_no, y0, y0 + 6 + 2 * (src_part % 3) AS y1, word AS text, field_type, field_value
+        FROM widgets),
+      h AS (SELECT doc_id, page_no, field_type, field_value, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS h FROM b GROUP BY ALL),
+      m AS (SELECT b.*, h, max(y1) OVER (PARTITION BY doc_id, page_no, field_type, field_value ORDER BY y0, y1, text
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bottom FROM b JOIN h USING (doc_id, page_no, field_type, field_value)),
       g AS (SELECT *, sum(CASE WHEN bottom IS NULL OR y0 - bottom > 0.5 * h THEN 1 ELSE 0 END)
-        OVER (PARTITION BY doc_id, page_no ORDER BY y0, y1, text ROWS UNBOUNDED PRECEDING) AS grp FROM m)
-      SELECT doc_id, page_no, min(y0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY y0, y1, text) AS text
-      FROM g GROUP BY doc_id, page_no, grp""",
+        OVER (PARTITION BY doc_id, page_no, field_type, field_value ORDER BY y0, y1, text ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+      SELECT doc_id, page_no, field_type, field_value, min(y0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY y0, y1, text) AS text
+      FROM g GROUP BY doc_id, page_no, field_type, field_value, grp""",
     "q_label_right_neighbour": W + """, p AS (SELECT a.doc_id, a.page_no, a.src_order, a.src_part, a.word AS label,
         arg_min(b.word, (b.x0, b.src_order, b.src_part)) AS value
         FROM widgets a JOIN widgets b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.x0 > a.x1 + 3

@@ -83,12 +83,11 @@ def test_identifiers(spark):
 
 
 def test_statuses(spark):
-    codes = ("pending", "extracting", "validating", "rejected_no_signature", "incomplete_declined", "incomplete_informed", "not_found",
-             "uploading", "completed", "completed_no_signature", "error")
+    codes = ("pending", "filing", "completed", "completed_no_signature", "incomplete_informed", "not_found", "error")
     df = spark.createDataFrame([(s,) for s in codes], "s string")
     r = df.agg(F.count("*").alias("n"), F.count_if(P.is_terminal(df.s)).alias("t"), F.count_if(P.is_success(df.s)).alias("ok"),
                F.count_if(P.is_listed(df.s)).alias("listed")).first()
-    assert (r.n, r.t, r.ok, r.listed) == (11, 7, 3, 2)
+    assert (r.n, r.t, r.ok, r.listed) == (7, 5, 3, 2)
 
 
 def test_section_headers(spark):
