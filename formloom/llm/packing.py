@@ -115,20 +115,24 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = SIZE, open_
     is cut where it fills a window, or where no window has room for it. Rows
     with null or repeated doc_ids are packed like others, each on its own.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {PIECES}"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    schema, name = f"doc_id {kind.simpleString()}, {PIECES}", to_arrow_type(kind)
 
     def first(batches):
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(vocabulary)
-        packer, name = Packer(size, open_windows, cut_room, part << 28), pa.array([], batch_type(kind)).type
+        packer = Packer(size, open_windows, cut_room, part << 28)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer(enc.encode(text.as_py()), enc.type), np.array([end], enc.type))
-                out += packer.place(doc_id, 0, ids, len(ids))
-            yield record(columns(out, None, keep_ids), name)
+            names, at, stop = batch.column(0).to_pylist(), 0, np.array([end], enc.type)
+            for ids, bounds in enc.slices(batch.column(1)):
+                out = []
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    out += packer.place(names[at], 0, np.append(ids[a:b], stop), int(b - a) + 1)
+                    at += 1
+                yield record(columns(out, None, keep_ids), name)
         yield record(columns(packer.rest(), part, keep_ids), name)
 
     def again(level: int, last: bool):
@@ -165,10 +169,6 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = SIZE, open_
     return out.drop("part")
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def record(out: dict, name: pa.DataType) -> pa.RecordBatch:
     types = {"doc_id": name, "part": pa.int32(), "ids": pa.binary()}
     return pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})

@@ -84,10 +84,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> None:
                 "n_ids": pa.array([size // width], pa.int64()), "data": pa.array([block(names, ids, width)], pa.binary())})
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = ((x[a:b].tobytes() + stop) for x, bounds in enc.slices(batch.column(1)) for a, b in zip(bounds, bounds[1:], strict=False))
+            for name, data in zip(batch.column(0).to_pylist(), found, strict=True):
                 names.append(name)
-                ids.append(enc.encode(text.as_py()) + stop)
-                size += len(ids[-1])
+                ids.append(data)
+                size += len(data)
                 if size >= BLOCK_BYTES or len(ids) == BLOCK_DOCS:
                     yield flush()
                     names, ids, size, number = [], [], 0, number + 1
