@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import SPACES, table
+from formloom.llm.common import SPACES, aside, table
 from formloom.operators.skew import resharded_join
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -86,17 +86,19 @@ def judge(docs: DataFrame, host: str = "source", least: int = 20, min_words: int
     and at least `min_left_percent` of the words left when the lines above the
     limit are removed (clean_text; null for a null text). A null text has no
     words and fails; null hosts form a host of their own; repeated rows each give
-    a row. Columns of `docs` with the names of the new ones are replaced.
+    a row. Columns of `docs` with the names of the new ones are replaced, all
+    others stay, whatever their names.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "clean_text"]
-    rows = measured(docs.drop(*new)).withColumns(dict(zip(TEXT, _keys(docs, host), strict=True)))
+    docs, columns = aside(docs.drop(*new), [*TEXT, "_text", "_words", "_lines", "_windows", "_again", "_removed_words", "_removed"])
+    rows = measured(docs).withColumns(dict(zip(TEXT, _keys(docs, host), strict=True)))
     gone = removed_lines(docs, host, least)
     rows = resharded_join(rows, gone, TEXT, "left").withColumn("removed_words", F.coalesce("_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("removed_words")) >= min_left_percent * F.col("n_words")
     stay = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normal(x))))
     clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & left, "clean_text": clean}).drop(*TEXT, "_removed_words", "_removed")
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & left, "clean_text": clean}).select(*columns, *new)
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +120,7 @@ dup as (select r, count(*) - count(distinct line) as n_dup_lines from l group by
 norm as (select r, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) as nl,
                 len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n from l),
 seen as (select d.host, nl, count(distinct d.text) as k from norm join d using (r) group by all),
-hosts as (select host, count(distinct text) as texts from d where text is not null group by host),
-often as (select host, nl from seen join hosts using (host) where k > 20 and k * 1000 > texts * 20),
+often as (select host, nl from seen where k > 20),
 gone as (select r, sum(n) as removed_words from norm join d using (r) join often using (host, nl) group by r),
 m as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
