@@ -22,7 +22,7 @@ PROBES, BITS = 5, 12
 WEIGHT = 0.2
 #: Fixed value: the seed of Spark's xxhash64, so that both sides hash a word alike.
 HASH_SEED = 42
-BLOCK_BYTES, SHARD_BYTES = 32 << 20, 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
 #: A filter up to this size is broadcast; a larger one is probed where its shards are.
 BROADCAST_BYTES = 64 << 20
 
@@ -235,10 +235,11 @@ def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probed(pairs: DataFrame, shards: DataFrame) -> DataFrame:
-    """block, shard, pairs and level: each block's pairs that the filter holds, looked up where the shard is.
+    """block, shard and level: for each pair of a block, in ascending order, the level that the shard's filter gives.
 
     The way for filters too large to broadcast: a shard meets the pairs of its
-    blocks in one task, by size bounded like the shard itself.
+    blocks in one task, by size bounded like the shard itself. A block knows its
+    pairs, so only the levels travel back, most of them 0 to 2.
     """
     rows = pairs.select("shard", "block", "pairs", F.lit(None).cast("binary").alias("bits"))
     rows = rows.unionByName(shards.select("shard", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("pairs"), "bits"))
@@ -248,28 +249,23 @@ def probed(pairs: DataFrame, shards: DataFrame) -> DataFrame:
         f = LogFrequencyFilter(np.frombuffer(bits, np.uint8))
         for block, data in zip(t.column("block").to_pylist(), t.column("pairs"), strict=True):
             if block is not None:
-                pair = from_gaps(data.as_py())
-                level = f.probe(pair.astype(np.uint64))
-                yield {"block": [block], "shard": [key[0]], "pairs": [gaps(pair[level > 0])], "level": [level[level > 0].tobytes()]}
+                yield {"block": [block], "shard": [key[0]], "level": [f.probe(from_gaps(data.as_py()).astype(np.uint64)).tobytes()]}
 
-    return map_groups(rows, ["shard"], look, "block long, shard int, pairs binary, level binary")
+    return map_groups(rows, ["shard"], look, "block long, shard int, level binary")
 
 
-def levels_of(grams: np.ndarray, shards: int, filters: dict[int, bytes] | None, found: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
+def levels_of(grams: np.ndarray, shards: int, filters: dict[int, bytes] | None, found: dict[int, bytes]) -> np.ndarray:
     """The level of each pair, by probes of the broadcast filter or from the levels found beside the shards."""
     shard, low = shard_of(grams, shards)
-    level = np.zeros(len(grams), np.uint8)
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
+    each, place = np.unique((shard << np.uint64(32)) | low, return_inverse=True)
+    if filters is None:
+        return np.concatenate([np.frombuffer(found[s], np.uint8) for s in sorted(found)])[place]
+    level = np.zeros(len(each), np.uint8)
+    ends = np.searchsorted(each >> np.uint64(32), np.arange(shards + 1).astype(np.uint64))
     for s in np.flatnonzero(np.diff(ends)).tolist():
-        at = order[ends[s] : ends[s + 1]]
-        if filters is not None and s in filters:
-            level[at] = LogFrequencyFilter(np.frombuffer(filters[s], np.uint8)).probe(low[at])
-        elif s in found and len(found[s][0]):
-            pair, known = from_gaps(found[s][0]), np.frombuffer(found[s][1], np.uint8)
-            place = np.minimum(np.searchsorted(pair, low[at]), len(pair) - 1)
-            level[at] = np.where(pair[place] == low[at], known[place], 0)
-    return level
+        if s in filters:
+            level[ends[s] : ends[s + 1]] = LogFrequencyFilter(np.frombuffer(filters[s], np.uint8)).probe(each[ends[s] : ends[s + 1]] & np.uint64(0xFFFFFFFF))
+    return level[place]
 
 
 def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -301,16 +297,16 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
     bits = written(filter_shards(hashed_pairs(rows("text"), shards)), "lm-filter")
-    text = rows("text").select("block", "ids", "held", "lengths", "codes")
-    none = {"shard": "int", "pairs": "binary", "level": "binary"}
+    text = rows("text").select("block", "ids", "held", "lengths", "codes", "hashes")
+    none = {"shard": "int", "level": "binary"}
     left = text.select("*", *[F.lit(None).cast(t).alias(k) for k, t in none.items()])
     shared = None
     if (bits.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
         shared = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in bits.collect()})
     else:
         found = probed(hashed_pairs(rows("text"), shards), bits)
-        left = left.unionByName(found.select("block", *[F.lit(None).cast(text.schema[c].dataType).alias(c) for c in text.columns[1:]], "shard", "pairs", "level"))
-    known = words.join(counts, "word").select("block", "code", "c", F.xxhash64("word").alias("h"))
+        left = left.unionByName(found.select("block", *[F.lit(None).cast(text.schema[c].dataType).alias(c) for c in text.columns[1:]], "shard", "level"))
+    known = words.join(counts, "word").select("block", "code", "c")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -321,20 +317,17 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
         one = next(i for i, x in enumerate(a.column("codes")) if x.is_valid)
         get = lambda name: a.column(name)[one].as_py()
         codes, lengths = from_planes(get("codes")), np.array(get("lengths"))
-        # a word that was never learned has no count, and no pair with it was learned
-        c, hashes = np.zeros(int(codes.max()) + 1, np.int64), np.zeros(int(codes.max()) + 1, np.uint64)
-        c[b.column("code").to_numpy()] = b.column("c").to_numpy()
-        hashes[b.column("code").to_numpy()] = b.column("h").to_numpy().view(np.uint64)
+        hashes, c = np.frombuffer(get("hashes"), np.uint64), np.zeros(int(codes.max()) + 1, np.int64)
+        c[b.column("code").to_numpy()] = b.column("c").to_numpy()  # a word that was never learned has none
         base, history = (c + PRIOR) / (n + PRIOR * (v + 1)), before(codes)
-        kept = {s: (p, x) for s, p, x in zip(*(a.column(k).to_pylist() for k in none), strict=True) if s is not None}
+        kept = {s: x for s, x in zip(*(a.column(k).to_pylist() for k in none), strict=True) if s is not None}
+        q = EXPECTED[levels_of(grams_of(codes, hashes), shards, shared.value if shared else None, kept)]
         logs = np.empty(len(codes))
         for at in range(0, len(codes), SLICE):
             here = slice(at, at + SLICE)
             x, y = codes[here], history[here]
-            level = levels_of(pair_hash(hashes[y], hashes[x]), shards, shared.value if shared else None, kept)
-            level[(c[x] == 0) | (c[y] == 0)] = 0
-            q = EXPECTED[level]
-            logs[here] = np.log10(np.where(c[y] > 0, WEIGHT * np.minimum(q / np.maximum(c[y], 1), 1) + (1 - WEIGHT) * base[x], base[x]))
+            pair = np.where((c[x] > 0) & (c[y] > 0), q[here], 0.0)
+            logs[here] = np.log10(np.where(c[y] > 0, WEIGHT * np.minimum(pair / np.maximum(c[y], 1), 1) + (1 - WEIGHT) * base[x], base[x]))
         first = np.cumsum(lengths) - lengths
         return pa.Table.from_batches([as_batch({
             "doc_id": get("ids"), "held_out": get("held"), "n_tokens": lengths, "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), first),
