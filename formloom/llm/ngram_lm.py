@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formloom.llm.common import as_batch, map_batches, map_groups, remainder, table, work_path, written
@@ -23,8 +23,8 @@ WEIGHT = 0.2
 #: Fixed value: the seed of Spark's xxhash64, so that both sides hash a word alike.
 HASH_SEED = 42
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
-#: A filter up to this size is broadcast; a larger one is probed where its shards are.
-BROADCAST_BYTES = 64 << 20
+#: The filter of texts up to this size is broadcast (it has at most twice their size); a larger one is probed where its shards are.
+BROADCAST_BYTES = 32 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -234,24 +234,22 @@ def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return pair[first], np.add.reduceat(seen.astype(np.int64), first)
 
 
-def probed(pairs: DataFrame, shards: DataFrame) -> DataFrame:
-    """block, shard and level: for each pair of a block, in ascending order, the level that the shard's filter gives.
+def levels_beside(pairs: DataFrame) -> DataFrame:
+    """block, shard and level: for each pair of a block, in ascending order, the level that its shard's filter gives.
 
-    The way for filters too large to broadcast: a shard meets the pairs of its
-    blocks in one task, by size bounded like the shard itself. A block knows its
-    pairs, so only the levels travel back, most of them 0 to 2.
+    The way for filters too large to broadcast: a shard's filter is made and
+    probed where its pairs meet, which is once. A block knows its pairs, so only
+    the levels travel back, most of them 0 to 2.
     """
-    rows = pairs.select("shard", "block", "pairs", F.lit(None).cast("binary").alias("bits"))
-    rows = rows.unionByName(shards.select("shard", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("pairs"), "bits"))
 
     def look(key, t):
-        bits = next(x.as_py() for x in t.column("bits") if x.is_valid)
-        f = LogFrequencyFilter(np.frombuffer(bits, np.uint8))
+        pair, n = merged(t)
+        learned = n > 0
+        f = LogFrequencyFilter.of(pair[learned].astype(np.uint64), n[learned])
         for block, data in zip(t.column("block").to_pylist(), t.column("pairs"), strict=True):
-            if block is not None:
-                yield {"block": [block], "shard": [key[0]], "level": [f.probe(from_gaps(data.as_py()).astype(np.uint64)).tobytes()]}
+            yield {"block": [block], "shard": [key[0]], "level": [f.probe(from_gaps(data.as_py()).astype(np.uint64)).tobytes()]}
 
-    return map_groups(rows, ["shard"], look, "block long, shard int, level binary")
+    return map_groups(pairs, ["shard"], look, "block long, shard int, level binary")
 
 
 def levels_of(grams: np.ndarray, shards: int, filters: dict[int, bytes] | None, found: dict[int, bytes]) -> np.ndarray:
@@ -281,8 +279,9 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
 
     Texts are cut into blocks of bounded size. Words travel once for each block;
     pairs as sorted hashes, so a frequent one is one entry a block. The filter
-    is made in shards; up to `broadcast_bytes` it is broadcast, beyond that the
-    blocks' pairs are looked up beside the shards, with the same results.
+    is made in shards. For texts of up to `broadcast_bytes`, which bound it, it is
+    broadcast; beyond that the blocks' pairs are looked up beside the shards,
+    with the same results.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -293,20 +292,22 @@ def score(docs: DataFrame, held: Column, broadcast_bytes: int = BROADCAST_BYTES)
     rows = lambda kind: spark.read.schema(made.schema).parquet(path).where(F.col("kind") == kind)
     words = rows("words").select("block", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
     words = words.select("block", (F.col("first") + F.col("at")).alias("code"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    # a word has one row in each block, so even the most frequent one is a group far smaller than the text
+    w = Window.partitionBy("word")
+    known = words.select("block", "code", "n", F.sum("n").over(w).alias("c"), (F.min("block").over(w) == F.col("block")).alias("one")).where("c > 0")
+    known = written(known, "lm-counts")
+    total = known.agg(F.sum("n").alias("n"), F.count_if("one").alias("v")).first()
     n, v = total.n or 0, total.v
-    bits = written(filter_shards(hashed_pairs(rows("text"), shards)), "lm-filter")
     text = rows("text").select("block", "ids", "held", "lengths", "codes", "hashes")
     none = {"shard": "int", "level": "binary"}
     left = text.select("*", *[F.lit(None).cast(t).alias(k) for k, t in none.items()])
     shared = None
-    if (bits.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in bits.collect()})
+    if size <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in filter_shards(hashed_pairs(rows("text"), shards)).collect()})
     else:
-        found = probed(hashed_pairs(rows("text"), shards), bits)
+        found = levels_beside(hashed_pairs(rows("text"), shards))
         left = left.unionByName(found.select("block", *[F.lit(None).cast(text.schema[c].dataType).alias(c) for c in text.columns[1:]], "shard", "level"))
-    known = words.join(counts, "word").select("block", "code", "c")
+    known = known.select("block", "code", "c")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     from pyspark.sql.pandas.types import to_arrow_schema
