@@ -84,31 +84,70 @@ def merge_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     ).drop("grp")
 
 
-def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60, band: float = 16.0) -> DataFrame:
+def covered_tops(lines: DataFrame) -> DataFrame:
+    """The distinct spans (y0, y1) of a page, with their place among its tops.
+
+    `lo` counts the tops down to a span's own, `hi` those above its bottom: it
+    holds the tops numbered lo to hi. `most` is the largest number that a span
+    of the page holds. One task orders the distinct spans of a page, without the
+    lines' other columns.
+    """
+    spans = lines.select(*PAGE, "y0", "y1").distinct()
+    ends = spans.selectExpr("*", "inline(array(struct(y0 as y, 1 as top), struct(y1 as y, 0 as top)))")
+    above = F.sum("top").over(Window.partitionBy(*PAGE).orderBy("y", "top").rangeBetween(Window.unboundedPreceding, 0))
+    placed = ends.withColumn("n", above.cast("int")).groupBy(*PAGE, "y0", "y1").agg(
+        F.expr("max(n) filter (where top = 1)").alias("lo"), F.expr("max(n) filter (where top = 0)").alias("hi"))
+    return placed.withColumn("most", F.max(F.col("hi") - F.col("lo") + 1).over(Window.partitionBy(*PAGE)))
+
+
+def _cover(lo: str, hi: str) -> str:
+    """The few dyadic slots (level, slot) that together hold the numbers lo to hi - 1 once each."""
+    first, last = f"shiftright({lo} + shiftleft(1, k) - 1, k)", f"shiftright({hi}, k)"
+    levels = f"if({hi} > {lo}, sequence(0, cast(floor(log2({hi} - {lo})) as int)), array())"
+    return f"""flatten(transform({levels}, k -> if({first} < {last}, concat(
+      if({first} % 2 = 1, array(struct(k as level, {first} as slot)), array()),
+      if({last} % 2 = 1, array(struct(k as level, {last} - 1 as slot)), array())), array())))"""
+
+
+def overlap_slots(lines: DataFrame) -> DataFrame:
+    """Every line in the slots where it meets, once each, the lines that overlap it vertically.
+
+    Of two overlapping lines one has its top inside the other. A line asks in
+    the slots that cover its top edges and is found in all slots of its own
+    top (side 0), or the other way round (side 1). Slots reach the level of
+    the tallest line of a page, so rows grow as lines times the logarithm of
+    the top edges that this line covers, wherever the lines stand.
+
+    Adds side, level, slot and `asks`.
+    """
+    own = lambda n: (f"if({n} > 0, transform(sequence(0, cast(floor(log2({n})) as int)), "
+                     "k -> struct(k as level, shiftright(lo, k) as slot)), array())")
+    tag = lambda slots, side, asks: (
+        f"transform({slots}, s -> struct({side} as side, s.level as level, s.slot as slot, {asks} as asks))")
+    slots = covered_tops(lines).selectExpr(
+        *PAGE, "y0", "y1",
+        f"""concat({tag(_cover("lo", "(hi + 1)"), 0, "true")}, {tag(own("most"), 0, "false")},
+          {tag(_cover("(lo + 1)", "(hi + 1)"), 1, "false")}, {tag(own("(most - 1)"), 1, "true")}) as _slots""")
+    return resharded_join(lines, slots, [*PAGE, "y0", "y1"]).selectExpr(*lines.columns, "inline(_slots)")
+
+
+def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60) -> DataFrame:
     """Each label line with the nearest line to its right on the same row.
 
-    `lines`: doc_id, page_no, ord, x0, y0, x1, y1, text. Two lines overlap
-    vertically exactly when the lower top edge of the two lies in both, so lines
-    are placed on every top edge they cover and each edge is swept once from
-    right to left. Work grows with the lines, not with their pairs.
+    `lines`: doc_id, page_no, ord, x0, y0, x1, y1, text. Lines without text or
+    height are left out. Each slot of `overlap_slots` is swept once from right
+    to left, so no pairs are made: n lines cost about n log n.
     """
-    lines = lines.where("text <> ''")
-    in_band = lambda c: f"cast(floor({c} / {band}D) as int)"
-    edges = lines.select(*PAGE, F.col("y0").alias("edge")).distinct().selectExpr(
-        "*", f"{in_band('edge')} as band")
-    banded = lines.selectExpr(*PAGE, "ord", "x0", "x1", "y0", "y1", "text",
-                              f"explode(sequence({in_band('y0')}, greatest({in_band('y0')}, {in_band('y1')}))) as band")
-    placed = banded.join(edges, [*PAGE, "band"]).where("edge >= y0 and edge < y1")
-    events = placed.selectExpr(
-        *PAGE, "edge",
-        f"""inline(array(
-          struct(x0 as pos, 1 as kind, ord as ord, text as text, x0 as vx),
-          struct(x1 + {gap}D as pos, 0 as kind, ord as ord, text as text, cast(null as double) as vx)))""")
-    w = Window.partitionBy(*PAGE, "edge").orderBy(
-        F.col("pos").desc(), F.col("kind"), F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("kind") == 1, F.struct("vx", "ord", "text")), True).over(w)
-    hits = events.withColumn("hit", seen).where(
-        f"kind = 0 and hit is not null and length(text) <= {max_label}")
+    shown = lines.where("text <> '' and y1 > y0").select(*PAGE, "ord", "x0", "x1", "y0", "y1", "text")
+    events = overlap_slots(shown).where(f"not asks or length(text) <= {max_label}").withColumn(
+        "pos", F.expr(f"if(asks, x1 + {gap}D, x0)"))
+    # the hash stands first, so that sorting mostly compares one number
+    place = [*PAGE, "side", "level", "slot"]
+    events = events.withColumn("place", F.xxhash64(*place))
+    w = Window.partitionBy("place", *place).orderBy(
+        F.col("pos").desc(), F.col("asks").desc(), F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(~F.col("asks"), F.struct("x0", "ord", "text")), True).over(w)
+    hits = events.withColumn("hit", seen).where("asks and hit is not null")
     return hits.groupBy(*PAGE, "ord", F.col("text").alias("label")).agg(F.min("hit").alias("hit")).selectExpr(
         *PAGE, "ord", "label", "hit.text as value")
 

@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime
 
@@ -134,6 +135,20 @@ def test_right_neighbours_equal_brute_force(spark, seed):
     assert got == brute_neighbours(lines)
 
 
+def test_overlapping_lines_meet_once(spark):
+    """Scattered heights, some lines over the whole page: each overlapping pair shares one slot, rows stay n log n."""
+    rng = random.Random(5)
+    spans = [(i, y, y + h) for i in range(300) for y, h in [(rng.random() * 700, rng.choice([3.1, 11.7, 600.0]))]]
+    df = spark.createDataFrame(spans, "ord int, y0 double, y1 double").selectExpr("1L as doc_id", "1 as page_no", "*")
+    rows = L.overlap_slots(df).collect()
+    assert len(rows) <= 300 * 6 * math.log2(300)
+    slots = {}
+    for r in rows:
+        slots.setdefault((r.side, r.level, r.slot), ([], []))[r.asks].append(r.ord)
+    met = sorted((a, b) for found, asking in slots.values() for a in asking for b in found)
+    assert met == sorted((a, b) for a, p, q in spans for b, s, t in spans if s < q and t > p)
+
+
 def test_clusters_and_geometry(spark):
     rows = [(1, 6, 1, x) for x in (100.0, 104.0, 200.0, 202.0, 330.0)]
     df = spark.createDataFrame(rows, "doc_id long, page_no int, set_rank int, x double")
