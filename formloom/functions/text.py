@@ -154,22 +154,62 @@ def sql_strip(x: str) -> str:
     return f"btrim({x}, {_WS})"
 
 
+def label_pattern(label: str) -> str:
+    return re.sub(r"([.^$*+?()\[\]{}|\\-])", r"\\\1", label)
+
+
 def label_regex(label: str) -> str:
     """`label: value` / `label - value`, ignoring case; the value is group 1."""
-    return "(?i)" + re.sub(r"([.^$*+?()\[\]{}|\\-])", r"\\\1", label) + r"[:\-]\s*([^\n\r]+)"
+    return "(?i)" + label_pattern(label) + r"[:\-]\s*([^\n\r]+)"
 
 
-def inline_value_sql(text: str, label: str) -> str:
-    """First inline value of a label, cut at two or more spaces."""
-    raw = sql_strip(f"regexp_extract({text}, r'{label_regex(label)}', 1)")
-    cut = rf"split({raw}, r'\s{{2,}}', 2)[0]"
+def cut_value_sql(value: str) -> str:
+    """A value cut at two or more spaces; null if nothing is left."""
+    cut = rf"split({sql_strip(value)}, r'\s{{2,}}', 2)[0]"
     return f"nullif({sql_strip(cut)}, '')"
 
 
+def inline_value_sql(text: str, label: str) -> str:
+    """First inline value of a label."""
+    return cut_value_sql(f"regexp_extract({text}, r'{label_regex(label)}', 1)")
+
+
 def inline_value(text: str, label: str) -> Column:
     return F.expr(inline_value_sql(text, label))
 
 
+def inline_layers(labels) -> list[list[str]]:
+    """Labels in layers, none of which holds a label that ends in another of the same layer."""
+    layers: list[list[str]] = []
+    for x in sorted({x.lower() for x in labels}, key=lambda x: (-len(x), x)):
+        free = next((y for y in layers if not any(z.endswith(x) for z in y)), None)
+        if free is None:
+            layers.append(free := [])
+        free.append(x)
+    return layers
+
+
+def inline_pairs(text: str, labels) -> Column:
+    """Every inline (label, value) of a text, in order inside a layer; labels in lower case.
+
+    Colons and dashes are looked up and the text before each is compared with
+    all labels of a layer at once, so a text is passed over twice a layer, not
+    once a label. Values are as `inline_value` gives them; null texts have none.
+    """
+    def layer(names: list[str]) -> str:
+        before = "|".join(label_pattern(x) for x in names)
+        pattern = rf"r'(?i)[:\-](?<=({before})[:\-])(?=\s*([^\n\r]+))'"
+        found = lambda group: f"regexp_extract_all({text}, {pattern}, {group})"
+        return f"zip_with({found(1)}, {found(2)}, (l, v) -> struct(lower(l) as label, {cut_value_sql('v')} as value))"
+
+    return F.expr(f"coalesce(concat({', '.join(layer(x) for x in inline_layers(labels))}), array())")
+
+
+def inline_pair_value_sql(pairs: str, label: str) -> str:
+    """The value of a label's first pair, or null."""
+    return f"get(filter({pairs}, p -> p.label = {sql_text(label.lower())}), 0).value"
+
+
 # Every line boundary, not line feeds alone.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 

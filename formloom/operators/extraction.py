@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +12,8 @@ from ..functions.dates import with_readings
 from ..functions.predicates import plausible_sql
 from ..functions.text import (
     extract_email,
-    inline_value_sql,
+    inline_pair_value_sql,
+    inline_pairs,
     label_lines,
     next_line_value_sql,
     sql_list,
@@ -55,22 +55,18 @@ def pair_value(pairs: str, field: str, labels, as_of: date, exact: bool = False,
 
 
 def with_label_lines(df: DataFrame, text: str = "text", labels=None, out: str = "label_lines") -> DataFrame:
+    """Adds the label lines of a text and its `inline_pairs`, each made once for all labels."""
     every = {x for xs in (labels or DEMOGRAPHIC_LABELS).values() for x in xs}
     rows = df.withColumn("_lines", text_lines(text)).withColumn(out, label_lines("_lines", every)).drop("_lines")
-    ends = "".join(sorted({x[-1] for x in every}))
-    return rows.withColumn("has_inline", F.col(text).rlike(rf"(?i)[{re.escape(ends)}][:\-]"))
+    return rows.withColumn("inline_pairs", inline_pairs(text, every))
 
 
-def text_value(field: str, labels, as_of: date, text: str = "text", found: str = "label_lines") -> Column:
-    """Label by label: the inline value, else a plausible value on a later line.
-
-    One pass (`has_inline`) tells whether any label can stand before a colon or
-    dash; only then is the text searched label by label.
-    """
+def text_value(field: str, labels, as_of: date, found: str = "label_lines", inline: str = "inline_pairs") -> Column:
+    """Label by label: the inline value, else a plausible value on a later line."""
     out = []
     for x in labels:
         v = next_line_value_sql(found, x)
-        out += [f"if(has_inline, {inline_value_sql(text, x)}, null)", f"if({plausible_sql(field, v, as_of)}, {v}, null)"]
+        out += [inline_pair_value_sql(inline, x), f"if({plausible_sql(field, v, as_of)}, {v}, null)"]
     return F.expr(f"coalesce({', '.join(out)})")
 
 
@@ -94,7 +90,9 @@ def extract_demographics(df: DataFrame, as_of: date, fields=("first_name", "last
         cols.append(value.alias(f))
     out = found.select(*df.columns, *cols)
     if "dob" in fields:
-        out = out.withColumn("_w", F.coalesce(F.nullif("dob", F.lit("")), F.col("text")))
+        # every written date has four digits in a row, so most texts need no sweep
+        dated = F.when(F.col("text").rlike("[0-9]{4}"), F.col("text"))
+        out = out.withColumn("_w", F.coalesce(F.nullif("dob", F.lit("")), dated))
         swept = with_readings(out.withColumnRenamed("dob", "_labelled"), "_w", as_of, "dob_readings", "dob")
         out = swept.select(
             *df.columns, *[f for f in fields if f != "dob"],

@@ -106,6 +106,22 @@ def test_label_text(spark):
     assert (row.first_name, row.last_name, row.date_of_birth, row.phone) == ("Ann", None, "1990/01/02", "555")
 
 
+def test_inline_pairs_equal_one_search_a_label(spark):
+    """Labels that end in one another, share a line, stand before dashes or line ends, or hold pattern signs."""
+    labels = ["name", "first name", "legal first name", "e-mail", "mail", "d.o.b", "Phone", "cell"]
+    assert all(not y.endswith(x) for layer in X.inline_layers(labels) for x in layer for y in layer if x != y)
+    rng = random.Random(11)
+    parts = [*labels, *map(str.upper, labels), ":", "-", " : ", "\n", "\r\n", "  ", " ", "Ann", "x@y.zz", "dxo.b:", "é"]
+    texts = ["", None, "name:", "first name:  \n", *("".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(800))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("pairs", X.inline_pairs("text", labels))
+    row = df.select("text", *[F.expr(X.inline_pair_value_sql("pairs", x)).eqNullSafe(X.inline_value("text", x)).alias(x) for x in
+                              ("name", "first name", "legal first name", "e-mail", "mail", "Phone", "cell")],
+                    F.expr(X.inline_pair_value_sql("pairs", "d.o.b")).eqNullSafe(X.inline_value("text", "d.o.b")).alias("dob"),
+                    F.size("pairs").alias("n")).collect()
+    assert sum(r.n for r in row) > 500
+    assert [r for r in row if not all(r[1:9])] == []
+
+
 def test_label_followed_by_two_blanks_looks_further(spark):
     df = E.with_label_lines(spark.createDataFrame([("Email\n\n\nEmail\nx@y.zz",)], "text string"))
     assert df.select(X.next_line_value("label_lines", "email")).first()[0] == "x@y.zz"
