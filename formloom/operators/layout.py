@@ -207,12 +207,69 @@ def yes_no_rows(widgets: DataFrame, labels: DataFrame, marked: Column) -> DataFr
         *PAGE, "item", "if(boxes >= 2 and any_marked, right_marked, null) as yes")
 
 
+def ink_in_regions(ink: DataFrame, regions: DataFrame, key: Sequence[str], tile: float = 32.0) -> DataFrame:
+    """Share of dark pixels in each region; 0 where the page has no pixels there.
+
+    `ink`: doc_id, page_no, x, y, dark, total, one row a small patch, or many.
+    `regions`: doc_id, page_no, `key`, x0, y0, x1, y1; low edges belong to a
+    region, high ones do not. Both meet by square tiles, so patches are compared
+    only with regions beside them.
+    """
+    at = lambda c: f"cast(floor(({c}) / {tile}D) as int)"
+    patches = ink.groupBy(*PAGE, "x", "y").agg(F.sum("dark").alias("dark"), F.sum("total").alias("total")).selectExpr(
+        "*", f"{at('x')} as tx", f"{at('y')} as ty")
+    asked = regions.select(*PAGE, *key, "x0", "y0", "x1", "y1")
+    tiles = asked.where("x1 > x0 and y1 > y0").selectExpr(
+        "*", f"explode(sequence({at('x0')}, {at('x1')})) as tx").selectExpr(
+        "*", f"explode(sequence({at('y0')}, {at('y1')})) as ty")
+    sums = resharded_join(patches, tiles, [*PAGE, "tx", "ty"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").groupBy(
+        *PAGE, *key).agg((F.sum("dark") / F.sum("total")).alias("ink"))
+    return asked.select(*PAGE, *key).join(sums, [*PAGE, *key], "left").withColumn("ink", F.coalesce("ink", F.lit(0.0)))
+
+
 def yes_by_ink(yes_ink: Column, no_ink: Column, min_ink: float = 0.10, lead: float = 0.03) -> Column:
     """Yes only when its box is dark enough and clearly darker than No's."""
     y, n = F.coalesce(yes_ink, F.lit(0.0)), F.coalesce(no_ink, F.lit(0.0))
     return (y >= min_ink) & (F.round(y - n, 9) >= lead)
 
 
+def yes_no_by_ink(labels: DataFrame, words: DataFrame, ink: DataFrame, yes: str = "Yes", no: str = "No") -> DataFrame:
+    """Answer of each labelled row from the ink left of its printed Yes and No.
+
+    The leftmost Yes and No within 10 points of the label's height count; a row
+    without a printed Yes is not a yes. `labels` has one row a page and item.
+    """
+    lab = labels.select(*PAGE, "item", F.col("y0").alias("ly"))
+    printed = near_height(words.where(F.col("word").isin(yes, no)), "y0", lab, "ly", 10.0).where("abs(y0 - ly) <= 10")
+    first = printed.groupBy(*PAGE, "item", "word").agg(F.min(F.struct("x0", "y0", "y1")).alias("w"))
+    boxes = first.selectExpr(*PAGE, "item", "word", "w.x0 - 28 as x0", "w.y0 - 1 as y0", "w.x0 - 2 as x1", "w.y1 + 1 as y1")
+    of = lambda word: F.max(F.when(F.col("word") == word, F.col("ink")))
+    answers = ink_in_regions(ink, boxes, ["item", "word"]).groupBy(*PAGE, "item").agg(yes_by_ink(of(yes), of(no)).alias("yes"))
+    return labels.select(*PAGE, "item").join(answers, [*PAGE, "item"], "left").withColumn(
+        "yes", F.coalesce("yes", F.lit(False)))
+
+
+def yes_no_answers(widgets: DataFrame, labels: DataFrame, marked: Column, words: DataFrame, ink: DataFrame) -> DataFrame:
+    """`yes` of every labelled row: by its widgets where they tell, else by ink, with the `source`."""
+    told = yes_no_rows(widgets, labels, marked).withColumnRenamed("yes", "_told")
+    seen = yes_no_by_ink(labels, words, ink)
+    return told.join(seen, [*PAGE, "item"]).selectExpr(
+        *PAGE, "item", "coalesce(_told, yes) as yes", "if(_told is null, 'ink', 'widgets') as source")
+
+
+def referral_marks(words: DataFrame, options: DataFrame, ink: DataFrame, min_ink: float = 0.015) -> DataFrame:
+    """Options marked by a glyph, a dash or a short word before them, else by ink there; one list a page in option order.
+
+    `options`: doc_id, page_no, option, priority, x0, y0, x1, y1, each option once a page.
+    """
+    typed = marks_left_of(words, options, 70.0, 10.0, True, REFERRAL_GLYPHS).withColumn("typed", F.lit(True))
+    boxes = options.selectExpr(*PAGE, "option", "x0 - 52 as x0", "y0 - 2 as y0", "x0 - 3 as x1", "y1 + 2 as y1")
+    marked = options.select(*PAGE, "option", "priority").join(ink_in_regions(ink, boxes, ["option"]), [*PAGE, "option"]).join(
+        typed, [*PAGE, "option"], "left").withColumn("marked", F.coalesce("typed", F.col("ink") >= min_ink))
+    return marked.groupBy(*PAGE).agg(F.expr("""array_join(transform(sort_array(
+        collect_list(struct(priority, option)) filter (where marked)), o -> o.option), ', ')""").alias("referral"))
+
+
 def section_bounds(headings: DataFrame, markers: DataFrame, page_height: float = 792.0) -> DataFrame:
     """From the bottom of a heading to the first stop marker below it."""
     top = headings.groupBy(*PAGE).agg(F.min_by("y1", "y0").alias("top"))

@@ -91,6 +91,24 @@ def spatial_marks(spark: SparkSession, d: str) -> DataFrame:
     return j.selectExpr(*P, "item", "yes", "coalesce(g, false) as glyph", "box.x0 as box_x", "box.y0 as box_y")
 
 
+def yes_no_ink(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled rows by their widgets, else by ink; a third of the words each are a printed Yes and No."""
+    w = T.widgets(spark, d)
+    printed = w.withColumn("word", F.expr("case src_part % 3 when 0 then 'Yes' when 1 then 'No' else word end"))
+    return L.yes_no_answers(w.where("field_type = 'checkbox'"), _labels(spark, d), is_marked(w.field_value), printed,
+                            T.ink_patches(spark, d))
+
+
+def referral_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Referral options marked by glyph, dash or short word, else by ink."""
+    words = T.widgets(spark, d).withColumn("word", F.expr("""case src_part % 11 when 0 then '-' when 1 then ' x- '
+        when 2 then ' ab' when 3 then field_value else word end"""))
+    options = _pages(spark, d).selectExpr(*P, """inline(transform(array('Doctor', 'Coach', 'Friend'), (n, i) -> struct(
+        n as option, i as priority, double(180 + 110 * i) as x0, double(90 + 130 * i + doc_id % 11) as y0,
+        double(230 + 110 * i) as x1, double(102 + 130 * i + doc_id % 11) as y1)))""")
+    return L.referral_marks(words, options, T.ink_patches(spark, d))
+
+
 def section_options(spark: SparkSession, d: str) -> DataFrame:
     """Marked boxes between a heading and the first stop word below it."""
     w = T.widgets(spark, d)
@@ -118,6 +136,8 @@ QUERIES = {
     "q_line_merge": line_merge,
     "q_label_right_neighbour": label_right_neighbour,
     "q_spatial_marks": spatial_marks,
+    "q_yes_no_ink": yes_no_ink,
+    "q_referral_marks": referral_marks,
     "q_section_options": section_options,
     "q_signature_region": signature_region,
     "q_row_labels": row_labels,

@@ -203,6 +203,14 @@ def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ink_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of a page's image, one left of each word box: position, dark and total pixels."""
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey as doc_id", "cast(6 + l_linenumber % 7 as int) as page_no",
+        "cast(10 * l_quantity - 10 as double) as x", "double(5 * (l_partkey % 97) + 3) as y",
+        "cast(round(l_discount * 100) as int) as dark", "50 as total")
+
+
 def form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document text under a header block in one of four layouts."""
     k = "doc_id"

@@ -1,6 +1,6 @@
 """Expected results of the layout queries."""
 
-from .tables import FORM_TEXT, WIDGETS, strip, with_
+from .tables import FORM_TEXT, INK_PATCHES, WIDGETS, strip, with_
 from .text import BREAK
 
 W = with_(WIDGETS)
@@ -72,6 +72,34 @@ SQL = {
         box[2] AS box_x, box[1] AS box_y
       FROM (SELECT doc_id, page_no, item FROM lab) l LEFT JOIN r USING (doc_id, page_no, item)
         LEFT JOIN g USING (doc_id, page_no, item) LEFT JOIN b USING (doc_id, page_no, item)""",
+    "q_yes_no_ink": with_(WIDGETS, INK_PATCHES) + LABELS + f""", r AS (SELECT doc_id, page_no, item, count(*) AS n,
+        bool_or(m) AS any_m, arg_max(m, (x0, m)) AS right_m FROM (SELECT lab.*, {MARKED} AS m, x0 FROM lab
+        JOIN widgets USING (doc_id, page_no) WHERE field_type = 'checkbox' AND abs(y0 - ly) <= 10 AND x0 < 360) GROUP BY ALL),
+      p AS (SELECT doc_id, page_no, item, word, min((x0, y0)) AS w FROM lab JOIN (SELECT doc_id, page_no, x0, y0,
+        CASE src_part % 3 WHEN 0 THEN 'Yes' ELSE 'No' END AS word FROM widgets WHERE src_part % 3 < 2) USING (doc_id, page_no)
+        WHERE abs(y0 - ly) <= 10 GROUP BY ALL),
+      i AS (SELECT p.doc_id, p.page_no, item, word, sum(dark)::DOUBLE / sum(total)::DOUBLE AS ink FROM p JOIN ink_patches k
+        ON k.doc_id = p.doc_id AND k.page_no = p.page_no AND x >= w[1] - 28 AND x < w[1] - 2 AND y >= w[2] - 1 AND y < w[2] + 13
+        GROUP BY ALL),
+      a AS (SELECT doc_id, page_no, item, coalesce(max(ink) FILTER (word = 'Yes'), 0) AS y,
+        coalesce(max(ink) FILTER (word = 'No'), 0) AS n FROM i GROUP BY ALL)
+      SELECT doc_id, page_no, item, coalesce(CASE WHEN r.n >= 2 AND any_m THEN right_m END,
+          y >= 0.10::DOUBLE AND round(y - a.n, 9) >= 0.03::DOUBLE, FALSE) AS yes,
+        CASE WHEN r.n >= 2 AND any_m THEN 'widgets' ELSE 'ink' END AS source
+      FROM (SELECT doc_id, page_no, item FROM lab) l LEFT JOIN r USING (doc_id, page_no, item)
+        LEFT JOIN a USING (doc_id, page_no, item)""",
+    "q_referral_marks": with_(WIDGETS, INK_PATCHES) + """, o AS (SELECT doc_id, page_no, i,
+        ['Doctor', 'Coach', 'Friend'][i + 1] AS option, (180 + 110 * i)::DOUBLE AS ox, (90 + 130 * i + doc_id % 11)::DOUBLE AS oy
+        FROM (SELECT DISTINCT doc_id, page_no FROM widgets), range(3) r(i)),
+      wd AS (SELECT *, trim(CASE src_part % 11 WHEN 0 THEN '-' WHEN 1 THEN ' x- ' WHEN 2 THEN ' ab' WHEN 3 THEN field_value
+        ELSE word END) AS t FROM widgets),
+      g AS (SELECT DISTINCT doc_id, page_no, i FROM o JOIN wd USING (doc_id, page_no) WHERE x1 <= ox AND x0 >= ox - 70
+        AND abs(y0 - oy) <= 10 AND (regexp_full_match(t, '[xX✓√✔✗✘●•*-]+') OR length(t) BETWEEN 1 AND 2)),
+      k AS (SELECT doc_id, page_no, i FROM o JOIN ink_patches USING (doc_id, page_no) WHERE x >= ox - 52 AND x < ox - 3
+        AND y >= oy - 2 AND y < oy + 14 GROUP BY ALL HAVING sum(dark)::DOUBLE / sum(total)::DOUBLE >= 0.015::DOUBLE),
+      m AS (SELECT * FROM g UNION SELECT * FROM k)
+      SELECT doc_id, page_no, coalesce(string_agg(option, ', ' ORDER BY i) FILTER (m.i IS NOT NULL), '') AS referral
+      FROM o LEFT JOIN m USING (doc_id, page_no, i) GROUP BY doc_id, page_no""",
     "q_section_options": W + f""", t AS (SELECT doc_id, page_no, min(y1) AS top FROM widgets WHERE word IN ('w7', 'w8')
         GROUP BY ALL),
       s AS (SELECT doc_id, page_no, top, least(792, coalesce((SELECT min(y0) FROM widgets w WHERE w.doc_id = t.doc_id

@@ -118,6 +118,10 @@ WIDGETS = """widgets AS (
     l_orderkey AS src_order, l_partkey AS src_part, 'w' || (l_partkey % 211)::VARCHAR AS word
   FROM lineitem)"""
 
+INK_PATCHES = """ink_patches AS (
+  SELECT l_suppkey AS doc_id, 6 + l_linenumber % 7 AS page_no, (10 * l_quantity - 10)::DOUBLE AS x,
+    (5 * (l_partkey % 97) + 3)::DOUBLE AS y, round(l_discount * 100)::INTEGER AS dark, 50 AS total FROM lineitem)"""
+
 _k = "doc_id"
 FORM_TEXT = f"""form_text AS (
   SELECT doc_id, source, text AS body,

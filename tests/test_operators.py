@@ -149,6 +149,37 @@ def test_overlapping_lines_meet_once(spark):
     assert met == sorted((a, b) for a, p, q in spans for b, s, t in spans if s < q and t > p)
 
 
+def test_yes_no_ink(spark):
+    """Widgets decide where they tell; else Yes must be dark and darker than No; without a printed Yes it is no."""
+    labels = spark.createDataFrame([(1, 1, x, 100.0 * i) for i, x in enumerate("abcd")], "doc_id long, page_no int, item string, y0 double")
+    words = spark.createDataFrame(
+        [(1, 1, w, x, 100.0 * i + 3, x + 14, 100.0 * i + 15) for i in range(3) for w, x in [("No", 200.0), ("Yes", 260.0), ("Yes", 400.0)]]
+        + [(1, 1, "No", 200.0, 300.0, 214.0, 312.0)], "doc_id long, page_no int, word string, x0 double, y0 double, x1 double, y1 double")
+    patch = lambda x, i, dark: (1, 1, x, 100.0 * i + 8, dark, 100)
+    ink = spark.createDataFrame([patch(240.0, 0, 12), patch(240.0, 1, 12), patch(180.0, 1, 10), patch(258.0, 2, 90), patch(380.0, 2, 90),
+                                 patch(180.0, 3, 50)], "doc_id long, page_no int, x double, y double, dark int, total int")
+    got = {r.item: r.yes for r in L.yes_no_by_ink(labels, words, ink).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False}  # c: ink beside the box and at a later Yes
+    boxes = spark.createDataFrame([(1, 1, 100.0, 0.0, 110.0, "x"), (1, 1, 150.0, 0.0, 160.0, "Off")],
+                                  "doc_id long, page_no int, x0 double, y0 double, x1 double, value string")
+    both = L.yes_no_answers(boxes, labels, boxes.value == "x", words, ink)
+    assert {r.item: (r.yes, r.source) for r in both.collect() if r.item < "c"} == {"a": (False, "widgets"), "b": (False, "ink")}
+
+
+def test_ink_in_regions_equals_brute_force(spark):
+    rng = random.Random(9)
+    ink = [(1, rng.randrange(2), float(rng.randrange(-40, 200)), rng.random() * 200, rng.randrange(9), 10) for _ in range(400)]
+    regions = [(1, rng.randrange(2), i, x, y, x + rng.choice([0.0, 26.0, 90.0]), y + 14) for i in range(60)
+               for x, y in [(float(rng.randrange(-60, 200)), rng.random() * 200)]]
+    got = L.ink_in_regions(spark.createDataFrame(ink, "doc_id long, page_no int, x double, y double, dark int, total int"),
+                           spark.createDataFrame(regions, "doc_id long, page_no int, k int, x0 double, y0 double, x1 double, y1 double"), ["k"])
+    want = {}
+    for _, page, k, x0, y0, x1, y1 in regions:
+        inside = [p for p in ink if p[1] == page and x0 <= p[2] < x1 and y0 <= p[3] < y1]
+        want[k] = sum(p[4] for p in inside) / max(sum(p[5] for p in inside), 1)
+    assert {r.k: r.ink for r in got.collect()} == want
+
+
 def test_clusters_and_geometry(spark):
     rows = [(1, 6, 1, x) for x in (100.0, 104.0, 200.0, 202.0, 330.0)]
     df = spark.createDataFrame(rows, "doc_id long, page_no int, set_rank int, x double")
