@@ -299,7 +299,8 @@ def row_labels(rows: DataFrame, words: DataFrame, x_max: float, band: float = 14
     """Words left of the answer band on a row's own line, in x order.
 
     A row looks 6 points up and 8 down, so it touches two bands of 14 points at
-    most; rows and words meet by band.
+    most; rows and words meet by band. `label` has at most 120 characters,
+    `full_label` all words.
     """
     r = rows.selectExpr(*PAGE, "y0 as ry0",
                         f"explode(sequence(cast(floor((y0 - 6) / {band}D) as int), "
@@ -309,6 +310,6 @@ def row_labels(rows: DataFrame, words: DataFrame, x_max: float, band: float = 14
     near = r.join(w, [*PAGE, "band"]).where("y0 between ry0 - 6 and ry0 + 8")
     text = near.groupBy(*PAGE, "ry0").agg(F.expr(
         "array_join(transform(sort_array(collect_list(struct(x0, y0, word_no, word))), t -> t.word), ' ')").alias("t"))
+    whole = "coalesce(nullif(btrim(t), ''), concat('question row at y=', cast(ry0 as bigint)))"
     return rows.select(*PAGE, F.col("y0").alias("ry0")).distinct().join(text, [*PAGE, "ry0"], "left").selectExpr(
-        *PAGE, "ry0 as y0",
-        "coalesce(nullif(substr(btrim(t), 1, 120), ''), concat('question row at y=', cast(ry0 as bigint))) as label")
+        *PAGE, "ry0 as y0", f"substr({whole}, 1, 120) as label", f"{whole} as full_label")

@@ -151,6 +151,8 @@ TIERS = {
     "prefix": f"if(prefix = 1, struct(prefix_no as demographic_no, concat('partial name (3+3): ', {_REASON}) as matched_by), null)",
     "email": f"""case when mail = 1 then struct(mail_no as demographic_no, 'email' as matched_by)
         when mail_sure = 1 then struct(mail_sure_no as demographic_no, concat('email: ', {_REASON}) as matched_by) end""",
+    "email_dated": f"""if(dated_form and mail_sure = 1,
+        struct(mail_sure_no as demographic_no, concat('email: ', {_REASON}) as matched_by), null)""",
 }
 
 
@@ -160,16 +162,19 @@ def tier_matches(forms: DataFrame, charts: DataFrame, as_of: date, mode: str) ->
     return found.where("m is not null").selectExpr("form_id", "m.demographic_no", "m.matched_by")
 
 
-def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame | None = None) -> DataFrame:
+def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame | None = None,
+                require_dob: bool = False) -> DataFrame:
     """Every form with its match (or null), how it was found, and review_total.
 
     Tiers: exact name, partial name, an operator's choice, e-mail. The first tier
     that resolves wins. review_total counts the charts a reviewer could choose
     from (same prefixes of both names, or a date equal to a reading) where no
-    name tier resolved; a choice of any of them is valid, listed or not.
+    name tier resolved; a choice of any of them is valid, listed or not. With
+    `require_dob` an e-mail links only to a chart that the form's date confirms.
     """
+    email = TIERS["email_dated" if require_dob else "email"]
     per_form = form_counts(forms, charts, as_of).selectExpr(
-        "form_id", f"coalesce({TIERS['name']}, {TIERS['prefix']}) as by_name", f"{TIERS['email']} as by_email", "near + dated - both as others")
+        "form_id", f"coalesce({TIERS['name']}, {TIERS['prefix']}) as by_name", f"{email} as by_email", "near + dated - both as others")
     base = forms.select("form_id").join(per_form, "form_id", "left")
     if decisions is None:
         base = base.withColumn("chosen", F.lit(None).cast("string"))

@@ -118,6 +118,7 @@ SQL = {
         FROM widgets), range(18) t(i)),
       n AS (SELECT doc_id, page_no, ry, string_agg(word, ' ' ORDER BY x0, y0, src_order, src_part) AS t
         FROM r JOIN widgets USING (doc_id, page_no) WHERE x1 <= 122 AND y0 BETWEEN ry - 6 AND ry + 8 GROUP BY ALL)
-      SELECT doc_id, page_no, ry AS y0, coalesce(substr(t, 1, 120), 'question row at y=' || ry::BIGINT) AS label
+      SELECT doc_id, page_no, ry AS y0, coalesce(substr(t, 1, 120), 'question row at y=' || ry::BIGINT) AS label,
+        coalesce(t, 'question row at y=' || ry::BIGINT) AS full_label
       FROM r LEFT JOIN n USING (doc_id, page_no, ry)""",
 }

@@ -94,6 +94,17 @@ def test_list_skips_repeats_and_goes_on_with_dates(spark):
     assert no is None and review == [str(i) for i in range(1, 31)] and total == 49
 
 
+def test_email_may_need_a_date(spark):
+    """One chart a mail address: linked without a date check by default, with one only where last name and date agree."""
+    c = spark.createDataFrame([("7", "Boole", "Ann", "2001-05-10", "a@x.zz", "active")],
+                              "demographic_no string, last_name string, first_name string, dob string, email string, status string")
+    f = spark.createDataFrame([(1, "Zed", "Other", "a@x.zz", "2001-05-11"), (2, None, None, "a@x.zz", None), (3, "Zed", "Boole", "a@x.zz", "2001-05-10")],
+                              "form_id long, first_name string, last_name string, email string, dob_raw string")
+    found = lambda **k: {r.form_id: r.demographic_no for r in M.match_forms(f, c, AS_OF, **k).collect()}
+    assert found() == {1: "7", 2: "7", 3: "7"}
+    assert found(require_dob=True) == {1: None, 2: None, 3: "7"}
+
+
 def test_hot_keyword_is_one_row(spark):
     """A third of all charts share one name; the index counts them all in one row, and lists hold one page."""
     c = spark.range(30000).selectExpr(

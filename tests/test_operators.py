@@ -180,6 +180,15 @@ def test_ink_in_regions_equals_brute_force(spark):
     assert {r.k: r.ink for r in got.collect()} == want
 
 
+def test_row_labels_keep_the_full_text(spark):
+    words = spark.createDataFrame([(1, 1, float(i), 10.0, float(i) + 1, 20.0, i, "word" * 4) for i in range(20)],
+                                  "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double, word_no int, word string")
+    rows = spark.createDataFrame([(1, 1, 10.0), (1, 1, 90.0)], "doc_id long, page_no int, y0 double")
+    got = {r.y0: (r.label, r.full_label) for r in L.row_labels(rows, words, 100.0).collect()}
+    full = " ".join(["word" * 4] * 20)
+    assert got == {10.0: (full[:120], full), 90.0: ("question row at y=90",) * 2}
+
+
 def test_clusters_and_geometry(spark):
     rows = [(1, 6, 1, x) for x in (100.0, 104.0, 200.0, 202.0, 330.0)]
     df = spark.createDataFrame(rows, "doc_id long, page_no int, set_rank int, x double")
