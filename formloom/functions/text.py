@@ -57,6 +57,11 @@ def identify_form_type(text: Column, templates: tuple[FormTemplate, ...] = DEFAU
     return F.lit(UNKNOWN_TYPE) if out is None else out.otherwise(UNKNOWN_TYPE)
 
 
+def answer_pages(templates: tuple[FormTemplate, ...] = DEFAULT_TEMPLATES) -> dict[str, tuple[int, int]]:
+    """First and last page of the answer grid of each form type that has one."""
+    return {t.form_type: t.validation_pages for t in templates if t.validation_pages}
+
+
 def form_description(form_type: Column, templates: tuple[FormTemplate, ...] = DEFAULT_TEMPLATES,
                      default: str = "Intake questionnaire") -> Column:
     out = F.lit(default)

@@ -23,6 +23,11 @@ from ..functions.text import (
 )
 
 
+def first_of(values: list[str]) -> Column:
+    """The first value that is not null; null where a template has no label for a field."""
+    return F.expr(f"coalesce({', '.join(['cast(null as string)', *values])})")
+
+
 def field_by_name(fields: str, labels) -> Column:
     """First field whose name contains a label: label order, then field order.
 
@@ -30,7 +35,7 @@ def field_by_name(fields: str, labels) -> Column:
     """
     hit = "get(filter({fields}, f -> contains(lower(f.name), {label})), 0).value"
     values = [f"nullif({sql_strip(hit.format(fields=fields, label=sql_text(x)))}, '')" for x in labels]
-    return F.expr(f"coalesce({', '.join(values)})")
+    return first_of(values)
 
 
 def pair_value(pairs: str, field: str, labels, as_of: date, exact: bool = False, max_chars: int = 60,
@@ -51,7 +56,7 @@ def pair_value(pairs: str, field: str, labels, as_of: date, exact: bool = False,
                     f"or startswith({key}, {sql_text(x + ':')}))")
             ok = plausible_sql(field, "p.value", as_of, max_chars, stopwords)
             out.append(f"get(filter({pairs}, p -> {same} and {ok}), 0).value")
-    return F.expr(f"coalesce({', '.join(out)})")
+    return first_of(out)
 
 
 def with_label_lines(df: DataFrame, text: str = "text", labels=None, out: str = "label_lines") -> DataFrame:
@@ -67,7 +72,7 @@ def text_value(field: str, labels, as_of: date, found: str = "label_lines", inli
     for x in labels:
         v = next_line_value_sql(found, x)
         out += [inline_pair_value_sql(inline, x), f"if({plausible_sql(field, v, as_of)}, {v}, null)"]
-    return F.expr(f"coalesce({', '.join(out)})")
+    return first_of(out)
 
 
 def extract_demographics(df: DataFrame, as_of: date, fields=("first_name", "last_name", "email", "dob"),
@@ -76,15 +81,16 @@ def extract_demographics(df: DataFrame, as_of: date, fields=("first_name", "last
 
     Needs columns text, fields (array of name/value) and pairs (array of
     key/value); adds one column per field, `dob_raw`, `dob` and `dob_readings`.
+    A field without labels is left to the sweeps.
     """
     table = labels or DEMOGRAPHIC_LABELS
     found = with_label_lines(df, "text", table)
     cols = []
     for f in fields:
         value = F.coalesce(
-            field_by_name("fields", table[f]),
-            pair_value("pairs", f, table[f], as_of),
-            text_value(f, table[f], as_of),
+            field_by_name("fields", table.get(f, ())),
+            pair_value("pairs", f, table.get(f, ()), as_of),
+            text_value(f, table.get(f, ()), as_of),
             *([extract_email(F.col("text"))] if f == "email" else []),
         )
         cols.append(value.alias(f))

@@ -115,27 +115,27 @@ def flag_unanswered(rows: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def document_completeness(docs: DataFrame, flagged: DataFrame, page_ranges: Mapping[str, tuple[int, int]],
-                          enabled: bool = True) -> DataFrame:
+                          enabled: bool = True, label_chars: int = 120) -> DataFrame:
     """Completeness of every document, from its flagged rows.
 
     `docs` holds doc_id and form_type; `page_ranges` the answer pages per type.
     Without a range, a grid, or the check itself, a document counts as complete
-    and unchecked.
+    and unchecked. `questions` and detail show the first `label_chars` characters
+    of a label; `full_questions` has whole ones, in the same order.
     """
     cases = " ".join(f"when '{t}' then page_no between {a} and {b}" for t, (a, b) in page_ranges.items())
     on_page = f"case form_type {cases} else false end" if cases and enabled else "false"
-    label = "concat('Page ', page_no, ': ', substr(coalesce(nullif(btrim(label), ''), " \
-            "concat('question row at y=', cast(floor(y0) as bigint))), 1, 120))"
+    label = "coalesce(nullif(btrim(label), ''), concat('question row at y=', cast(floor(y0) as bigint)))"
+    short, full = f"concat('Page ', page_no, ': ', substr({label}, 1, {label_chars}))", f"concat('Page ', page_no, ': ', {label})"
     # rows shrink to pages before the form type, which picks the pages, is joined
     pages = flagged.groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"),
-        F.expr(f"sort_array(collect_list(struct(y0, row_no, {label} as q)) filter (where open))").alias("qs"),
+        F.expr(f"sort_array(collect_list(struct(y0, row_no, {short} as q, {full} as whole)) filter (where open))").alias("qs"),
     ).join(docs, "doc_id").where(on_page)
     per_doc = pages.groupBy("doc_id").agg(
         F.expr("sort_array(collect_list(page_no) filter (where n_open > 0))").alias("incomplete_pages"),
         F.sum("n_open").alias("unanswered_count"),
-        F.expr("""transform(flatten(transform(sort_array(collect_list(struct(page_no, qs))), p -> p.qs)),
-                  x -> x.q)""").alias("questions"),
+        F.expr("flatten(transform(sort_array(collect_list(struct(page_no, qs))), p -> p.qs))").alias("qs"),
         F.expr("sort_array(collect_list(page_no) filter (where n_open > 0 and n_open >= n))").alias("blank_pages"),
     )
     j = docs.join(per_doc, "doc_id", "left").selectExpr(
@@ -143,7 +143,8 @@ def document_completeness(docs: DataFrame, flagged: DataFrame, page_ranges: Mapp
         "coalesce(unanswered_count, 0) = 0 as complete",
         "coalesce(incomplete_pages, array()) as incomplete_pages",
         "coalesce(unanswered_count, 0) as unanswered_count",
-        "coalesce(questions, array()) as questions",
+        "coalesce(transform(qs, x -> x.q), array()) as questions",
+        "coalesce(transform(qs, x -> x.whole), array()) as full_questions",
         "coalesce(blank_pages, array()) as blank_pages",
     )
     return j.withColumn("pages_label", pages_label("incomplete_pages")).withColumn("detail", F.expr("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_widget_filled
+from ..functions.text import answer_pages
 from ..operators import grid as G
 from ..operators import signature as S
 from ..sources import tables as T
@@ -23,9 +24,9 @@ def grid_marked(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*P, "row_no", F.round("strip", 9).alias("strip"), "marked", "answered")
 
 
-def grid_rows(spark: SparkSession, d: str, min_ink: float = 0.012, margin: float = 0.01) -> DataFrame:
+def grid_rows(cells: DataFrame) -> DataFrame:
     """Question rows 26 points apart, each with its text."""
-    r = G.answered_rows(T.ink_cells(spark, d), min_ink, margin)
+    r = G.answered_rows(cells)
     return r.select(*P, "row_no", (26.0 * F.col("row_no")).alias("y0"),
                     F.expr("if(row_no % 4 = 0, ' ', concat('Question ', row_no, ' of page ', page_no))")
                     .alias("label"), "answered")
@@ -54,13 +55,10 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         "case when s_suppkey % 10 = 9 then 'unknown' when s_suppkey % 2 = 0 then 'general' else 'extended' end as form_type")
 
 
-RANGES = {"general": (6, 11), "extended": (6, 12)}
-
-
 def _completeness(spark: SparkSession, d: str) -> DataFrame:
     # one line per question row, read by rows, headings and spans: written once, so cells are scanned twice at most
-    rows = staged(grid_rows(spark, d), "grid-rows")
-    return G.document_completeness(documents(spark, d), G.flag_unanswered(rows, headings(rows)), RANGES)
+    rows = staged(grid_rows(T.ink_cells(spark, d)), "grid-rows")
+    return G.document_completeness(documents(spark, d), G.flag_unanswered(rows, headings(rows)), answer_pages())
 
 
 def completeness(spark: SparkSession, d: str) -> DataFrame:

@@ -56,7 +56,7 @@ def next_line_label(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", *[F.when(P.is_plausible(f, f, AS_OF), F.col(f)).alias(f) for f in picks])
 
 
-def _sources(spark: SparkSession, d: str) -> DataFrame:
+def sources(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     first, email = T.person_first("doc_id"), T.person_email("doc_id")
     nv = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
@@ -73,7 +73,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def field_precedence(spark: SparkSession, d: str) -> DataFrame:
-    e = E.extract_demographics(_sources(spark, d), AS_OF)
+    e = E.extract_demographics(sources(spark, d), AS_OF)
     return e.select("doc_id", "first_name", "last_name", "email", "dob_raw", "dob",
                     F.array_join("dob_readings", ",").alias("readings"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_matching", "q_text", "q_charts", "q_ledger", "q_sheet", "q_grid", "q_layout", "q_intake", "q_stream")
+MODULES = ("q_matching", "q_text", "q_charts", "q_ledger", "q_sheet", "q_grid", "q_layout", "q_intake", "q_extracted", "q_stream")
 
 
 def registry() -> dict:

@@ -172,11 +172,11 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ink_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer cells: dark and total pixels of every (page, row, cell)."""
+def ink_cells(spark: SparkSession, sf_dir: str, doc: str = "l_suppkey") -> DataFrame:
+    """Answer cells: dark and total pixels of every (page, row, cell). By l_partkey they belong to the documents."""
     dark = F.round(F.col("l_discount") * 100).cast("int")
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("doc_id"),
+        F.col(doc).alias("doc_id"),
         (6 + F.col("l_linenumber") % 7).cast("int").alias("page_no"),
         (F.col("l_orderkey") % 30).cast("int").alias("row_no"),
         dark.alias("dark"),

@@ -28,9 +28,12 @@ def flagged(source, answered):
       AND y0 BETWEEN a AND b) AS exempt FROM r)"""
 
 
-COMPLETE = with_(INK_CELLS) + rows() + flagged("gr", "answered") + """, dc AS (
-    SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 10 = 9 THEN 'unknown' WHEN s_suppkey % 2 = 0 THEN 'general'
-      ELSE 'extended' END AS form_type FROM supplier),
+DOCS = """SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 10 = 9 THEN 'unknown' WHEN s_suppkey % 2 = 0 THEN 'general'
+  ELSE 'extended' END AS form_type FROM supplier"""
+
+
+def complete(cells, docs):
+    return with_(cells) + rows() + flagged("gr", "answered") + f""", dc AS ({docs}),
   used AS (SELECT fl.*, NOT answered AND NOT exempt AS open, 'Page ' || page_no || ': ' ||
       CASE WHEN row_no % 4 = 0 THEN 'question row at y=' || (26 * row_no) ELSE 'Question ' || row_no || ' of page '
       || page_no END AS q FROM fl JOIN dc USING (doc_id)
@@ -40,14 +43,17 @@ COMPLETE = with_(INK_CELLS) + rows() + flagged("gr", "answered") + """, dc AS (
     string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (n_open > 0) AS pages,
     list(page_no ORDER BY page_no) FILTER (n_open > 0) AS plist,
     string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (n_open = n) AS blanks FROM pg GROUP BY doc_id),
-  qs AS (SELECT doc_id, string_agg(q, '; ' ORDER BY page_no, row_no) AS q FROM used WHERE open GROUP BY doc_id),
+  qs AS (SELECT doc_id, string_agg(q, '; ' ORDER BY page_no, row_no) AS q, list(q ORDER BY page_no, row_no) AS qlist FROM used WHERE open GROUP BY doc_id),
   final AS (SELECT dc.doc_id, agg.doc_id IS NOT NULL AS checked, coalesce(unanswered, 0) = 0 AS complete,
     coalesce(unanswered, 0) AS unanswered_count, coalesce(pages, '') AS incomplete_pages,
     coalesce(blanks, '') AS blank_pages, CASE WHEN agg.doc_id IS NULL THEN 'completeness check not applicable'
       WHEN unanswered = 0 THEN 'all question rows have a response'
-      ELSE unanswered || ' unanswered question row(s) on ' || len(plist) || ' page(s): ' || q END AS detail, plist
+      ELSE unanswered || ' unanswered question row(s) on ' || len(plist) || ' page(s): ' || q END AS detail, plist, qlist
     FROM dc LEFT JOIN agg USING (doc_id) LEFT JOIN qs USING (doc_id))"""
 
+
+COMPLETE = complete(INK_CELLS, DOCS)
+
 ROWSW = """, wc AS (SELECT doc_id, page_no, y0, y1, fill FROM w WHERE x0 >= 612 * 0.42),
   big AS (SELECT doc_id, page_no FROM wc GROUP BY ALL HAVING count(*) >= 4),
   anc(doc_id, page_no, a) AS (
@@ -85,7 +91,7 @@ SQL = {
       answered FROM gr""",
     "q_optional_section": with_(INK_CELLS) + rows("0.0199", "0.001") + flagged("gr", "marked")
     + " SELECT doc_id, page_no, row_no, answered, exempt, NOT answered AND NOT exempt AS open FROM fl",
-    "q_completeness": COMPLETE + " SELECT * EXCLUDE (plist) FROM final",
+    "q_completeness": COMPLETE + " SELECT * EXCLUDE (plist, qlist) FROM final",
     "q_pages_label": COMPLETE + """ SELECT doc_id, CASE WHEN plist IS NULL THEN ''
       WHEN len(plist) = 1 THEN 'Page ' || plist[1] ELSE 'Pages ' || array_to_string(plist[1:-2], ', ') || ' and '
       || plist[-1] END AS pages_label FROM final""",

@@ -1,7 +1,10 @@
 """Expected results of the staged batch."""
 
-from .matching import W
-from .tables import LEDGER
+from .grid import SQL as GRID
+from .grid import complete
+from .matching import SEARCH
+from .tables import CHARTS, FORM_TEXT, FORMS, LEDGER, ink_cells, with_
+from .text import PRECEDENCE, TYPE
 
 OK = "('completed', 'completed_no_signature', 'incomplete_informed')"
 
@@ -10,13 +13,11 @@ def _kept(c):
     return f"CASE WHEN {c} IN {OK} THEN {c} ELSE 'completed' END"
 
 
-BATCH = W.rstrip() + ", " + LEDGER + f""",
+def batch(forms, own, error="registry error: timeout"):
+    """The staged batch over a table `forms`; `own` selects what each form brings along."""
+    return with_(CHARTS, forms, SEARCH).rstrip() + ", " + LEDGER + f""",
  newest AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY id DESC) = 1),
- b AS (SELECT f.*, fd.dob, md5('{{"k": ' || (f.form_id % 400) || '}}') AS hash, f.form_id % 11 <> 0 AS checked,
-    CASE f.form_id % 9 WHEN 0 THEN ['Page 11: q2', 'Page 8: q1', 'Page 8: q7'] WHEN 1 THEN ['Page 9: q4']
-      ELSE []::VARCHAR[] END AS questions,
-    f.form_id % 5 = 0 AS approved, f.form_id % 97 = 0 AS sheet_failed, f.form_id % 101 = 0 AS failed
-  FROM forms f JOIN fd USING (form_id)),
+ b AS ({own}),
  g AS (SELECT b.*, n.id AS p_id, n.status AS p_status, n.document_id AS p_doc, n.demographic_no AS p_person, n.sheet_row AS p_row,
     coalesce(n.document_id, '') <> '' AS known, checked AND len(questions) > 0 AND NOT approved AS incomplete
   FROM b LEFT JOIN newest n ON n.file_hash = b.hash),
@@ -67,7 +68,7 @@ BATCH = W.rstrip() + ", " + LEDGER + f""",
       WHEN 'add_row' THEN CASE WHEN NOT sheet_failed THEN form_id END WHEN l_outcome THEN l_token END AS row_form FROM oc),
  nr AS (SELECT form_id AS row_form, row_number() OVER (ORDER BY form_id) + (SELECT max(sheet_row) FROM ledger) AS new_row
    FROM z WHERE row_form = form_id),
- ms AS (SELECT *, CASE outcome WHEN 'error' THEN 'registry error: timeout'
+ ms AS (SELECT *, CASE outcome WHEN 'error' THEN '{error}'
     WHEN 'skip' THEN 'Already filed (document ' || document_id || ') and on the sheet; skipped.'
     WHEN 'add_row' THEN 'Already filed (document ' || document_id || ')' || CASE WHEN sheet_failed
         THEN ', but the sheet row still could not be written.' ELSE '; missing sheet row added.' END
@@ -80,6 +81,15 @@ BATCH = W.rstrip() + ", " + LEDGER + f""",
     ELSE 'Already handled in this session (document ' || document_id || '); skipped.' END AS message FROM z)
 """
 
+
+OWN = """SELECT f.*, fd.dob, md5('{"k": ' || (f.form_id % 400) || '}') AS hash, f.form_id % 11 <> 0 AS checked,
+    CASE f.form_id % 9 WHEN 0 THEN ['Page 11: q2', 'Page 8: q1', 'Page 8: q7'] WHEN 1 THEN ['Page 9: q4']
+      ELSE []::VARCHAR[] END AS questions,
+    f.form_id % 5 = 0 AS approved, f.form_id % 97 = 0 AS sheet_failed, f.form_id % 101 = 0 AS failed
+  FROM forms f JOIN fd USING (form_id)"""
+BATCH = batch(FORMS, OWN)
+
+
 _B = "lower(({})::VARCHAR)"
 _fresh = "action = 'process' AND NOT failed"
 EVENTS = [
@@ -107,10 +117,20 @@ EVENTS = [
     ("outcome IN ('skip', 'filed') OR outcome = 'add_row' AND NOT sheet_failed OR outcome LIKE 'person%'", "completed", "source_filename"),
     ("outcome = 'error'", "error", "'registry error: timeout'"),
 ]
+TYPES = f"SELECT doc_id, sha256(text) AS hash, {TYPE} AS form_type FROM ({with_(FORM_TEXT)} SELECT * FROM form_text)"
+EXTRACTED = batch(f"""forms AS (
+  SELECT doc_id AS form_id, first_name, last_name, email, dob_raw, FALSE AS used_ocr, signed AS signature_present, checked, form_type, hash,
+    coalesce(qlist, []) AS questions, 'doc_' || doc_id || '.pdf' AS source_filename, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS approved
+  FROM ({PRECEDENCE}) JOIN ({TYPES}) USING (doc_id) JOIN ({complete(ink_cells("l_partkey"), TYPES)} SELECT doc_id, checked, qlist FROM final)
+    USING (doc_id) JOIN ({GRID["q_signature_verdict"]}) USING (doc_id))""",
+    "SELECT f.*, fd.dob, FALSE AS sheet_failed, FALSE AS failed FROM forms f JOIN fd USING (form_id)")
 _UNION = " UNION ALL ".join(
     f"SELECT form_id, {i} AS k, '{e}' AS event, {x} AS detail FROM ms WHERE {c}" for i, (c, e, x) in enumerate(EVENTS))
 
 SQL = {
+    "q_form_intake": EXTRACTED + """SELECT form_id, form_type, checked, len(questions) AS unanswered, signature_present, outcome, status,
+      document_id, demographic_no, message FROM ms""",
+    "q_form_intake_events": EXTRACTED + f", ev AS ({_UNION}) SELECT event, count(DISTINCT form_id) AS forms, count(*) AS events FROM ev GROUP BY event",
     "q_final_status": BATCH + "SELECT form_id, outcome, status, document_id, demographic_no, coalesce(known_row, new_row) AS sheet_row FROM ms LEFT JOIN nr USING (row_form)",
     "q_stream_ledger": BATCH + """SELECT form_id AS id, 1 AS version, status, document_id, demographic_no,
       coalesce(known_row, new_row - (SELECT max(sheet_row) FROM ledger)) AS sheet_row FROM ms LEFT JOIN nr USING (row_form)""",

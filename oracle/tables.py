@@ -102,11 +102,15 @@ AUDIT_LOG = """audit_log AS (
   SELECT event_id + 1 AS id, event_id // 8 AS record_id, ts, 'system' AS actor,
     event_type AS event, props AS detail FROM events)"""
 
-INK_CELLS = """ink_cells AS (
-  SELECT l_suppkey AS doc_id, 6 + l_linenumber % 7 AS page_no, l_orderkey % 30 AS row_no,
+def ink_cells(doc):
+    return f"""ink_cells AS (
+  SELECT {doc} AS doc_id, 6 + l_linenumber % 7 AS page_no, l_orderkey % 30 AS row_no,
     round(l_discount * 100)::INTEGER AS dark, 500 AS total,
     round(l_discount * 100)::INTEGER / 500.0::DOUBLE AS ink FROM lineitem)"""
 
+
+INK_CELLS = ink_cells("l_suppkey")
+
 WIDGETS = """widgets AS (
   SELECT l_suppkey AS doc_id, 6 + l_linenumber % 7 AS page_no,
     10 * l_quantity AS x0, (5 * (l_partkey % 97))::DOUBLE AS y0,
