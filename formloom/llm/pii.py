@@ -21,7 +21,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Looser shapes that a trusted context may confirm.
 NUMBER = re.compile(r"(?<!\w)[0-9](?:[ ().-]{0,2}[0-9])++(?!\w)")
 ADDRESS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?:[:.][0-9A-Fa-f]{0,4}){3,7}(?![\w:.])")
-MAILBOX = re.compile(r"[\w.%+-]{1,64}(?:@|\(at\)|\[at\])[\w.-]{2,64}")
+MAILBOX = re.compile(r"(?<![\w.%+-])[\w.%+-]++(?:@|\(at\)|\[at\])[\w.-]{2,}+")
 #: What the operator adds to a document, and its own helpers.
 COLUMNS = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found", "_base", "_row", "_found"]
 AT = ("@", "(at)", "[at]")
@@ -151,23 +151,35 @@ def scanned(docs: DataFrame, keep: bool) -> DataFrame:
 def trusted(graph: DataFrame, rounds: int, least_seeds: int, least_confidence: float) -> DataFrame:
     """kind and pattern of the contexts to trust, from the graph (kind, pattern, value, seed) of distinct edges.
 
-    An instance of its own kind counts 1 if it is a seed, else the confidence of
-    its best pattern so far; instances of other kinds count 0. A pattern's
+    An instance of its own kind counts 1 if it is a seed; if an earlier generation
+    found it, the confidence of the best pattern that did; else the confidence of
+    its best pattern so far. Instances of other kinds count 0. A pattern's
     confidence is the sum of its instances over their number plus one. Only
-    patterns with `least_seeds` distinct seeds take part.
+    patterns with `least_seeds` distinct seeds or found instances take part. What
+    a generation's trusted patterns surround joins the seeds of the next, until
+    nothing new is found; a pattern once trusted stays so.
     """
-    total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = graph.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    base = written(seeds.join(total, "pattern"), "pii-patterns")
-    edges = written(resharded_join(graph.where("not seed"), base.select("kind", "pattern"), ["kind", "pattern"]).select("kind", "pattern", "value"), "pii-edges")
-    confidence = base.select("kind", "pattern", (F.col("seeds") / (F.col("n") + 1)).alias("c"))
-    for _ in range(rounds):
-        best = resharded_join(edges, confidence, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("c").alias("s"))
-        more = resharded_join(edges, best, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("s").alias("s"))
-        confidence = base.join(more, ["kind", "pattern"], "left").select(
-            "kind", "pattern", ((F.col("seeds") + F.coalesce("s", F.lit(0.0))) / (F.col("n") + 1)).alias("c"))
-        confidence = written(confidence, "pii-confidence")
-    return confidence.where(F.col("c") >= least_confidence).select("kind", "pattern")
+    graph = written(graph, "pii-graph")
+    total = written(graph.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
+    pair, found, good = ["kind", "pattern"], None, None
+    while True:
+        known = graph.withColumn("s", F.lit(None).cast("double")) if found is None else resharded_join(graph, found, ["kind", "value"], "left")
+        known = known.withColumn("own", F.when(F.col("seed"), 1.0).otherwise(F.col("s"))).drop("s")
+        sums = known.groupBy(*pair).agg(F.count("own").alias("seeds"), F.sum("own").alias("own")).where(F.col("seeds") >= least_seeds)
+        base = written(sums.join(total, "pattern"), "pii-patterns")
+        edges = written(resharded_join(known.where("own is null"), base.select(*pair), pair).select(*pair, "value"), "pii-edges")
+        confidence = base.select(*pair, (F.col("own") / (F.col("n") + 1)).alias("c"))
+        for _ in range(rounds):
+            best = resharded_join(edges, confidence, pair).groupBy("kind", "value").agg(F.max("c").alias("s"))
+            more = resharded_join(edges, best, ["kind", "value"]).groupBy(*pair).agg(F.sum("s").alias("s"))
+            confidence = written(base.join(more, pair, "left").select(
+                *pair, ((F.col("own") + F.coalesce("s", F.lit(0.0))) / (F.col("n") + 1)).alias("c")), "pii-confidence")
+        sure = confidence.where(F.col("c") >= least_confidence)
+        good = sure.select(*pair) if good is None else good.union(sure.select(*pair)).distinct()
+        fresh = written(resharded_join(edges, sure, pair).groupBy("kind", "value").agg(F.max("c").alias("s")), "pii-found")
+        if fresh.isEmpty():
+            return good
+        found = fresh if found is None else found.union(fresh)
 
 
 def extract(docs: DataFrame, rounds: int = 2, least_seeds: int = 5, least_confidence: float = 0.8, keep: bool = False) -> DataFrame:
@@ -177,7 +189,8 @@ def extract(docs: DataFrame, rounds: int = 2, least_seeds: int = 5, least_confid
     base patterns; spans has base and discovered ones, found the discovered as
     structs. Base matches are the seeds; the words around them are patterns;
     looser shapes of a kind are candidates, and one is reported where a trusted
-    pattern of its kind surrounds it. Null and empty texts have no spans; rows
+    pattern of its kind surrounds it; reported values are seeds in turn, so that
+    their other contexts may be trusted too. Null and empty texts have no spans; rows
     with null or repeated doc_ids are told apart by their place in the written
     scan. Columns with the names of the new ones are replaced.
     """

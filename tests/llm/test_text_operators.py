@@ -335,5 +335,59 @@ def test_pii_context_finds_unseen_numbers(spark):
     docs = frame(spark, texts)
     got = {r.doc_id: r for r in pii.extract(docs, keep=True).collect()}
     assert got[30].spans == "phone:11:19" and got[30].n_phone == 0 and got[31].spans == "" and got[32].spans == ""
+    whole = frame(spark, [f"write to a{i}@b{i}.com please" for i in range(20)] + ["write to " + "a" * 90 + "(at)" + "b" * 90 + " please"])
+    assert {r.doc_id: r.spans for r in pii.extract(whole).collect()}[20] == f"email:9:{9 + 90 + 4 + 90}"
     masked = {r.doc_id: r.text for r in pii.mask(pii.extract(docs, keep=True)).collect()}
     assert masked[0] == "call desk: [PHONE] now" and masked[30] == "call desk: [PHONE] now" and masked[31] == texts[31]
+
+
+def test_pii_found_numbers_lead_to_further_contexts(spark):
+    texts = [f"call desk: +1 ({200 + i}) 555-01{i:02d} now" for i in range(60)]
+    texts += [f"call desk: 555-02{i:02d} now" for i in range(8)] + [f"my hotline 555-02{i:02d} again" for i in range(8)]
+    texts += ["my hotline 555-0377 again", "weighs 555-0378 grams"]
+    got = {r.doc_id: r.spans for r in pii.extract(frame(spark, texts)).collect()}
+    assert all(got[60 + i] for i in range(8)) and all(got[68 + i] == "phone:11:19" for i in range(8))
+    assert got[76] == "phone:11:19" and got[77] == ""
+
+
+def plainly_trusted(edges, rounds, least_seeds, least_confidence):
+    """The patterns to trust, by loops over all edges."""
+    total, score, good = {}, {(k, v): 1.0 for k, p, v, seed in edges if seed}, set()
+    for k, p, v, _ in edges:
+        total[p] = total.get(p, 0) + 1
+    while True:
+        seeds, own = {}, {}
+        for k, p, v, _ in edges:
+            if (k, v) in score:
+                seeds[k, p], own[k, p] = seeds.get((k, p), 0) + 1, own.get((k, p), 0.0) + score[k, v]
+        part = {x for x, n in seeds.items() if n >= least_seeds}
+        c = {x: own[x] / (total[x[1]] + 1) for x in part}
+        rest = [(k, p, v) for k, p, v, _ in edges if (k, v) not in score and (k, p) in part]
+        for _ in range(rounds):
+            best = {}
+            for k, p, v in rest:
+                best[k, v] = max(best.get((k, v), 0.0), c[k, p])
+            c = {x: (own[x] + sum(best[k, v] for k, p, v in rest if (k, p) == x)) / (total[x[1]] + 1) for x in part}
+        sure = {x for x in part if c[x] >= least_confidence}
+        good |= sure
+        fresh = {}
+        for k, p, v in rest:
+            if (k, p) in sure:
+                fresh[k, v] = max(fresh.get((k, v), 0.0), c[k, p])
+        if not fresh:
+            return good
+        score |= fresh
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_patterns_are_scored_as_by_loops(spark, seed):
+    rng = random.Random(seed)
+    chains = [("phone", f"p{j}", f"v{i}", i < 8) for j in range(5) for i in range(6 * j, 6 * j + 9)]
+    noise = [(k, f"q{rng.randint(0, 9)}", v, v < "v3") for k in ("phone", "card") for v in (f"v{rng.randint(0, 60)}" for _ in range(120))]
+    edges = sorted(set(chains + noise))
+    edges = list({(k, p, v): (k, p, v, any(s for a, _, b, s in edges if (a, b) == (k, v))) for k, p, v, _ in edges}.values())
+    graph = spark.createDataFrame(edges, "kind string, pattern string, value string, seed boolean")
+    for rounds, least, confidence in ((0, 3, 0.6), (2, 3, 0.55), (2, 2, 0.3)):
+        got = [tuple(r) for r in pii.trusted(graph, rounds, least, confidence).collect()]
+        assert len(got) == len(set(got)) and set(got) == plainly_trusted(edges, rounds, least, confidence)
+        assert got
