@@ -142,6 +142,20 @@ def cell_pairs(cells: str) -> Column:
       p -> struct(lower(p.{cells}) as key, p.`1` as value))""")
 
 
+# Keys under which word documents name the source of a referral, most trusted first.
+REFERRAL_KEYS = ("how did you hear about us", "referral")
+
+
+def with_cell_pairs(paragraphs: str, cells: str) -> Column:
+    """All pairs of a word document: the last paragraph of a key counts, a cell only where no paragraph has its key."""
+    return F.expr(f"""concat(reverse(filter({cells}, c -> not exists({paragraphs}, p -> p.key = c.key))), {paragraphs})""")
+
+
+def keyed_value(pairs: str, keys: tuple[str, ...] = REFERRAL_KEYS) -> Column:
+    """Key by key, the last value of exactly that key that is not empty."""
+    return first_of([f"nullif(try_element_at(filter({pairs}, p -> p.key = {sql_text(k)}), -1).value, '')" for k in keys])
+
+
 def option_in_text(text: Column, priority: tuple[str, ...] = PRONOUN_OPTIONS) -> Column:
     """Word documents: the first option present anywhere in the text."""
     low = F.lower(text)

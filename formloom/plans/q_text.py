@@ -151,17 +151,14 @@ def _word_documents(spark: SparkSession, d: str) -> DataFrame:
 def docx_pairs(spark: SparkSession, d: str) -> DataFrame:
     w = _word_documents(spark, d).select(
         "doc_id", "text", E.paragraph_pairs("lines").alias("para"), E.cell_pairs("cells").alias("cell"))
-    # paragraphs: the last of a key wins; cells only fill keys that are missing
-    w = w.select("doc_id", "text", F.expr("""concat(
-        reverse(filter(cell, c -> not exists(para, p -> p.key = c.key))), para) as pairs"""))
+    w = w.select("doc_id", "text", E.with_cell_pairs("para", "cell").alias("pairs"))
     loose = {"exact": True, "max_chars": 80, "stopwords": ()}
     return w.select(
         "doc_id",
         F.expr("cast(size(array_distinct(transform(pairs, p -> p.key))) as bigint)").alias("n_keys"),
         *[E.pair_value("pairs", f, DEMOGRAPHIC_LABELS[f], AS_OF, **loose).alias(f)
           for f in ("first_name", "last_name", "dob", "phone")],
-        F.coalesce(*[F.expr(f"nullif(try_element_at(filter(pairs, p -> p.key = '{k}'), -1).value, '')")
-                     for k in ("how did you hear about us", "referral")]).alias("referral_source"),
+        E.keyed_value("pairs").alias("referral_source"),
         E.option_in_text(F.col("text")).alias("pronoun"),
     )
 

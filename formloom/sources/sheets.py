@@ -18,6 +18,8 @@ from ..functions.maps import answer
 from ..functions.predicates import leaks_name
 from ..functions.text import full_name, region_name, yes_no
 from ..operators.skew import numbered
+from .batches import Running, found, write_batch
+from .workdir import staged
 
 Resolver = Callable[[datetime], Column]
 
@@ -153,6 +155,10 @@ def with_row_numbers(rows: DataFrame, order: str, existing: int = 0) -> DataFram
 
 # --- sinks -----------------------------------------------------------------
 
+#: Beside a locked sheet lies one of its name with this ending.
+LOCKED = "_LOCKED_ROWS"
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "append") -> str:
     (rows.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("emptyValue", "").csv(path))
@@ -185,7 +191,7 @@ def write_or_fall_back(rows: DataFrame, path: str, writer: Callable[[DataFrame,
     try:
         return writer(rows, path)
     except (SheetLocked, PermissionError):
-        return write_csv(rows, path.rstrip("/") + "_LOCKED_ROWS")
+        return write_csv(rows, path.rstrip("/") + LOCKED)
 
 
 def write_all(rows: DataFrame, writers: Sequence[Callable[[DataFrame], object]]) -> list:
@@ -205,6 +211,66 @@ def preferred_row(local_row: Column, remote_row: Column) -> Column:
     return F.when(local_row >= 0, local_row).otherwise(remote_row)
 
 
+def replace_csv(rows: DataFrame, path: str) -> str:
+    return write_csv(rows, path, "overwrite")
+
+
+class SheetRouter:
+    """A sink of `run_intake`: a batch's new sheet rows, written to every target that `mode` enables.
+
+    `project` makes a target's rows of the records, whose sheet_row is their number
+    in that target: each target (local, its sibling for rows that came while it
+    was locked, remote) counts its own rows, going on where earlier batches
+    stopped. Writers get the rows and the batch's own path below `root`; what a
+    batch's first attempt chose is kept, so a retry writes the same rows to the
+    same places. `rows` below `root` holds form_id, target, local_row, remote_row
+    (-1 where a target is not enabled) and the sheet_row that counts.
+    """
+
+    def __init__(self, root: str, mode: str, project: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+                 local: Callable[[DataFrame, str], str] = replace_csv, remote: Callable[[DataFrame, str], str] = replace_csv):
+        self.root, self.project, self.local, self.remote = root, project, local, remote
+        self.use_local, self.use_remote = enabled_targets(mode)
+
+    def __call__(self, done: DataFrame, batch_id: int) -> None:
+        spark, new = done.sparkSession, done.where("row_form = form_id")
+        numbers = staged(with_row_numbers(new.select("form_id"), "form_id").withColumnRenamed("sheet_row", "_n"), "sheet-rows")
+        added, totals = numbers.count(), {t: Running(spark, f"{self.root}/totals/{t}") for t in ("local", "local" + LOCKED, "remote")}
+
+        def rows(target: str) -> DataFrame:
+            place = numbers.withColumn("sheet_row", F.col("_n") + totals[target].before(batch_id)).drop("_n")
+            return self.project(new.drop("sheet_row").join(place, "form_id"))
+
+        used = []
+        if self.use_local:
+            used.append(self.write_local(rows, batch_id, spark))
+        if self.use_remote:
+            self.remote(rows("remote"), f"{self.root}/remote/batch={batch_id}")
+            used.append("remote")
+        number = {t: F.col("_n") + totals[t].before(batch_id) for t in used}
+        local, remote = next((number[t] for t in used if t != "remote"), F.lit(-1)), number.get("remote", F.lit(-1))
+        placed = numbers.select("form_id", F.lit(used[0]).alias("target"), local.cast("long").alias("local_row"), remote.cast("long").alias("remote_row"))
+        write_batch(placed.withColumn("sheet_row", preferred_row(F.col("local_row"), F.col("remote_row"))), f"{self.root}/rows", batch_id)
+        for t, total in totals.items():
+            total.after(batch_id, added if t in used else 0)
+
+    def write_local(self, rows: Callable[[str], DataFrame], batch_id: int, spark: SparkSession) -> str:
+        """Writes the batch to the local sheet, or to its sibling; returns which, as its first attempt chose."""
+        note = f"{self.root}/chosen/batch={batch_id}"
+        kept = found(spark, note, "target string")
+        target = kept.first().target if kept is not None else "local"
+        try:
+            (self.local if target == "local" else replace_csv)(rows(target), f"{self.root}/{target}/batch={batch_id}")
+        except (SheetLocked, PermissionError):
+            if kept is not None:
+                raise
+            target += LOCKED
+            replace_csv(rows(target), f"{self.root}/{target}/batch={batch_id}")
+        if kept is None:
+            spark.createDataFrame([(target,)], "target string").coalesce(1).write.mode("overwrite").parquet(note)
+        return target
+
+
 def begin_session(rows: DataFrame, path: str, resume: bool) -> str:
     """First write of a session: keep the sheet on resume, else start it anew."""
     return write_csv(rows, path, "append" if resume else "overwrite")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from formloom.operators.charts import confirm_documents
 from formloom.operators.ledger import current_view
 from formloom.plans import intake as P
+from formloom.sources import sheets
 from formloom.sources.batches import LedgerStore, Running
 from formloom.streaming import counters as C
 from formloom.streaming import decisions as D
@@ -107,6 +108,47 @@ def test_sheet_rows_have_no_gap_when_a_batch_runs_twice(intake):
     assert set(audit) <= set(P.EVENTS)
 
 
+@pytest.mark.parametrize("mode", ["both", "remote"])
+def test_rows_go_to_every_enabled_sheet(intake, mode):
+    intake.drop(*[form(k, person=k) for k in (1, 2, 3)])
+    intake.drop(*[form(k, person=k, sheet_failed=k == 5) for k in (4, 5, 6)])
+    intake.drop(form(7, person=7), form(8, "h1", person=1))
+    calls = {"local": [], "remote": []}
+
+    def local(rows, path):
+        calls["local"].append(path[-1])
+        if path.endswith("=1"):
+            raise sheets.SheetLocked
+        return sheets.replace_csv(rows, path)
+
+    def remote(rows, path):
+        calls["remote"].append(path[-1])
+        sheets.replace_csv(rows, path)
+        if calls["remote"].count("1") == 1 and path.endswith("=1"):
+            raise RuntimeError("the remote sheet is lost")
+
+    router = sheets.SheetRouter(f"{intake.root}/sheets", mode, lambda r: r.select("sheet_row", "form_id"), local, remote)
+    with pytest.raises(Exception, match="remote sheet is lost"):
+        intake.run((router,))
+    intake.run((router,))
+    got = {r.form_id: (r.target, r.local_row, r.remote_row, r.sheet_row) for r in intake.table("sheets/rows").collect()}
+    if mode == "both":  # rows that came while the sheet was locked are counted where they went
+        assert got == {1: ("local", 1, 1, 1), 2: ("local", 2, 2, 2), 3: ("local", 3, 3, 3), 4: ("local_LOCKED_ROWS", 1, 4, 1),
+                       6: ("local_LOCKED_ROWS", 2, 5, 2), 7: ("local", 4, 6, 4)}
+        # the retry went straight to the place its first attempt had chosen
+        assert calls == {"local": ["0", "1", "2"], "remote": ["0", "1", "1", "2"]}
+    else:
+        assert got == {f: ("remote", -1, n, n) for n, f in enumerate((1, 2, 3, 4, 6, 7), 1)} and not calls["local"]
+
+    def written(target):
+        rows = intake.spark.read.option("header", True).csv(f"{intake.root}/sheets/{target}")
+        return sorted((int(r.sheet_row), int(r.form_id)) for r in rows.collect())
+
+    assert written("remote") == list(enumerate((1, 2, 3, 4, 6, 7), 1))
+    if mode == "both":
+        assert written("local") == [(1, 1), (2, 2), (3, 3), (4, 7)] and written("local_LOCKED_ROWS") == [(1, 4), (2, 6)]
+
+
 def test_failed_forms_come_again_until_they_are_filed_or_given_up(intake):
     intake.drop(form(1, person=1), form(2, person=2), form(3, person=3))
 
