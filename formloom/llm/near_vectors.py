@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -56,14 +57,24 @@ def bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def traverse(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """Cells of the product grid by the multi-sequence walk, nearest first, while their bound is at most `most`."""
+    """Cells of the product grid by the multi-sequence walk, nearest first.
+
+    A queue holds the next cell of every row that was entered; a row is entered
+    when the walk takes the first cell of the row before. The walk ends with the
+    first cell whose bound is above `most`: no later one can hold a neighbour.
+    """
     ia, ib = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    ia, ib = ia[: int((a <= most).sum())], ib[: int((b <= most).sum())]
-    out = []
-    for i in ia:
-        n = int(np.searchsorted(b[ib], most - a[i], side="right"))
-        out += [(a[i] + b[j], int(i), int(j)) for j in ib[:n]]
-    return [(i, j) for _, i, j in sorted(out)]
+    rows, columns = a[ia].tolist(), b[ib].tolist()
+    ia, ib = ia.tolist(), ib.tolist()
+    queue, out = [(rows[0] + columns[0], 0, 0)], []
+    while queue and queue[0][0] <= most:
+        _, i, j = heapq.heappop(queue)
+        out.append((ia[i], ib[j]))
+        if j + 1 < len(columns):
+            heapq.heappush(queue, (rows[i] + columns[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(rows):
+            heapq.heappush(queue, (rows[i + 1] + columns[0], i + 1, 0))
+    return out
 
 
 def links(vectors: DataFrame, threshold: float = 0.98, sample: int = 8192, codes: int | None = None) -> DataFrame:
