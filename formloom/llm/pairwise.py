@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm.common import map_batches, remainder, table, written
+from formloom.operators.skew import numbered
 
 #: Groups of ASCII characters whose shares are measured; fixed sets, as far as this module is concerned.
 GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".?", "!", ",;:", "'\"-()", "|<>[]{}=/\\_", "#*$%&@^~+`")
@@ -81,33 +83,53 @@ def pairs(n_good: int, n_bad: int, rivals: int, seed: int = 0) -> tuple[np.ndarr
     return np.concatenate(good), np.concatenate(bad)
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, l2: float, rounds: int) -> np.ndarray:
-    """Weights of least logistic loss on the feature differences of pairs, by damped Newton steps.
+def pair_sums(d: np.ndarray, w: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Of feature differences d, preferred less other: their number, and the sums of loss, gradient and Hessian at w."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+    return len(d), float(np.logaddexp(0, -(d @ w)).sum()), -(d.T @ p), (d * (p * (1 - p))[:, None]).T @ d
 
-    good and bad are the features of preferred and other documents, row by row a
-    pair. The loss is mean log(1 + exp(-w . (good - bad))) + l2 / 2 |w|^2; it is
-    convex, so a few steps reach its only minimum.
+
+def least_loss(sums: Callable[[np.ndarray], tuple], size: int, l2: float, rounds: int) -> np.ndarray:
+    """Weights of least mean loss + l2 / 2 |w|^2 by damped Newton steps, from the `pair_sums` of all pairs at given weights.
+
+    The loss is convex, so a few steps reach its only minimum.
     """
-    d = good - bad
-    w = np.zeros(d.shape[1])
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(d @ w)).mean() + l2 / 2 * (w @ w))
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        n, loss, gradient, hessian = sums(w)
+        return loss / n + l2 / 2 * float(w @ w), l2 * w + gradient / n, hessian / n + l2 * np.eye(size)
 
-    now = loss(w)
+    w = np.zeros(size)
+    now, gradient, hessian = at(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-        gradient = l2 * w - d.T @ p / len(d)
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(len(w))
-        step, size = np.linalg.solve(hessian, gradient), 1.0
-        while (then := loss(w - size * step)) > now and size > 1e-6:
-            size /= 2
-        if now - then < 1e-10:
+        step, part = np.linalg.solve(hessian, gradient), 1.0
+        if gradient @ step < 1e-10:
+            break
+        then = at(w - step)
+        while then[0] > now and part > 1e-6:
+            part /= 2
+            then = at(w - part * step)
+        if now - then[0] < 1e-10:
             break
-        w, now = w - size * step, then
+        w = w - part * step
+        now, gradient, hessian = then
     return w
 
 
+def bradley_terry(good: np.ndarray, bad: np.ndarray, l2: float, rounds: int) -> np.ndarray:
+    """Weights of least logistic loss on the feature differences of pairs.
+
+    good and bad are the features of preferred and other documents, row by row a
+    pair. The loss is mean log(1 + exp(-w . (good - bad))) + l2 / 2 |w|^2.
+    """
+    d = good - bad
+    return least_loss(lambda w: pair_sums(d, w), d.shape[1], l2, rounds)
+
+
+#: Candidates for a model's scale.
+SCALES = 2.0 ** np.arange(-6, 7)
+
+
 def learned(x: np.ndarray, good: np.ndarray, rivals: int, l2: float, rounds: int) -> Model:
     """The model of measures x and labels: weights from pairs, the threshold at the quantile of the scores that
     the share of bad documents sets, and a scale that makes the scores fit the labels best."""
@@ -119,53 +141,116 @@ def learned(x: np.ndarray, good: np.ndarray, rivals: int, l2: float, rounds: int
     raw = f @ w
     threshold = float(np.quantile(raw, float((~good).mean()), method="midpoint"))
     sign = np.where(good, 1.0, -1.0)
-    scales = 2.0 ** np.arange(-6, 7)
-    scale = min(scales, key=lambda s: float(np.logaddexp(0, -sign * s * (raw - threshold)).mean()))
+    scale = min(SCALES, key=lambda s: float(np.logaddexp(0, -sign * s * (raw - threshold)).mean()))
     return Model(model.mean, model.spread, w, threshold, float(scale))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int) -> DataFrame:
-    """doc_id, good, h and text of at most fit_rows / 2 documents of either label, those with the smallest hashes of their ids.
+def matrix(column) -> np.ndarray:
+    """The rows of an Arrow column of measures."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(MEASURES))
 
-    A document labelled twice counts as good if all labels say so. Ids are drawn
-    among those that `docs` has, so that both labels are met; only ids are
-    shuffled, and the drawn ones, at most fit_rows, are broadcast.
+
+def met(rows: DataFrame, sizes: dict[bool, int], rivals: int) -> DataFrame:
+    """(good, bad): measures of preference pairs, as `pairs` makes them, for tables of any size.
+
+    Both labels are numbered in the order of their ids' hashes. A document of the
+    larger label meets `rivals` of the smaller, evenly spread over its numbers.
     """
-    one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    there = docs.where("doc_id is not null").select("doc_id").distinct()
-    one = one.where(learn).join(there, "doc_id").withColumn("k", F.xxhash64("doc_id"))
-    some = [one.where(F.col("good") == which).orderBy("k", "doc_id").limit(fit_rows // 2) for which in (True, False)]
-    chosen = written(some[0].union(some[1]).select("doc_id", "good"), "quality-ids")
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "doc_id")
+    more = sizes[True] >= sizes[False]
+    m = min(sizes.values())
+    placed = numbered(rows.select("good", "x", F.struct(F.xxhash64("doc_id"), "doc_id").alias("k")), "k", "n", ["good"])
+    big = placed.where(F.col("good") == more).select(F.pmod(F.col("n") - 1, F.lit(m)).alias("at"), F.col("x").alias("good" if more else "bad"))
+    few = placed.where(F.col("good") != more).select(F.col("n"), F.col("x").alias("bad" if more else "good"))
+    few = few.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rivals - 1))))
+    few = few.withColumn("at", F.pmod(F.col("n") - 1 - F.col("r") * max(1, m // rivals), F.lit(m))).drop("n", "r")
+    return big.join(few, "at").select("good", "bad")
+
+
+def learned_apart(rows: DataFrame, sizes: dict[bool, int], rivals: int, l2: float, rounds: int) -> Model:
+    """What `learned` does, over rows (doc_id, good, x) that stay where they are: tasks send sums, one row each."""
+    of = lambda f: [f(F.col("x")[i]) for i in range(len(MEASURES))]
+    stats = rows.agg(F.array(*of(F.avg)).alias("mean"), F.array(*of(F.stddev_pop)).alias("spread")).first()
+    spread = np.array(stats.spread)
+    model = Model(np.array(stats.mean), np.where(spread > 1e-9, spread, 1.0))
+    against, size = written(met(rows, sizes, rivals), "quality-pairs"), len(model.weights)
+
+    def sums(w: np.ndarray) -> tuple:
+        def run(batches):
+            import pyarrow as pa
+
+            total = [0, 0.0, np.zeros(size), np.zeros((size, size))]
+            for batch in batches:
+                for i, x in enumerate(pair_sums(model.features(matrix(batch.column(0))) - model.features(matrix(batch.column(1))), w)):
+                    total[i] = total[i] + x
+            n, loss, gradient, hessian = total
+            yield pa.RecordBatch.from_pydict({"n": [n], "loss": [loss], "g": [gradient.tolist()], "h": [hessian.ravel().tolist()]})
+
+        each = against.select("good", "bad").mapInArrow(run, "n long, loss double, g array<double>, h array<double>").collect()
+        return (sum(r.n for r in each), math.fsum(r.loss for r in each), np.sum([r.g for r in each], axis=0),
+                np.sum([r.h for r in each], axis=0).reshape(size, size))
+
+    w = least_loss(sums, size, l2, rounds)
 
+    def make():
+        def run(batch):
+            yield {"doc_id": batch.column(0), "good": batch.column(1), "raw": model.features(matrix(batch.column(2))) @ w}
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = 16_384, rivals: int = 4, l2: float = 1e-4, rounds: int = 30) -> Model:
-    """The model of a bounded sample of labelled documents: at most fit_rows / 2 of either label, whole texts.
+        return run
 
-    `docs` needs doc_id and text, `labels` doc_id and quality (1: good). Each
-    document of the label with more meets `rivals` of the other as a preference
-    pair. Texts are measured where they lie; of rows that share a doc_id one
-    counts, so at most fit_rows x MEASURES numbers reach the driver. With one
-    label all scores are that label's, with none all are 0.5.
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    raws = written(map_batches(rows.select("doc_id", "good", "x"), make, f"doc_id {kind}, good boolean, raw double"), "quality-scores")
+    # the two scores beside the quantile, as numbered over all
+    n = sizes[True] + sizes[False]
+    at = sizes[False] / n * (n - 1)
+    ranked = numbered(raws.select("raw", F.struct("raw", "doc_id").alias("k")), "k", "n")
+    beside = ranked.where(F.col("n").isin(math.floor(at) + 1, math.ceil(at) + 1)).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
+    threshold = (beside.lo + beside.hi) / 2
+    against_label = F.when(F.col("good"), -1.0).otherwise(1.0) * (F.col("raw") - threshold)
+    loss = lambda s: F.avg(F.greatest(against_label * s, F.lit(0.0)) + F.log1p(F.exp(-F.abs(against_label * s))))
+    losses = raws.agg(*[loss(float(s)) for s in SCALES]).first()
+    return Model(model.mean, model.spread, w, threshold, float(SCALES[int(np.argmin(losses))]))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, good and measures x of every labelled document that `learn` picks.
+
+    A document labelled twice counts as good if all labels say so; of rows that
+    share a doc_id one counts. Texts are measured where they lie, and only
+    measures meet the labels.
     """
 
     def make():
         def run(batch):
-            yield {"doc_id": batch.column(0), "good": batch.column(3), "h": batch.column(1), "x": [measures(t.as_py()) for t in batch.column(2)]}
+            yield {"doc_id": batch.column(0), "h": batch.column(1), "x": [measures(t.as_py()) for t in batch.column(2)]}
 
         return run
 
-    rows = labelled(docs, labels, learn, fit_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = map_batches(rows.select("doc_id", "h", "text", "good"), make, f"doc_id {kind}, good boolean, h long, x array<double>")
-    sample = each.groupBy("doc_id").agg(F.first("good").alias("good"), F.min(F.struct("h", "x")).alias("m")).select("doc_id", "good", "m.x").collect()
-    sample.sort(key=lambda r: str(r.doc_id))
-    good = np.array([r.good for r in sample], bool)
-    if not len(sample):
+    one = labels.where("quality is not null and doc_id is not null").where(learn).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    texts = docs.where("doc_id is not null").where(learn).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    each = map_batches(texts, make, f"doc_id {kind}, h long, x array<double>").join(one, "doc_id")
+    return each.groupBy("doc_id").agg(F.first("good").alias("good"), F.min(F.struct("h", "x")).alias("m")).select("doc_id", "good", "m.x")
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = 16_384, rivals: int = 4, l2: float = 1e-4, rounds: int = 30) -> Model:
+    """The model of all labelled documents that `learn` picks, whole texts.
+
+    `docs` needs doc_id and text, `labels` doc_id and quality (1: good). Each
+    document of the label with more meets `rivals` of the other as a preference
+    pair. The driver fits up to `fit_rows` documents by itself; of more it gets
+    sums alone, and measures and pairs stay in the tasks. With one label all
+    scores are that label's, with none all are 0.5.
+    """
+    rows = written(labelled(docs, labels, learn), "quality-measures")
+    sizes = {False: 0, True: 0} | {r.good: r["count"] for r in rows.groupBy("good").count().collect()}
+    if not any(sizes.values()):
         return Model()
-    if good.all() or not good.any():
-        return Model(threshold=-40.0 if good.all() else 40.0)
-    return learned(np.array([r.x for r in sample]), good, rivals, l2, rounds)
+    if not all(sizes.values()):
+        return Model(threshold=-40.0 if sizes[True] else 40.0)
+    if sum(sizes.values()) > fit_rows:
+        return learned_apart(rows, sizes, rivals, l2, rounds)
+    few = sorted(rows.collect(), key=lambda r: str(r.doc_id))
+    return learned(np.array([r.x for r in few]), np.array([r.good for r in few], bool), rivals, l2, rounds)
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:

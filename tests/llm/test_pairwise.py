@@ -84,3 +84,31 @@ def test_odd_tables(spark, kind):
     one = pairwise.score(docs, pairwise.fit(docs, labels.where("quality = 0"), learn)).collect()
     assert {r.predicted for r in one} == {0}
     assert pairwise.fit(docs.where("false"), labels, learn).threshold == 0
+
+
+def test_every_labelled_document_counts(spark):
+    rng = np.random.default_rng(1)
+    words = [["plain", "good", "prose"], ["XX", "!!", "%%%"]]
+    rows = [(i, " ".join(rng.choice(words[i % 3 == 0 if rng.random() < 0.9 else i % 2], 40)), int(i % 3 > 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    found = pairwise.labelled(docs, docs, F.lit(True))
+    assert found.count() == 400
+    here, apart = (pairwise.fit(docs, docs, F.lit(True), fit_rows=n) for n in (400, 100))
+    x = np.array([pairwise.measures(r[1]) for r in rows])
+    assert np.allclose(apart.mean, x.mean(0)) and np.allclose(here.mean, x.mean(0))
+    raw = np.sort(apart.features(x) @ apart.weights)
+    bad = sum(r[2] == 0 for r in rows)
+    assert apart.threshold == pytest.approx(float(np.quantile(raw, bad / 400, method="midpoint")))
+    assert np.corrcoef(here.scores(x), apart.scores(x))[0, 1] > 0.99
+    sizes = {True: 400 - bad, False: bad}
+    met = pairwise.met(found, sizes, 4).collect()
+    assert len(met) == 4 * (400 - bad) and len({tuple(r.good) for r in met}) == len({tuple(v) for v, r in zip(x.tolist(), rows, strict=True) if r[2]})
+
+
+def test_pairs_apart_give_the_weights_of_least_loss(spark):
+    rows = [(i, "a " * (i % 7 + 1) + "B! " * (i % 5) + "x" * (i % 11), int(i % 4 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = pairwise.fit(docs, docs, F.lit(True), fit_rows=10, l2=0.01)
+    met = pairwise.met(pairwise.labelled(docs, docs, F.lit(True)), {True: 30, False: 90}, 4).collect()
+    good, bad = (model.features(np.array([r[c] for r in met])) for c in ("good", "bad"))
+    assert len(met) == 360 and np.allclose(model.weights, pairwise.bradley_terry(good, bad, 0.01, 30), atol=1e-6)
