@@ -1,8 +1,8 @@
 """Word boxes to lines, clusters, label values and marks.
 
 Spatial rules become equi joins on the page (and on a band of it) with a
-residual range test, or ordered windows over distinct coordinates. Nothing
-compares every box of a page with every other one.
+residual range test, or ordered windows over distinct coordinates. Boxes of a
+page are compared with every other one only where a page has few.
 """
 
 from __future__ import annotations
@@ -131,14 +131,38 @@ def overlap_slots(lines: DataFrame) -> DataFrame:
     return resharded_join(lines, slots, [*PAGE, "y0", "y1"]).selectExpr(*lines.columns, "inline(_slots)")
 
 
-def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60) -> DataFrame:
+def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60, most: int = 256) -> DataFrame:
     """Each label line with the nearest line to its right on the same row.
 
     `lines`: doc_id, page_no, ord, x0, y0, x1, y1, text. Lines without text or
-    height are left out. Each slot of `overlap_slots` is swept once from right
-    to left, so no pairs are made: n lines cost about n log n.
+    height are left out. On pages of at most `most` lines they meet by page, each
+    shuffled once a side; on the others each slot of `overlap_slots` is swept
+    once from right to left, so n lines cost about n log n. The broadcast pages
+    are fewer than lines / `most`.
     """
     shown = lines.where("text <> '' and y1 > y0").select(*PAGE, "ord", "x0", "x1", "y0", "y1", "text")
+    large = F.broadcast(shown.groupBy(*PAGE).count().where(F.col("count") > most).select(*PAGE))
+    return _beside(shown.join(large, PAGE, "left_anti"), gap, max_label).unionByName(
+        _swept(shown.join(large, PAGE, "left_semi"), gap, max_label))
+
+
+def _nearest(hits: DataFrame) -> DataFrame:
+    """The nearest of the hits (x0, ord, text) of each label line."""
+    return hits.groupBy(*PAGE, "ord", F.col("text").alias("label")).agg(F.min("hit").alias("hit")).selectExpr(
+        *PAGE, "ord", "label", "hit.text as value")
+
+
+def _beside(shown: DataFrame, gap: float, max_label: int) -> DataFrame:
+    """right_neighbours of small pages, all of whose lines meet; a label without a right edge takes the leftmost line."""
+    asks = shown.where(f"length(text) <= {max_label}").selectExpr(
+        *PAGE, "ord", "text", "y0 as ay0", "y1 as ay1", f"coalesce(x1 + {gap}D, double('-Infinity')) as pos")
+    found = shown.selectExpr(*PAGE, "x0", "y0", "y1", "ord as f_ord", "text as f_text")
+    near = asks.join(found, PAGE).where("x0 > pos and y0 < ay1 and ay0 < y1")
+    return _nearest(near.withColumn("hit", F.expr("struct(x0, f_ord as ord, f_text as text)")))
+
+
+def _swept(shown: DataFrame, gap: float, max_label: int) -> DataFrame:
+    """right_neighbours of pages of any size, by the slots in which lines overlap."""
     events = overlap_slots(shown).where(f"not asks or length(text) <= {max_label}").withColumn(
         "pos", F.expr(f"if(asks, x1 + {gap}D, x0)"))
     # the hash stands first, so that sorting mostly compares one number
@@ -147,9 +171,7 @@ def right_neighbours(lines: DataFrame, gap: float = 3.0, max_label: int = 60) ->
     w = Window.partitionBy("place", *place).orderBy(
         F.col("pos").desc(), F.col("asks").desc(), F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(~F.col("asks"), F.struct("x0", "ord", "text")), True).over(w)
-    hits = events.withColumn("hit", seen).where("asks and hit is not null")
-    return hits.groupBy(*PAGE, "ord", F.col("text").alias("label")).agg(F.min("hit").alias("hit")).selectExpr(
-        *PAGE, "ord", "label", "hit.text as value")
+    return _nearest(events.withColumn("hit", seen).where("asks and hit is not null"))
 
 
 def first_pairs(neighbours: DataFrame) -> DataFrame:

@@ -135,6 +135,19 @@ def test_right_neighbours_equal_brute_force(spark, seed):
     assert got == brute_neighbours(lines)
 
 
+def test_small_pages_shuffle_each_line_once_a_side(spark, monkeypatch):
+    """Pages up to `most` lines make no slots; both ways find the same, labels without a right edge included."""
+    rng = random.Random(9)
+    lines = [(1, i % 2, i, float(x0), float(y0), None if i % 9 == 0 else float(x0 + rng.randrange(5, 60)), y0 + rng.choice([4.0, 12.0]), f"t{i}")
+             for i in range(120) for x0, y0 in [(rng.randrange(0, 400), rng.randrange(0, 90))]]
+    df = spark.createDataFrame(lines, "doc_id long, page_no int, ord int, x0 double, y0 double, x1 double, y1 double, text string")
+    swept = sorted(L.right_neighbours(df, most=10).collect())
+    seen, slots = [], L.overlap_slots
+    monkeypatch.setattr(L, "overlap_slots", lambda shown: seen.append(shown.count()) or slots(shown))
+    assert sorted(L.right_neighbours(df).collect()) == swept and len(swept) > 60
+    assert seen == [0]
+
+
 def test_overlapping_lines_meet_once(spark):
     """Scattered heights, some lines over the whole page: each overlapping pair shares one slot, rows stay n log n."""
     rng = random.Random(5)
