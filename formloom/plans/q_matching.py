@@ -57,14 +57,12 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The first charts of each name search with their verdict; sure charts are counted over the whole registry."""
     forms, charts = T.forms(spark, d), T.charts(spark, d)
-    pages = M.search_pages(forms, charts, AS_OF, ("name", "prefix"))
-    counts = M.form_counts(forms, charts, AS_OF, ("name", "prefix"))
-    seen = pages.selectExpr("form_id", "mode", f"""transform(hits,
-            h -> struct(h.demographic_no, {M.CONFIDENT} as sure, {M.REJECTED} as why_not)) as v""").selectExpr(
-        "form_id", "mode", "posexplode(v) as (p, x)")
-    return seen.join(counts.select("form_id", "name", "prefix"), "form_id", "left").selectExpr(
-        "form_id", "mode", "coalesce(if(mode = 'name', name, prefix), 0) as confident", "cast(p + 1 as bigint) as position",
-        "x.demographic_no", "coalesce(x.sure, x.why_not) as reason")
+    counts = M.form_counts(forms, charts, AS_OF, ("name", "prefix")).select("form_id", "name", "prefix")
+    pages = M.search_pages(forms, charts, AS_OF, ("name", "prefix"), beside=counts)
+    seen = pages.selectExpr("form_id", "mode", "coalesce(if(mode = 'name', name, prefix), 0) as confident", "fl", "ff", "readings",
+                            "posexplode(hits) as (p, h)")
+    return seen.selectExpr("form_id", "mode", "confident", "cast(p + 1 as bigint) as position", "h.demographic_no",
+                           f"coalesce({M.CONFIDENT}, {M.REJECTED}) as reason")
 
 
 def candidate_dates(spark: SparkSession, d: str) -> DataFrame:

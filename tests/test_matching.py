@@ -94,6 +94,35 @@ def test_list_skips_repeats_and_goes_on_with_dates(spark):
     assert no is None and review == [str(i) for i in range(1, 31)] and total == 49
 
 
+def test_only_forms_without_a_name_match_ask_for_more(spark, monkeypatch):
+    f = spark.createDataFrame([(1, "Ann", "Boole", "a@b.cc", "2001-05-10", None), (2, "Eve", "Curie", None, "1990-01-01", None)], FORMS)
+    c = spark.createDataFrame([("7", "Boole", "Ann", "2001-05-10", "a@b.cc", "active"), ("8", "Curie", "Eve", "1991-01-01", "", "active")], CHARTS)
+    asked, counts = [], M._counts
+    monkeypatch.setattr(M, "_counts", lambda fields, charts, as_of, modes: asked.append(
+        (modes, [r.form_id for r in fields.orderBy("form_id").collect()])) or counts(fields, charts, as_of, modes))
+    got = [tuple(r) for r in M.match_forms(f, c, AS_OF).orderBy("form_id").collect()]
+    assert asked == [(("name", "prefix"), [1, 2]), (("email", "list"), [2])]
+    assert got == [(1, "7", "exact name: DOB + last-name match", 0), (2, None, None, 1)]
+
+
+def test_rows_of_lists_are_not_shuffled(spark):
+    """Lists become rows after the last join or exchange of the plan."""
+    from formloom.plans import q_matching as Q
+
+    f = spark.createDataFrame([(1, "Ann", "Boole", None, None, None)], FORMS)
+    c = spark.createDataFrame([(str(i), "Boole", "Ann", "1990-01-01", "", "active") for i in range(3)], CHARTS)
+    for rows in (M.review_rows(M.match_forms(f, c, AS_OF), f, c, AS_OF), Q.top_candidates(spark, "/root/testdata/sf0.001")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate posexplode") < min(plan.index("Exchange"), plan.index("Join"))
+
+
+def test_lists_leave_out_charts_without_a_number(spark):
+    f = spark.createDataFrame([(1, "Ann", "Boole", None, None, None)], FORMS)
+    c = spark.createDataFrame([(n, "Boole", "Ann", "1990-01-01", "", "active") for n in ("1", None, "2")], CHARTS)
+    rows = M.review_rows(M.match_forms(f, c, AS_OF), f, c, AS_OF).orderBy("position").collect()
+    assert [(r.position, r.demographic_no) for r in rows] == [(1, "1"), (2, "2")]
+
+
 def test_email_may_need_a_date(spark):
     """One chart a mail address: linked without a date check by default, with one only where last name and date agree."""
     c = spark.createDataFrame([("7", "Boole", "Ann", "2001-05-10", "a@x.zz", "active")],
