@@ -24,8 +24,24 @@ _REAL_DATE = """p[0] between 1900 and {year} and p[1] between 1 and 12 and p[2]
 
 
 def dob_candidates(raw: str, as_of: date) -> Column:
-    """Sorted distinct readings of the dates written in `raw` (array<string>)."""
-    return F.expr(dob_candidates_sql(raw, as_of))
+    """Sorted distinct readings of the dates written in the column `raw` (array<string>).
+
+    A value that is blank or nothing but one date in a common form needs no
+    search: its triples are cut out by position. All other values are searched.
+    """
+    cut = lambda *spans: f"array({', '.join(f'cast(substr({raw}, {a}, {n}) as int)' for a, n in spans)})"
+    return F.expr(f"""case when coalesce({raw}, '') = '' then cast(array() as array<string>)
+      when {raw} rlike r'^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\z' then {_readings(f"array({cut((1, 4), (6, 2), (9, 2))})", as_of)}
+      when {raw} rlike r'^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}\\z' then {_readings(f"array({cut((7, 4), (4, 2), (1, 2))}, {cut((7, 4), (1, 2), (4, 2))})", as_of)}
+      else {dob_candidates_sql(raw, as_of)} end""")
+
+
+def _readings(triples: str, as_of: date) -> str:
+    """SQL text: the real dates among [year, month, day] triples as sorted distinct texts."""
+    two = lambda i: f"lpad(cast(p[{i}] as string), 2, '0')"
+    return f"""sort_array(array_distinct(transform(
+      filter({triples}, p -> {_REAL_DATE.format(year=as_of.year)}),
+      p -> concat(cast(p[0] as string), '-', {two(1)}, '-', {two(2)}))))"""
 
 
 def dob_candidates_sql(raw: str, as_of: date) -> str:
@@ -49,9 +65,7 @@ def dob_candidates_sql(raw: str, as_of: date) -> str:
         array({span(5, 4)}, {span(1, 2)}, {span(3, 2)})))),
       transform({tokens(DAY_MONTH_RE)}, t -> array(int(t[2]), int({month('t[1]')}), int(t[0]))),
       transform({tokens(MONTH_DAY_RE)}, t -> array(int(t[2]), int({month('t[0]')}), int(t[1]))))"""
-    return f"""sort_array(array_distinct(transform(
-      filter({triples}, p -> {_REAL_DATE.format(year=as_of.year)}),
-      p -> format_string('%04d-%02d-%02d', p[0], p[1], p[2]))))"""
+    return _readings(triples, as_of)
 
 
 def preferred_reading(value: str, candidates: str) -> Column:

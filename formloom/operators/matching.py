@@ -83,8 +83,8 @@ def search_index(charts: DataFrame, as_of: date, page: int = REVIEW_LIST_SIZE, k
     return first.groupBy("key").agg(F.expr(f"sort_array(collect_list(struct(pos, {shown})))").alias("hits"))
 
 
-def form_fields(forms: DataFrame, as_of: date) -> DataFrame:
-    """form_id, fl, ff, fe, cands (readings of the written date) and readings; forms without identifiers are absent."""
+def form_fields(forms: DataFrame, as_of: date, keep: tuple[str, ...] = ()) -> DataFrame:
+    """form_id, ok (has identifiers), fl, ff, fe, cands (readings of the written date), readings, and the columns to `keep`."""
     cols = forms.columns
     written = "coalesce(nullif(dob_raw, ''), dob)" if "dob" in cols else "dob_raw"
     supplied = "supplied_email" if "supplied_email" in cols else "cast(null as string)"
@@ -94,7 +94,7 @@ def form_fields(forms: DataFrame, as_of: date) -> DataFrame:
         norm(F.col("first_name")).alias("ff"),
         F.coalesce(F.nullif(norm(F.col("email")), F.lit("")), norm(F.expr(supplied))).alias("fe"),
         F.expr(written).alias("written"),
-        *(["dob"] if "dob" in cols else []),
+        *(["dob"] if "dob" in cols else []), *[F.col(c).alias(f"_keep_{c}") for c in keep],
     ).withColumn("cands", dob_candidates("written", as_of))
     if "dob" not in cols:
         f = f.withColumn("dob", preferred_reading("written", "cands"))
@@ -103,22 +103,38 @@ def form_fields(forms: DataFrame, as_of: date) -> DataFrame:
         "ok", has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob"))
     ).withColumn("preferred", preferred_reading("dob", "cands") if "dob" in cols else F.col("dob"))
     return f.select("form_id", "ok", F.coalesce("fl", F.lit("")).alias("fl"), F.coalesce("ff", F.lit("")).alias("ff"),
-                    F.coalesce("fe", F.lit("")).alias("fe"), "cands", match_readings("cands", "preferred").alias("readings"))
+                    F.coalesce("fe", F.lit("")).alias("fe"), "cands", match_readings("cands", "preferred").alias("readings"),
+                    *[F.col(f"_keep_{c}").alias(c) for c in keep])
+
+
+def packed(fields: DataFrame) -> DataFrame:
+    """`form_fields` as they travel: readings as dates of four bytes, and as text only where no reading is a real date."""
+    rest = [c for c in fields.columns if c not in ("cands", "readings")]
+    return fields.selectExpr(*rest, "transform(cands, x -> cast(x as date)) as days", "if(size(cands) > 0, null, readings) as text_only")
+
+
+def unpacked(fields: DataFrame) -> DataFrame:
+    """The `form_fields` that were `packed`."""
+    rest = [c for c in fields.columns if c not in ("days", "text_only")]
+    return fields.selectExpr(*rest, "text_only", "transform(days, x -> cast(x as string)) as cands").selectExpr(
+        *rest, "cands", "coalesce(text_only, cands) as readings")
 
 
 _FORM = {"l": "fl", "f": "ff", "e": "fe", "l3": "substr(fl, 1, 3)", "f3": "substr(ff, 1, 3)", "d": "x"}
 
 
-def _asks(role: str, kind: str, dates: str | None = None) -> str:
+# What a form asks for; a role travels as its place in this list.
+ROLES = ("name", "prefix", "mail", "mail_sure", "near", "dated", "both")
+
+
+def _asks(role: str | int, kind: str, dates: str | None = None) -> str:
     """SQL array of the keys a form asks in one role, one per reading where the key has a date."""
-    key = _key(kind, _FORM)
-    if dates is None:
-        return f"array(struct('{role}' as role, {key} as key))"
-    return f"transform({dates}, x -> struct('{role}' as role, {key} as key))"
+    ask = f"struct({f"'{role}'" if isinstance(role, str) else f'{role}Y'} as role, {_key(kind, _FORM)} as key)"
+    return f"array({ask})" if dates is None else f"transform({dates}, x -> {ask})"
 
 
 def form_counts(forms: DataFrame, charts: DataFrame, as_of: date, modes: tuple[str, ...] = ("name", "prefix", "email", "list")) -> DataFrame:
-    """For each form and role, the number of charts in the whole registry and the first of them.
+    """For each form and role, the number of charts in the whole registry, and which it is where one key has one alone.
 
     name, prefix: charts that would be sure in that tier; mail: charts of the
     e-mail, mail_sure: sure ones of them; near, dated, both: charts with the
@@ -129,25 +145,25 @@ def form_counts(forms: DataFrame, charts: DataFrame, as_of: date, modes: tuple[s
 
 def _counts(fields: DataFrame, charts: DataFrame, as_of: date, modes: tuple[str, ...]) -> DataFrame:
     """`form_counts` of form_fields. Only what was found travels back to its form."""
+    name, prefix, mail, mail_sure, near, dated, both = range(len(ROLES))
     asks = {
-        "name": [f"if(size(readings) > 0, {_asks('name', 'nd', 'readings')}, {_asks('name', 'n')})"],
-        "prefix": [f"""case when ff <> '' and size(readings) > 0 then {_asks('prefix', 'pd', 'readings')}
-            when ff <> '' then {_asks('prefix', 'p')} when size(readings) > 0 then {_asks('prefix', 'ld', 'readings')}
+        "name": [f"if(size(readings) > 0, {_asks(name, 'nd', 'readings')}, {_asks(name, 'n')})"],
+        "prefix": [f"""case when ff <> '' and size(readings) > 0 then {_asks(prefix, 'pd', 'readings')}
+            when ff <> '' then {_asks(prefix, 'p')} when size(readings) > 0 then {_asks(prefix, 'ld', 'readings')}
             else array() end"""],
-        "email": [_asks("mail", "e"), f"if(size(readings) > 0, {_asks('mail_sure', 'eld', 'readings')}, {_asks('mail_sure', 'elf')})"],
-        "list": [_asks("near", "p"), _asks("dated", "d", "cands"), _asks("both", "pd", "cands")],
+        "email": [_asks(mail, "e"), f"if(size(readings) > 0, {_asks(mail_sure, 'eld', 'readings')}, {_asks(mail_sure, 'elf')})"],
+        "list": [_asks(near, "p"), _asks(dated, "d", "cands"), _asks(both, "pd", "cands")],
     }
     wanted = ", ".join(x for m in modes for x in asks[m])
     kinds = tuple(k for k in KEYS if any(f"'{k}'," in x for m in modes for x in asks[m]))
     asked = fields.selectExpr("form_id", "size(readings) > 0 as dated_form", f"inline(if(ok, concat({wanted}), array()))").where("key is not null")
-    roles = ("name", "prefix", "mail", "mail_sure", "near", "dated", "both")
     found = resharded_join(asked, key_index(charts, as_of, kinds), ["key"])
     # grouped without partial rows, which would hold a column for each role of a form
-    found = found.select("form_id", "dated_form", "role", "charts", "first").repartition("form_id")
+    found = found.selectExpr("form_id", "dated_form", "role", "charts", "if(charts = 1, first, null) as first").repartition("form_id")
     return found.groupBy("form_id").agg(
         F.first("dated_form").alias("dated_form"),
-        *[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("charts"))), F.lit(0)).alias(r) for r in roles],
-        *[F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"{r}_no") for r in roles[:4]],
+        *[F.coalesce(F.sum(F.when(F.col("role") == i, F.col("charts"))), F.lit(0)).alias(r) for i, r in enumerate(ROLES)],
+        *[F.min(F.when(F.col("role") == i, F.col("first"))).alias(f"{r}_no") for i, r in enumerate(ROLES[:4])],
     )
 
 
@@ -179,17 +195,22 @@ def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: Dat
     name tier resolved; a choice of any of them is valid, listed or not. With
     `require_dob` an e-mail links only to a chart that the form's date confirms.
     """
+    return match_fields(packed(form_fields(forms, as_of)), charts, as_of, decisions, require_dob)
+
+
+def match_fields(fields: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame | None = None, require_dob: bool = False) -> DataFrame:
+    """`match_forms` of forms whose `form_fields` are at hand, `packed`."""
     email = TIERS["email_dated" if require_dob else "email"]
-    fields = form_fields(forms, as_of)
-    named = _counts(fields, charts, as_of, ("name", "prefix")).selectExpr("form_id", f"coalesce({TIERS['name']}, {TIERS['prefix']}) as by_name")
-    fields = fields.join(named, "form_id", "left")
-    rest = _counts(fields.where("by_name is null"), charts, as_of, ("email", "list")).selectExpr(
+    fields = fields.select("form_id", "ok", "fl", "ff", "fe", "days", "text_only")
+    named = _counts(unpacked(fields), charts, as_of, ("name", "prefix")).selectExpr("form_id", f"coalesce({TIERS['name']}, {TIERS['prefix']}) as by_name")
+    whole, fields = fields, fields.join(named, "form_id", "left")
+    rest = _counts(unpacked(fields.where("by_name is null")), charts, as_of, ("email", "list")).selectExpr(
         "form_id", f"{email} as by_email", "near + dated - both as others")
     base = fields.select("form_id", "by_name").join(rest, "form_id", "left")
     if decisions is None:
         base = base.withColumn("chosen", F.lit(None).cast("string"))
     else:
-        base = base.join(valid_choices(forms, charts, as_of, decisions), "form_id", "left")
+        base = base.join(_valid_choices(unpacked(whole), charts, as_of, decisions), "form_id", "left")
     return base.selectExpr(
         "form_id",
         f"""case when by_name is not null then by_name
@@ -201,8 +222,12 @@ def match_forms(forms: DataFrame, charts: DataFrame, as_of: date, decisions: Dat
 
 def valid_choices(forms: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame) -> DataFrame:
     """form_id and chosen: the latest choice of each form, if that chart could be on its review list."""
+    return _valid_choices(form_fields(forms, as_of), charts, as_of, decisions)
+
+
+def _valid_choices(fields: DataFrame, charts: DataFrame, as_of: date, decisions: DataFrame) -> DataFrame:
     latest = decisions.groupBy("form_id").agg(F.max_by("demographic_no", "decided_at").alias("demographic_no"))
-    asked = latest.join(form_fields(forms, as_of).where("ok"), "form_id")
+    asked = latest.join(fields.where("ok"), "form_id")
     seen = resharded_join(asked, _charts(charts, as_of).drop("dob", "e", "seq"), ["demographic_no"])
     return seen.where(f"({_LAST3.replace('h.', '')} and {_FIRST3.replace('h.', '')}) or coalesce(array_contains(cands, d), false)").selectExpr(
         "form_id", "demographic_no as chosen").dropDuplicates(["form_id"])

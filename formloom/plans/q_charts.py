@@ -37,7 +37,7 @@ def approvals(found: DataFrame) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    found = staged(discrepancies(spark, d), "discrepancies")
+    found = staged(discrepancies(spark, d).select("form_id", "demographic_no", "field", "tool_value"), "discrepancies")
     return C.approved_changes(found, approvals(found))
 
 
