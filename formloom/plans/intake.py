@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import with_readings
-from ..functions.predicates import has_minimum_identifiers, is_uploaded
+from ..functions.predicates import is_uploaded
 from ..operators import ledger as L
-from ..operators.matching import match_forms
+from ..operators.matching import form_fields, match_fields, packed
 from ..operators.skew import newest_per_key, resharded_join
 from ..sources.sheets import with_row_numbers
 from ..sources.workdir import staged
 
 UPLOAD, UPLOAD_INCOMPLETE = "Intake form", "Intake form (incomplete)"
 MATCH_COLUMNS = ("form_id", "first_name", "last_name", "email", "dob_raw")
+FACT_COLUMNS = ("file_hash", "signature_present", "checked", "questions", "approved", "sheet_failed", "stage_error")
+INCOMPLETE = "checked and size(questions) > 0 and not approved"
 
 
 def own_status() -> str:
@@ -38,17 +40,20 @@ def process_forms(forms: DataFrame, charts: DataFrame, ledger: DataFrame, as_of:
     (unanswered ones), approved (operator files it as complete), sheet_failed,
     stage_error (text of a failed stage, or null).
     """
-    forms = with_readings(forms, "dob_raw", as_of, "_c", "dob").drop("_c")
-    guarded = L.existing_uploads(forms, ledger).withColumn("action", L.resubmit_action())
-    fresh = guarded.where("action = 'process' and stage_error is null").select(*MATCH_COLUMNS)
-    matches = match_forms(fresh, charts, as_of, decisions).select("form_id", "demographic_no", "matched_by")
-    j = guarded.join(matches, "form_id", "left").withColumn(
-        "usable", has_minimum_identifiers(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("dob")))
-    j = j.withColumn("incomplete", F.expr("checked and size(questions) > 0 and not approved"))
+    # what guard, match and outcome need of a form is read once: its match fields and a few flags
+    facts = form_fields(forms.select(*MATCH_COLUMNS, *FACT_COLUMNS), as_of, ("email", *FACT_COLUMNS)).withColumn("incomplete", F.expr(INCOMPLETE))
+    facts = packed(facts).selectExpr(
+        "form_id", "file_hash", "ok", "fl", "ff", "fe", "days", "text_only", "email", "signature_present", "incomplete",
+        "stage_error is not null as failed", "not sheet_failed as sheet_ok")
+    guarded = staged(L.existing_uploads(facts, ledger).withColumn("action", L.resubmit_action()), "guarded")
+    matches = match_fields(guarded.where("action = 'process' and not failed"), charts, as_of, decisions).select(
+        "form_id", "demographic_no", "matched_by")
+    j = guarded.drop("fl", "ff", "fe", "days", "text_only").withColumnRenamed("ok", "usable").join(matches, "form_id", "left")
     j = j.withColumn("own_status", F.expr(own_status())).withColumn(
         "description", F.expr(f"if(incomplete, '{UPLOAD_INCOMPLETE}', '{UPLOAD}')"))
-    decided = decide(j, ledger, session_start)
-    own = forms.join(decided, "form_id").withColumn("incomplete", F.expr("checked and size(questions) > 0 and not approved"))
+    decided = staged(decide(j, ledger, session_start), "decided")
+    forms = with_readings(forms, "dob_raw", as_of, "_c", "dob").drop("_c")
+    own = forms.join(decided, "form_id").withColumn("incomplete", F.expr(INCOMPLETE))
     return own.withColumn("message", F.expr("""case outcome
         when 'error' then stage_error
         when 'skip' then concat('Already filed (document ', document_id, ') and on the sheet; skipped.')
@@ -77,17 +82,19 @@ def decide(j: DataFrame, ledger: DataFrame, session_start: datetime) -> DataFram
     batch that writes the row; `with_sheet_rows` numbers those.
     """
     cases = staged(j.selectExpr(
-        "form_id", "coalesce(file_hash, concat('#', form_id)) as content", "action", "stage_error is not null as failed", "usable",
-        "action = 'process' and stage_error is null and usable and demographic_no is not null as files",
-        "demographic_no", "matched_by", "not sheet_failed as sheet_ok", "own_status", "description", "signature_present", "email",
+        "form_id", "coalesce(file_hash, concat('#', form_id)) as content", "action", "failed", "usable",
+        "action = 'process' and not failed and usable and demographic_no is not null as files",
+        "demographic_no", "matched_by", "sheet_ok", "own_status", "description", "signature_present", "email",
         "p_id", "p_status", "p_document_id", "p_sheet_row", "p_demographic_no", "p_signature_present", "p_email"), "cases")
     leads = cases.groupBy("content").agg(F.min(F.when(F.col("files"), F.col("form_id"))).alias("lead"))
-    c = resharded_join(cases, leads, ["content"]).withColumn("repeat", F.expr("action <> 'process' or coalesce(form_id > lead, false)"))
-    chain = c.groupBy("content").agg(F.expr("min(if(repeat and sheet_ok, form_id, null))").alias("wrote"),
+    repeat = F.expr("action <> 'process' or coalesce(form_id > lead, false)")
+    c = resharded_join(cases.select("content", "form_id", "action", "sheet_ok"), leads, ["content"]).withColumn("repeat", repeat)
+    chain = c.groupBy("content").agg(F.min("lead").alias("lead"), F.expr("min(if(repeat and sheet_ok, form_id, null))").alias("wrote"),
                                      F.expr("min(if(repeat and not sheet_ok, form_id, null))").alias("missed"))
 
     # one row per person: the newest upload of the session, the batch's first leader and its first written row
-    leaders = c.where("form_id = lead")
+    rank = F.rank().over(Window.partitionBy("content").orderBy("form_id"))  # a rank limit applies before the shuffle
+    leaders = cases.where("files").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     up = ledger.where(is_uploaded(F.col("document_id")) & (F.col("created_at") >= F.lit(session_start)))
     prior = newest_per_key(up.where("coalesce(demographic_no, '') <> ''"), ["demographic_no"], "id").select(
         "demographic_no", F.struct("id", "document_id", "status", "sheet_row").alias("prior"))
@@ -111,7 +118,7 @@ def decide(j: DataFrame, ledger: DataFrame, session_start: datetime) -> DataFram
         "cast(if(outcome = 'person_before', prior.sheet_row, null) as bigint) as sheet_row, "
         "case outcome when 'filed' then if(sheet_ok, form_id, null) "
         "when 'person_in_batch' then if(row_of_first < form_id, row_of_first, null) end as row_form) as l")
-    d = resharded_join(c, chain.join(led, "content", "left"), ["content"])
+    d = resharded_join(cases, chain.join(led, "content", "left"), ["content"]).withColumn("repeat", repeat)
     d = d.withColumn("k", F.expr("""if(action <> 'process',
         struct(p_id as id, p_status as status, p_document_id as document_id, cast(p_sheet_row as bigint) as sheet_row,
           cast(null as bigint) as row_form, p_demographic_no as demographic_no, p_signature_present as signature_present, p_email as email),

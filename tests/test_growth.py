@@ -1,12 +1,14 @@
 """What steps shuffle, read or write again, and that leaner forms of rows hold the same."""
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
+from test_io import CHARTS, FORMS, LEDGER, form
 
 from formloom.functions import dates as D
 from formloom.operators import matching as M
 from formloom.operators.skew import resharded_join
+from formloom.plans import intake as P
 
 AS_OF = date(2024, 6, 30)
 
@@ -33,3 +35,13 @@ def test_packed_fields_come_back(spark):
     back = M.unpacked(M.packed(fields)).select(fields.columns)
     assert sorted(fields.collect()) == sorted(back.collect())
     assert {r.form_id: r.readings for r in back.collect()} == {1: ["1950-02-03", "1950-03-02"], 2: ["1950-13-40"], 3: [], 4: ["2000-02-29"]}
+
+
+def test_outcomes_are_decided_once(spark):
+    """Steps that read the outcomes twice must not match and decide twice: one join with the forms is left."""
+    charts = spark.createDataFrame([("7", "Boole", "Ann", "2001-05-10", "", "active")], CHARTS)
+    rows = [form(1, "a"), form(2, "a"), form(3, None), form(4, "b", "No", "Body", None)]
+    done = P.process_forms(spark.createDataFrame(rows, FORMS), charts, spark.createDataFrame([], LEDGER), AS_OF, datetime(2024, 1, 1))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {r.form_id: (r.outcome, r.status) for r in done.collect()}
+    assert got == {1: ("filed", "completed"), 2: ("skip", "completed"), 3: ("person_in_batch", "completed"), 4: ("unmatched", "not_found")}
