@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import near_keys
 from ..sources import tables as T
 from ..sources.workdir import staged
 from . import intake as I
@@ -18,7 +19,9 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a form; documents of good quality are approved as complete."""
     texts = sources(spark, d).selectExpr("doc_id as form_id", "concat('doc_', doc_id, '.pdf') as source_filename", "text",
                                          "cast(null as string) as ocr_text", "fields", "pairs")
-    rows = staged(Q.grid_rows(T.ink_cells(spark, d, "l_partkey")), "grid-rows")
+    # rows of documents that are no forms are dropped in the end, so their cells need not be gathered
+    cells = near_keys(T.ink_cells(spark, d, "l_partkey"), texts.select(F.col("form_id").alias("doc_id")), "doc_id")
+    rows = staged(Q.grid_rows(cells), "grid-rows")
     approvals = T.read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("form_id"))
     return extracted_forms(texts, rows, Q.headings(rows), Q.signature_pages(spark, d), AS_OF, approvals)
 

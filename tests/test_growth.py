@@ -7,7 +7,7 @@ from test_io import CHARTS, FORMS, LEDGER, form
 
 from formloom.functions import dates as D
 from formloom.operators import matching as M
-from formloom.operators.skew import resharded_join
+from formloom.operators.skew import near_keys, resharded_join
 from formloom.plans import intake as P
 
 AS_OF = date(2024, 6, 30)
@@ -45,3 +45,11 @@ def test_outcomes_are_decided_once(spark):
     assert done._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     got = {r.form_id: (r.outcome, r.status) for r in done.collect()}
     assert got == {1: ("filed", "completed"), 2: ("skip", "completed"), 3: ("person_in_batch", "completed"), 4: ("unmatched", "not_found")}
+
+
+def test_cells_of_other_documents_are_not_gathered(spark):
+    keys = spark.range(0, 3000, 3).toDF("k").unionByName(spark.createDataFrame([(None,)], "k long"))
+    rows = spark.range(100_000).selectExpr("id as k", "id % 7 as v").unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
+    near = near_keys(rows, keys, "k").cache()
+    assert near.join(keys, "k").count() == 1000 and near.columns == ["k", "v"]
+    assert near.count() < 3000
