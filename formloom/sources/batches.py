@@ -48,8 +48,8 @@ class LedgerStore:
 
     The current view ranks the tail alone; rows of the snapshot that the tail
     does not touch pass through. When the tail has `factor` times the rows of the
-    snapshot, or `most` batches, the view becomes the next snapshot, so a row is
-    copied a bounded number of times for each doubling. What a batch finds is
+    snapshot in two batches or more, or `most` batches, the view becomes the next snapshot, so a row is
+    copied a bounded number of times for each doubling; a batch alone is read as it was written. What a batch finds is
     noted in the batch's own folder, so a retry finds and writes the same.
     """
 
@@ -88,7 +88,7 @@ class LedgerStore:
         write_batch(rows, f"{self.path}/tail", batch_id)
         upto, kept, tail = self.mark(batch_id - 1)
         tail += self.spark.read.parquet(f"{self.path}/tail/batch={batch_id}").count()
-        if tail > self.factor * kept or batch_id - upto > self.most:
+        if batch_id - upto > 1 and tail > self.factor * kept or batch_id - upto > self.most:
             at = [f"{self.path}/tail/batch={i}" for i in range(upto + 1, batch_id + 1)]
             old = self.parts(batch_id)[0]
             latest_versions(old, self.spark.read.schema(self.schema).parquet(*at)).write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={batch_id}")

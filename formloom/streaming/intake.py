@@ -20,6 +20,7 @@ from ..functions.maps import read_session_start
 from ..operators.charts import confirm_documents
 from ..plans import intake as I
 from ..sources.batches import LedgerStore, Running, found, read_batch, write_batch
+from ..sources.workdir import staged
 from . import counters
 from .decisions import with_decisions
 
@@ -96,7 +97,7 @@ def run_intake(stream: DataFrame, charts: DataFrame, root: str, as_of: date, sin
         ledger = store.current(batch_id).drop("version")
         if history is not None:
             ledger = ledger.unionByName(history.select(*ledger.columns))
-        forms = extract(batch) if extract else batch
+        forms = staged(extract(batch) if extract else batch, "forms")  # a micro-batch reads and makes all its columns anew for each step
         chosen = None
         if decisions is not None:
             forms = forms.withColumn("approved", F.col("approved") | F.coalesce(F.col("incomplete_value") == "approve", F.lit(False)))
